@@ -19,9 +19,13 @@ _POSITION_BITS = 33
 
 
 def _before(sizes: DataFrame, keys: Sequence[str], chunk: str) -> DataFrame:
-    """Add the rows of earlier chunks to a table of chunk sizes."""
-    w = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    return sizes.withColumn("_before", F.coalesce(F.sum("_rows").over(w), F.lit(0)))
+    """Add the rows of earlier chunks, and of the group, to a table of chunk sizes."""
+    w = Window.partitionBy(*keys).orderBy(chunk)
+    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+    everything = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return sizes.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0))).withColumn(
+        "_group_rows", F.sum("_rows").over(everything)
+    )
 
 
 def number_by_range(
@@ -49,7 +53,7 @@ def number_by_range(
     # At most (parts + groups) rows, written so that its size is known.
     sizes = stage(_before(sizes, keys, "_part"), f"sizes-{alias}")
     numbered = (
-        placed.join(sizes.drop("_rows"), [*keys, "_part"])
+        placed.join(sizes.drop("_rows", "_group_rows"), [*keys, "_part"])
         .withColumn(alias, F.col("_before") + F.col("_place") - F.col("_first"))
         .drop("_place", "_part", "_first", "_before")
     )
@@ -58,10 +62,17 @@ def number_by_range(
 
 
 def number_by_chunk(
-    df: DataFrame, keys: Sequence[str], chunk: Column, order: Sequence[Column | str], alias: str
+    df: DataFrame,
+    keys: Sequence[str],
+    chunk: Column,
+    order: Sequence[Column | str],
+    alias: str,
+    total: str | None = None,
 ) -> DataFrame:
     """Number rows from 0 within ``keys`` where ``chunk`` follows the order.
 
+    ``total`` names a column for the size of the row's group.
+
     ``chunk`` must be non-decreasing along ``order`` and split every group into
     pieces of bounded size. Rows shuffle once, on (keys, chunk). The chunk table
     may come from unfolded ranges, whose size Spark underestimates, so it is
@@ -71,16 +82,23 @@ def number_by_chunk(
     sizes = chunked.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_rows"))
     before = _before(sizes, keys, "_chunk").drop("_rows")
     inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
-    return (
+    numbered = (
         chunked.withColumn("_inside", F.row_number().over(inside) - 1)
         .join(before.hint("merge"), [*keys, "_chunk"])
         .withColumn(alias, (F.col("_before") + F.col("_inside")).cast("long"))
-        .drop("_chunk", "_inside", "_before")
     )
+    if total is not None:
+        numbered = numbered.withColumn(total, F.col("_group_rows"))
+    return numbered.drop("_chunk", "_inside", "_before", "_group_rows")
 
 
 def number_by_hash(
-    df: DataFrame, keys: Sequence[str], digest: Column, alias: str, ties: Sequence[str]
+    df: DataFrame,
+    keys: Sequence[str],
+    digest: Column,
+    ties: Sequence[str],
+    alias: str,
+    total: str | None = None,
 ) -> DataFrame:
     """Number rows in the order of a hexadecimal digest, which spreads evenly.
 
@@ -88,4 +106,4 @@ def number_by_hash(
     """
     hashed = df.withColumn("_digest", digest)
     chunk = F.substring("_digest", 1, 4)
-    return number_by_chunk(hashed, keys, chunk, ["_digest", *ties], alias).drop("_digest")
+    return number_by_chunk(hashed, keys, chunk, ["_digest", *ties], alias, total).drop("_digest")
