@@ -50,7 +50,9 @@ class FourierPlan:
     """Everything needed to turn weighted sums into a power spectrum.
 
     A lane is one (taper, bin) pair, numbered taper by taper. ``table`` holds
-    per place ``j`` and lane group ``g`` the weights of the group's lanes.
+    per ``place`` in the segment and lane group ``g`` the weights of the group's
+    lanes. ``*_sums`` and ``*_ramps`` are the lanes of a constant 1 and of the
+    place itself, which remove a line after the sums have been taken.
     """
 
     table: pd.DataFrame
@@ -59,6 +61,8 @@ class FourierPlan:
     groups: int
     cos_sums: list[list[float]]
     sin_sums: list[list[float]]
+    cos_ramps: list[list[float]]
+    sin_ramps: list[list[float]]
     taper_weights: list[float]
     bin_scales: list[float]
 
@@ -101,6 +105,8 @@ def fourier_plan(s: Settings) -> FourierPlan:
         groups=groups,
         cos_sums=cos.sum(axis=2).tolist(),
         sin_sums=sin.sum(axis=2).tolist(),
+        cos_ramps=(cos @ np.arange(n)).tolist(),
+        sin_ramps=(sin @ np.arange(n)).tolist(),
         taper_weights=weights.tolist(),
         bin_scales=scales.tolist(),
     )

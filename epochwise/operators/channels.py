@@ -1,9 +1,15 @@
 """One row per epoch and channel: variances of the signal and its spectrum.
 
-The samples arrive gathered by epoch, so the whole chain below (line removal,
-differences, weighted sums, averages) runs without another shuffle. The Fourier
-transform is a set of sums ``sum(y * weight)`` against a broadcast table whose
-size depends on the parameters only.
+Overlapping epochs would multiply the samples, so nothing per epoch is shuffled
+before it has been summed up:
+
+1. The samples shuffle once, in chunks of bounded length, to get the differences
+   to their neighbours. Subtracting a line from an epoch only shifts these.
+2. In the same stage each sample is added to the sums of its epochs: powers of x
+   and place, squared differences, and the weighted sums of the Fourier
+   transform against a broadcast table that depends on the parameters only.
+3. These sums, one row per segment of an epoch, are gathered by epoch. The least
+   squares line and the segment means are then taken out of the sums.
 """
 
 from __future__ import annotations
@@ -13,58 +19,111 @@ from pyspark.sql import functions as F
 
 from epochwise.config import Settings
 from epochwise.functions.tapers import FourierPlan, fourier_plan
-from epochwise.operators.epochs import CHANNEL, assign_samples, detrend, gather
-
-_MOMENTS = ("y", "d1", "d2")
-
-
-def differences(samples: DataFrame) -> DataFrame:
-    """First (``d1``) and second (``d2``) differences of ``y`` inside the epoch."""
-    w = Window.partitionBy(*CHANNEL).orderBy("j")
-    back1, back2 = F.lag("y", 1).over(w), F.lag("y", 2).over(w)
-    y = F.col("y")
-    return samples.withColumn("d1", y - back1).withColumn("d2", (y - back1) - (back1 - back2))
-
-
-def _partial_sums(first_group: Column | None) -> list[Column]:
-    """Counts, sums and sums of squares, so that segments can be merged."""
-    out = []
-    for c in _MOMENTS:
-        v = F.col(c) if first_group is None else F.when(first_group, F.col(c))
-        out += [
-            F.count(v).alias(f"{c}_n"),
-            F.sum(v).alias(f"{c}_sum"),
-            F.sum(v * v).alias(f"{c}_sq"),
-        ]
-    return out
-
-
-def _merged_moments() -> list[Column]:
-    out = []
-    for c in _MOMENTS:
-        n = F.sum(f"{c}_n")
-        mean = F.try_divide(F.sum(f"{c}_sum"), n)
-        square = F.try_divide(F.sum(f"{c}_sq"), n)
-        var = square - mean * mean
-        out += [
-            n.alias(f"{c}_n"),
-            mean.alias(f"{c}_mean"),
-            square.alias(f"{c}_square"),
-            F.when(var < 0, F.lit(0.0)).otherwise(var).alias(f"{c}_var"),
-        ]
-    return out
+from epochwise.operators.epochs import CHANNEL, EPOCH, assign_samples
+
+CHUNK_SAMPLES = 4096
+_CHUNK = ["SubjectID", "Electrode", "chunk"]
+
+
+def with_differences(signal: DataFrame) -> DataFrame:
+    """First and second differences ``d1`` and ``d2`` along each channel.
+
+    A chunk also receives the last two samples of the chunk before it.
+    """
+    at = F.col("n") % CHUNK_SAMPLES
+    own = F.floor(F.col("n") / CHUNK_SAMPLES).cast("long")
+    chunks = F.when(at >= CHUNK_SAMPLES - 2, F.array(own, own + 1)).otherwise(F.array(own))
+    rows = signal.select("SubjectID", "Electrode", "n", "x", F.explode(chunks).alias("chunk"))
+    w = Window.partitionBy(*_CHUNK).orderBy("n")
+    back1, back2 = F.lag("x", 1).over(w), F.lag("x", 2).over(w)
+    x = F.col("x")
+    return (
+        rows.withColumn("d1", x - back1)
+        .withColumn("d2", (x - back1) - (back1 - back2))
+        .where(own == F.col("chunk"))
+    )
+
+
+# What is summed up per segment; differences count from the second and third
+# sample of the epoch on.
+def _terms() -> dict[str, Column]:
+    j, x = F.col("j").cast("double"), F.col("x")
+    d1 = F.when(F.col("j") >= 1, F.col("d1"))
+    d2 = F.when(F.col("j") >= 2, F.col("d2"))
+    one = F.lit(1.0)
+    return {
+        "n": F.when(x.isNotNull(), one),
+        "j": F.when(x.isNotNull(), j),
+        "jj": F.when(x.isNotNull(), j * j),
+        "x": x,
+        "jx": j * x,
+        "xx": x * x,
+        "n1": F.when(d1.isNotNull(), one),
+        "d1": d1,
+        "d1d1": d1 * d1,
+        "n2": F.when(d2.isNotNull(), one),
+        "d2": d2,
+        "d2d2": d2 * d2,
+    }
+
+
+_TERMS = ("n", "j", "jj", "x", "jx", "xx", "n1", "d1", "d1d1", "n2", "d2", "d2d2")
+
+
+def _variance(count: str, first: str, square: str) -> Column:
+    mean = F.try_divide(F.col(first), F.col(count))
+    var = F.try_divide(F.col(square), F.col(count)) - mean * mean
+    return F.when(var < 0, F.lit(0.0)).otherwise(var)
+
+
+def _line(df: DataFrame) -> DataFrame:
+    """Slope and level of the least-squares line from the epoch's sums."""
+    n = F.col("t_n")
+    jj = F.col("t_jj") - F.try_divide(F.col("t_j") * F.col("t_j"), n)
+    jx = F.col("t_jx") - F.try_divide(F.col("t_j") * F.col("t_x"), n)
+    slope = F.try_divide(jx, jj)
+    level = F.try_divide(F.col("t_x") - F.col("slope") * F.col("t_j"), n)
+    return df.withColumn("slope", slope).withColumn("level", level)
+
+
+def _moments(df: DataFrame) -> DataFrame:
+    """Moments of the signal without its line; a flat channel has variance 0 exactly."""
+    n = F.col("t_n")
+    xx = F.col("t_xx") - F.try_divide(F.col("t_x") * F.col("t_x"), n)
+    jx = F.col("t_jx") - F.try_divide(F.col("t_j") * F.col("t_x"), n)
+    var = F.try_divide(xx - F.col("slope") * jx, n)
+    flat = (F.col("t_d1d1") == 0) | (var < 0)
+    total = F.col("t_x") - F.col("slope") * F.col("t_j") - F.col("level") * n
+    return df.withColumns(
+        {
+            "y_n": n.cast("long"),
+            "y_mean": F.try_divide(total, n),
+            "y_var": F.when(flat, F.lit(0.0)).otherwise(var),
+            "d1_var": _variance("t_n1", "t_d1", "t_d1d1"),
+            "d2_var": _variance("t_n2", "t_d2", "t_d2d2"),
+        }
+    ).withColumn("y_square", F.col("y_var") + F.col("y_mean") * F.col("y_mean"))
+
+
+def _by_group(rows: list[list[float]], i: int) -> Column:
+    """A constant of lane ``i``, which depends on the lane group if there are several."""
+    if len(rows) == 1:
+        return F.lit(rows[0][i])
+    return F.array(*[F.lit(row[i]) for row in rows])[F.col("g")]
 
 
 def _lane_power(plan: FourierPlan, i: int) -> Column:
-    """|sum((y - segment mean) * weight)|^2, the mean taken out after the sums."""
-    if plan.groups == 1:
-        c, s = F.lit(plan.cos_sums[0][i]), F.lit(plan.sin_sums[0][i])
-    else:
-        c = F.array(*[F.lit(row[i]) for row in plan.cos_sums])[F.col("g")]
-        s = F.array(*[F.lit(row[i]) for row in plan.sin_sums])[F.col("g")]
-    mean = F.try_divide(F.col("seg_sum"), F.col("seg_n"))
-    re = F.col(f"re{i}") - mean * c
-    im = F.col(f"im{i}") - mean * s
+    """|weighted sum of the segment|^2 after the line and the segment mean are out.
+
+    What is taken out is ``base + slope * place``, where ``base`` is the mean of
+    the segment without its slope.
+    """
+
+    def cleaned(total: Column, sums: Column, ramps: Column) -> Column:
+        return total - F.col("base") * sums - F.col("slope") * ramps
+
+    re = cleaned(F.col(f"re{i}"), _by_group(plan.cos_sums, i), _by_group(plan.cos_ramps, i))
+    im = cleaned(F.col(f"im{i}"), _by_group(plan.sin_sums, i), _by_group(plan.sin_ramps, i))
     return re * re + im * im
 
 
@@ -84,61 +143,72 @@ def _psd(plan: FourierPlan) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), weighted)
 
 
-def summarise(gathered: DataFrame, s: Settings, spectrum: bool = True) -> DataFrame:
-    """Moments of ``y`` and its differences, and the power spectrum ``psd``.
+_KEPT = ["y_n", "y_mean", "y_square", "y_var", "d1_var", "d2_var"]
+
 
-    ``psd`` is an array over ``s.bins()``. Without ``spectrum`` it is left out
-    and no weights are joined.
+def _sums(placed: DataFrame, keys: list[str], extra: list[Column]) -> DataFrame:
+    """Sum up inside the chunk, then gather the small rows by epoch and add them."""
+    terms = _terms()
+    local = placed.groupBy(*_CHUNK, *keys).agg(
+        *[F.sum(terms[t]).alias(t) for t in _TERMS], *extra
+    )
+    gathered = local.repartition(*EPOCH)
+    added = [c for c in local.columns if c not in (*_CHUNK, *keys)]
+    return gathered.groupBy("SubjectID", "Electrode", *keys).agg(
+        *[F.sum(c).alias(c) for c in added]
+    )
+
+
+def channel_epochs(signal: DataFrame, s: Settings, spectrum: bool = True) -> DataFrame:
+    """Moments and power spectrum ``psd`` of all candidate epochs of a signal.
+
+    ``psd`` is an array over ``s.bins()``, NULL for an epoch with gaps. Without
+    ``spectrum`` no weights are joined. Join the epoch table next.
     """
-    rows = differences(detrend(gathered))
+    rows = assign_samples(with_differences(signal), s)
     if not spectrum:
-        sums = rows.groupBy(*CHANNEL).agg(*_partial_sums(None))
-        return sums.groupBy(*CHANNEL).agg(*_merged_moments())
+        totals = _sums(rows, ["epoch_ix"], [])
+        renamed = totals.select(*CHANNEL, *[F.col(t).alias(f"t_{t}") for t in _TERMS])
+        return _moments(_line(renamed)).select(*CHANNEL, *_KEPT)
 
     plan = fourier_plan(s)
     n = s.fft_length
-    segments = s.epoch_samples // n
-    table = F.broadcast(gathered.sparkSession.createDataFrame(plan.table))
+    lanes = range(plan.per_group)
+    table = F.broadcast(signal.sparkSession.createDataFrame(plan.table))
     placed = rows.withColumn("seg", F.expr(f"j div {n}").cast("int")).withColumn(
         "place", F.expr(f"j % {n}").cast("int")
     )
-    first = None if plan.groups == 1 else F.col("g") == 0
-    lanes = range(plan.per_group)
-    sums = (
-        placed.join(table, "place")
-        .groupBy(*CHANNEL, "seg", "g")
-        .agg(
-            *_partial_sums(first),
-            F.sum("y").alias("seg_sum"),
-            F.count("y").alias("seg_n"),
-            *[F.sum(F.col("y") * F.col(f"c{i}")).alias(f"re{i}") for i in lanes],
-            *[F.sum(F.col("y") * F.col(f"s{i}")).alias(f"im{i}") for i in lanes],
-        )
+    segments = _sums(
+        placed.join(table, "place"),
+        ["epoch_ix", "seg", "g"],
+        [F.sum(F.col("x") * F.col(f"c{i}")).alias(f"re{i}") for i in lanes]
+        + [F.sum(F.col("x") * F.col(f"s{i}")).alias(f"im{i}") for i in lanes],
+    )
+    # Every lane group carries the same moments: add up those of the first.
+    first = F.col("g") == 0
+    w = Window.partitionBy(*CHANNEL)
+    totals = segments.select(
+        "*", *[F.sum(F.when(first, F.col(t))).over(w).alias(f"t_{t}") for t in _TERMS]
     )
+    ready = _moments(_line(totals))
+    places = F.col("j") - F.col("seg") * n * F.col("n")
+    base = F.try_divide(F.col("x") - F.col("slope") * places, F.col("n"))
+    ready = ready.withColumn("base", base)
     # Samples behind the last whole segment count for the moments only.
-    whole = F.col("seg") < segments
-    merged = sums.groupBy(*CHANNEL, "g").agg(
-        *_merged_moments(),
-        *[F.avg(F.when(whole, _lane_power(plan, i))).alias(f"p{i}") for i in lanes],
+    usable = (F.col("seg") < s.epoch_samples // n) & (F.col("t_n") == s.epoch_samples)
+    packed = F.array(*[F.avg(F.when(usable, _lane_power(plan, i))) for i in lanes])
+    merged = ready.groupBy(*CHANNEL, "g").agg(
+        *[F.max(c).alias(c) for c in _KEPT],
+        F.max(F.col("t_n") == s.epoch_samples).alias("_whole"),
+        packed.alias("part"),
     )
-    packed = F.array(*[F.col(f"p{i}") for i in lanes])
     if plan.groups == 1:
-        joined = merged.withColumn("lanes", packed)
+        joined = merged.withColumnRenamed("part", "lanes")
     else:
-        kept = [f"{c}_{m}" for c in _MOMENTS for m in ("n", "mean", "square", "var")]
-        parts = F.array_sort(F.collect_list(F.struct("g", packed.alias("part"))))
+        parts = F.array_sort(F.collect_list(F.struct("g", "part")))
         joined = merged.groupBy(*CHANNEL).agg(
-            *[F.max(F.when(F.col("g") == 0, F.col(c))).alias(c) for c in kept],
+            *[F.max(c).alias(c) for c in (*_KEPT, "_whole")],
             F.flatten(F.transform(parts, lambda p: p["part"])).alias("lanes"),
         )
-    lanes_used = F.slice("lanes", 1, plan.lanes)
-    return (
-        joined.withColumn("lanes", lanes_used)
-        .withColumn("psd", _psd(plan))
-        .drop("lanes", "g", *[f"p{i}" for i in lanes])
-    )
-
-
-def channel_epochs(signal: DataFrame, s: Settings, spectrum: bool = True) -> DataFrame:
-    """Summaries of all candidate epochs of a signal (join the epoch table next)."""
-    return summarise(gather(assign_samples(signal, s)), s, spectrum)
+    joined = joined.withColumn("lanes", F.slice("lanes", 1, plan.lanes))
+    return joined.select(*CHANNEL, *_KEPT, F.when(F.col("_whole"), _psd(plan)).alias("psd"))

@@ -2,9 +2,8 @@
 
 Everything between samples and epochs is arithmetic on sample numbers, so no
 range join is needed, and a sample reaches its epochs without meeting any other
-table. Epochs are told apart by (SubjectID, epoch_ix); all channels of an epoch
-are brought together by one shuffle on that pair, whose groups hold one window
-of samples per channel however long the recording is.
+table. Epochs are told apart by (SubjectID, epoch_ix), whose groups hold one
+window of samples per channel however long the recording is.
 """
 
 from __future__ import annotations
@@ -28,8 +27,18 @@ def recordings(channel_lengths: DataFrame, settings: Settings) -> DataFrame:
 
 
 def channel_lengths(signal: DataFrame) -> DataFrame:
-    """Samples per channel of a signal numbered from 0."""
-    return signal.groupBy("SubjectID", "Electrode").agg((F.max("n") + 1).alias("rows"))
+    """Samples per channel of a signal numbered from 0, and their mean level."""
+    return signal.groupBy("SubjectID", "Electrode").agg(
+        (F.max("n") + 1).alias("rows"), F.avg("x").alias("level")
+    )
+
+
+def centred(signal: DataFrame, levels: DataFrame) -> DataFrame:
+    """Take out each channel's mean; it cancels in every feature but spares digits."""
+    level = levels.select("SubjectID", "Electrode", "level")
+    return signal.join(level, ["SubjectID", "Electrode"]).select(
+        "SubjectID", "Electrode", "n", (F.col("x") - F.col("level")).alias("x")
+    )
 
 
 def _start(ix: Column, s: Settings) -> Column:
@@ -51,27 +60,39 @@ def epoch_grid(recs: DataFrame, s: Settings) -> DataFrame:
     )
 
 
+def _epoch_range(n: Column, s: Settings) -> tuple[Column, Column]:
+    """First and last epoch number whose window may hold sample ``n``."""
+    # Steps that floats hold exactly need no margin for the truncated product.
+    exact = all(float(v).as_integer_ratio()[1] <= 1 << 16 for v in (s.step, s.rate))
+    margin = 0 if exact else 1
+    stride = F.lit(s.stride)
+    low = F.greatest(F.ceil((n - s.epoch_samples + 1) / stride) - margin, F.lit(0))
+    high = F.ceil((n + 1) / stride) - 1 + margin
+    return low.cast("long"), high.cast("long")
+
+
 def assign_samples(signal: DataFrame, s: Settings) -> DataFrame:
     """Give each sample to every epoch whose window holds it.
 
-    The candidates may reach past the last epoch of the recording; joining the
-    epoch table later removes those. ``j`` is the place inside the epoch.
+    The epochs may reach past the last one of the recording; joining the epoch
+    table later removes those. ``j`` is the place inside the epoch.
     """
-    n = F.col("n")
-    low = F.greatest(F.floor((n - s.epoch_samples) / F.lit(s.stride)) - 1, F.lit(0))
-    high = F.floor(n / F.lit(s.stride)) + 1
-    j = n - _start(F.col("epoch_ix"), s)
+    low, high = _epoch_range(F.col("n"), s)
+    j = F.col("n") - _start(F.col("epoch_ix"), s)
     return (
-        signal.select("SubjectID", "Electrode", "n", "x")
-        .withColumn("epoch_ix", F.explode(F.sequence(low.cast("long"), high.cast("long"))))
+        signal.withColumn("_low", low)
+        .withColumn("_high", high)
+        .where("_low <= _high")
+        .withColumn("epoch_ix", F.explode(F.sequence("_low", "_high")))
         .withColumn("j", j.cast("int"))
         .where((F.col("j") >= 0) & (F.col("j") < s.epoch_samples))
+        .drop("_low", "_high")
     )
 
 
 def gather(samples: DataFrame) -> DataFrame:
-    """The only shuffle of the samples: an epoch's channels in one place."""
-    return samples.repartition(*EPOCH)
+    """An epoch's channels in one place."""
+    return samples.select(*CHANNEL, "n", "j", "x").repartition(*EPOCH)
 
 
 def detrend(samples: DataFrame) -> DataFrame:

@@ -132,7 +132,9 @@ def feature_rejects(
     channels: DataFrame, epochs: DataFrame, lengths: DataFrame, s: Settings
 ) -> DataFrame:
     """Channels of surviving epochs that cannot give all features, with the reason."""
-    expected = epochs.join(lengths.select("SubjectID", "Electrode"), "SubjectID")
+    # The epoch table is unfolded, so its estimated size must not make it broadcast.
+    names = lengths.select("SubjectID", "Electrode").hint("merge")
+    expected = epochs.join(names, "SubjectID")
     found = channels.select(*EPOCH, "Electrode", "y_n", "y_var")
     reason = (
         F.when(F.col("y_n").isNull(), "no samples")

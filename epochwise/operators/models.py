@@ -159,12 +159,14 @@ def predict_parts(
     ``rows`` feeds every fit, so it should be a written table (``stage``).
     """
 
+    cols = list(dict.fromkeys([*ROW_ID, "label", part_col, "prediction"]))
+
     def one(part) -> DataFrame:
         test = rows.where(F.col(part_col) == F.lit(part))
         train = rows.where(F.col(part_col) != F.lit(part))
         if prepare is not None:
             train, test = prepare(train, test)
-        return predictor(train, test).select(*ROW_ID, "label", part_col, "prediction")
+        return predictor(train, test).select(*cols)
 
     with ThreadPool(min(parallelism, len(parts))) as pool:
         return union_all(pool.map(one, parts))

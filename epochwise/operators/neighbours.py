@@ -126,6 +126,8 @@ def _blocks(queries: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame,
     def place(count: int) -> Column:
         return F.pmod(F.xxhash64("key"), F.lit(count)).cast("int")
 
+    # Fresh column identities: both sides may stem from the same table.
+    refs = refs.select(*[F.col(c).alias(c) for c in refs.columns])
     by = ["_qb", "_rb"]
     left = queries.withColumn("_qb", place(q_blocks)).withColumn("_rb", copies(r_blocks))
     right = refs.withColumn("_rb", place(r_blocks)).withColumn("_qb", copies(q_blocks))

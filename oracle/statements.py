@@ -115,8 +115,8 @@ hamming AS (
 psd AS (
   SELECT SubjectID, EpochID, Electrode, CAST(k AS INTEGER) AS k, k * {RATE / NFFT}e0 AS freq,
          avg(re * re + im * im) * (CASE WHEN k = {NFFT // 2} THEN 1 ELSE 2 END)
-           / ({RATE} * max(energy)) AS p
-  FROM fourier CROSS JOIN hamming GROUP BY ALL),
+           / ({RATE} * (SELECT energy FROM hamming)) AS p
+  FROM fourier GROUP BY SubjectID, EpochID, Electrode, k),
 rel AS (
   SELECT SubjectID, EpochID, Electrode, k, freq,
          p / nullif(sum(p) OVER (PARTITION BY SubjectID, EpochID, Electrode), 0) AS p FROM psd),
@@ -151,17 +151,17 @@ epoch_wide AS (
 feature_rows AS (
   SELECT SubjectID, EpochID, Electrode, NULL AS WaveBand, FeatureName, FeatureValue,
          'electrode' AS table_type
-  FROM (UNPIVOT INCLUDE NULLS electrode_wide ON TotalPower, TotalEnergy, SpectralEntropy,
-        HjorthActivity, HjorthMobility, HjorthComplexity, HjorthIndex
-        INTO NAME FeatureName VALUE FeatureValue)
+  FROM electrode_wide UNPIVOT INCLUDE NULLS (FeatureValue FOR FeatureName IN (
+    TotalPower, TotalEnergy, SpectralEntropy, HjorthActivity, HjorthMobility, HjorthComplexity,
+    HjorthIndex))
   UNION ALL
   SELECT SubjectID, EpochID, Electrode, WaveBand, FeatureName, FeatureValue, 'band'
-  FROM (UNPIVOT INCLUDE NULLS band_wide ON Power, SpectralEntropy, HjorthMobility,
-        HjorthComplexity, HjorthIndex INTO NAME FeatureName VALUE FeatureValue)
+  FROM band_wide UNPIVOT INCLUDE NULLS (FeatureValue FOR FeatureName IN (
+    Power, SpectralEntropy, HjorthMobility, HjorthComplexity, HjorthIndex))
   UNION ALL
   SELECT SubjectID, EpochID, NULL, NULL, FeatureName, FeatureValue, 'epoch'
-  FROM (UNPIVOT INCLUDE NULLS epoch_wide ON Mean, Std, Variance, RMS, HjorthMobility
-        INTO NAME FeatureName VALUE FeatureValue))"""
+  FROM epoch_wide UNPIVOT INCLUDE NULLS (FeatureValue FOR FeatureName IN (
+    Mean, Std, Variance, RMS, HjorthMobility)))"""
 
 TO_EPOCHS = [SIGNAL, grid(), ANNOTATIONS, REJECTED]
 TO_SAMPLES = [*TO_EPOCHS, SAMPLES, DETRENDED]
@@ -334,11 +334,11 @@ parted AS (SELECT *, CASE WHEN SubjectID IN (SELECT SubjectID FROM held) THEN 't
 LONG_VECTORS = """
 cells AS (
   SELECT SubjectID, EpochID, label, CAST(i - 1 AS INTEGER) AS pos,
-         'f' || lpad(CAST(i - 1 AS VARCHAR), 2, '0') AS pivot, v[i] AS value
+         'f' || lpad(CAST(i - 1 AS VARCHAR), 2, '0') AS "pivot", v[i] AS value
   FROM (SELECT *, unnest(range(1, 65)) AS i FROM vectors))"""
 
 put("feature_melt", [VECTORS, LONG_VECTORS], f"""
-SELECT SubjectID, EpochID, label, pivot, {r('value')} AS value FROM cells""")
+SELECT SubjectID, EpochID, label, "pivot", {r('value')} AS value FROM cells""")
 
 # --- splits -------------------------------------------------------------------------------
 
@@ -418,7 +418,7 @@ FROM rows_ JOIN stats USING (Electrode, WaveBand)""")
 
 EFFECTS = """
 groups AS (
-  SELECT pivot AS Feature, count(*) FILTER (WHERE label = 0) AS n0,
+  SELECT "pivot" AS Feature, count(*) FILTER (WHERE label = 0) AS n0,
          count(*) FILTER (WHERE label = 1) AS n1,
          avg(value) FILTER (WHERE label = 1) - avg(value) FILTER (WHERE label = 0) AS gap,
          var_samp(value) FILTER (WHERE label = 0) AS v0,
@@ -434,14 +434,14 @@ SELECT Feature, n0, n1, {r('d')} AS Cohen_d, {r('abs(d)')} AS Abs_Cohen_d,
          AS dof
 FROM effects""")
 put("effect_size_selected", [VECTORS, LONG_VECTORS, EFFECTS], f"""
-SELECT SubjectID, EpochID, label, pivot, {r('value')} AS value FROM cells
-WHERE pivot IN (SELECT Feature FROM effects WHERE abs(d) > 0.05)""")
+SELECT SubjectID, EpochID, label, "pivot", {r('value')} AS value FROM cells
+WHERE "pivot" IN (SELECT Feature FROM effects WHERE abs(d) > 0.05)""")
 put("minmax_selected", [VECTORS, LONG_VECTORS, EFFECTS], f"""
-SELECT SubjectID, EpochID, label, pivot, {r(
+SELECT SubjectID, EpochID, label, "pivot", {r(
     "(value - min(value) OVER w) / coalesce(nullif(max(value) OVER w - min(value) OVER w, 0), 1)"
     " * 2 - 1")} AS value
-FROM cells WHERE pivot IN (SELECT Feature FROM effects WHERE abs(d) > 0.05)
-WINDOW w AS (PARTITION BY pivot)""")
+FROM cells WHERE "pivot" IN (SELECT Feature FROM effects WHERE abs(d) > 0.05)
+WINDOW w AS (PARTITION BY "pivot")""")
 
 # --- neighbours ---------------------------------------------------------------------------
 
