@@ -1,7 +1,14 @@
-"""Column expressions shared by the operators."""
+"""Column expressions shared by the operators.
+
+Operators that touch many columns write their expressions as SQL text: Spark
+parses one string much faster than Python assembles the same expression call by
+call.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,16 +21,25 @@ def name(column: str) -> Column:
     return F.col("`" + column.replace("`", "``") + "`")
 
 
+def quoted(column: str) -> str:
+    """The name of a column inside SQL text."""
+    return "`" + column.replace("`", "``") + "`"
+
+
+def number(value: float) -> str:
+    """A double inside SQL text."""
+    return f"{float(value)!r}D"
+
+
+def numbers(values: Iterable[float]) -> str:
+    return "array(" + ", ".join(number(v) for v in values) + ")"
+
+
 def usable_spread(spread: Column) -> Column:
     """Divisor that leaves constants alone: 1.0 where the spread is NULL or zero."""
     return F.when(spread.isNotNull() & (spread != 0), spread).otherwise(F.lit(1.0))
 
 
-def rounded(value: Column, digits: int) -> Column:
-    """Round and turn -0.0 into 0.0."""
-    return F.round(value, digits) + F.lit(0.0)
-
-
 def unfold(df: DataFrame, low: Column, high: Column, alias: str) -> DataFrame:
     """One row per integer in [low, high]; no array exceeds the chunk by much."""
     chunk = F.lit(RANGE_CHUNK)

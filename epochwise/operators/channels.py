@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from epochwise.config import Settings
+from epochwise.functions.columns import number, numbers
 from epochwise.functions.tapers import FourierPlan, fourier_plan
 from epochwise.operators.epochs import CHANNEL, EPOCH, assign_samples
 
@@ -46,101 +47,86 @@ def with_differences(signal: DataFrame) -> DataFrame:
 
 # What is summed up per segment; differences count from the second and third
 # sample of the epoch on.
-def _terms() -> dict[str, Column]:
-    j, x = F.col("j").cast("double"), F.col("x")
-    d1 = F.when(F.col("j") >= 1, F.col("d1"))
-    d2 = F.when(F.col("j") >= 2, F.col("d2"))
-    one = F.lit(1.0)
-    return {
-        "n": F.when(x.isNotNull(), one),
-        "j": F.when(x.isNotNull(), j),
-        "jj": F.when(x.isNotNull(), j * j),
-        "x": x,
-        "jx": j * x,
-        "xx": x * x,
-        "n1": F.when(d1.isNotNull(), one),
-        "d1": d1,
-        "d1d1": d1 * d1,
-        "n2": F.when(d2.isNotNull(), one),
-        "d2": d2,
-        "d2d2": d2 * d2,
-    }
-
-
-_TERMS = ("n", "j", "jj", "x", "jx", "xx", "n1", "d1", "d1d1", "n2", "d2", "d2d2")
-
-
-def _variance(count: str, first: str, square: str) -> Column:
-    mean = F.try_divide(F.col(first), F.col(count))
-    var = F.try_divide(F.col(square), F.col(count)) - mean * mean
-    return F.when(var < 0, F.lit(0.0)).otherwise(var)
-
-
-def _line(df: DataFrame) -> DataFrame:
-    """Slope and level of the least-squares line from the epoch's sums."""
-    n = F.col("t_n")
-    jj = F.col("t_jj") - F.try_divide(F.col("t_j") * F.col("t_j"), n)
-    jx = F.col("t_jx") - F.try_divide(F.col("t_j") * F.col("t_x"), n)
-    slope = F.try_divide(jx, jj)
-    level = F.try_divide(F.col("t_x") - F.col("slope") * F.col("t_j"), n)
-    return df.withColumn("slope", slope).withColumn("level", level)
+_TERMS = {
+    "n": "if(x IS NULL, NULL, 1D)",
+    "j": "if(x IS NULL, NULL, double(j))",
+    "jj": "if(x IS NULL, NULL, double(j) * j)",
+    "x": "x",
+    "jx": "j * x",
+    "xx": "x * x",
+    "n1": "if(j >= 1 AND d1 IS NOT NULL, 1D, NULL)",
+    "d1": "if(j >= 1, d1, NULL)",
+    "d1d1": "if(j >= 1, d1 * d1, NULL)",
+    "n2": "if(j >= 2 AND d2 IS NOT NULL, 1D, NULL)",
+    "d2": "if(j >= 2, d2, NULL)",
+    "d2d2": "if(j >= 2, d2 * d2, NULL)",
+}
+
+
+def _variance(count: str, total: str, square: str) -> str:
+    mean = f"try_divide({total}, {count})"
+    return f"greatest(try_divide({square}, {count}) - {mean} * {mean}, 0D)"
 
 
 def _moments(df: DataFrame) -> DataFrame:
-    """Moments of the signal without its line; a flat channel has variance 0 exactly."""
-    n = F.col("t_n")
-    xx = F.col("t_xx") - F.try_divide(F.col("t_x") * F.col("t_x"), n)
-    jx = F.col("t_jx") - F.try_divide(F.col("t_j") * F.col("t_x"), n)
-    var = F.try_divide(xx - F.col("slope") * jx, n)
-    flat = (F.col("t_d1d1") == 0) | (var < 0)
-    total = F.col("t_x") - F.col("slope") * F.col("t_j") - F.col("level") * n
-    return df.withColumns(
-        {
-            "y_n": n.cast("long"),
-            "y_mean": F.try_divide(total, n),
-            "y_var": F.when(flat, F.lit(0.0)).otherwise(var),
-            "d1_var": _variance("t_n1", "t_d1", "t_d1d1"),
-            "d2_var": _variance("t_n2", "t_d2", "t_d2d2"),
-        }
-    ).withColumn("y_square", F.col("y_var") + F.col("y_mean") * F.col("y_mean"))
-
-
-def _by_group(rows: list[list[float]], i: int) -> Column:
+    """Least-squares line of the epoch and moments of the signal without it.
+
+    Works on the epoch's sums ``t_*``; a flat channel has variance 0 exactly.
+    """
+    line = df.selectExpr(
+        "*",
+        "t_xx - try_divide(t_x * t_x, t_n) AS xx_c",
+        "t_jx - try_divide(t_j * t_x, t_n) AS jx_c",
+        "t_jj - try_divide(t_j * t_j, t_n) AS jj_c",
+    ).selectExpr("*", "try_divide(jx_c, jj_c) AS slope")
+    rest = line.selectExpr(
+        "*",
+        "try_divide(t_x - slope * t_j, t_n) AS level",
+        "try_divide(xx_c - slope * jx_c, t_n) AS var_c",
+    )
+    moments = rest.selectExpr(
+        "*",
+        "bigint(t_n) AS y_n",
+        "try_divide(t_x - slope * t_j - level * t_n, t_n) AS y_mean",
+        "if(t_d1d1 = 0 OR var_c < 0, 0D, var_c) AS y_var",
+        f"if(t_n1 IS NULL, NULL, {_variance('t_n1', 't_d1', 't_d1d1')}) AS d1_var",
+        f"if(t_n2 IS NULL, NULL, {_variance('t_n2', 't_d2', 't_d2d2')}) AS d2_var",
+    )
+    return moments.selectExpr("*", "y_var + y_mean * y_mean AS y_square")
+
+
+def _by_group(rows: list[list[float]], i: int) -> str:
     """A constant of lane ``i``, which depends on the lane group if there are several."""
     if len(rows) == 1:
-        return F.lit(rows[0][i])
-    return F.array(*[F.lit(row[i]) for row in rows])[F.col("g")]
+        return number(rows[0][i])
+    return numbers(row[i] for row in rows) + "[int(g)]"
 
 
-def _lane_power(plan: FourierPlan, i: int) -> Column:
+def _lane_power(plan: FourierPlan, i: int) -> str:
     """|weighted sum of the segment|^2 after the line and the segment mean are out.
 
     What is taken out is ``base + slope * place``, where ``base`` is the mean of
     the segment without its slope.
     """
 
-    def cleaned(total: Column, sums: Column, ramps: Column) -> Column:
-        return total - F.col("base") * sums - F.col("slope") * ramps
+    def cleaned(total: str, sums: list[list[float]], ramps: list[list[float]]) -> str:
+        return f"{total} - base * {_by_group(sums, i)} - slope * {_by_group(ramps, i)}"
 
-    re = cleaned(F.col(f"re{i}"), _by_group(plan.cos_sums, i), _by_group(plan.cos_ramps, i))
-    im = cleaned(F.col(f"im{i}"), _by_group(plan.sin_sums, i), _by_group(plan.sin_ramps, i))
-    return re * re + im * im
+    re = cleaned(f"re{i}", plan.cos_sums, plan.cos_ramps)
+    im = cleaned(f"im{i}", plan.sin_sums, plan.sin_ramps)
+    return f"pow({re}, 2) + pow({im}, 2)"
 
 
-def _psd(plan: FourierPlan) -> Column:
+def _psd(plan: FourierPlan) -> str:
     """Scale the lanes; with several tapers, average them bin by bin."""
     bins = len(plan.bin_scales)
-    scales = F.array(*[F.lit(v) for v in plan.bin_scales])
+    scales = numbers(plan.bin_scales)
     if len(plan.taper_weights) == 1:
-        return F.zip_with("lanes", scales, lambda p, scale: p * scale)
-
-    def weighted(k: Column) -> Column:
-        total = F.lit(0.0)
-        for t, w in enumerate(plan.taper_weights):
-            total = total + F.col("lanes")[k + t * bins] * F.lit(w)
-        return total * scales[k]
-
-    return F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), weighted)
+        return f"zip_with(lanes, {scales}, (p, scale) -> p * scale)"
+    total = " + ".join(
+        f"lanes[k + {t * bins}] * {number(w)}" for t, w in enumerate(plan.taper_weights)
+    )
+    return f"transform(sequence(0, {bins - 1}), k -> ({total}) * {scales}[k])"
 
 
 _KEPT = ["y_n", "y_mean", "y_square", "y_var", "d1_var", "d2_var"]
@@ -148,14 +134,13 @@ _KEPT = ["y_n", "y_mean", "y_square", "y_var", "d1_var", "d2_var"]
 
 def _sums(placed: DataFrame, keys: list[str], extra: list[Column]) -> DataFrame:
     """Sum up inside the chunk, then gather the small rows by epoch and add them."""
-    terms = _terms()
-    local = placed.groupBy(*_CHUNK, *keys).agg(
-        *[F.sum(terms[t]).alias(t) for t in _TERMS], *extra
-    )
-    gathered = local.repartition(*EPOCH)
+    terms = [F.expr(f"sum({value}) AS {name}") for name, value in _TERMS.items()]
+    local = placed.groupBy(*_CHUNK, *keys).agg(*terms, *extra)
     added = [c for c in local.columns if c not in (*_CHUNK, *keys)]
-    return gathered.groupBy("SubjectID", "Electrode", *keys).agg(
-        *[F.sum(c).alias(c) for c in added]
+    return (
+        local.repartition(*EPOCH)
+        .groupBy("SubjectID", "Electrode", *keys)
+        .agg(*[F.expr(f"sum({c}) AS {c}") for c in added])
     )
 
 
@@ -168,47 +153,44 @@ def channel_epochs(signal: DataFrame, s: Settings, spectrum: bool = True) -> Dat
     rows = assign_samples(with_differences(signal), s)
     if not spectrum:
         totals = _sums(rows, ["epoch_ix"], [])
-        renamed = totals.select(*CHANNEL, *[F.col(t).alias(f"t_{t}") for t in _TERMS])
-        return _moments(_line(renamed)).select(*CHANNEL, *_KEPT)
+        renamed = totals.selectExpr(*CHANNEL, *[f"{t} AS t_{t}" for t in _TERMS])
+        return _moments(renamed).select(*CHANNEL, *_KEPT)
 
     plan = fourier_plan(s)
     n = s.fft_length
     lanes = range(plan.per_group)
     table = F.broadcast(signal.sparkSession.createDataFrame(plan.table))
-    placed = rows.withColumn("seg", F.expr(f"j div {n}").cast("int")).withColumn(
-        "place", F.expr(f"j % {n}").cast("int")
-    )
+    placed = rows.selectExpr("*", f"int(j div {n}) AS seg", f"int(j % {n}) AS place")
     segments = _sums(
         placed.join(table, "place"),
         ["epoch_ix", "seg", "g"],
-        [F.sum(F.col("x") * F.col(f"c{i}")).alias(f"re{i}") for i in lanes]
-        + [F.sum(F.col("x") * F.col(f"s{i}")).alias(f"im{i}") for i in lanes],
+        [F.expr(f"sum(x * c{i}) AS re{i}") for i in lanes]
+        + [F.expr(f"sum(x * s{i}) AS im{i}") for i in lanes],
     )
     # Every lane group carries the same moments: add up those of the first.
-    first = F.col("g") == 0
-    w = Window.partitionBy(*CHANNEL)
-    totals = segments.select(
-        "*", *[F.sum(F.when(first, F.col(t))).over(w).alias(f"t_{t}") for t in _TERMS]
+    by = f"OVER (PARTITION BY {', '.join(CHANNEL)})"
+    totals = segments.selectExpr(
+        "*", *[f"sum(if(g = 0, {t}, NULL)) {by} AS t_{t}" for t in _TERMS]
     )
-    ready = _moments(_line(totals))
-    places = F.col("j") - F.col("seg") * n * F.col("n")
-    base = F.try_divide(F.col("x") - F.col("slope") * places, F.col("n"))
-    ready = ready.withColumn("base", base)
     # Samples behind the last whole segment count for the moments only.
-    usable = (F.col("seg") < s.epoch_samples // n) & (F.col("t_n") == s.epoch_samples)
-    packed = F.array(*[F.avg(F.when(usable, _lane_power(plan, i))) for i in lanes])
+    whole = f"t_n = {s.epoch_samples}"
+    usable = f"{whole} AND seg < {s.epoch_samples // n}"
+    ready = _moments(totals).selectExpr(
+        "*", f"try_divide(x - slope * (j - seg * {n} * n), n) AS base"
+    )
+    powers = ", ".join(f"avg(if({usable}, {_lane_power(plan, i)}, NULL))" for i in lanes)
     merged = ready.groupBy(*CHANNEL, "g").agg(
         *[F.max(c).alias(c) for c in _KEPT],
-        F.max(F.col("t_n") == s.epoch_samples).alias("_whole"),
-        packed.alias("part"),
+        F.expr(f"max({whole}) AS whole"),
+        F.expr(f"array({powers}) AS part"),
     )
     if plan.groups == 1:
         joined = merged.withColumnRenamed("part", "lanes")
     else:
-        parts = F.array_sort(F.collect_list(F.struct("g", "part")))
+        parts = "array_sort(collect_list(struct(g, part)))"
         joined = merged.groupBy(*CHANNEL).agg(
-            *[F.max(c).alias(c) for c in (*_KEPT, "_whole")],
-            F.flatten(F.transform(parts, lambda p: p["part"])).alias("lanes"),
+            *[F.max(c).alias(c) for c in (*_KEPT, "whole")],
+            F.expr(f"flatten(transform({parts}, p -> p.part)) AS lanes"),
         )
-    joined = joined.withColumn("lanes", F.slice("lanes", 1, plan.lanes))
-    return joined.select(*CHANNEL, *_KEPT, F.when(F.col("_whole"), _psd(plan)).alias("psd"))
+    used = joined.withColumn("lanes", F.slice("lanes", 1, plan.lanes))
+    return used.selectExpr(*CHANNEL, *_KEPT, f"if(whole, {_psd(plan)}, NULL) AS psd")

@@ -151,14 +151,17 @@ def reject(grid: DataFrame, touched: DataFrame) -> DataFrame:
     return grid.join(touched.hint("merge"), EPOCH, "left_anti")
 
 
+def named(epochs: DataFrame) -> DataFrame:
+    return epochs.withColumn("EpochID", F.concat(F.lit("ep-"), F.col("epoch_no").cast("string")))
+
+
 def renumber(survivors: DataFrame) -> DataFrame:
     """Name the surviving epochs ``ep-0``, ``ep-1``, ... without gaps.
 
     ``epoch_ix`` is unique per subject, so a chunk never exceeds its width.
     """
     chunk = F.floor(F.col("epoch_ix") / F.lit(RANGE_CHUNK))
-    numbered = number_by_chunk(survivors, ["SubjectID"], chunk, ["epoch_ix"], "epoch_no")
-    return numbered.withColumn("EpochID", F.concat(F.lit("ep-"), F.col("epoch_no").cast("string")))
+    return named(number_by_chunk(survivors, ["SubjectID"], chunk, ["epoch_ix"], "epoch_no"))
 
 
 def epoch_table(
@@ -166,9 +169,9 @@ def epoch_table(
 ) -> DataFrame:
     """Surviving epochs with their final names; without annotations none is dropped."""
     grid = epoch_grid(recs, s)
-    if annotations is not None:
-        grid = reject(grid, touched_epochs(bad_spans(mark_bad(annotations)), s))
-    return renumber(grid)
+    if annotations is None:
+        return named(grid.withColumn("epoch_no", F.col("epoch_ix")))
+    return renumber(reject(grid, touched_epochs(bad_spans(mark_bad(annotations)), s)))
 
 
 def keep_epochs(rows: DataFrame, epochs: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,33 +41,27 @@ BAND_FEATURES = ("Power", "SpectralEntropy", "HjorthMobility", "HjorthComplexity
 EPOCH_FEATURES = ("Mean", "Std", "Variance", "RMS", "HjorthMobility")
 
 
-def _row(
-    electrode: Column | None, band: str | None, feature: str, value: Column, level: str
-) -> Column:
-    nothing = F.lit(None).cast("string")
-    return F.struct(
-        (nothing if electrode is None else electrode).alias("Electrode"),
-        (nothing if band is None else F.lit(band)).alias("WaveBand"),
-        F.lit(feature).alias("FeatureName"),
-        value.cast("double").alias("FeatureValue"),
-        F.lit(level).alias("table_type"),
+def _row(electrode: str, band: str, feature: str, value: str, level: str) -> str:
+    return (
+        f"struct({electrode} AS Electrode, {band} AS WaveBand, '{feature}' AS FeatureName, "
+        f"double({value}) AS FeatureValue, '{level}' AS table_type)"
     )
 
 
-def _channel_rows(s: Settings, levels: Sequence[str]) -> list[Column]:
-    electrode = F.col("Electrode")
+_NOTHING = "string(NULL)"
+
+
+def _channel_rows(s: Settings, levels: Sequence[str]) -> list[str]:
     rows = []
     if "electrode" in levels:
-        rows += [_row(electrode, None, f, F.col(f), "electrode") for f in ELECTRODE_FEATURES]
+        rows += [_row("Electrode", _NOTHING, f, f, "electrode") for f in ELECTRODE_FEATURES]
     if "band" in levels:
         for b in s.bands:
-            bins = spectral.band_bins(s, b, F.col("rel"))
-            values = {
-                "Power": spectral.mean_power(bins),
-                "SpectralEntropy": spectral.entropy(bins),
-            }
+            bins = spectral.band_bins(s, b)
+            values = {"Power": spectral.mean_power(bins), "SpectralEntropy": spectral.entropy(bins)}
             rows += [
-                _row(electrode, b.name, f, values.get(f, F.col(f)), "band") for f in BAND_FEATURES
+                _row("Electrode", f"'{b.name}'", f, values.get(f, f), "band")
+                for f in BAND_FEATURES
             ]
     return rows
 
@@ -87,23 +81,19 @@ def feature_rows(
     ready = temporal.hjorth(channels)
     if spectrum:
         ready = spectral.spectrum_features(spectral.relative(ready))
-        ready = ready.withColumn("_rows", F.array(*_channel_rows(s, levels)))
-    aggregates = [F.flatten(F.collect_list("_rows")).alias("_rows")] if spectrum else []
+        rows = ", ".join(_channel_rows(s, levels))
+        ready = ready.selectExpr("*", f"array({rows}) AS _rows")
+    aggregates, parts = [], []
+    if spectrum:
+        aggregates.append(F.expr("flatten(collect_list(_rows)) AS _rows"))
+        parts.append("_rows")
     if "epoch" in levels:
-        aggregates += [c for c in temporal.epoch_statistics()]
+        aggregates += temporal.epoch_statistics()
+        rows = ", ".join(_row(_NOTHING, _NOTHING, f, f, "epoch") for f in EPOCH_FEATURES)
+        parts.append(f"array({rows})")
     grouped = ready.groupBy(*EPOCH).agg(*aggregates)
-    epoch_rows = (
-        F.array(*[_row(None, None, f, F.col(f), "epoch") for f in EPOCH_FEATURES])
-        if "epoch" in levels
-        else None
-    )
-    if spectrum and epoch_rows is not None:
-        rows = F.concat(F.col("_rows"), epoch_rows)
-    else:
-        rows = F.col("_rows") if spectrum else epoch_rows
-    return keep_epochs(grouped.select(*EPOCH, rows.alias("_rows")), epochs).select(
-        "SubjectID", "EpochID", F.inline("_rows")
-    )
+    merged = grouped.selectExpr(*EPOCH, f"concat({', '.join(parts)}) AS _rows")
+    return keep_epochs(merged, epochs).selectExpr("SubjectID", "EpochID", "inline(_rows)")
 
 
 def feature_long(

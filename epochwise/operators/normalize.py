@@ -9,34 +9,40 @@ The standard deviation is that of a sample; a spread of NULL or 0 divides by 1.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from epochwise.functions.columns import name, usable_spread
+from epochwise.functions.columns import number, quoted, usable_spread
 from epochwise.storage import stage
 
 Pair = tuple[DataFrame, DataFrame]
 
 
-def _one_row(df: DataFrame, cols: Sequence[str], *aggregates) -> list[list[float | None]]:
+def _one_row(df: DataFrame, cols: Sequence[str], *aggregates: str) -> list[list[float | None]]:
     """Several aggregates of all columns from one pass; a single row comes back."""
-    exprs = [F.array(*[a(name(c)).cast("double") for c in cols]) for a in aggregates]
+    exprs = [
+        F.expr("array(" + ", ".join(f"double({a}({quoted(c)}))" for c in cols) + ")")
+        for a in aggregates
+    ]
     return [list(v) for v in df.agg(*exprs).first()]
 
 
-def _literal(value: float | None) -> Column:
-    return F.lit(value).cast("double")
+def _literal(value: float | None) -> str:
+    return "double(NULL)" if value is None else number(value)
 
 
-def _replace(df: DataFrame, cols: Sequence[str], make) -> DataFrame:
+def _replace(df: DataFrame, cols: Sequence[str], make: Callable[[str, int], str]) -> DataFrame:
     """One projection that rewrites ``cols``."""
     place = {c: i for i, c in enumerate(cols)}
-    return df.select(
-        *[make(name(c), place[c]).alias(c) if c in place else name(c) for c in df.columns]
+    return df.selectExpr(
+        *[
+            f"{make(quoted(c), place[c])} AS {quoted(c)}" if c in place else quoted(c)
+            for c in df.columns
+        ]
     )
 
 
@@ -48,13 +54,13 @@ def minmax_global(
     target_max: float = 1.0,
 ) -> Pair:
     """Scale by the range of the training rows; a constant maps to ``target_min``."""
-    low, high = _one_row(train, cols, F.min, F.max)
+    low, high = _one_row(train, cols, "min", "max")
 
-    def scaled(c: Column, i: int) -> Column:
+    def scaled(c: str, i: int) -> str:
         lo, hi = low[i], high[i]
         spread = hi - lo if lo is not None and hi != lo else 1.0
-        unit = (c - _literal(lo)) / F.lit(spread)
-        return unit * F.lit(target_max - target_min) + F.lit(target_min)
+        unit = f"({c} - {_literal(lo)}) / {number(spread)}"
+        return f"{unit} * {number(target_max - target_min)} + {number(target_min)}"
 
     return _replace(train, cols, scaled), _replace(test, cols, scaled)
 
@@ -63,44 +69,46 @@ def zscore_global(
     train: DataFrame, test: DataFrame, cols: Sequence[str], keys: Sequence[str]
 ) -> Pair:
     """Standardise by the training rows; NULL becomes 0, columns come out sorted."""
-    mean, std = _one_row(train, cols, F.avg, F.stddev)
-    place = {c: i for i, c in enumerate(cols)}
+    mean, std = _one_row(train, cols, "avg", "stddev")
+
+    def scaled(c: str, i: int) -> str:
+        z = f"(double({c}) - {_literal(mean[i])}) / {number(std[i] or 1.0)}"
+        return f"coalesce({z}, 0D)"
 
     def apply(df: DataFrame) -> DataFrame:
-        out = []
-        for c in sorted(cols):
-            m, sd = mean[place[c]], std[place[c]]
-            z = (name(c).cast("double") - _literal(m)) / F.lit(sd if sd else 1.0)
-            out.append(F.coalesce(z, F.lit(0.0)).alias(c))
-        return df.select(*[name(k) for k in keys], *out)
+        kept = df.selectExpr(*[quoted(c) for c in (*keys, *sorted(cols))])
+        return _replace(kept, cols, scaled)
 
     return apply(train), apply(test)
 
 
 def _by_subject(
-    df: DataFrame, cols: Sequence[str], centre, spread, id_col: str, label: str
+    df: DataFrame, cols: Sequence[str], centre: str, spread: str, id_col: str, label: str
 ) -> DataFrame:
+    """``centre`` and ``spread`` are aggregates with a place for the column."""
+
+    def array(aggregate: str) -> str:
+        return "array(" + ", ".join(aggregate.format(quoted(c)) for c in cols) + ")"
+
+    usable = "transform({}, s -> if(s IS NULL OR s = 0, 1D, s))"
     stats = df.groupBy(id_col).agg(
-        F.array(*[centre(name(c)) for c in cols]).alias("_centre"),
-        F.array(*[spread(name(c)) for c in cols]).alias("_spread"),
+        F.expr(f"{array(centre)} AS _centre"),
+        F.expr(f"{usable.format(array(spread))} AS _spread"),
     )
     joined = df.join(stage(stats, label), id_col, "left")
-    scaled = _replace(
-        joined, cols, lambda c, i: (c - F.col("_centre")[i]) / usable_spread(F.col("_spread")[i])
-    )
+    scaled = _replace(joined, cols, lambda c, i: f"({c} - _centre[{i}]) / _spread[{i}]")
     return scaled.drop("_centre", "_spread")
 
 
 def zscore_by_subject(df: DataFrame, cols: Sequence[str], id_col: str = "SubjectID") -> DataFrame:
     """Standardise within each subject."""
-    return _by_subject(df, cols, F.avg, F.stddev, id_col, "subject-zscore")
+    return _by_subject(df, cols, "avg({})", "stddev({})", id_col, "subject-zscore")
 
 
 def minmax_by_subject(df: DataFrame, cols: Sequence[str], id_col: str = "SubjectID") -> DataFrame:
     """Scale to [0, 1] within each subject."""
-    return _by_subject(
-        df, cols, F.min, lambda c: F.max(c) - F.min(c), id_col, "subject-minmax"
-    )
+    spread = "double(max({0}) - min({0}))"
+    return _by_subject(df, cols, "min({})", spread, id_col, "subject-minmax")
 
 
 def minmax_vector_by_subject(

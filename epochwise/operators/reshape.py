@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from epochwise.config import Settings
-from epochwise.functions.columns import name
+from epochwise.functions.columns import name, quoted
 from epochwise.operators.features import (
     BAND_FEATURES,
     ELECTRODE_FEATURES,
@@ -47,9 +47,10 @@ def feature_columns(df: DataFrame) -> list[str]:
 
 def fill_features(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """NULL features become 0.0; the keys stay as they are."""
-    return df.select(
+    cols = set(cols)
+    return df.selectExpr(
         *[
-            F.coalesce(name(c), F.lit(0.0)).alias(c) if c in set(cols) else name(c)
+            f"coalesce({quoted(c)}, 0D) AS {quoted(c)}" if c in cols else quoted(c)
             for c in df.columns
         ]
     )
@@ -99,7 +100,7 @@ def band_power_rows(rows: DataFrame) -> DataFrame:
 
 def melt(df: DataFrame, cols: Sequence[str], feature: str = "pivot") -> DataFrame:
     """One row per epoch and feature; values become double."""
-    ready = df.select(*KEYS, *[name(c).cast("double").alias(c) for c in cols])
+    ready = df.selectExpr(*KEYS, *[f"double({quoted(c)}) AS {quoted(c)}" for c in cols])
     return ready.unpivot(KEYS, [name(c) for c in cols], feature, "value")
 
 

@@ -1,91 +1,83 @@
 """Features of a channel's power spectrum.
 
 ``psd`` is an array over the retained bins. Bins are ordered by frequency, so a
-band is a slice whose limits follow from the settings.
+band is a slice whose limits follow from the settings. Expressions over the bins
+are SQL text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from epochwise.config import Band, Settings
+from epochwise.functions.columns import number, numbers
 from epochwise.operators.epochs import CHANNEL
 
 # Fixed value: keeps the logarithm finite for empty bins.
 LOG_FLOOR = 1e-12
 
 
-def array_sum(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda total, v: total + v)
+def array_sum(bins: str) -> str:
+    return f"aggregate({bins}, 0D, (total, p) -> total + p)"
 
 
 def relative(channels: DataFrame) -> DataFrame:
     """Divide the spectrum by its sum (column ``rel``); NULL bins if the sum is zero."""
-    total = channels.withColumn("_total", array_sum(F.col("psd")))
-    return total.withColumn(
-        "rel", F.transform("psd", lambda p: F.try_divide(p, F.col("_total")))
-    ).drop("_total")
+    summed = channels.selectExpr("*", f"{array_sum('psd')} AS _total")
+    return summed.selectExpr("*", "transform(psd, p -> try_divide(p, _total)) AS rel").drop("_total")
 
 
-def band_bins(s: Settings, band: Band, spectrum: Column) -> Column:
+def band_bins(s: Settings, band: Band, spectrum: str = "rel") -> str:
     """The bins with fmin <= f < fmax."""
     inside = [i for i, (_, f) in enumerate(s.bins()) if band.fmin <= f < band.fmax]
-    return F.slice(spectrum, (inside[0] if inside else 0) + 1, len(inside))
+    return f"slice({spectrum}, {(inside[0] if inside else 0) + 1}, {len(inside)})"
 
 
-def mean_power(bins: Column) -> Column:
+def mean_power(bins: str) -> str:
     """Mean over the bins; NULL without any."""
-    return F.try_divide(array_sum(bins), F.size(bins))
+    return f"try_divide({array_sum(bins)}, size({bins}))"
 
 
-def energy(bins: Column) -> Column:
-    return F.aggregate(bins, F.lit(0.0), lambda total, p: total + p * p)
+def energy(bins: str) -> str:
+    return f"aggregate({bins}, 0D, (total, p) -> total + p * p)"
 
 
-def entropy(bins: Column) -> Column:
+def entropy(bins: str) -> str:
     """Shannon entropy in bits of the bins scaled to sum 1; 0 without any."""
-    total = array_sum(bins)
-
-    def term(acc: Column, p: Column) -> Column:
-        q = F.try_divide(p, total)
-        return acc - q * F.log2(q + F.lit(LOG_FLOOR))
-
-    return F.aggregate(bins, F.lit(0.0), term)
+    # A one-element array holds the sum, so that it is taken once per row.
+    shares = (
+        f"flatten(transform(array({array_sum(bins)}), "
+        f"total -> transform({bins}, p -> try_divide(p, total))))"
+    )
+    return f"aggregate({shares}, 0D, (acc, q) -> acc - q * log2(q + {number(LOG_FLOOR)}))"
 
 
 def psd_long(channels: DataFrame, s: Settings, column: str = "psd") -> DataFrame:
     """One row per bin: index ``k``, frequency ``freq``, power ``p``."""
-    ks = F.array(*[F.lit(k) for k, _ in s.bins()])
-    freqs = F.array(*[F.lit(float(f)) for _, f in s.bins()])
     keys = [c for c in (*CHANNEL, "EpochID") if c in channels.columns]
-    return channels.select(*keys, F.posexplode(column).alias("_i", "p")).select(
-        *keys, ks[F.col("_i")].alias("k"), freqs[F.col("_i")].alias("freq"), "p"
+    ks = ", ".join(str(k) for k, _ in s.bins())
+    return channels.select(*keys, F.posexplode(column).alias("_i", "p")).selectExpr(
+        *keys, f"array({ks})[_i] AS k", f"{numbers(f for _, f in s.bins())}[_i] AS freq", "p"
     )
 
 
 def band_power(rel: DataFrame, s: Settings) -> DataFrame:
     """Mean relative power and entropy per band, one row each."""
     keys = [c for c in (*CHANNEL, "EpochID") if c in rel.columns]
-    rows = []
-    for b in s.bands:
-        bins = band_bins(s, b, F.col("rel"))
-        rows.append(
-            F.struct(
-                F.lit(b.name).alias("WaveBand"),
-                mean_power(bins).alias("Power"),
-                entropy(bins).alias("SpectralEntropy"),
-            )
-        )
-    return rel.select(*keys, F.inline(F.array(*rows)))
+    rows = ", ".join(
+        f"struct('{b.name}' AS WaveBand, {mean_power(band_bins(s, b))} AS Power, "
+        f"{entropy(band_bins(s, b))} AS SpectralEntropy)"
+        for b in s.bands
+    )
+    return rel.selectExpr(*keys, f"inline(array({rows}))")
 
 
 def spectrum_features(rel: DataFrame) -> DataFrame:
     """TotalPower, TotalEnergy and SpectralEntropy over all retained bins."""
-    return rel.withColumns(
-        {
-            "TotalPower": mean_power(F.col("rel")),
-            "TotalEnergy": energy(F.col("rel")),
-            "SpectralEntropy": entropy(F.col("rel")),
-        }
+    return rel.selectExpr(
+        "*",
+        f"{mean_power('rel')} AS TotalPower",
+        f"{energy('rel')} AS TotalEnergy",
+        f"{entropy('rel')} AS SpectralEntropy",
     )

@@ -10,44 +10,36 @@ from pyspark.sql import functions as F
 
 from epochwise.operators.epochs import CHANNEL, EPOCH
 
-
-def mobility() -> Column:
-    return F.sqrt(F.try_divide(F.col("d1_var"), F.col("y_var")))
-
-
-def complexity() -> Column:
-    return F.try_divide(F.sqrt(F.try_divide(F.col("d2_var"), F.col("d1_var"))), mobility())
-
-
-def hjorth_index() -> Column:
-    return 2 * complexity() + F.try_divide(F.lit(100.0), 2 * mobility())
+MOBILITY = "sqrt(try_divide(d1_var, y_var))"
 
 
 def hjorth(channels: DataFrame) -> DataFrame:
-    return channels.withColumns(
-        {
-            "HjorthActivity": F.col("y_var"),
-            "HjorthMobility": mobility(),
-            "HjorthComplexity": complexity(),
-            "HjorthIndex": hjorth_index(),
-        }
+    """Activity, mobility, complexity and the index made of the last two."""
+    step = channels.selectExpr("*", "y_var AS HjorthActivity", f"{MOBILITY} AS HjorthMobility")
+    step = step.selectExpr(
+        "*",
+        "try_divide(sqrt(try_divide(d2_var, d1_var)), HjorthMobility) AS HjorthComplexity",
+    )
+    return step.selectExpr(
+        "*", "2 * HjorthComplexity + try_divide(100D, 2 * HjorthMobility) AS HjorthIndex"
     )
 
 
-def _mean_of_all(value: Column) -> Column:
+def _mean_of_all(value: str) -> str:
     """Mean that is NULL as soon as one channel has no value."""
-    return F.when(F.count(value) == F.count(F.lit(1)), F.avg(value))
+    return f"if(count({value}) = count(1), avg({value}), NULL)"
 
 
 def epoch_statistics() -> list[Column]:
     """Aggregates over the channels of an epoch."""
-    return [
-        _mean_of_all(F.col("y_mean")).alias("Mean"),
-        _mean_of_all(F.sqrt("y_var")).alias("Std"),
-        _mean_of_all(F.col("y_var")).alias("Variance"),
-        _mean_of_all(F.sqrt("y_square")).alias("RMS"),
-        _mean_of_all(mobility()).alias("HjorthMobility"),
-    ]
+    values = {
+        "Mean": "y_mean",
+        "Std": "sqrt(y_var)",
+        "Variance": "y_var",
+        "RMS": "sqrt(y_square)",
+        "HjorthMobility": MOBILITY,
+    }
+    return [F.expr(f"{_mean_of_all(v)} AS {name}") for name, v in values.items()]
 
 
 def epoch_stats(channels: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epochwise.functions.columns import name, rounded
+from epochwise.functions.columns import quoted
 from epochwise.operators import (
     channels,
     components,
@@ -53,8 +53,11 @@ def query(run: Query) -> Query:
 
 def _round(df: DataFrame, cols: Sequence[str], digits: int = 6) -> DataFrame:
     cols = set(cols)
-    return df.select(
-        *[rounded(name(c), digits).alias(c) if c in cols else name(c) for c in df.columns]
+    return df.selectExpr(
+        *[
+            f"round({quoted(c)}, {digits}) + 0D AS {quoted(c)}" if c in cols else quoted(c)
+            for c in df.columns
+        ]
     )
 
 
@@ -240,20 +243,12 @@ def spectral_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = tables.event_recordings(spark, sf_dir)
     rel = spectral.relative(_channels(r))
     keys = ["SubjectID", "EpochID", "Electrode", "WaveBand", "SpectralEntropy"]
-    bands = [
-        F.struct(
-            F.lit(b.name).alias("WaveBand"),
-            spectral.entropy(spectral.band_bins(r.settings, b, F.col("rel"))).alias(
-                "SpectralEntropy"
-            ),
-        )
-        for b in r.settings.bands
-    ]
-    whole = F.struct(
-        F.lit(None).cast("string").alias("WaveBand"),
-        spectral.entropy(F.col("rel")).alias("SpectralEntropy"),
+    bins = {f"'{b.name}'": spectral.band_bins(r.settings, b) for b in r.settings.bands}
+    structs = ", ".join(
+        f"struct({band} AS WaveBand, {spectral.entropy(part)} AS SpectralEntropy)"
+        for band, part in {"string(NULL)": "rel", **bins}.items()
     )
-    rows = rel.select("SubjectID", "EpochID", "Electrode", F.inline(F.array(whole, *bands)))
+    rows = rel.selectExpr("SubjectID", "EpochID", "Electrode", f"inline(array({structs}))")
     return _round(rows.select(*keys), ["SpectralEntropy"])
 
 

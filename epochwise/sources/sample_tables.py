@@ -88,12 +88,8 @@ def embedding_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def embedding_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with one column per component."""
     rows = embedding_rows(spark, sf_dir)
-    return rows.select(
-        "SubjectID",
-        "EpochID",
-        "label",
-        *[F.col("values")[i].alias(c) for i, c in enumerate(VECTOR_FEATURES)],
-    )
+    cells = [f"values[{i}] AS {c}" for i, c in enumerate(VECTOR_FEATURES)]
+    return rows.selectExpr("SubjectID", "EpochID", "label", *cells)
 
 
 def power_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
