@@ -16,6 +16,7 @@ from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
     LinearSVC,
+    LinearSVCModel,
     MultilayerPerceptronClassifier,
 )
 from pyspark.ml.feature import StandardScaler, StandardScalerModel
@@ -27,6 +28,7 @@ from epochwise.operators.splits import ROW_ID
 from epochwise.storage import stage
 
 SEED = 42
+PARALLEL_FITS = 4
 
 # The grid of the bagged linear classifier and the sizes of the
 # hidden layers of the perceptron.
@@ -117,21 +119,27 @@ def bagged_svm(
     an executor is lost. Ties go to the smaller label.
     """
 
+    def weight(m: int) -> Column:
+        u = _uniform(m, seed)
+        return _draws(u, fraction) if bootstrap else (u < fraction).cast("double")
+
     def run(train: DataFrame, test: DataFrame) -> DataFrame:
-        votes = F.lit(0)
+        sums = train.agg(*[F.sum(weight(m)).alias(f"_w{m}") for m in range(members)]).first()
+        if not all(sums):
+            raise ValueError("a member drew no training rows")
+
+        def fit(m: int) -> LinearSVCModel:
+            svm = linear_svm(sums[m], c, max_iter)
+            svm.setWeightCol("_weight").setPredictionCol(f"_p{m}").setRawPredictionCol(f"_r{m}")
+            return svm.fit(train.withColumn("_weight", weight(m)).where("_weight > 0"))
+
+        with ThreadPool(min(PARALLEL_FITS, members)) as pool:
+            fitted = pool.map(fit, range(members))
         scored = test
-        for m in range(members):
-            u = _uniform(m, seed)
-            weight = _draws(u, fraction) if bootstrap else (u < fraction).cast("double")
-            share = train.withColumn("_weight", weight).where("_weight > 0")
-            drawn = share.agg(F.sum("_weight")).first()[0]
-            if not drawn:
-                raise ValueError("a member drew no training rows")
-            svm = linear_svm(drawn, c, max_iter).setWeightCol("_weight")
-            svm = svm.setPredictionCol(f"_p{m}").setRawPredictionCol(f"_r{m}")
-            scored = svm.fit(share).transform(scored).drop(f"_r{m}")
-            votes = votes + F.col(f"_p{m}").cast("int")
-        return scored.withColumn("prediction", (votes * 2 > members).cast("int")).drop(
+        for m, model in enumerate(fitted):
+            scored = model.transform(scored).drop(f"_r{m}")
+        votes = " + ".join(f"int(_p{m})" for m in range(members))
+        return scored.withColumn("prediction", F.expr(f"int(2 * ({votes}) > {members})")).drop(
             *[f"_p{m}" for m in range(members)]
         )
 
@@ -151,7 +159,7 @@ def predict_parts(
     part_col: str,
     parts: Sequence,
     predictor: Predictor,
-    parallelism: int = 4,
+    parallelism: int = PARALLEL_FITS,
     prepare: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]] | None = None,
 ) -> DataFrame:
     """Hold out each part in turn: SubjectID, EpochID, label, part, prediction.
@@ -173,7 +181,7 @@ def predict_parts(
 
 
 def cross_validate(
-    rows: DataFrame, k: int, predictor: Predictor, parallelism: int = 4, prepare=None
+    rows: DataFrame, k: int, predictor: Predictor, parallelism: int = PARALLEL_FITS, prepare=None
 ) -> DataFrame:
     """Predictions of a k-fold cross-validation over the column ``fold``."""
     staged = stage(rows.select(*ROW_ID, "label", "fold", "features"), "folds")
@@ -181,7 +189,7 @@ def cross_validate(
 
 
 def leave_one_subject_out(
-    rows: DataFrame, predictor: Predictor, parallelism: int = 4, prepare=None
+    rows: DataFrame, predictor: Predictor, parallelism: int = PARALLEL_FITS, prepare=None
 ) -> DataFrame:
     """Train on all other subjects, predict the left-out one, for every subject.
 

@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from epochwise.storage import stage
+
 # Rows of a block, and queries handled at once inside a task.
 BLOCK_ROWS = 32_768
 LEAST_ROWS = 256
@@ -110,8 +112,14 @@ def _best_of_block(q: pd.DataFrame, r: pd.DataFrame, metric: str, k: int) -> pd.
     )
 
 
-def _blocks(queries: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """Copy each query block to all reference blocks and the other way round."""
+def _blocks(queries: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Copy each query block to all reference blocks and the other way round.
+
+    Both sides are written first: they are counted and read several times.
+    """
+    same = refs is queries
+    queries = stage(queries, "queries")
+    refs = queries if same else stage(refs, "references")
     parallel = queries.sparkSession.sparkContext.defaultParallelism
     n_queries, n_refs = queries.count(), refs.count()
     q_blocks = max(
@@ -131,7 +139,7 @@ def _blocks(queries: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame,
     by = ["_qb", "_rb"]
     left = queries.withColumn("_qb", place(q_blocks)).withColumn("_rb", copies(r_blocks))
     right = refs.withColumn("_rb", place(r_blocks)).withColumn("_qb", copies(q_blocks))
-    return left.repartition(tasks, *by), right.repartition(tasks, *by), r_blocks
+    return left.repartition(tasks, *by), right.repartition(tasks, *by)
 
 
 def nearest(
@@ -141,7 +149,7 @@ def nearest(
     unknown = set(metrics) - set(METRICS)
     if unknown:
         raise ValueError(f"unknown metrics: {sorted(unknown)}")
-    left, right, r_blocks = _blocks(queries, refs)
+    left, right = _blocks(queries, refs)
 
     def compare(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if q.empty or r.empty:
@@ -240,7 +248,7 @@ def identification_recall(
         )
 
     queries, refs = ready(test), ready(train)
-    left, right, _ = _blocks(queries, refs)
+    left, right = _blocks(queries, refs)
 
     def compare(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if q.empty or r.empty:

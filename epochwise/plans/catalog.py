@@ -495,6 +495,18 @@ def pca_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(rows, ["value"])
 
 
+@query
+def pca_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All components together only rotate: the length of each row stays."""
+    wide = tables.embedding_matrix(spark, sf_dir)
+    whole = components.fit_pca(wide, VECTOR_FEATURES, variance_target=2.0)
+    scores = components.project(wide, whole).withColumn("s", vector_to_array("features"))
+    rows = scores.selectExpr(
+        *reshape.KEYS, "size(s) AS components", "sqrt(aggregate(s, 0D, (t, v) -> t + v * v)) AS length"
+    )
+    return _round(rows, ["length"])
+
+
 @query
 def pca_top_loadings(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide, fitted = _fitted(spark, sf_dir)

@@ -10,7 +10,8 @@ from epochwise.config import Settings
 from epochwise.operators import components, effects, normalize, reshape
 from epochwise.operators.epochs import channel_lengths, epoch_table, recordings
 from epochwise.operators.features import LEVELS, feature_long
-from epochwise.sources.feature_store import append_manifest, write_features
+from epochwise.sources.feature_store import append_manifest, read_features, write_features
+from epochwise.storage import stage
 
 
 def extract(
@@ -32,8 +33,6 @@ def extract_to(
     annotations: DataFrame | None = None,
 ) -> DataFrame:
     """Extract, store and log a feature table; returns the stored table."""
-    from epochwise.sources.feature_store import read_features
-
     write_features(extract(signal, s, annotations), path)
     stored = read_features(signal.sparkSession, path)
     append_manifest(stored, path, s, log_path)
@@ -46,14 +45,18 @@ def reduce_with_pca(
     """Standardise per subject, project, and scale the scores per subject.
 
     Components come from the training rows only; each subject is scaled by its
-    own rows, in the test set too.
+    own rows, in the test set too. The standardised rows and the scores are each
+    read more than once and are written in between.
     """
-    train = reshape.fill_features(normalize.zscore_by_subject(train, cols), cols)
-    test = reshape.fill_features(normalize.zscore_by_subject(test, cols), cols)
-    fitted = components.fit_pca(train, cols, variance_target)
-    scaled = [
-        normalize.minmax_vector_by_subject(components.project(df, fitted)) for df in (train, test)
-    ]
+    fitted = None
+    scaled = []
+    for df, name in ((train, "train"), (test, "test")):
+        ready = reshape.fill_features(normalize.zscore_by_subject(df, cols), cols)
+        if fitted is None:
+            ready = stage(ready, name)
+            fitted = components.fit_pca(ready, cols, variance_target)
+        scores = stage(components.project(ready, fitted), f"{name}-scores")
+        scaled.append(normalize.minmax_vector_by_subject(scores))
     return scaled[0], scaled[1], fitted
 
 

@@ -443,6 +443,10 @@ SELECT SubjectID, EpochID, label, "pivot", {r(
 FROM cells WHERE "pivot" IN (SELECT Feature FROM effects WHERE abs(d) > 0.05)
 WINDOW w AS (PARTITION BY "pivot")""")
 
+put("pca_rotation", [VECTORS], f"""
+SELECT SubjectID, EpochID, label, CAST(64 AS INTEGER) AS components,
+       {r('sqrt(list_sum(list_transform(v, lambda x: x * x)))')} AS length FROM vectors""")
+
 # --- neighbours ---------------------------------------------------------------------------
 
 MANHATTAN = "list_sum(list_transform(range(1, 65), lambda i: abs(a.v[i] - b.v[i])))"
