@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from epochwise.operators.numbering import number_by_hash, number_by_range
+from epochwise.storage import stage
 
 ROW_ID = ["SubjectID", "EpochID"]
 
@@ -37,9 +38,10 @@ def split_by_subject(df: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFra
 def hold_out(df: DataFrame, n: int = 2) -> tuple[DataFrame, DataFrame]:
     """Hold out n subjects per label.
 
-    At most n subjects per class are kept back, which bounds what is broadcast.
+    The few held-out ids are written once, so both parts, however often they are
+    read, find them without looking through all rows again.
     """
-    return split_by_subject(df, F.broadcast(first_subjects(df, n)))
+    return split_by_subject(df, stage(first_subjects(df, n), "held"))
 
 
 def digest(cols: Sequence[str], seed: int) -> Column:
