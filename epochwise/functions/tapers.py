@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import types as T
 
 from epochwise.config import Settings
 
@@ -45,6 +46,17 @@ def slepian(n: int, half_nbw: float = HALF_NBW) -> tuple[np.ndarray, np.ndarray]
     return tapers[kept], concentration[kept]
 
 
+def _schema(per_group: int) -> T.StructType:
+    """Nothing is NULL, which keeps the generated sums short."""
+    fields = [T.StructField(c, T.IntegerType(), False) for c in ("place", "g")]
+    fields += [
+        T.StructField(f"{part}{i}", T.DoubleType(), False)
+        for part in ("c", "s")
+        for i in range(per_group)
+    ]
+    return T.StructType(fields)
+
+
 @dataclass(frozen=True)
 class FourierPlan:
     """Everything needed to turn weighted sums into a power spectrum.
@@ -56,6 +68,7 @@ class FourierPlan:
     """
 
     table: pd.DataFrame
+    schema: T.StructType
     lanes: int
     per_group: int
     groups: int
@@ -100,6 +113,7 @@ def fourier_plan(s: Settings) -> FourierPlan:
         blocks.append(pd.DataFrame(block))
     return FourierPlan(
         table=pd.concat(blocks, ignore_index=True),
+        schema=_schema(per_group),
         lanes=lanes,
         per_group=per_group,
         groups=groups,

@@ -34,7 +34,8 @@ def with_differences(signal: DataFrame) -> DataFrame:
     at = F.col("n") % CHUNK_SAMPLES
     own = F.floor(F.col("n") / CHUNK_SAMPLES).cast("long")
     chunks = F.when(at >= CHUNK_SAMPLES - 2, F.array(own, own + 1)).otherwise(F.array(own))
-    rows = signal.select("SubjectID", "Electrode", "n", "x", F.explode(chunks).alias("chunk"))
+    known = signal.where("n IS NOT NULL AND x IS NOT NULL")
+    rows = known.select("SubjectID", "Electrode", "n", "x", F.explode(chunks).alias("chunk"))
     w = Window.partitionBy(*_CHUNK).orderBy("n")
     back1, back2 = F.lag("x", 1).over(w), F.lag("x", 2).over(w)
     x = F.col("x")
@@ -48,9 +49,9 @@ def with_differences(signal: DataFrame) -> DataFrame:
 # What is summed up per segment; differences count from the second and third
 # sample of the epoch on.
 _TERMS = {
-    "n": "if(x IS NULL, NULL, 1D)",
-    "j": "if(x IS NULL, NULL, double(j))",
-    "jj": "if(x IS NULL, NULL, double(j) * j)",
+    "n": "1D",
+    "j": "double(j)",
+    "jj": "double(j) * j",
     "x": "x",
     "jx": "j * x",
     "xx": "x * x",
@@ -159,7 +160,7 @@ def channel_epochs(signal: DataFrame, s: Settings, spectrum: bool = True) -> Dat
     plan = fourier_plan(s)
     n = s.fft_length
     lanes = range(plan.per_group)
-    table = F.broadcast(signal.sparkSession.createDataFrame(plan.table))
+    table = F.broadcast(signal.sparkSession.createDataFrame(plan.table, plan.schema))
     placed = rows.selectExpr("*", f"int(j div {n}) AS seg", f"int(j % {n}) AS place")
     segments = _sums(
         placed.join(table, "place"),

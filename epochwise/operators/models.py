@@ -7,7 +7,7 @@ extra fit on all rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from itertools import product
 from multiprocessing.pool import ThreadPool
 
@@ -23,6 +23,7 @@ from pyspark.ml.feature import StandardScaler, StandardScalerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from epochwise.operators import evaluation
 from epochwise.operators.reshape import union_all
 from epochwise.operators.splits import ROW_ID
 from epochwise.storage import stage
@@ -200,6 +201,52 @@ def leave_one_subject_out(
     return predict_parts(staged, "SubjectID", ids, predictor, parallelism, prepare)
 
 
+def model_report(
+    train: DataFrame,
+    test: DataFrame,
+    k: int,
+    predictors: Mapping[str, Predictor],
+    prepare: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]] | None = None,
+) -> DataFrame:
+    """Cross-validation, training and held-out scores of several models, best first.
+
+    ``train`` holds the column ``fold``.
+    """
+    cols = [*ROW_ID, "label", "features"]
+    train, test = stage(train.select(*cols, "fold"), "train"), stage(test.select(*cols), "test")
+    marked = []
+    for name, predictor in predictors.items():
+        folds = cross_validate(train, k, predictor, prepare=prepare)
+        fit, both = train, train.drop("fold").withColumn("part", F.lit("train")).unionByName(
+            test.withColumn("part", F.lit("test"))
+        )
+        if prepare is not None:
+            fit, both = prepare(fit, both)
+        whole = predictor(fit, both).select("label", "prediction", "part", F.lit(-1).alias("fold"))
+        parts = folds.select("label", "prediction", F.lit("cv").alias("part"), "fold")
+        marked.append(parts.unionByName(whole).withColumn("model", F.lit(name)))
+    scores = evaluation.accuracy(union_all(marked), ["model", "part", "fold"])
+
+    def of(part: str) -> Column:
+        return F.when(F.col("part") == part, F.col("accuracy"))
+
+    best = F.max_by(
+        F.when(F.col("part") == "cv", F.col("fold")), F.struct(of("cv"), -F.col("fold"))
+    )
+    return (
+        scores.groupBy("model")
+        .agg(
+            F.avg(of("cv")).alias("cv_mean"),
+            F.stddev_pop(of("cv")).alias("cv_std"),
+            F.max(of("cv")).alias("best_fold_accuracy"),
+            best.alias("best_fold"),
+            F.max(of("train")).alias("train_accuracy"),
+            F.max(of("test")).alias("test_accuracy"),
+        )
+        .orderBy(F.desc("cv_mean"), "model")
+    )
+
+
 def nested_scores(
     rows: DataFrame, predictor: Predictor, add_folds: Callable[[DataFrame], DataFrame], k: int = 5
 ) -> DataFrame:
@@ -213,11 +260,9 @@ def nested_scores(
     for subject in ids:
         train = add_folds(staged.where(F.col("SubjectID") != F.lit(subject)))
         folds = cross_validate(train, k, predictor)
-        hit = (F.col("prediction") == F.col("label")).cast("double")
-        accuracy = folds.groupBy("fold").agg(F.avg(hit).alias("acc"))
-        out.append(
-            accuracy.agg(F.avg("acc").alias("cv_mean"), F.stddev_pop("acc").alias("cv_std")).select(
-                F.lit(subject).alias("SubjectID"), "cv_mean", "cv_std"
-            )
+        scores = evaluation.accuracy(folds, ["fold"])
+        means = scores.agg(
+            F.avg("accuracy").alias("cv_mean"), F.stddev_pop("accuracy").alias("cv_std")
         )
+        out.append(means.select(F.lit(subject).alias("SubjectID"), "cv_mean", "cv_std"))
     return union_all(out)

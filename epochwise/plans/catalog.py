@@ -677,6 +677,26 @@ def cv_mlp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cv(spark, sf_dir, make)
 
 
+@query
+def model_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folds, training rows and held-out subjects for two models."""
+    train, test = splits.hold_out(_vectors(spark, sf_dir), 1)
+    report = models.model_report(
+        splits.stratified_folds(train, FOLDS),
+        test,
+        FOLDS,
+        {
+            "DecisionTree": models.with_estimator(lambda rows: models.decision_tree()),
+            "SVM": models.with_estimator(
+                lambda rows: models.linear_svm(rows.count(), max_iter=10)
+            ),
+        },
+        models.standardise,
+    )
+    scores = ["cv_mean", "cv_std", "best_fold_accuracy", "train_accuracy", "test_accuracy"]
+    return _round(report, scores)
+
+
 @query
 def loso_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each subject predicted by trees trained on all others."""

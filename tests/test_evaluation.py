@@ -245,6 +245,20 @@ def test_leaving_one_subject_out(easy):
     assert found.count() == easy.where("SubjectID < 's4'").count()
 
 
+def test_model_report(easy):
+    train, test = splits.hold_out(easy, 1)
+    tree = models.with_estimator(lambda t: models.decision_tree())
+    shallow = models.with_estimator(lambda t: models.linear_svm(t.count(), max_iter=5))
+    found = models.model_report(
+        splits.stratified_folds(train, 3), test, 3, {"tree": tree, "svm": shallow}, models.standardise
+    ).collect()
+    assert {r["model"] for r in found} == {"tree", "svm"}
+    assert found[0]["cv_mean"] >= found[1]["cv_mean"]
+    for r in found:
+        assert r["best_fold_accuracy"] >= r["cv_mean"] > 0.85 and r["best_fold"] in (0, 1, 2)
+        assert r["train_accuracy"] > 0.85 and r["test_accuracy"] > 0.85
+
+
 def test_nested_scores(easy):
     tree = models.with_estimator(lambda t: models.decision_tree())
     rows = easy.where("SubjectID < 's2'")
