@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from math import floor
 from typing import Any
 
@@ -37,7 +37,8 @@ class Settings:
     """Sampling rate, epoch grid and spectral parameters.
 
     ``window`` and ``step`` are seconds. An epoch holds both its end points
-    (``window * rate + 1`` samples) unless ``inclusive_end`` is off.
+    (``window * rate + 1`` samples) unless ``inclusive_end`` is off. The spectrum
+    reaches from the lowest to the highest band limit unless ``limits`` says otherwise.
     """
 
     rate: float
@@ -47,6 +48,7 @@ class Settings:
     bands: tuple[Band, ...] = field(default=DEFAULT_BANDS)
     method: str = "welch"
     inclusive_end: bool = True
+    limits: tuple[float, float] | None = None
 
     def __post_init__(self) -> None:
         if self.method not in METHODS:
@@ -73,11 +75,16 @@ class Settings:
 
     @property
     def fmin(self) -> float:
-        return min(b.fmin for b in self.bands)
+        return self.limits[0] if self.limits else min(b.fmin for b in self.bands)
 
     @property
     def fmax(self) -> float:
-        return max(b.fmax for b in self.bands)
+        return self.limits[1] if self.limits else max(b.fmax for b in self.bands)
+
+    def between(self, low: str, high: str) -> Settings:
+        """The same with a spectrum from the start of one band to the end of another."""
+        named = {b.name: b for b in self.bands}
+        return replace(self, limits=(named[low].fmin, named[high].fmax))
 
     @property
     def fft_length(self) -> int:

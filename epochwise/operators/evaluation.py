@@ -65,7 +65,7 @@ def class_counts(predictions: DataFrame) -> DataFrame:
     return (
         confusion.select(F.inline(sides))
         .groupBy("class")
-        .agg(F.sum("tp").alias("tp"), F.sum("support").alias("support"), F.sum("predicted").alias("predicted"))
+        .agg(*[F.sum(c).alias(c) for c in ("tp", "support", "predicted")])
     )
 
 

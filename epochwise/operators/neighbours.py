@@ -112,14 +112,14 @@ def _best_of_block(q: pd.DataFrame, r: pd.DataFrame, metric: str, k: int) -> pd.
     )
 
 
-def _blocks(queries: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Copy each query block to all reference blocks and the other way round.
+def _written(queries: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Write both sides, which are counted and read several times."""
+    stored = stage(queries, "queries")
+    return stored, stored if refs is queries else stage(refs, "references")
 
-    Both sides are written first: they are counted and read several times.
-    """
-    same = refs is queries
-    queries = stage(queries, "queries")
-    refs = queries if same else stage(refs, "references")
+
+def _blocks(queries: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Copy each query block to all reference blocks and the other way round."""
     parallel = queries.sparkSession.sparkContext.defaultParallelism
     n_queries, n_refs = queries.count(), refs.count()
     q_blocks = max(
@@ -149,7 +149,7 @@ def nearest(
     unknown = set(metrics) - set(METRICS)
     if unknown:
         raise ValueError(f"unknown metrics: {sorted(unknown)}")
-    left, right = _blocks(queries, refs)
+    left, right = _blocks(*_written(queries, refs))
 
     def compare(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if q.empty or r.empty:
@@ -247,7 +247,7 @@ def identification_recall(
             "key", F.col("place").alias("label"), "values"
         )
 
-    queries, refs = ready(test), ready(train)
+    queries, refs = _written(ready(test), ready(train))
     left, right = _blocks(queries, refs)
 
     def compare(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:

@@ -69,9 +69,8 @@ def _epochs(r: tables.Recorded) -> DataFrame:
     return epochs.epoch_table(r.recs, r.settings, _annotated(r))
 
 
-def _channels(r: tables.Recorded, spectrum: bool = True, ep: DataFrame | None = None) -> DataFrame:
-    found = channels.channel_epochs(r.signal, r.settings, spectrum)
-    return epochs.keep_epochs(found, _epochs(r) if ep is None else ep)
+def _channels(r: tables.Recorded, spectrum: bool = True) -> DataFrame:
+    return epochs.keep_epochs(channels.channel_epochs(r.signal, r.settings, spectrum), _epochs(r))
 
 
 def _detrended(r: tables.Recorded) -> DataFrame:
@@ -210,8 +209,12 @@ def psd_relative(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def psd_no_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All epochs, from the start of Delta to the end of Beta."""
     r = tables.event_recordings(spark, sf_dir)
-    return _psd(r, _channels(r, ep=epochs.epoch_table(r.recs, r.settings)))
+    s = r.settings.between("Delta", "Beta")
+    found = channels.channel_epochs(r.signal, s)
+    kept = epochs.keep_epochs(found, epochs.epoch_table(r.recs, s))
+    return _round(spectral.psd_long(kept, s).drop("epoch_ix"), ["p"])
 
 
 @query

@@ -23,6 +23,14 @@ def test_upper_limit_is_included():
     assert s.bins()[-1] == (15, 30.0)
 
 
+def test_spectrum_between_two_bands():
+    bands = (*Settings(rate=100.0, nfft=64).bands, Band("Gamma", 30, 40))
+    s = Settings(rate=100.0, nfft=64, bands=bands)
+    assert (s.fmin, s.fmax) == (0.5, 40.0)
+    assert s.between("Theta", "Beta").bins()[-1][1] <= 30.0
+    assert s.between("Theta", "Beta").fmin == 4.0
+
+
 @pytest.mark.parametrize(
     "values",
     [
