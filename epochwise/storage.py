@@ -6,22 +6,18 @@ Spark knows before it plans the next join.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local session may make its own."""
+    """The folder named by ``spark.checkpoint.dir``; where unset, one below the warehouse."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    made = tempfile.mkdtemp(prefix="epochwise-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    if not named:
+        named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named
 
 
 def new_path(spark: SparkSession, name: str) -> str:
