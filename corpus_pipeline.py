@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from epochwise.llm import quality
+from epochwise.llm import exact, quality
 from epochwise.llm.common import documents
 from epochwise.storage import stage
 
@@ -18,8 +18,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.accepted(docs)
 
 
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one row of each group of texts that are equal but for white space."""
+    return exact.without_exact_duplicates(docs)
+
+
 STAGES = [
     ("quality_rules", quality_rules),
+    ("exact_dedup", exact_dedup),
 ]
 
 # Packing cannot be written in SQL; the pipeline is tested against a brute-force version.

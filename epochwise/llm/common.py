@@ -53,20 +53,21 @@ def has_bit(bitmap: Column, place: Column) -> Column:
     return F.getbit(byte.cast("int"), (place % 8).cast("int")) == 1
 
 
-def within_bitmaps(df: DataFrame, hashed: Column, bitmaps: DataFrame) -> DataFrame:
-    """Rows whose hash has its bit in ``bitmaps`` (bitmap_no, bitmap), without a shuffle.
+def marked_by_bitmaps(df: DataFrame, hashed: Column, bitmaps: DataFrame, mark: str) -> DataFrame:
+    """Add a column ``mark``: whether the hash has its bit in ``bitmaps`` (bitmap_no, bitmap).
 
-    At most 4,096 bitmaps of 4 KB: 16 MB, whatever the size of the data, may be
-    broadcast. Other rows may pass by collision; what follows must be exact.
+    Nothing is shuffled: at most 4,096 bitmaps of 4 KB, 16 MB whatever the size of
+    the data, are broadcast. Other rows may be marked by collision; what follows
+    must be exact.
     """
     number, place = bitmap_of(F.col("_hash"))
-    kept = (
+    joined = (
         df.withColumn("_hash", hashed)
-        .withColumn("bitmap_no", number)
-        .join(F.broadcast(bitmaps), "bitmap_no")
-        .where(has_bit(F.col("bitmap"), place))
+        .withColumn("_bitmap_no", number)
+        .join(F.broadcast(bitmaps.toDF("_bitmap_no", "_bitmap")), "_bitmap_no", "left")
     )
-    return kept.drop("_hash", "bitmap_no", "bitmap")
+    marked = F.coalesce(has_bit(F.col("_bitmap"), place), F.lit(False))
+    return joined.withColumn(mark, marked).drop("_hash", "_bitmap_no", "_bitmap")
 
 
 def bitmaps_from(df: DataFrame, hashed: Column) -> DataFrame:

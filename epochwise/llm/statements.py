@@ -48,6 +48,19 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM base"""
 
 
+EXACT_SQL = f"""
+WITH texts AS (
+  SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '{_SPACE}', '', 'g') AS bare
+  FROM documents)
+SELECT doc_id,
+       first_value(doc_id) OVER (PARTITION BY bare ORDER BY n DESC, doc_id) AS keep_id,
+       count(*) OVER (PARTITION BY bare) AS group_size,
+       doc_id = first_value(doc_id) OVER (PARTITION BY bare ORDER BY n DESC, doc_id) AS kept,
+       sha256(bare) AS text_sha256
+FROM texts"""
+
+
 STATEMENTS = {
+    "op2_exact_duplicates": EXACT_SQL,
     "op9_quality_rules": quality_sql(),
 }
