@@ -6,9 +6,10 @@ again as the documents of the next stage.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from epochwise.llm import exact, quality
+from epochwise.llm import exact, packing, quality
 from epochwise.llm.common import documents
 from epochwise.storage import stage
 
@@ -23,9 +24,15 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact.without_exact_duplicates(docs)
 
 
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack what is left into sequences of 4,096 tokens."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
 STAGES = [
     ("quality_rules", quality_rules),
     ("exact_dedup", exact_dedup),
+    ("best_fit_packing", best_fit_packing),
 ]
 
 # Packing cannot be written in SQL; the pipeline is tested against a brute-force version.
