@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from epochwise.llm import exact, packing, quality, tokens
+from epochwise.llm import exact, packing, quality, tokens, toxicity
 from epochwise.llm.common import documents
 
 
@@ -21,6 +21,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
@@ -31,5 +35,6 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_exact_duplicates": op2_exact_duplicates,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op8_toxicity": op8_toxicity,
     "op9_quality_rules": op9_quality_rules,
 }
