@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from epochwise.llm import exact, packing, quality, tokens, toxicity
+from epochwise.llm import exact, jaccard, packing, quality, tokens, toxicity
 from epochwise.llm.common import documents
 
 
@@ -31,10 +31,15 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(documents(spark, sf_dir), n=3, threshold=(90, 100))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_exact_duplicates": op2_exact_duplicates,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op8_toxicity": op8_toxicity,
     "op9_quality_rules": op9_quality_rules,
+    "op10_ngram_jaccard": op10_ngram_jaccard,
 }

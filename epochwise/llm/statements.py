@@ -60,7 +60,33 @@ SELECT doc_id,
 FROM texts"""
 
 
+def jaccard_sql(n: int, num: int, den: int) -> str:
+    """Components of similar shingle sets; all pairs, so for small tables."""
+    return f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_SPACE}+'), lambda x: x <> '') AS ws
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + {n - 1}], ' ') AS s
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - {n - 1}, 1) + 1)) AS i FROM words WHERE len(ws) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
+  JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n
+  HAVING {den} * count(*) >= {num} * (x.n + y.n - count(*))),
+reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM words
+  UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+SELECT w.doc_id, coalesce(z.n, 0)::BIGINT AS n_shingles, min(r.b) AS component_id
+FROM words w JOIN reach r ON r.a = w.doc_id LEFT JOIN sizes z ON z.doc_id = w.doc_id
+GROUP BY w.doc_id, z.n"""
+
+
 STATEMENTS = {
     "op2_exact_duplicates": EXACT_SQL,
     "op9_quality_rules": quality_sql(),
+    "op10_ngram_jaccard": jaccard_sql(3, 90, 100),
 }
