@@ -14,6 +14,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from heapq import heappop, heappush
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -28,6 +29,8 @@ from epochwise.storage import stage
 # Words whose ids are remembered in a worker at most; then afresh.
 _REMEMBERED = 300_000
 _REMEMBERED_CHARS = 40
+# Punctuation that is looked up apart from the letters before it.
+_TAIL = ".,;:!?|"
 # Characters of text held at once.
 _CHUNK_CHARS = 2_000_000
 # Rows of one numbering chunk: 2 ** _CHUNK_BITS neighbours of a written part.
@@ -44,8 +47,9 @@ class Encoder:
     """Ids of whole texts by the library, as little-endian 32-bit bytes.
 
     Where the vocabulary drops white space, a text's ids are those of its
-    space-separated words one after another. New words are encoded by the library in
-    one call, with a special token between them, and remembered.
+    space-separated words one after another, and the ids of letters followed by
+    punctuation are those of both parts. New words are encoded by the library in
+    one call and remembered.
     """
 
     def __init__(self, told: str) -> None:
@@ -62,32 +66,75 @@ class Encoder:
         )
         self.special = [a["content"] for a in parts["added_tokens"]]
         self.known: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
+        suffix = parts["model"].get("end_of_word_suffix") or ""
+        vocabulary = parts["model"]["vocab"]
+        # Whether an id ends a pre-token.
+        self.ends = np.zeros(1 + max([*vocabulary.values(), *(a["id"] for a in parts["added_tokens"])]), dtype=bool)
+        if suffix:
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of words that hold no special string, in one call."""
+    def _marked(self, words: list[str]) -> list[bytes]:
+        """Ids of any words that hold no special string: in one call, a special token between them."""
         mark = self.special[0]
         joined = np.frombuffer(self._library([mark.join(words)])[0], dtype="<u4")
         cuts = np.flatnonzero(joined == self.tokenizer.token_to_id(mark))
         begins, ends = np.r_[0, cuts + 1], np.r_[cuts, len(joined)]
         return [joined[a:b].tobytes() for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
 
+    def _spaced(self, stems: list[str]) -> list[bytes]:
+        """Ids of words that are one pre-token each: in one call, cut behind ids that end a word."""
+        joined = np.frombuffer(self._library([" ".join(stems)])[0], dtype="<u4")
+        ends = (np.flatnonzero(self.ends[joined]) + 1).tolist()
+        if len(ends) != len(stems):
+            return self._marked(stems)
+        return [joined[a:b].tobytes() for a, b in zip([0, *ends], ends, strict=False)]
+
+    @staticmethod
+    def _plain(stem: str, low: str) -> bool:
+        """Whether ``low`` is what the library makes of a stem; a final sigma depends on the context."""
+        return len(low) == len(stem) and "Σ" not in stem and is_normalized("NFC", stem)
+
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of new words; letters with punctuation behind them are two parts."""
+        parts, other, odd = {}, [], []
+        for word in new:
+            stem = word.rstrip(_TAIL)
+            low = stem.lower()
+            if low.isalpha() and (low.isascii() or self._plain(stem, low)):
+                parts[word] = low, word[len(stem) :]
+            elif any(s[:2] in word for s in self.special):
+                odd.append(word)
+            else:
+                other.append(word)
+        stems = list({low for low, _ in parts.values()} - self.stems.keys())
+        if stems:
+            self.stems.update(zip(stems, self._spaced(stems), strict=True))
+        tails = list({tail for _, tail in parts.values()} - self.tails.keys())
+        if tails:
+            self.tails.update(zip(tails, self._library(tails), strict=True))
+        found = {word: self.stems[low] + self.tails[tail] for word, (low, tail) in parts.items()}
+        found.update(zip(other, self._marked(other) if other else [], strict=True))
+        found.update(zip(odd, self._library(odd) if odd else [], strict=True))
+        return found
+
     def _flush(self, held: list[list[str]]) -> Iterator[bytes]:
-        new = list({w for words in held for w in words} - self.known.keys())
-        odd = [w for w in new if any(s[:2] in w for s in self.special)]
-        plain = list(set(new) - set(odd)) if odd else new
-        extra = dict(zip(odd, self._library(odd), strict=True)) if odd else {}
-        if plain:
-            for word, ids in zip(plain, self._words(plain), strict=True):
-                (self.known if len(word) <= _REMEMBERED_CHARS else extra)[word] = ids
+        extra = {}
+        for word, ids in self._learn(list({w for words in held for w in words} - self.known.keys())).items():
+            (self.known if len(word) <= _REMEMBERED_CHARS else extra)[word] = ids
         known = self.known | extra if extra else self.known
         for words in held:
             yield b"".join(map(known.__getitem__, words))
         if len(self.known) > _REMEMBERED:
             self.known.clear()
+        if len(self.stems) + len(self.tails) > _REMEMBERED:
+            self.stems.clear()
+            self.tails.clear()
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         held, chars = [], 0
