@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from epochwise.llm import exact, jaccard, packing, quality
+from epochwise.llm import exact, jaccard, packing, pii, quality
 from epochwise.llm.common import documents
 from epochwise.storage import stage
 
@@ -29,6 +30,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return jaccard.without_near_duplicates(docs)
 
 
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace personal data by the name of its kind; every document stays."""
+    clean = pii.redacted(docs)
+    return clean.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack what is left into sequences of 4,096 tokens."""
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -38,6 +45,7 @@ STAGES = [
     ("quality_rules", quality_rules),
     ("exact_dedup", exact_dedup),
     ("ngram_jaccard", near_dedup),
+    ("personal_data", personal_data),
     ("best_fit_packing", best_fit_packing),
 ]
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from epochwise.llm import exact, jaccard, packing, quality, tokens, toxicity
+from epochwise.llm import exact, jaccard, packing, pii, quality, tokens, toxicity
 from epochwise.llm.common import documents
 
 
@@ -21,6 +21,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(documents(spark, sf_dir))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -39,6 +43,7 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_exact_duplicates": op2_exact_duplicates,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op7_personal_data": op7_personal_data,
     "op8_toxicity": op8_toxicity,
     "op9_quality_rules": op9_quality_rules,
     "op10_ngram_jaccard": op10_ngram_jaccard,
