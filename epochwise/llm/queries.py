@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from epochwise.llm import exact, jaccard, packing, pii, quality, tokens, toxicity
+from epochwise.llm import exact, jaccard, lines, packing, pii, quality, tokens, toxicity
 from epochwise.llm.common import documents
 
 
@@ -17,6 +17,10 @@ def op2_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(documents(spark, sf_dir))
 
 
+def op3_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.without_boilerplate(documents(spark, sf_dir))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -42,6 +46,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_exact_duplicates": op2_exact_duplicates,
+    "op3_line_spread": op3_line_spread,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op7_personal_data": op7_personal_data,
     "op8_toxicity": op8_toxicity,

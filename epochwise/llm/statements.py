@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from epochwise.llm import quality
+from epochwise.llm import lines, quality
 
 _SPACE = r"[\x20\x09-\x0D]"
 
@@ -60,6 +60,22 @@ SELECT doc_id,
 FROM texts"""
 
 
+_TRIM = "trim({}, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+LINES_SQL = f"""
+WITH texts AS (
+  SELECT doc_id, coalesce(source, '') AS site, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+every AS (SELECT site, {_TRIM.format('l')} AS line FROM (SELECT site, unnest(ls) AS l FROM texts)),
+bad AS (
+  SELECT line FROM every WHERE length(line) >= {lines.MIN_CHARS}
+  GROUP BY line HAVING count(DISTINCT site) >= {lines.MIN_SITES}),
+placed AS (SELECT doc_id, unnest(ls) AS l, generate_subscripts(ls, 1) AS i FROM texts)
+SELECT doc_id, count(*) AS n_lines, count(bad.line) AS n_removed,
+       coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (bad.line IS NULL), '') AS text
+FROM placed LEFT JOIN bad ON {_TRIM.format('l')} = bad.line
+GROUP BY doc_id"""
+
+
 def jaccard_sql(n: int, num: int, den: int) -> str:
     """Components of similar shingle sets; all pairs, so for small tables."""
     return f"""
@@ -87,6 +103,7 @@ GROUP BY w.doc_id, z.n"""
 
 STATEMENTS = {
     "op2_exact_duplicates": EXACT_SQL,
+    "op3_line_spread": LINES_SQL,
     "op9_quality_rules": quality_sql(),
     "op10_ngram_jaccard": jaccard_sql(3, 90, 100),
 }
