@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from epochwise.llm import exact, jaccard, lines, packing, pii, quality, tokens, toxicity
+from epochwise.llm import exact, jaccard, lines, packing, pii, pseudo, quality, tokens, toxicity
 from epochwise.llm.common import documents
 
 
@@ -25,6 +25,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo.pseudo_likelihood(documents(spark, sf_dir))
+
+
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(documents(spark, sf_dir))
 
@@ -48,6 +52,7 @@ QUERIES = {
     "op2_exact_duplicates": op2_exact_duplicates,
     "op3_line_spread": op3_line_spread,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_pseudo_likelihood": op5_pseudo_likelihood,
     "op7_personal_data": op7_personal_data,
     "op8_toxicity": op8_toxicity,
     "op9_quality_rules": op9_quality_rules,
