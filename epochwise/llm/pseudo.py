@@ -37,6 +37,7 @@ _CHUNK = 200_000
 # Longest length with a symbol of its own for words outside the vocabulary.
 _LENGTHS = 16
 _BLOCK = 4096
+_OTHER_SPACES = "\t\n\x0b\x0c\r"
 
 
 class Symbols:
@@ -60,12 +61,11 @@ class Symbols:
         self.within = within.astype(np.float32)
 
     def encode(self, text: str) -> np.ndarray:
-        words = text.lower().translate(_SPACES).split(" ")
+        text = text.lower()
+        for space in _OTHER_SPACES:
+            text = text.replace(space, " ")
         get = self.ids.get
-        return np.fromiter((get(w) or min(len(w), _LENGTHS) for w in words if w), dtype="<u2")
-
-
-_SPACES = {i: " " for i in (9, 10, 11, 12, 13)}
+        return np.array([get(w) or min(len(w), _LENGTHS) for w in text.split(" ") if w], dtype="<u2")
 
 
 def count_words(texts: DataFrame, vocabulary: int = VOCABULARY, classes: int = CLASSES) -> Symbols:
