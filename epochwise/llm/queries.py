@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from epochwise.llm import exact, jaccard, lines, packing, pii, pseudo, quality, tokens, toxicity
+from epochwise.llm import exact, jaccard, lattice, lines, packing, pii, pseudo, quality, tokens, toxicity
 from epochwise.llm.common import documents
 
 
@@ -29,6 +29,10 @@ def op5_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudo.pseudo_likelihood(documents(spark, sf_dir))
 
 
+def op6_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.encode(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(documents(spark, sf_dir))
 
@@ -53,6 +57,7 @@ QUERIES = {
     "op3_line_spread": op3_line_spread,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_pseudo_likelihood": op5_pseudo_likelihood,
+    "op6_sentence_pieces": op6_sentence_pieces,
     "op7_personal_data": op7_personal_data,
     "op8_toxicity": op8_toxicity,
     "op9_quality_rules": op9_quality_rules,
