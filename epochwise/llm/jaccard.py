@@ -11,9 +11,10 @@ a prefix token under several orders at once:
 3. Prefix tokens of the first order are the join key, limited by size and position.
    A pair must also meet in the prefixes of the other orders; then the whole sets are
    compared.
-4. Large groups of similar texts: each token first links its classes to its smallest
-   and largest class only. Pairs that these links connect already need no comparison;
-   all other pairs of a token are then tried, so no link between components is lost.
+4. Large groups of similar texts: each token first links its classes to a central one
+   only, then to a central one outside that one's component. Pairs that these links
+   connect already need no comparison; all other pairs of a token are then tried, so
+   no link between components is lost.
 """
 
 from __future__ import annotations
@@ -192,20 +193,43 @@ def _side(rows: DataFrame, side: str, *others: str) -> DataFrame:
     return rows.select("token", F.col("c").alias(side), F.col("n").alias(f"n_{side}"), F.col("i").alias(f"i_{side}"), *others)
 
 
-def _star_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Each class with the smallest and the largest class of its tokens."""
-    ends = rows.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high"))
-    marked = rows.join(ends, "token")
-    leaders = _side(marked.where("c = low or c = high"), "b").distinct()
-    pairs = _side(rows, "a").join(leaders, "token").where((F.col("a") != F.col("b")) & _may_link(num, den))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _ordered(a: str, b: str) -> tuple[Column, Column]:
+    return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
+
+
+def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Rows with the label of their component so far; without links a class is its own."""
+    if labels is None:
+        return rows.withColumn("label", F.col("c"))
+    known = labels.select(F.col("node").alias("c"), "label")
+    return rows.join(known, "c", "left").withColumn("label", F.coalesce("label", "c"))
+
+
+def _star_pairs(rows: DataFrame, labels: DataFrame | None, num: int, den: int) -> DataFrame:
+    """Each token's central class with the classes of its token that it is not linked with yet.
+
+    Central is who has the token nearest the front of its prefix: copies put what they
+    alone have, their rare tokens, before it. Once labels are known, the centre is taken
+    among the classes outside the first centre's component.
+    """
+    known = _labelled(rows, labels)
+    rank = F.shiftleft(F.col("i").cast("long"), 47) + F.col("c").bitwiseAND(F.lit((1 << 47) - 1))
+    ranked = known.withColumn("rank", rank)
+    if labels is not None:
+        first = ranked.groupBy("token").agg(F.min("rank").alias("front"))
+        taken = ranked.join(first, "token").where("rank = front").select("token", F.col("label").alias("taken")).distinct()
+        others = ranked.join(taken, "token").where("label <> taken").select(*ranked.columns)
+    else:
+        others = ranked
+    front = others.groupBy("token").agg(F.min("rank").alias("front"))
+    centres = _side(others.join(front, "token").where("rank = front"), "b", F.col("label").alias("label_b"))
+    pairs = _side(known, "a", "label").join(centres, "token").where((F.col("label") != F.col("label_b")) & _may_link(num, den))
+    return pairs.select(*_ordered("a", "b")).distinct()
 
 
 def _other_pairs(rows: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
     """All pairs of a token's classes that no links connect yet; sizes in bands bound the comparisons."""
-    known = rows.join(labels.select(F.col("node").alias("c"), "label"), "c", "left").withColumn(
-        "label", F.coalesce("label", "c")
-    )
+    known = _labelled(rows, labels)
     mixed = known.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
     # Sizes of a pair differ by the factor den / num at most: the same band or the next.
     width = 1.001 * float(np.log(den / num)) if num < den else 1e-9
@@ -216,7 +240,7 @@ def _other_pairs(rows: DataFrame, labels: DataFrame, num: int, den: int) -> Data
     right = _side(banded, "b", F.col("label").alias("label_b"), "band")
     once = F.expr("label_a != label_b and (n_a < n_b or (n_a = n_b and a < b))")
     pairs = left.join(right, ["token", "band"]).where(once & _may_link(num, den))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs.select(*_ordered("a", "b")).distinct()
 
 
 def _only(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
@@ -284,10 +308,12 @@ def near_duplicates(
     shared = tokens.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
     shared = stage(shared.select("token"), "shared-tokens")
     rows = stage(_only(tokens, "token", shared).distinct(), "shared-rows")
-    links = _links(_star_pairs(rows, num, den), prefixed, texts, n, num, den)
+    links = _links(_star_pairs(rows, None, num, den), prefixed, texts, n, num, den)
     labels = components(links)
-    more = _links(_other_pairs(rows, labels, num, den), prefixed, texts, n, num, den)
-    labels = components(links.unionAll(more))
+    for pairs in (_star_pairs, _other_pairs):
+        more = _links(pairs(rows, labels, num, den), prefixed, texts, n, num, den)
+        links = links.unionAll(more)
+        labels = components(links)
     known = prefixed.select("doc_id", "n", "c")
     members = known.where("n > 0").join(labels.withColumnRenamed("node", "c"), "c", "left").select(
         "doc_id", "n", F.coalesce("label", "c").alias("label")
