@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from epochwise.config import Settings
 from epochwise.functions.columns import number, numbers
 from epochwise.functions.tapers import FourierPlan, fourier_plan
-from epochwise.operators.epochs import CHANNEL, EPOCH, assign_samples
+from epochwise.operators.epochs import CHANNEL, EPOCH, assign_samples, centred, channel_lengths
+from epochwise.storage import stage
 
 CHUNK_SAMPLES = 4096
 _CHUNK = ["SubjectID", "Electrode", "chunk"]
@@ -37,7 +38,9 @@ def with_differences(signal: DataFrame) -> DataFrame:
     known = signal.where("n IS NOT NULL AND x IS NOT NULL")
     rows = known.select("SubjectID", "Electrode", "n", "x", F.explode(chunks).alias("chunk"))
     w = Window.partitionBy(*_CHUNK).orderBy("n")
-    back1, back2 = F.lag("x", 1).over(w), F.lag("x", 2).over(w)
+    # Rows before that are no neighbours, because samples are missing, give no difference.
+    back1 = F.when(F.lag("n", 1).over(w) == F.col("n") - 1, F.lag("x", 1).over(w))
+    back2 = F.when(F.lag("n", 2).over(w) == F.col("n") - 2, F.lag("x", 2).over(w))
     x = F.col("x")
     return (
         rows.withColumn("d1", x - back1)
@@ -195,3 +198,15 @@ def channel_epochs(signal: DataFrame, s: Settings, spectrum: bool = True) -> Dat
         )
     used = joined.withColumn("lanes", F.slice("lanes", 1, plan.lanes))
     return used.selectExpr(*CHANNEL, *_KEPT, f"if(whole, {_psd(plan)}, NULL) AS psd")
+
+
+def whole_epochs(signal: DataFrame, s: Settings, spectrum: bool = True) -> DataFrame:
+    """``channel_epochs`` of the channels that fill their epoch, free of large levels.
+
+    A channel's mean cancels in every feature, but sums of squares would lose their
+    digits to it, so it is taken out first: one row per channel, written so that
+    Spark knows its size before it joins.
+    """
+    level = stage(channel_lengths(signal), "levels")
+    found = channel_epochs(centred(signal, level), s, spectrum)
+    return found.where(F.col("y_n") == s.epoch_samples)

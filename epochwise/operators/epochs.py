@@ -20,9 +20,12 @@ CHANNEL = ["SubjectID", "epoch_ix", "Electrode"]
 
 
 def recordings(channel_lengths: DataFrame, settings: Settings) -> DataFrame:
-    """One row per subject; a recording is as long as its shortest channel."""
+    """One row per subject; a recording is as long as its longest channel.
+
+    A shorter channel gives the epochs that it fills; the others are rejects.
+    """
     return channel_lengths.groupBy("SubjectID").agg(
-        F.min("rows").alias("n_samples"), F.lit(settings.rate).alias("sfreq")
+        F.max("rows").alias("n_samples"), F.lit(settings.rate).alias("sfreq")
     )
 
 
@@ -95,6 +98,12 @@ def gather(samples: DataFrame) -> DataFrame:
     return samples.select(*CHANNEL, "n", "j", "x").repartition(*EPOCH)
 
 
+def whole(samples: DataFrame, s: Settings) -> DataFrame:
+    """Samples of the channels that fill their epoch; others have gaps or end too early."""
+    w = Window.partitionBy(*CHANNEL)
+    return samples.withColumn("_held", F.count("x").over(w)).where(F.col("_held") == s.epoch_samples).drop("_held")
+
+
 def detrend(samples: DataFrame) -> DataFrame:
     """Subtract the least-squares line of each channel in each epoch (column ``y``)."""
     w = (

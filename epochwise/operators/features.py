@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from epochwise.config import Settings
 from epochwise.operators import spectral, temporal
-from epochwise.operators.channels import channel_epochs
+from epochwise.operators.channels import whole_epochs
 from epochwise.operators.epochs import EPOCH, keep_epochs
 
 LEVELS = ("electrode", "band", "epoch")
@@ -100,7 +100,7 @@ def feature_long(
     signal: DataFrame, epochs: DataFrame, s: Settings, levels: Sequence[str] = LEVELS
 ) -> DataFrame:
     """Signal to long feature table; levels not asked for are not computed."""
-    channels = channel_epochs(signal, s, spectrum="electrode" in levels or "band" in levels)
+    channels = whole_epochs(signal, s, spectrum="electrode" in levels or "band" in levels)
     return feature_rows(channels, epochs, s, levels)
 
 

@@ -96,10 +96,15 @@ def _uniform(member: int, seed: int) -> Column:
 
 
 def _draws(u: Column, fraction: float) -> Column:
-    """Poisson draws with mean ``fraction``: sampling with replacement row by row."""
+    """Poisson draws with mean ``fraction``: sampling with replacement row by row.
+
+    Terms go on until the rest is below the step of the uniform numbers.
+    """
     probability = total = 2.718281828459045 ** (-fraction)
     count = F.when(u >= F.lit(total), 1).otherwise(0)
-    for i in range(1, 12):
+    i = 0
+    while 1 - total > 2.0**-30 and i < 40 + 4 * fraction:
+        i += 1
         probability *= fraction / i
         total += probability
         count = count + F.when(u >= F.lit(total), 1).otherwise(0)

@@ -302,8 +302,10 @@ def identification_recall(
     )
 
 
-def ranked_subjects(df: DataFrame, max_subjects: int, seed: int = 42) -> DataFrame:
-    """N subjects in a reproducible random order with their place from 1."""
+def ranked_subjects(df: DataFrame, max_subjects: int | None = None, seed: int = 42) -> DataFrame:
+    """All subjects, or the first N, in a reproducible random order with their place from 1."""
     mixed = F.md5(F.concat_ws("|", "SubjectID", F.lit(str(seed))))
-    chosen = df.select("SubjectID").distinct().orderBy(mixed, "SubjectID").limit(max_subjects)
+    chosen = df.select("SubjectID").distinct()
+    if max_subjects is not None:
+        chosen = chosen.orderBy(mixed, "SubjectID").limit(max_subjects)
     return chosen.withColumn("place", F.row_number().over(Window.orderBy(mixed, "SubjectID")))

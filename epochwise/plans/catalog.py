@@ -43,7 +43,6 @@ ELECTRODES = ("click", "error", "purchase", "signup", "view")
 EFFECT_LIMIT = 0.05
 LOSO_K = 5
 FOLDS = 5
-MAX_SUBJECTS = 10
 
 
 def query(run: Query) -> Query:
@@ -70,12 +69,12 @@ def _epochs(r: tables.Recorded) -> DataFrame:
 
 
 def _channels(r: tables.Recorded, spectrum: bool = True) -> DataFrame:
-    return epochs.keep_epochs(channels.channel_epochs(r.signal, r.settings, spectrum), _epochs(r))
+    return epochs.keep_epochs(channels.whole_epochs(r.signal, r.settings, spectrum), _epochs(r))
 
 
 def _detrended(r: tables.Recorded) -> DataFrame:
     gathered = epochs.gather(epochs.assign_samples(r.signal, r.settings))
-    return epochs.detrend(gathered)
+    return epochs.detrend(epochs.whole(gathered, r.settings))
 
 
 def _long(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,7 +211,7 @@ def psd_no_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All epochs, from the start of Delta to the end of Beta."""
     r = tables.event_recordings(spark, sf_dir)
     s = r.settings.between("Delta", "Beta")
-    found = channels.channel_epochs(r.signal, s)
+    found = channels.whole_epochs(r.signal, s)
     kept = epochs.keep_epochs(found, epochs.epoch_table(r.recs, s))
     return _round(spectral.psd_long(kept, s).drop("epoch_ix"), ["p"])
 
@@ -263,7 +262,7 @@ _HJORTH = ["HjorthMobility", "HjorthComplexity", "HjorthIndex"]
 @query
 def epoch_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = tables.event_recordings(spark, sf_dir)
-    stats = temporal.epoch_stats(channels.channel_epochs(r.signal, r.settings, spectrum=False))
+    stats = temporal.epoch_stats(channels.whole_epochs(r.signal, r.settings, spectrum=False))
     kept = epochs.keep_epochs(stats, _epochs(r)).drop("epoch_ix")
     return _round(kept, features.EPOCH_FEATURES)
 
@@ -302,10 +301,9 @@ def feature_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def feature_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Epochs laid over the longest channel, so that shorter channels lack samples."""
+    """Channels that lack samples of an epoch, or are flat in it."""
     r = tables.event_recordings(spark, sf_dir)
-    longest = r.lengths.groupBy("SubjectID").agg(F.max("rows").alias("n_samples"))
-    ep = epochs.epoch_table(longest, r.settings)
+    ep = epochs.epoch_table(r.recs, r.settings)
     found = channels.channel_epochs(r.signal, r.settings, spectrum=False)
     return features.feature_rejects(found, ep, r.lengths, r.settings)
 
@@ -322,7 +320,7 @@ def _labelled_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def feature_wide_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three pivots, which read the staged rows, and two outer joins."""
-    s = tables.settings_for(sf_dir)
+    s = tables.settings()
     rows = stage(_labelled_long(spark, sf_dir), "labelled")
     wide = reshape.to_wide_by_level(rows, ELECTRODES, s)
     return _round(wide, reshape.feature_columns(wide))
@@ -330,7 +328,7 @@ def feature_wide_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def feature_wide_single_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = reshape.wide_names(ELECTRODES, tables.settings_for(sf_dir))
+    names = reshape.wide_names(ELECTRODES, tables.settings())
     return _round(reshape.to_wide(_labelled_long(spark, sf_dir), names), names)
 
 
@@ -580,9 +578,9 @@ def loso_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 def subject_identification_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tables.embedding_rows(spark, sf_dir)
     marked = stage(splits.random_split(rows, 0.3), "marked").withColumnRenamed("EpochID", "key")
-    ranked = neighbours.ranked_subjects(rows, MAX_SUBJECTS)
+    ranked = stage(neighbours.ranked_subjects(rows), "ranked")
     found = neighbours.identification_recall(
-        marked.where(~F.col("is_test")), marked.where("is_test"), ranked, MAX_SUBJECTS
+        marked.where(~F.col("is_test")), marked.where("is_test"), ranked, ranked.count()
     )
     return _round(found, ["Recall"])
 

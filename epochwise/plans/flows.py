@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 
 from epochwise.config import Settings
 from epochwise.operators import components, effects, normalize, reshape
-from epochwise.operators.epochs import channel_lengths, epoch_table, recordings
-from epochwise.operators.features import LEVELS, feature_long
+from epochwise.operators.channels import channel_epochs
+from epochwise.operators.epochs import centred, channel_lengths, epoch_table, recordings
+from epochwise.operators.features import LEVELS, feature_long, feature_rejects
 from epochwise.sources.feature_store import append_manifest, read_features, write_features
 from epochwise.storage import stage
 
@@ -32,8 +33,16 @@ def extract_to(
     log_path: str,
     annotations: DataFrame | None = None,
 ) -> DataFrame:
-    """Extract, store and log a feature table; returns the stored table."""
+    """Extract, store and log a feature table; returns the stored table.
+
+    Channels that cannot give all features of an epoch are stored beside it, in
+    ``path`` with ``-rejects``, with the reason.
+    """
     write_features(extract(signal, s, annotations), path)
+    lengths = stage(channel_lengths(signal), "lengths")
+    epochs = epoch_table(recordings(lengths, s), s, annotations)
+    found = channel_epochs(centred(signal, lengths), s, spectrum=False)
+    feature_rejects(found, epochs, lengths, s).write.mode("overwrite").parquet(f"{path}-rejects")
     stored = read_features(signal.sparkSession, path)
     append_manifest(stored, path, s, log_path)
     return stored

@@ -27,13 +27,12 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
 
 
 def differences(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows that only one of the two tables has."""
-    right = right.select(*left.columns)
-    return (
-        left.exceptAll(right)
-        .withColumn("side", F.lit("left"))
-        .unionByName(right.exceptAll(left).withColumn("side", F.lit("right")))
-    )
+    """Rows that only one of the two tables has, as often as it has them more; one shuffle."""
+    cols = left.columns
+    both = left.withColumn("_n", F.lit(1)).unionByName(right.select(*cols).withColumn("_n", F.lit(-1)))
+    uneven = both.groupBy(*cols).agg(F.sum("_n").alias("_n")).where("_n <> 0")
+    side = F.when(F.col("_n") > 0, "left").otherwise("right")
+    return uneven.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.abs("_n")))).select(*cols, side.alias("side"))
 
 
 def manifest(rows: DataFrame, path: str, s: Settings) -> DataFrame:

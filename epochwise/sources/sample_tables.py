@@ -21,10 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def settings_for(sf_dir: str, **extra) -> Settings:
-    """The smallest scale has some ten samples per channel and needs short epochs."""
-    if os.path.basename(sf_dir.rstrip("/")) == "sf0.001":
-        return Settings(rate=8.0, window=1.0, step=0.5, nfft=8, **extra)
+def settings(**extra) -> Settings:
+    """The settings of all event queries."""
     return Settings(rate=32.0, window=1.0, step=0.5, nfft=16, **extra)
 
 
@@ -50,7 +48,7 @@ class Recorded:
 
 
 def event_recordings(spark: SparkSession, sf_dir: str, **extra) -> Recorded:
-    s = settings_for(sf_dir, **extra)
+    s = settings(**extra)
     signal, lengths = numbered_signal(event_samples(spark, sf_dir), ["ts", "event_id"])
     return Recorded(signal, lengths, recordings(lengths, s), s)
 

@@ -1,4 +1,4 @@
-"""SQL with the results of the catalogue's queries at sf0.01 and above.
+"""SQL with the results of the catalogue's queries.
 
 Constants: rate 32 Hz, windows of 33 samples every 16, Welch segments of 16
 samples (2 Hz bins), bands Delta .5-4, Theta 4-8, Alpha 8-12, Beta 12-30.
@@ -37,9 +37,9 @@ signal AS (
 lengths AS (SELECT SubjectID, Electrode, count(*) AS len FROM signal GROUP BY ALL)"""
 
 
-def grid(agg: str = "min") -> str:
+def grid() -> str:
     return f"""
-recs AS (SELECT SubjectID, {agg}(len) AS n_samples FROM lengths GROUP BY ALL),
+recs AS (SELECT SubjectID, max(len) AS n_samples FROM lengths GROUP BY ALL),
 grid AS (
   SELECT SubjectID, i AS epoch_ix, CAST(trunc(i * 0.5e0 * {RATE}e0) AS BIGINT) AS start_sample
   FROM (SELECT SubjectID, n_samples, unnest(range(0, n_samples)) AS i FROM recs)
@@ -68,13 +68,16 @@ epochs AS (
 UNREJECTED = """
 epochs AS (SELECT SubjectID, epoch_ix, start_sample, epoch_ix AS epoch_no FROM grid)"""
 
-SAMPLES = f"""
+ALL_SAMPLES = f"""
 samples AS (
   SELECT s.SubjectID, 'ep-' || CAST(e.epoch_no AS VARCHAR) AS EpochID, s.Electrode, s.n,
          CAST(s.n - e.start_sample AS INTEGER) AS j, s.x
   FROM signal s JOIN epochs e ON s.SubjectID = e.SubjectID
    AND s.n >= e.start_sample AND s.n < e.start_sample + {WINDOW})"""
 
+# Channels that fill the epoch.
+SAMPLES = f"""{ALL_SAMPLES[:-1]} QUALIFY count(*) OVER (PARTITION BY s.SubjectID, e.epoch_no, s.Electrode) = {WINDOW})"""
+
 DETRENDED = """
 detrended AS (
   SELECT *, x - (regr_slope(x, j) OVER w * j + regr_intercept(x, j) OVER w) AS y
@@ -195,7 +198,7 @@ SELECT 'features' AS path, count(DISTINCT SubjectID) AS subjects, count(*) * 5 A
 
 put("epoch_grid", [SIGNAL, grid()], f"""
 SELECT SubjectID, epoch_ix, start_sample, start_sample + {WINDOW} AS end_sample FROM grid""")
-put("epoch_samples", [SIGNAL, grid(), UNREJECTED, SAMPLES], "SELECT * FROM samples")
+put("epoch_samples", [SIGNAL, grid(), UNREJECTED, ALL_SAMPLES], "SELECT * FROM samples")
 put("epoch_detrended", TO_SAMPLES, f"""
 SELECT SubjectID, EpochID, Electrode, j, {r('y')} AS y FROM detrended""")
 put("epoch_rejection", [SIGNAL, grid(), ANNOTATIONS], f"""
@@ -281,7 +284,7 @@ GROUP BY ALL""")
 put("feature_long", TO_ALL, f"""
 SELECT SubjectID, EpochID, Electrode, WaveBand, FeatureName, {r('FeatureValue')} AS FeatureValue,
        table_type FROM feature_rows""")
-put("feature_rejects", [SIGNAL, grid("max"), UNREJECTED, SAMPLES], f"""
+put("feature_rejects", [SIGNAL, grid(), UNREJECTED, ALL_SAMPLES], f"""
 SELECT e.SubjectID, 'ep-' || CAST(e.epoch_no AS VARCHAR) AS EpochID, l.Electrode,
        CASE WHEN c.cnt IS NULL THEN 'no samples' WHEN c.cnt < {WINDOW} THEN 'short epoch'
             ELSE 'flat channel' END AS reason
@@ -515,14 +518,14 @@ put("loso_knn", LOSO, "SELECT * FROM loso")
 put("subject_identification_recall", [VECTORS, SPLIT, """
 ranked AS (
   SELECT SubjectID, row_number() OVER (ORDER BY md5(SubjectID || '|42'), SubjectID) AS place
-  FROM (SELECT DISTINCT SubjectID FROM vectors) QUALIFY place <= 10),
+  FROM (SELECT DISTINCT SubjectID FROM vectors)),
 pairs AS (
   SELECT a.EpochID AS key, qa.place AS own, rb.place AS other, list_distance(a.v, b.v) AS dist
   FROM marked a JOIN ranked qa ON qa.SubjectID = a.SubjectID, marked b
   JOIN ranked rb ON rb.SubjectID = b.SubjectID
   WHERE a.is_test AND NOT b.is_test),
 firsts AS (
-  SELECT n, key, own, other FROM pairs JOIN (SELECT unnest(range(2, 11)) AS n) ON own <= n
+  SELECT n, key, own, other FROM pairs JOIN (SELECT unnest(range(2, (SELECT count(*) + 1 FROM ranked))) AS n) ON own <= n
    AND other <= n
   QUALIFY row_number() OVER (PARTITION BY n, key ORDER BY dist, other) = 1),
 recalls AS (SELECT n, own, avg(CAST(own = other AS DOUBLE)) AS recall FROM firsts GROUP BY ALL)"""],

@@ -117,7 +117,7 @@ def test_survivors_are_renumbered_without_gap(spark):
     assert table.where("SubjectID = 'b'").count() == 5
 
 
-def test_recording_is_as_long_as_its_shortest_channel(spark):
+def test_recording_is_as_long_as_its_longest_channel(spark):
     signal = signal_of(spark, {("a", "e1"): range(30), ("a", "e2"): range(20)})
     row = epochs.recordings(epochs.channel_lengths(signal), SMALL).first()
-    assert (row["n_samples"], row["sfreq"]) == (20, 8.0)
+    assert (row["n_samples"], row["sfreq"]) == (30, 8.0)

@@ -191,3 +191,47 @@ def test_melt_inverts_the_pivot(spark):
     )
     got = sorted((r["SubjectID"], r["pivot"], r["value"]) for r in reshape.melt(df, ["x.y", "z"]).collect() if r["value"] is not None)
     assert got == [("a", "x.y", 1.5), ("a", "z", 2.0), ("b", "z", 4.0)]
+
+
+@pytest.mark.parametrize("offset", [0.0, 1e6, 1e8])
+def test_levels_cost_no_digits(spark, offset):
+    """Moments of a channel on a high level, through the whole extraction."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=40)
+    got = flows.extract(signal_of(spark, {("a", "e"): x + offset}), S).where("Electrode = 'e' AND WaveBand IS NULL")
+    value = {(r.EpochID, r.FeatureName): r.FeatureValue for r in got.collect()}
+    size = S.epoch_samples
+    for epoch in sorted({e for e, _ in value}):
+        start = int(int(epoch[3:]) * S.step * S.rate)
+        part = x[start : start + size] + offset - offset  # what the sum of both still holds
+        j = np.arange(size)
+        y = part - np.polyval(np.polyfit(j, part, 1), j)
+        d, dd = np.diff(y), np.diff(y, 2)
+        assert value[epoch, "HjorthActivity"] == pytest.approx(np.var(y), rel=1e-6)
+        assert value[epoch, "HjorthMobility"] == pytest.approx(np.sqrt(np.var(d) / np.var(y)), rel=1e-6)
+        want = np.sqrt(np.var(dd) / np.var(d)) / np.sqrt(np.var(d) / np.var(y))
+        assert value[epoch, "HjorthComplexity"] == pytest.approx(want, rel=1e-6)
+
+
+def test_gaps_give_no_features(spark):
+    """Epochs with missing samples have no rows; the others are as without the gap."""
+    x = np.random.default_rng(3).normal(size=60)
+    whole = signal_of(spark, {("a", "e"): x})
+    gapped = whole.where("n NOT BETWEEN 20 AND 23")
+    key = ["EpochID", "FeatureName", "WaveBand"]
+    every = {tuple(r[k] for k in key): r.FeatureValue for r in flows.extract(whole, S).where("Electrode = 'e'").collect()}
+    left = {tuple(r[k] for k in key): r.FeatureValue for r in flows.extract(gapped, S).where("Electrode = 'e'").collect()}
+    starts = {e: int(int(e[3:]) * S.step * S.rate) for e, _, _ in every}
+    spoilt = {e for e, s in starts.items() if s <= 23 and s + S.epoch_samples > 20}
+    assert spoilt and {e for e, _, _ in left} == set(starts) - spoilt
+    for k, v in left.items():
+        assert v == pytest.approx(every[k], rel=1e-9)
+
+
+def test_rejects_are_stored_beside_the_features(spark, tmp_path):
+    x = np.random.default_rng(4).normal(size=60)
+    signal = signal_of(spark, {("a", "long"): x, ("a", "short"): x[:30], ("a", "flat"): np.zeros(60)})
+    flows.extract_to(signal, S, str(tmp_path / "f"), str(tmp_path / "log"))
+    rejects = spark.read.parquet(str(tmp_path / "f-rejects"))
+    reasons = {(r.Electrode, r.reason) for r in rejects.collect()}
+    assert ("flat", "flat channel") in reasons and "short" in {e for e, _ in reasons} and "long" not in {e for e, _ in reasons}
