@@ -17,7 +17,7 @@ from heapq import heappop, heappush
 from unicodedata import is_normalized
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -27,12 +27,16 @@ from epochwise.operators.numbering import number_by_chunk
 from epochwise.storage import stage
 
 # Words whose ids are remembered in a worker at most; then afresh.
-_REMEMBERED = 300_000
+_REMEMBERED = 200_000
+# Likewise parts of words; new ones cost a call of the library.
+_PARTS = 400_000
 _REMEMBERED_CHARS = 40
 # Punctuation that is looked up apart from the letters before it.
 _TAIL = ".,;:!?|"
 # Characters of text held at once.
-_CHUNK_CHARS = 2_000_000
+_CHUNK_CHARS = 1_000_000
+# Rows of an Arrow batch worked on at once.
+_SLICE_ROWS = 500
 # Rows of one numbering chunk: 2 ** _CHUNK_BITS neighbours of a written part.
 _CHUNK_BITS = 16
 
@@ -43,17 +47,11 @@ PLAN_SCHEMA = "length int, rank_from long, rank_to long, bin_from long, per_bin
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-class Encoder:
-    """Ids of whole texts by the library, as little-endian 32-bit bytes.
-
-    Where the vocabulary drops white space, a text's ids are those of its
-    space-separated words one after another, and the ids of letters followed by
-    punctuation are those of both parts. New words are encoded by the library in
-    one call and remembered.
-    """
+class Traits:
+    """What workers need of a vocabulary file; read once, on the driver."""
 
     def __init__(self, told: str) -> None:
-        self.tokenizer = Tokenizer.from_str(told)
+        self.told = told
         parts = json.loads(told)
         pre = (parts["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
         kinds = [n["type"] for n in (parts["normalizer"] or {}).get("normalizers", [])]
@@ -65,9 +63,6 @@ class Encoder:
             and bool(parts["added_tokens"])
         )
         self.special = [a["content"] for a in parts["added_tokens"]]
-        self.known: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
         suffix = parts["model"].get("end_of_word_suffix") or ""
         vocabulary = parts["model"]["vocab"]
         # Whether an id ends a pre-token.
@@ -75,6 +70,23 @@ class Encoder:
         if suffix:
             self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
 
+
+class Encoder:
+    """Ids of whole texts by the library, as little-endian 32-bit bytes.
+
+    Where the vocabulary drops white space, a text's ids are those of its
+    space-separated words one after another, and the ids of letters followed by
+    punctuation are those of both parts. New words are encoded by the library in
+    one call and remembered.
+    """
+
+    def __init__(self, traits: Traits) -> None:
+        self.tokenizer = Tokenizer.from_str(traits.told)
+        self.by_words, self.special, self.ends = traits.by_words, traits.special, traits.ends
+        self.known: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
+
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
@@ -132,7 +144,7 @@ class Encoder:
             yield b"".join(map(known.__getitem__, words))
         if len(self.known) > _REMEMBERED:
             self.known.clear()
-        if len(self.stems) + len(self.tails) > _REMEMBERED:
+        if len(self.stems) + len(self.tails) > _PARTS:
             self.stems.clear()
             self.tails.clear()
 
@@ -158,25 +170,31 @@ def pieces(
 ) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of every piece of at most ``capacity`` tokens."""
     with open(tokenizer_path, encoding="utf-8") as file:
-        told = docs.sparkSession.sparkContext.broadcast(file.read())
+        traits = docs.sparkSession.sparkContext.broadcast(Traits(file.read()))
     tail = np.array([end_id], dtype="<u4").tobytes()
+    kinds = pa.schema([
+        ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())
+    ])
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(told.value)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(traits.value)
         for batch in batches:
-            rows = []
-            for doc_id, ids in zip(batch["doc_id"].tolist(), encoder.encode(batch["text"]), strict=True):
-                ids += tail
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
-            frame = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            # Ids travel as text, since pandas has no plain column of whole numbers with nulls.
-            yield frame.assign(doc_id=frame["doc_id"].astype("object"))
-
-    texts = id_and_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("string"))
-    schema = PIECE_SCHEMA.replace("doc_id long", "doc_id string")
-    return texts.mapInPandas(cut, schema).withColumn("doc_id", F.col("doc_id").cast("long"))
+            # A few rows at a time: only they exist as Python strings.
+            for at in range(0, batch.num_rows, _SLICE_ROWS):
+                doc_ids, texts = (c.to_pylist() for c in batch.slice(at, _SLICE_ROWS).columns)
+                rows = []
+                for doc_id, ids in zip(doc_ids, encoder.encode(texts), strict=True):
+                    ids += tail
+                    for piece, begin in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[begin : begin + 4 * capacity]
+                        rows.append((doc_id, piece, begin // 4, len(part) // 4, zlib.crc32(part)))
+                columns = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, type=k.type) for c, k in zip(columns, kinds, strict=True)], schema=kinds
+                )
+
+    texts = id_and_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+    return texts.mapInArrow(cut, PIECE_SCHEMA)
 
 
 def plan_bins(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:

@@ -21,7 +21,7 @@ def library_ids(texts):
 @pytest.fixture(scope="module")
 def encoder():
     with open(PATH, encoding="utf-8") as file:
-        return packing.Encoder(file.read())
+        return packing.Encoder(packing.Traits(file.read()))
 
 
 def encoded(encoder, texts):
