@@ -34,7 +34,7 @@ from epochwise.storage import stage
 _CELL_BITS = 20
 _CELL_BLOCK = 1 << 15
 # Bytes of text worked on at once.
-_CHUNK_BYTES = 1 << 20
+_CHUNK_BYTES = 1 << 19
 _ORDERS = 3
 
 _RNG = np.random.Generator(np.random.PCG64(20_240_607))
