@@ -514,6 +514,61 @@ def pca_top_loadings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(components.top_loadings(wide, fitted), ["weight"])
 
 
+def _whole_pca(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, components.Components, DataFrame]:
+    """The matrix, all its components, and a table (pc, eigenvalue)."""
+    wide = tables.embedding_matrix(spark, sf_dir)
+    whole = components.fit_pca(wide, VECTOR_FEATURES, variance_target=2.0)
+    total = wide.agg(F.expr(" + ".join(f"var_samp({c})" for c in VECTOR_FEATURES)).alias("total")).first().total
+    shares = components.explained_variance(wide, whole)
+    return wide, whole, shares.select("pc", (F.col("ev") * F.lit(total)).alias("eigenvalue"))
+
+
+@query
+def pca_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eigenvalues and loadings put the covariance matrix together again."""
+    wide, whole, eigenvalues = _whole_pca(spark, sf_dir)
+    one = components.loadings(wide, whole)
+    a = one.toDF("pc", "feature_a", "weight_a")
+    b = one.toDF("pc", "feature_b", "weight_b")
+    rows = (
+        a.join(b, "pc")
+        .where("feature_a <= feature_b")
+        .join(F.broadcast(eigenvalues), "pc")
+        .groupBy("feature_a", "feature_b")
+        .agg(F.sum(F.expr("eigenvalue * weight_a * weight_b")).alias("covariance"))
+    )
+    return _round(rows, ["covariance"])
+
+
+@query
+def pca_loadings_orthonormal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products of all pairs of components: the identity."""
+    wide, whole, _ = _whole_pca(spark, sf_dir)
+    one = components.loadings(wide, whole)
+    a, b = one.toDF("pc_a", "feature", "weight_a"), one.toDF("pc_b", "feature", "weight_b")
+    rows = a.join(b, "feature").where("pc_a <= pc_b").groupBy("pc_a", "pc_b").agg(
+        F.sum(F.expr("weight_a * weight_b")).alias("product")
+    )
+    return _round(rows, ["product"])
+
+
+@query
+def pca_scores_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores are uncorrelated, and their variances are the eigenvalues: no gap anywhere."""
+    wide, whole, eigenvalues = _whole_pca(spark, sf_dir)
+    scores = components.project(wide, whole).select(vector_to_array("features").alias("s"))
+    k = whole.k
+    # One row holds k * (k + 1) / 2 pairs; they are summed up before the shuffle.
+    pairs = scores.selectExpr(
+        "s", f"explode(flatten(transform(sequence(1, {k}), a -> transform(sequence(a, {k}), b -> struct(a, b))))) AS at"
+    ).selectExpr("at.a AS pc_a", "at.b AS pc_b", "s[at.a - 1] AS x", "s[at.b - 1] AS y")
+    found = pairs.groupBy("pc_a", "pc_b").agg(F.covar_samp("x", "y").alias("found"))
+    rows = found.join(F.broadcast(eigenvalues), F.col("pc_a") == F.col("pc")).selectExpr(
+        "pc_a", "pc_b", "found - if(pc_a = pc_b, eigenvalue, 0D) AS gap"
+    )
+    return _round(rows, ["gap"])
+
+
 # --- neighbours ----------------------------------------------------------------------
 
 

@@ -450,6 +450,17 @@ put("pca_rotation", [VECTORS], f"""
 SELECT SubjectID, EpochID, label, CAST(64 AS INTEGER) AS components,
        {r('sqrt(list_sum(list_transform(v, lambda x: x * x)))')} AS length FROM vectors""")
 
+put("pca_covariance", [VECTORS], f"""
+SELECT 'f' || lpad(CAST(i - 1 AS VARCHAR), 2, '0') AS feature_a,
+       'f' || lpad(CAST(j - 1 AS VARCHAR), 2, '0') AS feature_b, {r('covar_samp(v[i], v[j])')} AS covariance
+FROM vectors, range(1, 65) a(i), range(1, 65) b(j) WHERE i <= j GROUP BY i, j""")
+put("pca_loadings_orthonormal", [], """
+SELECT CAST(i AS INTEGER) AS pc_a, CAST(j AS INTEGER) AS pc_b, CAST(i = j AS DOUBLE) AS product
+FROM range(1, 65) a(i), range(1, 65) b(j) WHERE i <= j""")
+put("pca_scores_covariance", [], """
+SELECT CAST(i AS INTEGER) AS pc_a, CAST(j AS INTEGER) AS pc_b, 0e0 AS gap
+FROM range(1, 65) a(i), range(1, 65) b(j) WHERE i <= j""")
+
 # --- neighbours ---------------------------------------------------------------------------
 
 MANHATTAN = "list_sum(list_transform(range(1, 65), lambda i: abs(a.v[i] - b.v[i])))"
