@@ -1,13 +1,14 @@
 """Masked pseudo-likelihood of documents under a bidirectional window network.
 
-1. Words of the whole corpus are counted. The most frequent ones are the vocabulary;
-   the others share symbols by length. Vocabulary symbols form classes of about equal
-   mass, in order of frequency.
+1. Words of the whole corpus are counted. All that occur ``MIN_COUNT`` times are the
+   vocabulary, however many they are; the others have hashed symbols within their
+   length. Vocabulary symbols form classes of about equal mass, in order of frequency.
 2. Texts become arrays of symbols, written once.
 3. The network sums an embedding for each place of a window around a token (two on
    either side, never the token itself), takes the hyperbolic tangent, and predicts
-   the token's class; within its class a token has its share of the corpus. It is
-   trained in numpy where the texts are: each round every task runs over its part of
+   the token's class, then the token within it: by decisions down a binary tree over
+   the class, each of which depends on the hidden state too and starts from the shares
+   in the corpus. It is trained in numpy where the texts are: each round every task runs over its part of
    the corpus, and Spark averages the parameters by tokens. All rounds together read
    every document once.
 4. A document's score is the sum of the log-probabilities of its tokens.
@@ -15,6 +16,8 @@
 
 from __future__ import annotations
 
+import copy
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +28,13 @@ from pyspark.sql import functions as F
 from epochwise.llm.common import SPACE_CLASS, id_and_text
 from epochwise.storage import stage
 
-VOCABULARY = 2000
+# A word that occurs so often has a symbol of its own; rarer ones share hashed symbols.
+MIN_COUNT = 10
+# Hashed symbols for each length.
+BUCKETS = 4096
+# Parameter rows of a place and of the tree nodes: the first half is each a symbol's (node's) own,
+# in order of frequency, the others are shared by all that follow.
+TABLE_ROWS = 16_384
 CLASSES = 24
 WIDTH = 8
 ROUNDS = 2
@@ -41,57 +50,136 @@ _OTHER_SPACES = "\t\n\x0b\x0c\r"
 
 
 class Symbols:
-    """Words and their symbols: lengths first (0: no word, beyond the text), then the vocabulary."""
+    """Words and their symbols: lengths first (0: no word, beyond the text), the vocabulary, hashed other words.
 
-    def __init__(self, words: list[str], counts: list[int], rest: dict[int, tuple[int, int]], classes: int) -> None:
+    ``hashed`` has a row (length, bucket, tokens, distinct words) for each bucket that
+    occurs. Without it the other words of a length are one symbol.
+    """
+
+    def __init__(
+        self,
+        words: list[str],
+        counts: list[int],
+        rest: dict[int, tuple[int, int]],
+        classes: int,
+        hashed: list[tuple[int, int, int, int]] | None = None,
+    ) -> None:
+        hashed = sorted(hashed or [], key=lambda x: (-x[2], x[0], x[1]))
         self.ids = {w: _LENGTHS + 1 + i for i, w in enumerate(words)}
-        self.size = _LENGTHS + 1 + len(words)
+        first = _LENGTHS + 1 + len(words)
+        self.buckets = {x[0] * BUCKETS + x[1]: first + i for i, x in enumerate(hashed)}
+        self.size = first + len(hashed)
         mass = np.array(counts, dtype=np.float64)
         before = np.cumsum(mass) - mass
         own = np.minimum(classes - 1, (before / max(1.0, mass.sum()) * classes).astype(np.int64))
+        lengths = np.array([x[0] for x in hashed], dtype=np.int64)
         # Classes: one for each length of other words, then the frequency classes.
-        self.class_of = np.r_[np.arange(_LENGTHS + 1), _LENGTHS + 1 + own].astype(np.int64)
+        self.class_of = np.r_[np.arange(_LENGTHS + 1), _LENGTHS + 1 + own, lengths].astype(np.int64)
         self.classes = _LENGTHS + 1 + classes
-        total = np.bincount(own, weights=mass, minlength=classes)
-        within = np.zeros(self.size)
+        every = np.r_[np.zeros(_LENGTHS + 1), mass, np.array([x[2] for x in hashed], dtype=np.float64)]
+        total = np.bincount(self.class_of, weights=every, minlength=self.classes)
+        share = np.zeros(self.size)
+        share[_LENGTHS + 1 :] = np.log(every[_LENGTHS + 1 :] / total[self.class_of[_LENGTHS + 1 :]])
+        # What is left below a leaf of the tree: each word of a length, or of a bucket, alike.
+        self.below = np.zeros(self.size)
         for length, (_, distinct) in rest.items():
-            within[length] = -np.log(max(1, distinct))  # each other word of a length alike
-        if len(words):
-            within[_LENGTHS + 1 :] = np.log(mass / total[own])
-        self.within = within.astype(np.float32)
+            self.below[length] = -np.log(max(1, distinct))
+        self.below[first:] = -np.log(np.array([max(1, x[3]) for x in hashed], dtype=np.float64))
+        self.within = (share + self.below).astype(np.float32)
+        self._grow(every)
+
+    def _grow(self, mass: np.ndarray) -> None:
+        """A binary tree over each class, halved by mass; ``leaf`` and ``up`` lead to the root.
+
+        Both hold 0 (root) or the number of the node above plus one, negative on its right side.
+        """
+        order = np.lexsort((-mass[_LENGTHS + 1 :], self.class_of[_LENGTHS + 1 :])) + _LENGTHS + 1
+        sums = np.r_[0.0, np.cumsum(mass[order])]
+        self.leaf = np.zeros(self.size, dtype=np.int32)
+        starts = np.flatnonzero(np.r_[True, np.diff(self.class_of[order]) != 0]) if len(order) else np.zeros(0, dtype=np.int64)
+        lo, hi, code = starts, np.r_[starts[1:], len(order)][: len(starts)], np.zeros(len(starts), dtype=np.int64)
+        made, up, prior, weight = 0, [], [], []
+        while len(lo):
+            single = hi - lo == 1
+            self.leaf[order[lo[single]]] = code[single]
+            lo, hi, code = lo[~single], hi[~single], code[~single]
+            mid = np.clip(np.searchsorted(sums, (sums[lo] + sums[hi]) / 2), lo + 1, hi - 1)
+            up.append(code)
+            prior.append(np.log((sums[mid] - sums[lo]) / (sums[hi] - sums[mid])))
+            weight.append(sums[hi] - sums[lo])
+            own = made + 1 + np.arange(len(lo))
+            made += len(lo)
+            lo, hi, code = np.r_[lo, mid], np.r_[mid, hi], np.r_[own, -own]
+        empty = [np.zeros(0)]
+        self.up = np.concatenate(up or empty).astype(np.int32)
+        self.prior = np.concatenate(prior or empty).astype(np.float32)
+        self.node_row = np.zeros(made, dtype=np.int64)
+        self.node_row[np.argsort(-np.concatenate(weight or empty), kind="stable")] = table_rows(np.arange(made))
+
+    def steps(self, target: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Places of tokens that have one more decision above, its node, and +1 or -1 for its side."""
+        at, code = np.arange(len(target)), self.leaf[target]
+        while len(at := at[code != 0]):
+            code = code[code != 0]
+            node = np.abs(code) - 1
+            yield at, node, np.sign(code).astype(np.float32)
+            code = self.up[node]
+
+    def without_words(self) -> Symbols:
+        """A copy that cannot encode, for tasks that read symbols only."""
+        light = copy.copy(self)
+        light.ids, light.buckets = {}, {}
+        return light
+
+    def _other(self, word: str) -> int:
+        length = min(len(word), _LENGTHS)
+        return self.buckets.get(length * BUCKETS + zlib.crc32(word.encode()) % BUCKETS, length)
 
     def encode(self, text: str) -> np.ndarray:
         text = text.lower()
         for space in _OTHER_SPACES:
             text = text.replace(space, " ")
         get = self.ids.get
-        return np.array([get(w) or min(len(w), _LENGTHS) for w in text.split(" ") if w], dtype="<u2")
+        return np.array([get(w) or self._other(w) for w in text.split(" ") if w], dtype="<u4")
+
+
+def table_rows(number: np.ndarray) -> np.ndarray:
+    """The parameter row of a symbol or node."""
+    half = TABLE_ROWS // 2
+    return np.where(number < half, number, half + number % half)
 
 
-def count_words(texts: DataFrame, vocabulary: int = VOCABULARY, classes: int = CLASSES) -> Symbols:
-    """Vocabulary and other words of all texts; only the vocabulary and a row per length reach the driver."""
+def count_words(texts: DataFrame, min_count: int = MIN_COUNT, classes: int = CLASSES) -> Symbols:
+    """Vocabulary and other words of all texts; the driver gets the vocabulary and a row per bucket that occurs."""
     words = texts.select(F.explode(F.split(F.lower("text"), SPACE_CLASS + "+")).alias("word")).where("word <> ''")
     counts = stage(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "word-counts")
-    top = counts.orderBy(F.desc("n"), "word").limit(vocabulary)
-    frequent = sorted(top.collect(), key=lambda r: (-r.n, r.word))
-    chosen = texts.sparkSession.createDataFrame([(r.word,) for r in frequent], "word string")
+    top = counts.where(F.col("n") >= min_count).toArrow()
+    frequent = sorted(zip(top["n"].to_pylist(), top["word"].to_pylist(), strict=True), key=lambda x: (-x[0], x[1]))
     others = (
-        counts.join(F.broadcast(chosen), "word", "left_anti")
-        .groupBy(F.least(F.length("word"), F.lit(_LENGTHS)).alias("length"))
+        counts.where(F.col("n") < min_count)
+        .groupBy(
+            F.least(F.length("word"), F.lit(_LENGTHS)).alias("length"), (F.crc32("word") % BUCKETS).cast("int").alias("bucket")
+        )
         .agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("distinct"))
-        .collect()
+        .toArrow()
     )
-    rest = {r.length: (r.n, r["distinct"]) for r in others}
-    return Symbols([r.word for r in frequent], [r.n for r in frequent], rest, classes)
+    hashed = list(zip(*(others[c].to_pylist() for c in ("length", "bucket", "n", "distinct")), strict=True))
+    rest: dict[int, tuple[int, int]] = {}
+    for length, _, n, distinct in hashed:
+        before = rest.get(length, (0, 0))
+        rest[length] = (before[0] + n, before[1] + distinct)
+    return Symbols([w for _, w in frequent], [n for n, _ in frequent], rest, classes, hashed)
 
 
 class Network:
-    """Parameters as one flat array: embeddings per place, hidden bias, output weights and bias."""
+    """Parameters as one flat array: embeddings per place, hidden bias, output weights and bias, tree nodes."""
 
     def __init__(self, size: int, classes: int, width: int = WIDTH) -> None:
-        self.shapes = [(len(PLACES), size, width), (width,), (width, classes), (classes,)]
+        rows = min(size, TABLE_ROWS)
+        self.shapes = [(len(PLACES), rows, width), (width,), (width, classes), (classes,), (rows, width)]
         draw = np.random.Generator(np.random.PCG64(7))
         first = draw.normal(0, 0.1, self.shapes[0]), np.zeros(width), draw.normal(0, 0.1, self.shapes[2]), np.zeros(classes)
+        first += (np.zeros(self.shapes[4]),)  # at first, decisions follow the shares in the corpus
         self.set(np.concatenate([p.ravel() for p in first]).astype(np.float32))
 
     def set(self, flat: np.ndarray) -> None:
@@ -100,9 +188,10 @@ class Network:
             size = int(np.prod(shape))
             parts.append(self.flat[at : at + size].reshape(shape))
             at += size
-        self.embed, self.bias, self.out, self.out_bias = parts
+        self.embed, self.bias, self.out, self.out_bias, self.nodes = parts
 
     def hidden(self, window: np.ndarray) -> np.ndarray:
+        """Hidden states of windows of parameter rows."""
         total = self.embed[0][window[0]]
         for k in range(1, len(PLACES)):
             total = total + self.embed[k][window[k]]
@@ -113,37 +202,64 @@ class Network:
         logits -= logits.max(axis=1, keepdims=True)
         return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
 
-    def learn(self, window: np.ndarray, target: np.ndarray, rate: float) -> None:
+    def log_within(self, hidden: np.ndarray, target: np.ndarray, symbols: Symbols) -> np.ndarray:
+        """Log-probabilities of tokens within their classes, given the hidden state."""
+        out = symbols.below[target]
+        for at, node, side in symbols.steps(target):
+            z = symbols.prior[node] + (hidden[at] * self.nodes[symbols.node_row[node]]).sum(axis=1)
+            out[at] -= np.logaddexp(0, -side * z)
+        return out
+
+    def _within_errors(self, hidden: np.ndarray, target: np.ndarray, symbols: Symbols, rate: float) -> np.ndarray:
+        """Errors of the decisions, sent back to the hidden state; moves the nodes by their means."""
+        back, rows, moves = np.zeros_like(hidden), [], []
+        for at, node, side in symbols.steps(target):
+            row, near = symbols.node_row[node], hidden[at]
+            own = self.nodes[row]
+            error = -side / (1 + np.exp(np.clip(side * (symbols.prior[node] + (near * own).sum(axis=1)), -30, 30)))
+            back[at] += error[:, None] * own
+            rows.append(row)
+            moves.append(error[:, None] * near)
+        if rows:
+            self._move(self.nodes, np.concatenate(rows), np.concatenate(moves), rate)
+        return back
+
+    @staticmethod
+    def _move(table: np.ndarray, rows: np.ndarray, errors: np.ndarray, rate: float) -> None:
+        """Sums by row over a sorted batch; each row moves by its mean, damped where it is rare."""
+        order = np.argsort(rows, kind="stable")
+        numbers, first, count = np.unique(rows[order], return_index=True, return_counts=True)
+        table[numbers] -= rate * np.add.reduceat(errors[order], first, axis=0) / (count[:, None] + 16)
+
+    def learn(self, window: np.ndarray, target: np.ndarray, symbols: Symbols, rate: float) -> None:
         """One step down the mean gradient of a batch; rare symbols step by their own rows only."""
-        n = len(target)
+        n, goal = len(target), symbols.class_of[target]
         hidden = self.hidden(window)
         error = np.exp(self.log_probabilities(hidden))
-        error[np.arange(n), target] -= 1
-        back = (error @ self.out.T) * (1 - hidden * hidden)
+        error[np.arange(n), goal] -= 1
+        back = error @ self.out.T + self._within_errors(hidden, target, symbols, rate)
+        back *= 1 - hidden * hidden
         self.out -= rate / n * (hidden.T @ error)
         self.out_bias -= rate / n * error.sum(axis=0)
         self.bias -= rate / n * back.sum(axis=0)
         for k in range(len(PLACES)):
-            # Sums by symbol over a sorted batch; each row moves by its mean, damped where it is rare.
-            order = np.argsort(window[k], kind="stable")
-            symbols, first, count = np.unique(window[k][order], return_index=True, return_counts=True)
-            sums = np.add.reduceat(back[order], first, axis=0)
-            self.embed[k][symbols] -= rate * sums / (count[:, None] + 16)
+            self._move(self.embed[k], window[k], back, rate)
 
 
 def windows(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(places x tokens) neighbours of all tokens, 0 beyond a text, and the tokens."""
+    """(places x tokens) parameter rows of the neighbours of all tokens, 0 beyond a text, and the tokens."""
     pad, reach = np.zeros(max(map(abs, PLACES)), dtype=np.int64), max(map(abs, PLACES))
     line = np.concatenate([pad, *(p for x in ids for p in (x.astype(np.int64), pad))])
     at = np.flatnonzero(line)
     assert reach == len(pad)
-    return np.stack([line[at + p] for p in PLACES]), line[at]
+    rows = table_rows(line)
+    return np.stack([rows[at + p] for p in PLACES]), line[at]
 
 
 def _chunks(rows: list[bytes]) -> Iterator[list[np.ndarray]]:
     held, size = [], 0
     for row in rows:
-        held.append(np.frombuffer(row, dtype="<u2"))
+        held.append(np.frombuffer(row, dtype="<u4"))
         size += len(held[-1])
         if size >= _CHUNK:
             yield held
@@ -169,19 +285,20 @@ def _average(trained: DataFrame, size: int) -> np.ndarray:
 def train(encoded: DataFrame, symbols: Symbols, rounds: int = ROUNDS) -> Network:
     """Each round takes the documents of one remainder of the row hash, so all are read once."""
     network = Network(symbols.size, symbols.classes)
+    sent = encoded.sparkSession.sparkContext.broadcast(symbols.without_words())
     for turn in range(rounds):
         start, rate = network.flat.copy(), _RATE / (1 + turn)
 
         def run(batches: Iterator[pd.DataFrame], start: np.ndarray = start, rate: float = rate) -> Iterator[pd.DataFrame]:
-            own, tokens = Network(symbols.size, symbols.classes), 0
+            symbols, tokens = sent.value, 0
+            own = Network(symbols.size, symbols.classes)
             own.set(start)
             for batch in batches:
                 for ids in _chunks(batch["ids"].tolist()):
                     window, target = windows(ids)
-                    goal = symbols.class_of[target]
-                    for at in range(0, len(goal), _BATCH):
-                        own.learn(window[:, at : at + _BATCH], goal[at : at + _BATCH], rate)
-                    tokens += len(goal)
+                    for at in range(0, len(target), _BATCH):
+                        own.learn(window[:, at : at + _BATCH], target[at : at + _BATCH], symbols, rate)
+                    tokens += len(target)
             if tokens:
                 blocks = range(0, len(own.flat), _BLOCK)
                 parts = [own.flat[b : b + _BLOCK].astype("<f4").tobytes() for b in blocks]
@@ -201,26 +318,28 @@ def document_scores(network: Network, symbols: Symbols, ids: list[np.ndarray]) -
     out = np.zeros(len(ids))
     for at in range(0, len(target), _BATCH):
         own = target[at : at + _BATCH]
-        told = network.log_probabilities(network.hidden(window[:, at : at + _BATCH]))
-        log_p = told[np.arange(len(own)), symbols.class_of[own]] + symbols.within[own]
+        hidden = network.hidden(window[:, at : at + _BATCH])
+        told = network.log_probabilities(hidden)
+        log_p = told[np.arange(len(own)), symbols.class_of[own]] + network.log_within(hidden, own, symbols)
         out += np.bincount(owner[at : at + _BATCH], weights=log_p, minlength=len(ids))
     return out
 
 
 def pseudo_likelihood(
     docs: DataFrame,
-    vocabulary: int = VOCABULARY,
+    min_count: int = MIN_COUNT,
     rounds: int = ROUNDS,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """doc_id, n_tokens, score (summed) and mean_score of every whole text.
 
-    Tokens are lower-cased words. Null, empty and wordless texts have no tokens, score 0
+    Tokens are lower-cased words; those that occur ``min_count`` times have symbols of
+    their own. Null, empty and wordless texts have no tokens, score 0
     and a null mean. Null ids and repeated rows stay as they are.
     """
     texts = id_and_text(docs, id_col, text_col)
-    symbols = count_words(texts, vocabulary)
+    symbols = count_words(texts, min_count)
     sent = docs.sparkSession.sparkContext.broadcast(symbols)
 
     @F.pandas_udf("binary")
@@ -234,16 +353,17 @@ def pseudo_likelihood(
     )
     network = train(encoded, symbols, rounds)
     shared = docs.sparkSession.sparkContext.broadcast(network.flat)
+    light = docs.sparkSession.sparkContext.broadcast(symbols.without_words())
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = Network(symbols.size, symbols.classes)
+        own = Network(light.value.size, light.value.classes)
         own.set(shared.value)
         for batch in batches:
-            parts = [document_scores(own, sent.value, ids) for ids in _chunks(batch.tolist())]
+            parts = [document_scores(own, light.value, ids) for ids in _chunks(batch.tolist())]
             yield pd.Series(np.concatenate([np.zeros(0), *parts]))
 
-    n = (F.length("ids") / 2).cast("long")
+    n = (F.length("ids") / 4).cast("long")
     return encoded.select("doc_id", n.alias("n_tokens"), scored("ids").alias("score")).withColumn(
         "mean_score", F.expr("try_divide(score, n_tokens)")
     )

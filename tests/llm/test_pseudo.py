@@ -58,3 +58,35 @@ def test_nulls_repeats_empty_and_clashing_columns(spark):
     got = pseudo.pseudo_likelihood(spark.createDataFrame(rows, schema)).collect()
     assert sorted((r.doc_id or 0, r.n_tokens) for r in got) == [(0, 2), (1, 0), (2, 0), (3, 10_000), (3, 10_000)]
     assert {r.mean_score for r in got if not r.n_tokens} == {None} and all(r.score <= 0 for r in got)
+
+
+def test_context_tells_words_of_one_class_apart(spark):
+    # Equal counts, one class; rare words of one length in different contexts too.
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["red apple .", "blue plane ."]) for _ in range(40)) for _ in range(400)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(1000, "red apple ."), (1001, "red plane .")], "doc_id long, text string")
+    symbols = pseudo.count_words(df, classes=1)
+    assert len(set(symbols.class_of[[symbols.ids["apple"], symbols.ids["plane"]]])) == 1
+    network = pseudo.Network(symbols.size, symbols.classes)
+    window, target = pseudo.windows([symbols.encode(t) for t in texts])
+    for at in range(0, len(target), 512):
+        network.learn(window[:, at : at + 512], target[at : at + 512], symbols, 0.5)
+    good, bad = pseudo.document_scores(network, symbols, [symbols.encode("red apple ."), symbols.encode("red plane .")])
+    assert good > bad + 0.5
+
+
+def test_all_frequent_words_are_known_and_every_word_has_its_probability(spark):
+    words = [f"word{i:05d}" for i in range(3000)]
+    rare = [f"rare{i:05d}" for i in range(500)]
+    df = spark.createDataFrame([(0, " ".join(words * pseudo.MIN_COUNT + rare))], "doc_id long, text string")
+    symbols = pseudo.count_words(df)
+    assert set(symbols.ids) == set(words)
+    assert len({int(symbols.encode(w)[0]) for w in rare}) > 400  # not one symbol by length
+    # Within each class all words add up to one in any hidden state.
+    network = pseudo.Network(symbols.size, symbols.classes)
+    draw = np.random.Generator(np.random.PCG64(3))
+    network.nodes[:] = draw.normal(0, 1, network.nodes.shape)
+    ids = np.concatenate([symbols.encode(w) for w in words + rare]).astype(np.int64)
+    hidden = np.repeat(draw.normal(0, 1, (1, pseudo.WIDTH)).astype(np.float32), len(ids), axis=0)
+    sums = np.bincount(symbols.class_of[ids], weights=np.exp(network.log_within(hidden, ids, symbols)))
+    assert np.allclose(sums[sums > 0], 1, atol=1e-4)
