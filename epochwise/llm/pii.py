@@ -7,7 +7,8 @@
    where its word occurs, which the word counts of the corpus tell; others go at once.
 3. On the graph of patterns and instances, scores go to and fro: a pattern's
    confidence is the known share of its places, an instance's score is the chance that
-   not all of its trusted patterns are wrong. Instances with a high score join the known.
+   not all of its trusted patterns are wrong. Instances with a high score join the known
+   and support patterns like seeds, until nothing changes: known ones only ever grow.
 4. Their spans are added to the base ones, as kind ``context``.
 """
 
@@ -58,7 +59,8 @@ _WINDOW = 80
 MIN_SUPPORT = 3
 MIN_CONFIDENCE = 0.5
 MIN_SCORE = 0.6
-ROUNDS = 3
+# Rounds end when no instance joins and all scores together rise by less.
+_STILL = 1e-6
 
 _EMPTY = "cast(array() as array<struct<s: int, e: int, m: string>>)"
 
@@ -132,7 +134,7 @@ def discovered(found: DataFrame, texts: DataFrame) -> DataFrame:
     edges = stage(edges, "pii-edges")
     supported = (
         edges.groupBy("pattern")
-        .agg(F.sum(F.col("seed").cast("int")).alias("support"), F.sum("places").alias("places"))
+        .agg(F.count_distinct("value").alias("support"), F.sum("places").alias("places"))
         .where(F.col("support") >= MIN_SUPPORT)
         .withColumn("word", F.substring("pattern", 3, 1 << 30))
     )
@@ -147,8 +149,9 @@ def discovered(found: DataFrame, texts: DataFrame) -> DataFrame:
         .select("pattern", "total")
     )
     graph = stage(edges.join(possible, "pattern"), "pii-graph")
-    known = graph.where("seed").select("value", F.lit(1.0).alias("score")).distinct()
-    for _ in range(ROUNDS):
+    seeds = graph.where("seed").select("value", F.lit(1.0).alias("score")).distinct()
+    known, before = seeds, None
+    while True:
         trusted = (
             graph.join(known, "value")
             .groupBy("pattern", "total")
@@ -163,8 +166,11 @@ def discovered(found: DataFrame, texts: DataFrame) -> DataFrame:
             .agg((1 - F.product(1 - F.col("confidence"))).alias("score"))
             .where(F.col("score") >= MIN_SCORE)
         )
-        more = graph.where("seed").select("value", F.lit(1.0).alias("score")).distinct()
-        known = stage(more.unionAll(scored).groupBy("value").agg(F.max("score").alias("score")), "pii-known")
+        known = stage(seeds.unionAll(scored).groupBy("value").agg(F.max("score").alias("score")), "pii-known")
+        now = known.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("score"), F.lit(0.0)).alias("score")).first()
+        if before and now.n == before.n and now.score - before.score < _STILL:
+            break
+        before = now
     return known.join(graph.where("not seed").select("value").distinct(), "value", "left_semi").select("value")
 
 

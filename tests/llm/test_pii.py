@@ -82,6 +82,22 @@ def test_contexts_find_unseen_identifiers(spark):
     assert clean[0] == "bla bla kontonr [CARD] danke" and clean[5] == 'und kontonr "[CONTEXT]", ok' and clean[7] == texts[7]
 
 
+def test_discovered_identifiers_support_patterns_of_their_own(spark):
+    # Each word stands before the identifiers of two groups; only the first group has seeds.
+    def card(i):
+        digits = f"411111111111{i:03d}"
+        return next(digits + c for c in "0123456789" if luhn(digits + c))
+
+    groups = [[card(i) for i in range(40)]] + [[f"ID-{k}-{i:04d}x" for i in range(n)] for k, n in enumerate((20, 10, 5))]
+    words = ["kontonr", "akte", "vorgang"]
+    texts = [f"{w} {v}" for k, w in enumerate(words) for v in groups[k] + groups[k + 1]]
+    texts += [f"menge {i}-55-777-{i}" for i in range(9)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.personal_data(df).collect()}
+    for i, text in enumerate(texts):
+        assert got[i].startswith("context") == (" ID-" in text), text
+
+
 def test_redacted_keeps_rows_and_columns(spark):
     rows = [(1, "x a@b.de y +1 555 123 4567 z", "k"), (None, None, "k"), (2, "é 1.2.3.4", None), (2, "é 1.2.3.4", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, ents string")
