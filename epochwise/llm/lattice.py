@@ -15,15 +15,20 @@
    Characters without a piece become bytes.
 4. Units take their ids by join, the most frequent ones from a broadcast table of a
    fixed number of rows, and documents collect them in order.
+
+Decoding looks ids up in the piece table where the rows are; nothing is shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epochwise.llm.common import id_and_text
+from epochwise.llm.common import id_and_text, named
 from epochwise.llm.quality import _let, _literal
 from epochwise.storage import stage
 
@@ -33,6 +38,8 @@ FREQUENT_UNITS = 20_000
 _PUNCTUATION = ",.;:!?|"
 # Below any score: a character without a piece.
 _UNKNOWN_SCORE = -1e12
+# What the unknown id is decoded to, as by the library.
+_UNKNOWN_TEXT = " ⁇ "
 
 
 class Pieces:
@@ -54,6 +61,17 @@ class Pieces:
         texts = [p for p, _, _ in self.rows]
         if any(MARK in p.lstrip(MARK) for p in texts):
             raise ValueError(f"{model_path}: pieces that reach over white space are not supported")
+        # What each id is decoded to; control ids are decoded to nothing.
+        self.surfaces = [b""] * told.vocab_size()
+        for piece, i, _ in self.rows:
+            self.surfaces[i] = piece.replace(MARK, " ").encode()
+        for i in every:
+            if told.is_byte(i):
+                self.surfaces[i] = bytes([i - self.first_byte])
+            elif told.is_unknown(i):
+                self.surfaces[i] = _UNKNOWN_TEXT.encode()
+        # Ids of pieces that begin with a space; encoding puts one before a text.
+        self.spaced = frozenset(i for piece, i, _ in self.rows if piece.startswith(MARK))
         self.longest = max(map(len, texts))
         mixed = {c for p in texts for a, b in zip(p, p[1:], strict=False) for c, o in ((a, b), (b, a)) if o.isalpha()}
         self.cuts = "".join(c for c in _PUNCTUATION if c not in mixed)
@@ -181,25 +199,49 @@ def encode(
     )
 
 
-def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """doc_id and text of arrays of ids, whose ``doc_id`` must be unique; null arrays are empty.
+def decoded(spark: SparkSession, pieces: Pieces, ids: Column) -> Column:
+    """The text of an array of ids; a null array is an empty one.
 
-    Ids are exploded, joined to the piece table, and their bytes put together again.
+    Control ids give nothing, the unknown id gives `` ⁇ ``, and an id that the vocabulary
+    has not, or a null one, is an error. Bytes that are no UTF-8 become U+FFFD.
     """
-    pieces = Pieces(model_path)
-    spark = encoded.sparkSession
-    plain = pieces.table(spark).select("id", F.hex(F.encode(F.replace("piece", F.lit(MARK), F.lit(" ")), "UTF-8")).alias("hexed"))
-    fallback = spark.range(256).select(
-        (F.col("id") + pieces.first_byte).cast("int").alias("id"), F.lpad(F.hex("id"), 2, "0").alias("hexed")
-    )
-    placed = encoded.select(F.col(id_col).alias("doc_id"), F.posexplode(ids_col).alias("place", "id"))
-    joined = placed.join(F.broadcast(plain.unionAll(fallback)), "id")
-    texts = joined.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("place", "hexed"))).alias("xs")).select(
-        "doc_id",
-        # The first space was added by encoding.
-        F.expr("substring(decode(unhex(array_join(transform(xs, x -> x.hexed), '')), 'UTF-8'), 2)").alias("text"),
-    )
-    every = encoded.select(F.col(id_col).alias("_id"))
-    return every.join(texts, F.expr("_id <=> doc_id"), "left").select(
-        F.col("_id").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
-    )
+    sent = spark.sparkContext.broadcast((pieces.surfaces, pieces.spaced))
+
+    @F.pandas_udf("string")
+    def texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        surfaces, spaced = sent.value
+
+        def one(row: list[int] | None) -> str:
+            row = [] if row is None else list(row)
+            bad = [i for i in row if i is None or not 0 <= i < len(surfaces)]
+            if bad:
+                raise ValueError(f"no such piece: {bad[0]}")
+            joined = b"".join([surfaces[i] for i in row])
+            # The first space was added by encoding.
+            first = next((i for i in row if surfaces[i]), None)
+            return joined[first in spaced :].decode("utf-8", "replace")
+
+        for batch in batches:
+            yield pd.Series([one(row) for row in batch], dtype="object")
+
+    # A null within an array would make floats of the other ids.
+    return texts(F.transform(ids, lambda i: F.coalesce(i, F.lit(-1))))
+
+
+def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """doc_id and text of arrays of ids, row by row: ids may be null and repeat."""
+    text = decoded(encoded.sparkSession, Pieces(model_path), named(ids_col))
+    return encoded.select(named(id_col).alias("doc_id"), text.alias("text"))
+
+
+def encode_and_decode(
+    docs: DataFrame,
+    model_path: str,
+    fold: str = "merges",
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """What ``encode`` gives, and decoded_sha256 of the text decoded from the ids of every row."""
+    encoded = encode(docs, model_path, fold, id_col, text_col)
+    text = decoded(docs.sparkSession, Pieces(model_path), F.col("ids"))
+    return encoded.withColumn("decoded_sha256", F.sha2(text, 256))

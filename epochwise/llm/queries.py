@@ -30,7 +30,7 @@ def op5_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lattice.encode(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+    return lattice.encode_and_decode(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,11 @@
+import hashlib
+
 import public_tokenizers
 import pytest
 import sentencepiece
 
 from epochwise.llm import lattice
+from epochwise.llm.queries import op6_sentence_pieces
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -60,3 +63,24 @@ def test_nulls_repeats_empty_and_clashing_columns(spark):
     rows = [(None, "a b", "x", 1), (1, "a b", "x", 1), (1, "a b", "x", 1), (1, None, None, 1)]
     got = lattice.encode(spark.createDataFrame(rows, schema), PATH).collect()
     assert sorted((r.doc_id or 0, r.n_tokens) for r in got) == [(0, 2), (1, 0), (1, 2), (1, 2)]
+
+
+def test_decode_goes_row_by_row_and_knows_every_id(spark, library):
+    control = [i for i in range(library.vocab_size()) if library.is_control(i)]
+    byte = next(i for i in range(library.vocab_size()) if library.is_byte(i))
+    first, second = library.encode("one two"), library.encode("other text, longer")
+    rows = [first, second, first, [], [*control, *first], [library.unk_id(), *first], [*first, library.unk_id(), *control]]
+    rows += [second[1:], [byte + 32, *second]]
+    df = spark.createDataFrame([(7, r) for r in rows] + [(None, first), (7, None)], "doc_id long, ids array<int>")
+    got = sorted(((r.doc_id, r.text) for r in lattice.decode(df, PATH).collect()), key=repr)
+    assert got == sorted([(7, library.decode(r)) for r in rows] + [(None, "one two"), (7, "")], key=repr)
+    for odd in (library.vocab_size(), -1, None):
+        with pytest.raises(Exception, match="no such piece"):
+            lattice.decode(spark.createDataFrame([(1, [odd, *first])], "doc_id long, ids array<int>"), PATH).collect()
+
+
+def test_query_decodes_all_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = {r.doc_id: hashlib.sha256((r.text or "").replace("▁", " ").encode()).hexdigest() for r in docs.collect()}
+    got = op6_sentence_pieces(spark, "/root/testdata/sf0.001")
+    assert {r.doc_id: r.decoded_sha256 for r in got.collect()} == want
