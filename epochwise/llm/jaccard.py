@@ -14,7 +14,8 @@ a prefix token under several orders at once:
 4. Large groups of similar texts: each token first links its classes to a central one
    only, then to a central one outside that one's component. Pairs that these links
    connect already need no comparison; all other pairs of a token are then tried, so
-   no link between components is lost.
+   no link between components is lost. The result is components, not links: pairs
+   within a component that are connected already are not compared.
 """
 
 from __future__ import annotations
