@@ -4,8 +4,23 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-
-from epochwise.llm import exact, jaccard, lattice, lines, packing, pii, pseudo, quality, tokens, toxicity
+from pyspark.sql import functions as F
+
+from epochwise.llm import (
+    exact,
+    jaccard,
+    lattice,
+    lines,
+    merkle,
+    neighbours,
+    packing,
+    pii,
+    pseudo,
+    quality,
+    resampling,
+    tokens,
+    toxicity,
+)
 from epochwise.llm.common import documents
 
 
@@ -51,6 +66,22 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(documents(spark, sf_dir), n=3, threshold=(90, 100))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights and draws of all documents towards the benchmark's texts; an empty table has no rows."""
+    return resampling.resampled(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all documents, read back without newlines where 2 divides the id's CRC; a null id is never changed."""
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    return merkle.dataset_manifest(documents(spark, sf_dir), tampered)
+
+
+def op13_collision_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every row whose id 20 divides, by inner product, among all other rows."""
+    return neighbours.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_exact_duplicates": op2_exact_duplicates,
@@ -62,4 +93,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_quality_rules": op9_quality_rules,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_collision_neighbours": op13_collision_neighbours,
 }
