@@ -1,10 +1,8 @@
 """Exact nearest neighbours between two tables of vectors.
 
-Both sides are cut into blocks of bounded size by a hash of the row id. One
-task compares one block of queries with one block of references and returns
-only the k best per query, so no table of pairs ever exists and no group
-depends on how often a subject or label occurs. A window over the few best of
-each block then merges them. Results do not depend on the blocks.
+References lie in the cells of an index (``cells.py``), so a query meets only those rows
+that the triangle inequality does not rule out. No table of pairs ever exists and no
+group depends on how often a subject or label occurs. Results do not depend on the index.
 
 Input columns: ``key`` (unique string), ``label`` (int), ``values``
 (array<double>) and ``grp`` (string): a query never meets references of its own
@@ -13,156 +11,43 @@ Input columns: ``key`` (unique string), ``label`` (int), ``values``
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import Accumulator
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from epochwise.operators import cells
 from epochwise.storage import stage
 
-# Rows of a block, and queries handled at once inside a task.
-BLOCK_ROWS = 32_768
-LEAST_ROWS = 256
-TILE_CELLS = 8_000_000
-
 # The grid of the nearest-neighbour classifier.
 K_VALUES = (1, 2, 3, 5, 7, 9, 11)
 METRICS = ("euclidean", "manhattan")
 WEIGHTS = ("uniform", "distance")
 
-_FOUND = "key string, metric string, dist double, ref_key string, ref_label int"
-_FIRST_OF_SUBJECT = "key string, ref_place int, dist double"
-
-
-def _matrix(values: pd.Series) -> np.ndarray:
-    return np.stack(values.to_numpy()).astype(float)
-
-
-def _squared(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Squared distances by the expanded form, with a bound of its error per row."""
-    aa, bb = np.einsum("ij,ij->i", a, a), np.einsum("ij,ij->i", b, b)
-    d = aa[:, None] + bb[None, :] - 2.0 * (a @ b.T)
-    slack = 16 * a.shape[1] * np.finfo(float).eps * (aa + bb.max(initial=0.0))
-    return d, slack
-
-
-def _absolute(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    d = np.zeros((len(a), len(b)))
-    for i in range(a.shape[1]):
-        d += np.abs(a[:, i : i + 1] - b[None, :, i])
-    return d, 16 * a.shape[1] * np.finfo(float).eps * d.max(axis=1, initial=0.0)
-
-
-_ROUGH = {"euclidean": _squared, "manhattan": _absolute}
-
-
-def _exact(metric: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    gap = a - b
-    if metric == "manhattan":
-        return np.abs(gap).sum(axis=1)
-    return np.sqrt((gap * gap).sum(axis=1))
-
-
-def _tiles(rows: int, width: int) -> Iterable[slice]:
-    step = max(1, TILE_CELLS // max(width, 1))
-    return (slice(at, at + step) for at in range(0, rows, step))
-
-
-def _groups(q: pd.Series, r: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    """Integer codes of both group columns; NULL never equals anything."""
-    codes = pd.factorize(pd.concat([q, r], ignore_index=True))[0]
-    left, right = codes[: len(q)].copy(), codes[len(q) :].copy()
-    left[left < 0] = -2
-    return left, right
-
-
-def _best_of_block(q: pd.DataFrame, r: pd.DataFrame, metric: str, k: int) -> pd.DataFrame:
-    """The k nearest references of each query, ties by reference key."""
-    a, b = _matrix(q["values"]), _matrix(r["values"])
-    left, right = _groups(q["grp"], r["grp"])
-    keys = r["key"].to_numpy()
-    order_of_key = np.argsort(np.argsort(keys))
-    rows, cols, dists = [], [], []
-    for tile in _tiles(len(a), len(b)):
-        rough, slack = _ROUGH[metric](a[tile], b)
-        rough[left[tile][:, None] == right[None, :]] = np.inf
-        kth = np.partition(rough, min(k, len(b)) - 1, axis=1)[:, min(k, len(b)) - 1]
-        near = (rough <= (kth + slack)[:, None]) & np.isfinite(rough)
-        i, j = np.nonzero(near)
-        i += tile.start
-        d = _exact(metric, a[i], b[j])
-        sort = np.lexsort((order_of_key[j], d, i))
-        i, j, d = i[sort], j[sort], d[sort]
-        starts = np.searchsorted(i, i, side="left")
-        keep = np.arange(len(i)) - starts < k
-        rows.append(i[keep])
-        cols.append(j[keep])
-        dists.append(d[keep])
-    i, j = np.concatenate(rows), np.concatenate(cols)
-    return pd.DataFrame(
-        {
-            "key": q["key"].to_numpy()[i],
-            "metric": metric,
-            "dist": np.concatenate(dists),
-            "ref_key": keys[j],
-            "ref_label": r["label"].to_numpy()[j],
-        }
-    )
-
-
-def _written(queries: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Write both sides, which are counted and read several times."""
-    stored = stage(queries, "queries")
-    return stored, stored if refs is queries else stage(refs, "references")
-
-
-def _blocks(queries: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Copy each query block to all reference blocks and the other way round."""
-    parallel = queries.sparkSession.sparkContext.defaultParallelism
-    n_queries, n_refs = queries.count(), refs.count()
-    q_blocks = max(
-        -(-n_queries // BLOCK_ROWS), min(parallel, -(-n_queries // LEAST_ROWS)), 1
-    )
-    r_blocks = max(-(-n_refs // BLOCK_ROWS), 1)
-    tasks = min(q_blocks * r_blocks, max(parallel, 10_000))
-
-    def copies(count: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-
-    def place(count: int) -> Column:
-        return F.pmod(F.xxhash64("key"), F.lit(count)).cast("int")
-
-    # Fresh column identities: both sides may stem from the same table.
-    refs = refs.select(*[F.col(c).alias(c) for c in refs.columns])
-    by = ["_qb", "_rb"]
-    left = queries.withColumn("_qb", place(q_blocks)).withColumn("_rb", copies(r_blocks))
-    right = refs.withColumn("_rb", place(r_blocks)).withColumn("_qb", copies(q_blocks))
-    return left.repartition(tasks, *by), right.repartition(tasks, *by)
+_OWN = "key string, dist double"
+_NEARER = "key string, place int"
 
 
 def nearest(
-    queries: DataFrame, refs: DataFrame, k: int, metrics: Sequence[str] = METRICS
+    queries: DataFrame, refs: DataFrame, k: int, metrics: Sequence[str] = METRICS, work: Accumulator | None = None
 ) -> DataFrame:
-    """The k nearest references: key, metric, place (1..k), dist, ref_key, ref_label."""
+    """The k nearest references: key, metric, place (1..k), dist, ref_key, ref_label.
+
+    ``work`` adds up the pairs that were compared.
+    """
     unknown = set(metrics) - set(METRICS)
     if unknown:
         raise ValueError(f"unknown metrics: {sorted(unknown)}")
-    left, right = _blocks(*_written(queries, refs))
-
-    def compare(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or r.empty:
-            return pd.DataFrame(columns=["key", "metric", "dist", "ref_key", "ref_label"])
-        return pd.concat([_best_of_block(q, r, m, k) for m in metrics], ignore_index=True)
-
-    found = (
-        left.groupBy("_qb", "_rb")
-        .cogroup(right.groupBy("_qb", "_rb"))
-        .applyInPandas(compare, _FOUND)
-    )
-    w = Window.partitionBy("key", "metric").orderBy("dist", "ref_key")
-    return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    # Written once: both sides are counted and read several times.
+    stored = stage(queries, "queries")
+    index = cells.build_index(stored if refs is queries else stage(refs, "references"), metrics)
+    if index is None:
+        schema = "key string, metric string, dist double, ref_key string, ref_label int, place int"
+        return queries.sparkSession.createDataFrame([], schema)
+    return cells.search(stored, index, k, work)
 
 
 def vote(
@@ -205,29 +90,47 @@ def vote(
     return chosen.select("key", "metric", "k", F.inline(pairs))
 
 
-def _first_of_subject(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-    """Per query, the references that come nearer than all subjects before them."""
-    a, b = _matrix(q["values"]), _matrix(r["values"])
-    places = r["label"].to_numpy()
-    order = np.argsort(places, kind="stable")
-    b, places = b[order], places[order]
-    rows, cols = [], []
-    for tile in _tiles(len(a), len(b)):
-        rough, slack = _squared(a[tile], b)
-        best = np.minimum.accumulate(rough, axis=1)
-        near = rough <= best + slack[:, None]
-        i, j = np.nonzero(near)
-        rows.append(i + tile.start)
-        cols.append(j)
-    i, j = np.concatenate(rows), np.concatenate(cols)
-    found = pd.DataFrame(
-        {
-            "key": q["key"].to_numpy()[i],
-            "ref_place": places[j],
-            "dist": _exact("euclidean", a[i], b[j]),
-        }
+def _own_distance(queries: DataFrame, refs: DataFrame) -> DataFrame:
+    """(key, dist): each query's nearest reference of its own subject, in blocks of bounded size."""
+    sizes = refs.groupBy("label").agg(F.count(F.lit(1)).alias("_r")).join(
+        queries.groupBy("label").agg(F.count(F.lit(1)).alias("_q")), "label"
+    )
+    sizes = stage(
+        sizes.selectExpr(
+            "label",
+            f"cast(ceil(_r / {cells.BLOCK_ROWS}) as int) AS _rs",
+            f"cast(ceil(_q / {cells.BLOCK_ROWS}) as int) AS _qs",
+        ),
+        "subject-blocks",
+    )
+
+    def dealt(df: DataFrame, own: str, n: str, others: str, m: str) -> DataFrame:
+        return (
+            df.join(sizes, "label")
+            .withColumn(own, F.pmod(F.xxhash64("key"), F.col(n)))
+            .withColumn(others, F.explode(F.sequence(F.lit(0), F.col(m) - 1)))
+            .select("key", "label", "values", F.col("_rb").cast("long"), F.col("_qb").cast("long"))
+        )
+
+    def compare(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        if q.empty or r.empty:
+            return pd.DataFrame(columns=["key", "dist"])
+        a, b = cells.matrix(q["values"]), cells.matrix(r["values"])
+        best = np.empty(len(a))
+        for tile in cells.tiles(len(a), len(b)):
+            rough, slack = cells.ROUGH["euclidean"](a[tile], b)
+            i, j = np.nonzero(rough <= (rough.min(axis=1) + slack)[:, None])
+            best[tile] = pd.Series(cells.exact("euclidean", a[tile][i], b[j])).groupby(i).min().to_numpy()
+        return pd.DataFrame({"key": q["key"], "dist": best})
+
+    by = ["label", "_rb", "_qb"]
+    found = (
+        dealt(queries, "_qb", "_qs", "_rb", "_rs")
+        .groupBy(*by)
+        .cogroup(dealt(refs, "_rb", "_rs", "_qb", "_qs").groupBy(*by))
+        .applyInPandas(compare, _OWN)
     )
-    return found.groupby(["key", "ref_place"], as_index=False)["dist"].min()
+    return found.groupBy("key").agg(F.min("dist").alias("tau"))
 
 
 def identification_recall(
@@ -236,44 +139,40 @@ def identification_recall(
     """Macro recall of 1-NN subject identification among the first 2..N subjects.
 
     ``ranked`` gives each SubjectID its ``place`` 1..N; train and test hold
-    key, SubjectID and values. All distances are taken once: while subjects are
-    added one by one, a query's nearest subject changes only at a record, so a
-    query is right from its own place until the next record.
+    key, SubjectID and values. The distance to a query's own subject is found first. Only
+    references within it matter: as subjects are added one by one, a query is right from
+    its own place until the first subject that comes nearer. At equal distance the
+    subject of the smaller place counts as nearer.
     """
     places = F.broadcast(ranked.select("SubjectID", "place"))  # at most N rows
 
     def ready(df: DataFrame) -> DataFrame:
         return df.join(places, "SubjectID").select(
-            "key", F.col("place").alias("label"), "values"
+            "key", F.col("place").alias("label"), F.lit(None).cast("string").alias("grp"), "values"
         )
 
-    queries, refs = _written(ready(test), ready(train))
-    left, right = _blocks(queries, refs)
-
-    def compare(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or r.empty:
-            return pd.DataFrame(columns=["key", "ref_place", "dist"])
-        return _first_of_subject(q, r)
-
-    found = (
-        left.groupBy("_qb", "_rb")
-        .cogroup(right.groupBy("_qb", "_rb"))
-        .applyInPandas(compare, _FIRST_OF_SUBJECT)
-        .groupBy("key", "ref_place")
-        .agg(F.min("dist").alias("dist"))
-    )
-    by_place = Window.partitionBy("key").orderBy("ref_place")
-    earlier = by_place.rowsBetween(Window.unboundedPreceding, -1)
-    records = (
-        found.withColumn("_best", F.min("dist").over(earlier))
-        .where(F.col("_best").isNull() | (F.col("dist") < F.col("_best")))
-        .withColumn("_until", F.lead("ref_place").over(by_place))
-        .select(
-            "key",
-            F.col("ref_place").alias("label"),
-            (F.coalesce(F.col("_until"), F.lit(max_subjects + 1)) - 1).alias("until"),
-        )
-    )
+    queries, refs = stage(ready(test), "queries"), stage(ready(train), "references")
+    index = cells.build_index(refs, ["euclidean"])
+    own = queries.join(_own_distance(queries, refs), "key")
+
+    def compare(q: pd.DataFrame, r: pd.DataFrame, of: cells.Cells) -> pd.DataFrame:
+        places, own_place = r["label"].to_numpy(), q["label"].to_numpy()
+        tau, first = q["tau"].to_numpy(), np.full(len(q), np.iinfo(np.int32).max)
+        for i, j, dist in cells.nearer(q, r, of):
+            before = (places[j] < own_place[i]) | ((places[j] > own_place[i]) & (dist < tau[i]))
+            np.minimum.at(first, i[before], places[j][before])
+        met = first < np.iinfo(np.int32).max
+        return pd.DataFrame({"key": q["key"].to_numpy()[met], "place": first[met]})
+
+    records = own.select("key", "label")
+    if index is not None:
+        beaten = cells.within(stage(own, "own-distances"), index, compare, _NEARER)
+        first = beaten.groupBy("key").agg(F.min("place").alias("_first"))
+        records = records.join(first, "key", "left").select(
+            "key", "label", (F.coalesce("_first", F.lit(max_subjects + 1)) - 1).alias("until")
+        ).where("until >= label")
+    else:
+        records = records.withColumn("until", F.col("label"))
     # From here on at most N * N rows.
     right_until = (
         queries.select("key", "label")

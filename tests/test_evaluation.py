@@ -6,7 +6,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from epochwise.operators import evaluation, models, neighbours, splits
+from epochwise.operators import cells, evaluation, models, neighbours, splits
 
 
 def vectors(n=90, d=5, seed=0, gap=0.0):
@@ -50,10 +50,10 @@ def brute(pdf, metric, k, same_allowed):
     return out
 
 
-@pytest.mark.parametrize("sizes", [(32_768, 256, 8_000_000), (20, 7, 90)])
+@pytest.mark.parametrize("sizes", [(32_768, 256, 8_000_000, 512), (20, 7, 90, 6), (20, 7, 90, 1)])
 def test_neighbours_do_not_depend_on_blocks(spark, monkeypatch, sizes):
-    for name, value in zip(("BLOCK_ROWS", "LEAST_ROWS", "TILE_CELLS"), sizes):
-        monkeypatch.setattr(neighbours, name, value)
+    for name, value in zip(("BLOCK_ROWS", "LEAST_ROWS", "TILE_NUMBERS", "CELL_ROWS"), sizes):
+        monkeypatch.setattr(cells, name, value)
     pdf = vectors()
     pdf.at[3, "values"] = pdf.at[5, "values"]  # equal vectors tie by key
     rows = as_neighbours(frame(spark, pdf), "SubjectID")
@@ -73,6 +73,52 @@ def test_fewer_references_than_neighbours(spark):
         neighbours.nearest(rows, rows, 1, ["cosine"])
 
 
+@pytest.mark.parametrize("shift", [0.0, 1e7])
+@pytest.mark.parametrize("metric", neighbours.METRICS)
+def test_few_pairs_of_clustered_vectors_are_compared(spark, monkeypatch, metric, shift):
+    """Equal to brute force while most pairs are ruled out; far from the origin rounding costs pruning only."""
+    monkeypatch.setattr(cells, "BLOCK_ROWS", 400)
+    monkeypatch.setattr(cells, "CELL_ROWS", 40)
+    rng = np.random.default_rng(11)
+    x = rng.normal(0, 10, (50, 8))[np.arange(3000) % 50] + rng.normal(0, 0.5, (3000, 8)) + shift
+    pdf = pd.DataFrame({"key": [f"k{i:04d}" for i in range(3000)], "label": 0, "values": x.tolist(), "grp": None})
+    rows = spark.createDataFrame(pdf, "key string, label int, values array<double>, grp string")
+    work = spark.sparkContext.accumulator(0)
+    found = neighbours.nearest(rows, rows, 3, [metric], work).toPandas()
+    gap = x[:, None, :] - x[None, :, :]
+    d = np.abs(gap).sum(-1) if metric == "manhattan" else np.sqrt((gap**2).sum(-1))
+    want = np.lexsort((np.broadcast_to(np.arange(3000), d.shape), d), axis=1)[:, :3]
+    got = found.sort_values(["key", "place"])["ref_key"].str[1:].astype(int).to_numpy().reshape(-1, 3)
+    assert (got == want).all()
+    if not shift:
+        assert 0 < work.value < 0.1 * 3000 * 3000
+
+
+def test_copies_of_one_vector_and_a_hot_group(spark, monkeypatch):
+    """Most rows are one vector: its cell is cut into blocks; one group holds half of the rows."""
+    monkeypatch.setattr(cells, "BLOCK_ROWS", 30)
+    monkeypatch.setattr(cells, "CELL_ROWS", 10)
+    x = np.random.default_rng(12).normal(0, 1, (200, 3))
+    x[:120] = x[0]
+    pdf = pd.DataFrame({"EpochID": [f"k{i:03d}" for i in range(200)], "label": 1, "values": x.tolist()})
+    pdf["grp"] = ["hot" if i % 2 else None if i % 3 else "cold" for i in range(200)]
+    rows = spark.createDataFrame(
+        pdf.rename(columns={"EpochID": "key"}), "key string, label int, values array<double>, grp string"
+    )
+    found = neighbours.nearest(rows, rows, 5).toPandas()
+    grp = pdf["grp"].tolist()
+    for metric in neighbours.METRICS:
+        want = brute(pdf, metric, 5, lambda i, j: grp[i] is None or grp[i] != grp[j])
+        part = found[found["metric"] == metric].sort_values(["key", "place"])
+        assert part.groupby("key")["ref_key"].apply(list).to_dict() == want
+
+
+def test_no_references(spark):
+    rows = as_neighbours(frame(spark, vectors(3)), None)
+    assert neighbours.nearest(rows, rows.limit(0), 2).count() == 0
+    assert neighbours.nearest(rows.limit(0), rows, 2).count() == 0
+
+
 def votes_of(spark, rows, weights, k):
     df = spark.createDataFrame(
         [("q", "euclidean", d, f"r{i}", label, i + 1) for i, (d, label) in enumerate(rows)],
@@ -97,7 +143,8 @@ def test_votes(spark, rows, weights, k, want):
 
 
 def test_identification_recall(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(cells, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(cells, "CELL_ROWS", 8)
     pdf = vectors(120, 3, seed=2)
     df = splits.random_split(frame(spark, pdf), 0.3)
     marked = df.toPandas()
