@@ -40,6 +40,34 @@ def grid_report(predictions: DataFrame, config: Sequence[str], fold: str = "fold
     )
 
 
+REPORT_SCORES = ["cv_mean", "cv_std", "best_fold_accuracy", "train_accuracy", "test_accuracy"]
+
+
+def whole_report(scores: DataFrame, config: Sequence[str]) -> DataFrame:
+    """Cross-validation, training and held-out accuracy of each configuration, best first.
+
+    ``scores`` has a row for each fold (part cv), the training rows (train) and the
+    held-out ones (test): part, fold and accuracy.
+    """
+
+    def of(part: str) -> Column:
+        return F.when(F.col("part") == part, F.col("accuracy"))
+
+    fold = F.when(F.col("part") == "cv", F.col("fold"))
+    return (
+        scores.groupBy(*config)
+        .agg(
+            F.avg(of("cv")).alias("cv_mean"),
+            F.stddev_pop(of("cv")).alias("cv_std"),
+            F.max(of("cv")).alias("best_fold_accuracy"),
+            F.max_by(fold, F.struct(of("cv"), -F.col("fold"))).alias("best_fold"),
+            F.max(of("train")).alias("train_accuracy"),
+            F.max(of("test")).alias("test_accuracy"),
+        )
+        .orderBy(F.desc("cv_mean"), *config)
+    )
+
+
 def _ratio(part: Column, whole: Column) -> Column:
     return F.coalesce(F.try_divide(part, whole), F.lit(0.0))
 

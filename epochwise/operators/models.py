@@ -8,7 +8,6 @@ extra fit on all rows.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from itertools import product
 from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Estimator
@@ -16,14 +15,12 @@ from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
     LinearSVC,
-    LinearSVCModel,
     MultilayerPerceptronClassifier,
 )
-from pyspark.ml.feature import StandardScaler, StandardScalerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from epochwise.operators import evaluation
+from epochwise.operators import evaluation, normalize
 from epochwise.operators.reshape import union_all
 from epochwise.operators.splits import ROW_ID
 from epochwise.storage import stage
@@ -31,12 +28,7 @@ from epochwise.storage import stage
 SEED = 42
 PARALLEL_FITS = 4
 
-# The grid of the bagged linear classifier and the sizes of the
-# hidden layers of the perceptron.
-BAG_C = (0.01, 0.1, 1.0, 10.0)
-BAG_MEMBERS = (5, 10, 20)
-BAG_FRACTIONS = (0.1, 0.5, 1.0)
-BAG_BOOTSTRAP = (False, True)
+# The sizes of the hidden layers of the perceptron.
 HIDDEN_LAYERS = (256, 128, 64)
 
 Predictor = Callable[[DataFrame, DataFrame], DataFrame]
@@ -65,18 +57,7 @@ def perceptron(
     )
 
 
-def fit_scaler(train: DataFrame, col: str = "features", out: str = "scaled") -> StandardScalerModel:
-    return StandardScaler(inputCol=col, outputCol=out, withMean=True, withStd=True).fit(train)
-
-
-def standardise(train: DataFrame, test: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Centre and scale ``features`` by the training rows."""
-    model = fit_scaler(train)
-
-    def apply(df: DataFrame) -> DataFrame:
-        return model.transform(df).drop("features").withColumnRenamed("scaled", "features")
-
-    return apply(train), apply(test)
+standardise = normalize.standardise_vectors
 
 
 def with_estimator(make: Callable[[DataFrame], Estimator]) -> Predictor:
@@ -89,77 +70,6 @@ def with_estimator(make: Callable[[DataFrame], Estimator]) -> Predictor:
     return run
 
 
-def _uniform(member: int, seed: int) -> Column:
-    """A number in [0, 1) per row and member that any recomputation repeats."""
-    mixed = F.xxhash64(*ROW_ID, F.lit(seed), F.lit(member))
-    return F.pmod(mixed, F.lit(1 << 30)).cast("double") / F.lit(float(1 << 30))
-
-
-def _draws(u: Column, fraction: float) -> Column:
-    """Poisson draws with mean ``fraction``: sampling with replacement row by row.
-
-    Terms go on until the rest is below the step of the uniform numbers.
-    """
-    probability = total = 2.718281828459045 ** (-fraction)
-    count = F.when(u >= F.lit(total), 1).otherwise(0)
-    i = 0
-    while 1 - total > 2.0**-30 and i < 40 + 4 * fraction:
-        i += 1
-        probability *= fraction / i
-        total += probability
-        count = count + F.when(u >= F.lit(total), 1).otherwise(0)
-    return count.cast("double")
-
-
-def bagged_svm(
-    c: float = 1.0,
-    members: int = 10,
-    fraction: float = 0.1,
-    bootstrap: bool = False,
-    max_iter: int = 100,
-    seed: int = SEED,
-) -> Predictor:
-    """Linear classifiers on random shares of the rows, decided by majority.
-
-    A member's share follows from a hash of the row id, so it is the same after
-    an executor is lost. Ties go to the smaller label.
-    """
-
-    def weight(m: int) -> Column:
-        u = _uniform(m, seed)
-        return _draws(u, fraction) if bootstrap else (u < fraction).cast("double")
-
-    def run(train: DataFrame, test: DataFrame) -> DataFrame:
-        sums = train.agg(*[F.sum(weight(m)).alias(f"_w{m}") for m in range(members)]).first()
-        if not all(sums):
-            raise ValueError("a member drew no training rows")
-
-        def fit(m: int) -> LinearSVCModel:
-            svm = linear_svm(sums[m], c, max_iter)
-            svm.setWeightCol("_weight").setPredictionCol(f"_p{m}").setRawPredictionCol(f"_r{m}")
-            return svm.fit(train.withColumn("_weight", weight(m)).where("_weight > 0"))
-
-        with ThreadPool(min(PARALLEL_FITS, members)) as pool:
-            fitted = pool.map(fit, range(members))
-        scored = test
-        for m, model in enumerate(fitted):
-            scored = model.transform(scored).drop(f"_r{m}")
-        votes = " + ".join(f"int(_p{m})" for m in range(members))
-        return scored.withColumn("prediction", F.expr(f"int(2 * ({votes}) > {members})")).drop(
-            *[f"_p{m}" for m in range(members)]
-        )
-
-    return run
-
-
-def bagging_grid() -> list[dict]:
-    """All combinations of the bagging grid as arguments of ``bagged_svm``."""
-    return [
-        {"c": c, "members": n, "fraction": f, "bootstrap": b}
-        for c, n, f, b in product(BAG_C, BAG_MEMBERS, BAG_FRACTIONS, BAG_BOOTSTRAP)
-    ]
-
-
 def predict_parts(
     rows: DataFrame,
     part_col: str,
@@ -230,26 +140,7 @@ def model_report(
         whole = predictor(fit, both).select("label", "prediction", "part", F.lit(-1).alias("fold"))
         parts = folds.select("label", "prediction", F.lit("cv").alias("part"), "fold")
         marked.append(parts.unionByName(whole).withColumn("model", F.lit(name)))
-    scores = evaluation.accuracy(union_all(marked), ["model", "part", "fold"])
-
-    def of(part: str) -> Column:
-        return F.when(F.col("part") == part, F.col("accuracy"))
-
-    best = F.max_by(
-        F.when(F.col("part") == "cv", F.col("fold")), F.struct(of("cv"), -F.col("fold"))
-    )
-    return (
-        scores.groupBy("model")
-        .agg(
-            F.avg(of("cv")).alias("cv_mean"),
-            F.stddev_pop(of("cv")).alias("cv_std"),
-            F.max(of("cv")).alias("best_fold_accuracy"),
-            best.alias("best_fold"),
-            F.max(of("train")).alias("train_accuracy"),
-            F.max(of("test")).alias("test_accuracy"),
-        )
-        .orderBy(F.desc("cv_mean"), "model")
-    )
+    return evaluation.whole_report(evaluation.accuracy(union_all(marked), ["model", "part", "fold"]), ["model"])
 
 
 def nested_scores(

@@ -133,6 +133,27 @@ def minmax_vector_by_subject(
     )
 
 
+def standardise_vectors(train: DataFrame, test: DataFrame, feature_col: str = "features") -> Pair:
+    """Centre and scale the components of a vector column by the training rows.
+
+    The deviation is that of a population here; a constant component is only centred.
+    """
+    component = F.posexplode(vector_to_array(feature_col)).alias("pos", "v")
+    found = train.select(component).groupBy("pos").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
+    # As many rows as components.
+    stats = {r.pos: (r.m, r.s) for r in found.collect()}
+    means = ", ".join(_literal(stats[i][0]) for i in range(len(stats)))
+    spreads = ", ".join(_literal(stats[i][1] or 1.0) for i in range(len(stats)))
+
+    def apply(df: DataFrame) -> DataFrame:
+        values = vector_to_array(feature_col)
+        centred = F.zip_with(values, F.expr(f"array({means})"), lambda v, m: v - m)
+        scaled = F.zip_with(centred, F.expr(f"array({spreads})"), lambda v, s: v / s)
+        return df.withColumn(feature_col, array_to_vector(scaled))
+
+    return apply(train), apply(test)
+
+
 def zscore_power(train: DataFrame, test: DataFrame) -> Pair:
     """Standardise ``Power`` by (Electrode, WaveBand) of the training rows.
 

@@ -20,6 +20,7 @@ from epochwise.operators import (
     epochs,
     evaluation,
     features,
+    linear_grid,
     models,
     neighbours,
     normalize,
@@ -43,6 +44,7 @@ ELECTRODES = ("click", "error", "purchase", "signup", "view")
 EFFECT_LIMIT = 0.05
 LOSO_K = 5
 FOLDS = 5
+BASE_FOLDS = 15
 
 
 def query(run: Query) -> Query:
@@ -713,16 +715,60 @@ def cv_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cv(spark, sf_dir, models.with_estimator(lambda train: models.boosted_trees(10)))
 
 
+def _grid_cv(spark: SparkSession, sf_dir: str, grid: linear_grid.Grid) -> DataFrame:
+    vectors = _vectors(spark, sf_dir)
+    rows, _ = normalize.standardise_vectors(vectors, vectors)
+    scores = linear_grid.grid_scores(splits.stratified_folds(rows, BASE_FOLDS), rows, BASE_FOLDS, grid)
+    return _round(scores.where("part = 'cv'").select("fold", "accuracy"), ["accuracy"])
+
+
 @query
 def cv_linear_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    make = models.with_estimator(lambda train: models.linear_svm(train.count(), max_iter=30))
-    return _cv(spark, sf_dir, make, models.standardise)
+    """One vector on all rows for each fold."""
+    return _grid_cv(spark, sf_dir, linear_grid.Grid((1.0,), (1,), (1.0,), (False,)))
 
 
 @query
 def cv_bagged_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bag = models.bagged_svm(c=0.1, members=5, fraction=0.5, bootstrap=True, max_iter=15)
-    return _cv(spark, sf_dir, bag, models.standardise)
+    return _grid_cv(spark, sf_dir, linear_grid.Grid((1.0,), (10,), (0.1,), (False,)))
+
+
+@query
+def bagged_svm_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 72 points of the bagging grid in one report: folds, training rows, held-out subjects."""
+    train, test = normalize.standardise_vectors(*splits.hold_out(_vectors(spark, sf_dir), 1))
+    scores = linear_grid.grid_scores(splits.stratified_folds(train, BASE_FOLDS), test, BASE_FOLDS)
+    report = evaluation.whole_report(scores, ["c", "members", "fraction", "bootstrap"])
+    return _round(report, evaluation.REPORT_SCORES)
+
+
+def _separable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors with one more component that tells the classes apart."""
+    rows = tables.embedding_rows(spark, sf_dir)
+    values = F.concat("values", F.array((F.col("label") * 20 - 10).cast("double")))
+    return rows.select(*reshape.KEYS, array_to_vector(values).alias("features"))
+
+
+@query
+def bagged_svm_separable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where one component decides, every configuration predicts every held-out row right."""
+    rows = splits.stratified_folds(_separable(spark, sf_dir), FOLDS)
+    return linear_grid.grid_predictions(rows, FOLDS)
+
+
+@query
+def bag_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each member of each sampling draws each row."""
+    return linear_grid.drawn_rows(_vectors(spark, sf_dir))
+
+
+@query
+def standardised_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, test = normalize.standardise_vectors(*splits.hold_out(_vectors(spark, sf_dir), 1))
+    rows = _both(train, test).select(
+        *reshape.KEYS, "part", F.posexplode(vector_to_array("features")).alias("pos", "value")
+    )
+    return _round(rows, ["value"])
 
 
 @query

@@ -616,3 +616,49 @@ put("group_report_epochs", [*LOSO, SUMMARY, group_report("correct", "incorrect")
 put("group_report_subjects", [*LOSO, SUMMARY, group_report(
     "CAST(correct / total_epochs > 0.5 AS INTEGER)",
     "CAST(correct / total_epochs <= 0.5 AS INTEGER)")], REPORT)
+
+# --- models -------------------------------------------------------------------------------
+
+BAG_CONFIGURATIONS = """
+grid AS (
+  SELECT c, CAST(n AS INTEGER) AS members, f AS fraction, b AS bootstrap
+  FROM (VALUES (0.01e0), (0.1e0), (1e0), (10e0)) AS cs(c), (VALUES (5), (10), (20)) AS ns(n),
+       (VALUES (0.1e0), (0.5e0), (1e0)) AS fs(f), (VALUES (false), (true)) AS bs(b))"""
+put("bagged_svm_separable", [VECTORS, FOLDED, BAG_CONFIGURATIONS], """
+SELECT SubjectID, EpochID, label, fold, c, members, fraction, bootstrap, label AS prediction
+FROM folded, grid""")
+
+
+def poisson_steps(mean: float) -> list[int]:
+    """Numbers out of 2^60 from which on Poisson draws of that mean are 1, 2, ..."""
+    steps, p, total, i = [], float(np.exp(-mean)), float(np.exp(-mean)), 0
+    while 1 - total > 2.0**-30:
+        steps.append(int(total * 2.0**60))
+        i += 1
+        p *= mean / i
+        total += p
+    return steps
+
+
+def with_replacement(fraction: float) -> str:
+    draws = " + ".join(f"CAST(u >= {s} AS INTEGER)" for s in poisson_steps(fraction))
+    return f"SELECT SubjectID, EpochID, {fraction}e0 AS fraction, true AS bootstrap, member, {draws} AS draws FROM numbered"
+
+
+put("bag_draws", [VECTORS, f"""
+numbered AS (
+  SELECT SubjectID, EpochID, CAST(m AS INTEGER) AS member, count(*) OVER (PARTITION BY m) AS n,
+         CAST('0x' || substr(md5(SubjectID || '|' || EpochID || '|42|' || m), 1, 15) AS BIGINT) AS u
+  FROM vectors, range(20) AS ms(m)),
+drawn AS (
+  SELECT SubjectID, EpochID, f AS fraction, false AS bootstrap, member, 1 AS draws FROM numbered,
+         (VALUES (0.1e0), (0.5e0), (1e0)) AS fs(f)
+  QUALIFY row_number() OVER (PARTITION BY member, f ORDER BY u) <= trunc(n * f)
+  UNION ALL {" UNION ALL ".join(map(with_replacement, (0.1, 0.5, 1.0)))})"""], """
+SELECT SubjectID, EpochID, fraction, bootstrap, member, CAST(draws AS INTEGER) AS draws FROM drawn WHERE draws > 0""")
+put("standardised_vectors", [VECTORS, SIDES, """
+cells AS (
+  SELECT SubjectID, EpochID, label, part, CAST(i - 1 AS INTEGER) AS pos, v[i] AS x
+  FROM (SELECT *, 'train' AS part FROM train UNION ALL SELECT *, 'test' FROM test), range(1, 65) AS ixs(i)),
+stats AS (SELECT pos, avg(x) AS m, stddev_pop(x) AS s FROM cells WHERE part = 'train' GROUP BY pos)"""], f"""
+SELECT SubjectID, EpochID, label, part, pos, {r("(x - m) / s")} AS value FROM cells JOIN stats USING (pos)""")

@@ -1,5 +1,3 @@
-import itertools
-
 import numpy as np
 import pandas as pd
 import pytest
@@ -274,8 +272,6 @@ def easy(spark):
         (models.with_estimator(lambda t: models.boosted_trees(3)), None),
         (models.with_estimator(lambda t: models.linear_svm(t.count(), max_iter=10)), models.standardise),
         (models.with_estimator(lambda t: models.perceptron(4, hidden=(8,), max_iter=30)), None),
-        (models.bagged_svm(1.0, 3, 0.5, True, 5), models.standardise),
-        (models.bagged_svm(1.0, 3, 0.5, False, 5), models.standardise),
     ],
 )
 def test_models_separate_what_is_separable(easy, predictor, prepare):
@@ -311,19 +307,3 @@ def test_nested_scores(easy):
     rows = easy.where("SubjectID < 's2'")
     found = models.nested_scores(rows, tree, lambda df: splits.stratified_folds(df, 2), 2)
     assert found.count() == 2
-
-
-def test_draws_have_the_right_mean(spark):
-    rows = spark.range(20_000).select(F.lit("s").alias("SubjectID"), F.col("id").cast("string").alias("EpochID"))
-    u = models._uniform(3, 42)
-    for fraction in (0.1, 0.5, 1.0):
-        mean = rows.agg(F.avg(models._draws(u, fraction))).first()[0]
-        assert abs(mean - fraction) < 0.03
-        share = rows.agg(F.avg((u < fraction).cast("double"))).first()[0]
-        assert abs(share - fraction) < 0.02
-
-
-def test_bagging_grid():
-    grid = models.bagging_grid()
-    assert len(grid) == 72 and len({tuple(g.items()) for g in grid}) == 72
-    assert len(list(itertools.product(neighbours.K_VALUES, neighbours.WEIGHTS, neighbours.METRICS))) == 28
