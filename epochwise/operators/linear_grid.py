@@ -87,7 +87,7 @@ def exact_thresholds(blocks: DataFrame, parts: Sequence[int], members: int, frac
     numbers that share all digits found before.
     """
     digits = 1 << _DIGIT
-    sizes = summed(blocks, lambda b: {p: np.array([_kept(rows_of(b).fold, p).sum()], dtype=float) for p in parts})
+    sizes = summed(blocks, lambda b: {p: np.array([_kept(rows_of(b).fold, p).sum()], dtype=float) for p in parts}, len(parts))
     shape = (len(parts), len(fractions), members)
     need = np.array([[[int(int(sizes[p][0]) * f)] * members for f in fractions] for p in parts], dtype=np.int64)
     if (need == 0).any():
@@ -111,7 +111,7 @@ def exact_thresholds(blocks: DataFrame, parts: Sequence[int], members: int, frac
                 out[i] = found
             return out
 
-        counted = summed(blocks, count)
+        counted = summed(blocks, count, limit.size * digits)
         for i, f, m in np.argwhere(limit < 0):
             upto = np.cumsum(counted[i].reshape(len(fractions), members, digits)[f, m]).astype(np.int64)
             digit = int(np.searchsorted(upto, need[i, f, m]))
@@ -252,7 +252,7 @@ def fit(blocks: DataFrame, folds: int, grid: Grid, passes: int = 100, tolerance:
                     out[i] = np.column_stack([(w * loss).sum(axis=0), slope.T @ x, slope.sum(axis=0), w.sum(axis=0)])
                 return out
 
-            told = summed(blocks, sums)
+            told = summed(blocks, sums, len(at) * (width + 3))
             points.destroy()
             made += 1
             sums_of = np.concatenate([told[i].reshape(-1, width + 3) for i in sorted(told)])

@@ -12,9 +12,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from epochwise.storage import stage
@@ -23,10 +23,17 @@ BLOCK_ROWS = 2048
 # Bits of a row's number.
 NUMBER_BITS = 60
 NONE = -1
+# Sums of a key that one task adds up, beyond which they are added in two steps.
+_TOGETHER = 64
+# Numbers that the driver adds up itself.
+_DRIVER_NUMBERS = 8_000_000
 
 _SCHEMA = "id long, n int, x binary, y binary, part binary, fold binary, u binary"
 
 
+_SUMS = "key int, sub int, v binary"
+
+
 def row_number(seed: int, member: int) -> str:
     """A whole number below 2^60 for a row's id and a member, as SQL: a repeatable random number."""
     return f"cast(conv(substr(md5(concat_ws('|', SubjectID, EpochID, '{seed}', '{member}')), 1, 15), 16, 10) as bigint)"
@@ -93,8 +100,19 @@ def width_of(blocks: DataFrame) -> int:
     return int(first.d) if first else 0
 
 
-def sums_by_key(blocks: DataFrame, per_block: Callable[[object], dict[int, np.ndarray]]) -> DataFrame:
-    """(key, v): Spark's sums of the arrays that ``per_block`` makes; a task sends its own sums."""
+def sums_by_key(
+    blocks: DataFrame,
+    per_block: Callable[[object], dict[int, np.ndarray]],
+    finish: Callable[[int, np.ndarray], dict],
+    schema: str,
+    numbers: int,
+) -> list[Row]:
+    """What ``finish`` makes of each key and the sum of its arrays over all blocks, as rows of ``schema``.
+
+    A task sends its own sums, one row for each key, at most ``numbers`` numbers in all.
+    Where these are few, the driver adds them; else Spark does, in two steps if many tasks
+    have sums of a key, so that nobody gathers more than a few dozen of them.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[int, np.ndarray] = {}
@@ -102,13 +120,39 @@ def sums_by_key(blocks: DataFrame, per_block: Callable[[object], dict[int, np.nd
             for block in batch.itertuples(index=False):
                 for key, values in per_block(block).items():
                     total[key] = total[key] + values if key in total else values
+        sub = TaskContext.get().partitionId() % _TOGETHER
         for key, values in total.items():
-            yield pd.DataFrame({"key": [key], "v": [values.ravel()]})
+            yield pd.DataFrame({"key": [key], "sub": [sub], "v": [values.astype("<f8").tobytes()]})
+
+    def add(parts: list[bytes]) -> np.ndarray:
+        total = np.frombuffer(parts[0], dtype="<f8").copy()
+        for part in parts[1:]:
+            total += np.frombuffer(part, dtype="<f8")
+        return total
+
+    def some(key: tuple, got: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"key": [key[0]], "sub": [key[1]], "v": [add(got["v"].tolist()).tobytes()]})
+
+    def last(key: tuple, got: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({name: [value] for name, value in finish(int(key[0]), add(got["v"].tolist())).items()})
+
+    files = len(blocks.inputFiles())
+    sums = blocks.mapInPandas(run, _SUMS)
+    if files * numbers <= _DRIVER_NUMBERS:
+        got = sums.toArrow().sort_by([("key", "ascending"), ("sub", "ascending")])
+        held: dict[int, list[bytes]] = {}
+        for key, part in zip(got["key"].to_pylist(), got["v"], strict=True):
+            held.setdefault(key, []).append(part.as_buffer())
+        return [Row(**finish(key, add(parts))) for key, parts in held.items()]
+    if files > _TOGETHER:
+        sums = sums.groupBy("key", "sub").applyInPandas(some, _SUMS)
+    return sums.groupBy("key").applyInPandas(last, schema).collect()
+
 
-    sums = blocks.mapInPandas(run, "key int, v array<double>").withColumn("v", array_to_vector("v"))
-    return sums.groupBy("key").agg(Summarizer.sum(F.col("v")).alias("v"))
+def summed(blocks: DataFrame, per_block: Callable[[object], dict[int, np.ndarray]], numbers: int) -> dict[int, np.ndarray]:
+    """The sums themselves, of a size that the model bounds."""
 
+    def whole(key: int, v: np.ndarray) -> dict:
+        return {"key": key, "v": v.tobytes()}
 
-def summed(blocks: DataFrame, per_block: Callable[[object], dict[int, np.ndarray]]) -> dict[int, np.ndarray]:
-    """The same on the driver, for sums of a size that the model bounds."""
-    return {r.key: r.v.toArray() for r in sums_by_key(blocks, per_block).collect()}
+    return {r.key: np.frombuffer(r.v, dtype="<f8") for r in sums_by_key(blocks, per_block, whole, "key int, v binary", numbers)}

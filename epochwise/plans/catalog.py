@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from epochwise.functions.columns import quoted
 from epochwise.operators import (
+    boosted,
     channels,
     components,
     effects,
@@ -712,7 +713,9 @@ def cv_decision_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def cv_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cv(spark, sf_dir, models.with_estimator(lambda train: models.boosted_trees(10)))
+    rows = splits.stratified_folds(_vectors(spark, sf_dir), BASE_FOLDS)
+    scores = evaluation.accuracy(boosted.cross_validate(rows, BASE_FOLDS), ["fold"])
+    return _round(scores, ["accuracy"])
 
 
 def _grid_cv(spark: SparkSession, sf_dir: str, grid: linear_grid.Grid) -> DataFrame:
@@ -801,8 +804,11 @@ def model_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def loso_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each subject predicted by trees trained on all others."""
-    predictions = models.leave_one_subject_out(
-        _vectors(spark, sf_dir), models.with_estimator(lambda train: models.boosted_trees(10))
-    )
-    return evaluation.subject_summary(predictions)
+    """Each subject predicted by trees grown on all others, all subjects together."""
+    return evaluation.subject_summary(boosted.leave_one_subject_out(_vectors(spark, sf_dir)))
+
+
+@query
+def loso_gbt_separable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where one component decides, trees predict every left-out row right."""
+    return boosted.leave_one_subject_out(_separable(spark, sf_dir))

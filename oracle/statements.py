@@ -662,3 +662,5 @@ cells AS (
   FROM (SELECT *, 'train' AS part FROM train UNION ALL SELECT *, 'test' FROM test), range(1, 65) AS ixs(i)),
 stats AS (SELECT pos, avg(x) AS m, stddev_pop(x) AS s FROM cells WHERE part = 'train' GROUP BY pos)"""], f"""
 SELECT SubjectID, EpochID, label, part, pos, {r("(x - m) / s")} AS value FROM cells JOIN stats USING (pos)""")
+put("loso_gbt_separable", [VECTORS], """
+SELECT SubjectID, EpochID, label, label AS prediction FROM vectors""")
