@@ -20,7 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -228,38 +228,34 @@ def with_part_codes(rows: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     return rows.join(codes, "SubjectID"), codes, codes.count()
 
 
-def _predicted(rows: DataFrame, key: str, models: Sequence[int], trees: Trees, edges: np.ndarray, rate: float, depth: int, path: str) -> None:
-    """Append predictions of the rows whose ``key`` is in ``models``, each by its own model."""
-    at = {m: i for i, m in enumerate(models)}
-    shared = rows.sparkSession.sparkContext.broadcast((at, trees, edges))
+def _predicted(
+    rows: DataFrame, key: Column, of: dict[int, int], trees: Trees, edges: np.ndarray, rate: float, depth: int, path: str, role: str = "cv"
+) -> None:
+    """Append predictions of the rows whose ``key`` is in ``of``, each by the model named there."""
+    shared = rows.sparkSession.sparkContext.broadcast((of, trees, edges))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of, fitted, limits = shared.value
+        models, fitted, limits = shared.value
         for batch in batches:
-            for model, same in batch.groupby("model"):
+            for code, same in batch.groupby("code"):
                 b = binned(np.stack(same.pop("x").to_numpy()), limits)
-                yield same.assign(prediction=(scores(fitted, of[model], b, rate, depth) > 0).astype(np.int32))
+                found = (scores(fitted, models[int(code)], b, rate, depth) > 0).astype(np.int32)
+                yield same.assign(prediction=found, role=role)
 
-    own = rows.where(F.col(key).between(min(models), max(models))).select(
-        *ROW_ID, F.col("label").cast("int").alias("label"), F.col(key).cast("int").alias("model"), vector_to_array("features").alias("x")
-    )
-    own.mapInPandas(run, "SubjectID string, EpochID string, label int, model int, prediction int").write.mode("append").parquet(path)
+    own = rows.select(
+        *ROW_ID, F.col("label").cast("int").alias("label"), key.cast("int").alias("code"), vector_to_array("features").alias("x")
+    ).where(F.col("code").between(min(of), max(of)))
+    schema = "SubjectID string, EpochID string, label int, code int, prediction int, role string"
+    own.mapInPandas(run, schema).write.mode("append").parquet(path)
 
 
 def _together(width: int, depth: int, bins: int) -> int:
     return max(1, _MOST_NUMBERS // ((1 << (depth - 1)) * max(width, 1) * bins * 3))
 
 
-def _held_out(rows: DataFrame, key: str, count: int, rounds: int, depth: int, rate: float, bins: int) -> DataFrame:
-    part = F.col(key) if key == "code" else None
-    held = stage(rows.select(*ROW_ID, "label", "features", key), "boosted-rows")
-    blocks, edges = write_blocks(held, part=part), bin_edges(held, bins)
-    path, step = new_path(rows.sparkSession, "boosted-predictions"), _together(width_of(blocks), depth, bins)
-    for begin in range(0, count, step):
-        models = range(begin, min(begin + step, count))
-        trees = fit(blocks, edges, [(m, NONE) if key == "code" else (NONE, m) for m in models], rounds, depth, rate)
-        _predicted(held, key, models, trees, edges, rate, depth, path)
-    return rows.sparkSession.read.parquet(path)
+def _groups(blocks: DataFrame, exclude: Sequence[tuple[int, int]], depth: int, bins: int) -> Iterator[list[tuple[int, int]]]:
+    step = _together(width_of(blocks), depth, bins)
+    return (list(exclude[i : i + step]) for i in range(0, len(exclude), step))
 
 
 def leave_one_subject_out(rows: DataFrame, rounds: int = ROUNDS, depth: int = DEPTH, rate: float = RATE, bins: int = BINS) -> DataFrame:
@@ -271,12 +267,41 @@ def leave_one_subject_out(rows: DataFrame, rounds: int = ROUNDS, depth: int = DE
     coded, _, count = with_part_codes(rows)
     if count < 2:
         raise ValueError("leaving one subject out takes two subjects or more")
-    return _held_out(coded, "code", count, rounds, depth, rate, bins).drop("model")
+    held = stage(coded.select(*ROW_ID, "label", "features", "code"), "boosted-rows")
+    blocks, edges = write_blocks(held, part=F.col("code")), bin_edges(held, bins)
+    path = new_path(rows.sparkSession, "boosted-predictions")
+    for exclude in _groups(blocks, [(s, NONE) for s in range(count)], depth, bins):
+        trees = fit(blocks, edges, exclude, rounds, depth, rate)
+        _predicted(held, F.col("code"), {s: i for i, (s, _) in enumerate(exclude)}, trees, edges, rate, depth, path)
+    return rows.sparkSession.read.parquet(path).select(*ROW_ID, "label", "prediction")
+
+
+def report_predictions(
+    train: DataFrame, test: DataFrame | None, k: int, rounds: int = ROUNDS, depth: int = DEPTH, rate: float = RATE, bins: int = BINS
+) -> DataFrame:
+    """SubjectID, EpochID, label, part (cv, train, test), fold and prediction.
+
+    Each fold's rows by trees grown on the other folds (cv), training and test rows by
+    trees grown on all training rows (fold -1).
+    """
+    held = stage(train.select(*ROW_ID, "label", "features", "fold"), "boosted-rows")
+    blocks, edges = write_blocks(held), bin_edges(held, bins)
+    path = new_path(train.sparkSession, "boosted-predictions")
+    for exclude in _groups(blocks, [(NONE, f) for f in [*range(k), *([NONE] if test is not None else [])]], depth, bins):
+        trees = fit(blocks, edges, exclude, rounds, depth, rate)
+        of = {f: i for i, (_, f) in enumerate(exclude)}
+        whole = {NONE: of.pop(NONE)} if NONE in of else {}
+        if of:
+            _predicted(held, F.col("fold"), of, trees, edges, rate, depth, path)
+        if whole:
+            _predicted(held, F.lit(NONE), whole, trees, edges, rate, depth, path, "train")
+            _predicted(test, F.lit(NONE), whole, trees, edges, rate, depth, path, "test")
+    return train.sparkSession.read.parquet(path).withColumnsRenamed({"code": "fold", "role": "part"})
 
 
 def cross_validate(rows: DataFrame, k: int, rounds: int = ROUNDS, depth: int = DEPTH, rate: float = RATE, bins: int = BINS) -> DataFrame:
     """SubjectID, EpochID, label, fold and prediction: every fold by trees grown on the others."""
-    return _held_out(rows, "fold", k, rounds, depth, rate, bins).withColumnRenamed("model", "fold")
+    return report_predictions(rows, None, k, rounds, depth, rate, bins).drop("part")
 
 
 def nested_scores(

@@ -13,9 +13,7 @@ from multiprocessing.pool import ThreadPool
 from pyspark.ml import Estimator
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
-    GBTClassifier,
     LinearSVC,
-    MultilayerPerceptronClassifier,
 )
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +26,6 @@ from epochwise.storage import stage
 SEED = 42
 PARALLEL_FITS = 4
 
-# The sizes of the hidden layers of the perceptron.
-HIDDEN_LAYERS = (256, 128, 64)
 
 Predictor = Callable[[DataFrame, DataFrame], DataFrame]
 
@@ -39,24 +35,11 @@ def decision_tree() -> Estimator:
     return DecisionTreeClassifier(maxDepth=8, minInstancesPerNode=10, seed=SEED)
 
 
-def boosted_trees(rounds: int = 100) -> Estimator:
-    return GBTClassifier(maxIter=rounds, stepSize=0.1, maxDepth=3, seed=SEED)
-
-
 def linear_svm(rows: float, c: float = 1.0, max_iter: int = 100) -> LinearSVC:
     """``c`` weighs the summed hinge loss; Spark averages it over ``rows``."""
     return LinearSVC(maxIter=max_iter, regParam=1.0 / (c * rows), standardization=False)
 
 
-def perceptron(
-    inputs: int, classes: int = 2, hidden: Sequence[int] = HIDDEN_LAYERS, max_iter: int = 200
-) -> Estimator:
-    """Sigmoid hidden units, without weight penalty or early stopping."""
-    return MultilayerPerceptronClassifier(
-        layers=[inputs, *hidden, classes], maxIter=max_iter, seed=SEED
-    )
-
-
 standardise = normalize.standardise_vectors
 
 
@@ -104,26 +87,14 @@ def cross_validate(
     return predict_parts(staged, "fold", range(k), predictor, parallelism, prepare)
 
 
-def leave_one_subject_out(
-    rows: DataFrame, predictor: Predictor, parallelism: int = PARALLEL_FITS, prepare=None
-) -> DataFrame:
-    """Train on all other subjects, predict the left-out one, for every subject.
-
-    The list of subjects decides the number of fits and is as short as that.
-    """
-    staged = stage(rows.select(*ROW_ID, "label", "features"), "subjects")
-    ids = sorted(r[0] for r in staged.select("SubjectID").distinct().collect())
-    return predict_parts(staged, "SubjectID", ids, predictor, parallelism, prepare)
-
-
-def model_report(
+def model_scores(
     train: DataFrame,
     test: DataFrame,
     k: int,
     predictors: Mapping[str, Predictor],
     prepare: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]] | None = None,
 ) -> DataFrame:
-    """Cross-validation, training and held-out scores of several models, best first.
+    """Accuracies of several models: model, part (cv, train, test), fold and accuracy.
 
     ``train`` holds the column ``fold``.
     """
@@ -140,25 +111,15 @@ def model_report(
         whole = predictor(fit, both).select("label", "prediction", "part", F.lit(-1).alias("fold"))
         parts = folds.select("label", "prediction", F.lit("cv").alias("part"), "fold")
         marked.append(parts.unionByName(whole).withColumn("model", F.lit(name)))
-    return evaluation.whole_report(evaluation.accuracy(union_all(marked), ["model", "part", "fold"]), ["model"])
+    return evaluation.accuracy(union_all(marked), ["model", "part", "fold"])
 
 
-def nested_scores(
-    rows: DataFrame, predictor: Predictor, add_folds: Callable[[DataFrame], DataFrame], k: int = 5
+def model_report(
+    train: DataFrame,
+    test: DataFrame,
+    k: int,
+    predictors: Mapping[str, Predictor],
+    prepare: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]] | None = None,
 ) -> DataFrame:
-    """Cross-validation on the training rows of each left-out subject.
-
-    Returns SubjectID, cv_mean and cv_std (over folds, population).
-    """
-    staged = stage(rows.select(*ROW_ID, "label", "features"), "nested")
-    ids = sorted(r[0] for r in staged.select("SubjectID").distinct().collect())
-    out = []
-    for subject in ids:
-        train = add_folds(staged.where(F.col("SubjectID") != F.lit(subject)))
-        folds = cross_validate(train, k, predictor)
-        scores = evaluation.accuracy(folds, ["fold"])
-        means = scores.agg(
-            F.avg("accuracy").alias("cv_mean"), F.stddev_pop("accuracy").alias("cv_std")
-        )
-        out.append(means.select(F.lit(subject).alias("SubjectID"), "cv_mean", "cv_std"))
-    return union_all(out)
+    """Cross-validation, training and held-out scores of several models, best first."""
+    return evaluation.whole_report(model_scores(train, test, k, predictors, prepare), ["model"])

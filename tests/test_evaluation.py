@@ -269,9 +269,7 @@ def easy(spark):
     "predictor, prepare",
     [
         (models.with_estimator(lambda t: models.decision_tree()), None),
-        (models.with_estimator(lambda t: models.boosted_trees(3)), None),
         (models.with_estimator(lambda t: models.linear_svm(t.count(), max_iter=10)), models.standardise),
-        (models.with_estimator(lambda t: models.perceptron(4, hidden=(8,), max_iter=30)), None),
     ],
 )
 def test_models_separate_what_is_separable(easy, predictor, prepare):
@@ -281,13 +279,6 @@ def test_models_separate_what_is_separable(easy, predictor, prepare):
     assert evaluation.accuracy(found).first()[0] > 0.85
 
 
-def test_leaving_one_subject_out(easy):
-    tree = models.with_estimator(lambda t: models.decision_tree())
-    found = models.leave_one_subject_out(easy.where("SubjectID < 's4'"), tree)
-    assert found.select("SubjectID").distinct().count() == 4
-    assert found.count() == easy.where("SubjectID < 's4'").count()
-
-
 def test_model_report(easy):
     train, test = splits.hold_out(easy, 1)
     tree = models.with_estimator(lambda t: models.decision_tree())
@@ -300,10 +291,3 @@ def test_model_report(easy):
     for r in found:
         assert r["best_fold_accuracy"] >= r["cv_mean"] > 0.85 and r["best_fold"] in (0, 1, 2)
         assert r["train_accuracy"] > 0.85 and r["test_accuracy"] > 0.85
-
-
-def test_nested_scores(easy):
-    tree = models.with_estimator(lambda t: models.decision_tree())
-    rows = easy.where("SubjectID < 's2'")
-    found = models.nested_scores(rows, tree, lambda df: splits.stratified_folds(df, 2), 2)
-    assert found.count() == 2
