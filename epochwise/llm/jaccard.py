@@ -12,10 +12,10 @@ a prefix token under several orders at once:
    A pair must also meet in the prefixes of the other orders; then the whole sets are
    compared.
 4. Large groups of similar texts: each token first links its classes to a central one
-   only, then to a central one outside that one's component. Pairs that these links
-   connect already need no comparison; all other pairs of a token are then tried, so
-   no link between components is lost. The result is components, not links: pairs
-   within a component that are connected already are not compared.
+   only, then to a central one outside that one's component. Tokens whose classes are
+   connected then need no more work; of the others all pairs across components are
+   tried, so no link between components is lost. The result is components, not links:
+   pairs within a component that are connected already are not compared.
 """
 
 from __future__ import annotations
@@ -198,49 +198,60 @@ def _ordered(a: str, b: str) -> tuple[Column, Column]:
     return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
 
-def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Rows with the label of their component so far; without links a class is its own."""
-    if labels is None:
-        return rows.withColumn("label", F.col("c"))
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows with the label of their component so far; without links a class is its own.
+
+    Only classes that bitmaps do not rule out as linked are joined.
+    """
+    marked = marked_by_bitmaps(rows, F.xxhash64("c"), bitmaps_from(labels, F.xxhash64("node")), "_linked")
     known = labels.select(F.col("node").alias("c"), "label")
-    return rows.join(known, "c", "left").withColumn("label", F.coalesce("label", "c"))
+    linked = marked.where("_linked").drop("_linked").join(known, "c", "left")
+    alone = marked.where("not _linked").drop("_linked").withColumn("label", F.col("c"))
+    return linked.withColumn("label", F.coalesce("label", "c")).unionByName(alone)
+
+
+def _open(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows, with labels, of tokens whose classes are not all connected yet."""
+    known = _labelled(rows.select("token", "c", "n", "i"), labels)
+    mixed = known.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    return stage(_only(known, "token", stage(mixed.select("token"), "open-tokens")), "open-rows")
 
 
-def _star_pairs(rows: DataFrame, labels: DataFrame | None, num: int, den: int) -> DataFrame:
+def _star_pairs(known: DataFrame, num: int, den: int, second: bool) -> DataFrame:
     """Each token's central class with the classes of its token that it is not linked with yet.
 
     Central is who has the token nearest the front of its prefix: copies put what they
-    alone have, their rare tokens, before it. Once labels are known, the centre is taken
+    alone have, their rare tokens, before it. The second time, the centre is taken
     among the classes outside the first centre's component.
     """
-    known = _labelled(rows, labels)
     rank = F.shiftleft(F.col("i").cast("long"), 47) + F.col("c").bitwiseAND(F.lit((1 << 47) - 1))
-    ranked = known.withColumn("rank", rank)
-    if labels is not None:
+    ranked = others = known.withColumn("rank", rank)
+    if second:
         first = ranked.groupBy("token").agg(F.min("rank").alias("front"))
         taken = ranked.join(first, "token").where("rank = front").select("token", F.col("label").alias("taken")).distinct()
         others = ranked.join(taken, "token").where("label <> taken").select(*ranked.columns)
-    else:
-        others = ranked
     front = others.groupBy("token").agg(F.min("rank").alias("front"))
     centres = _side(others.join(front, "token").where("rank = front"), "b", F.col("label").alias("label_b"))
     pairs = _side(known, "a", "label").join(centres, "token").where((F.col("label") != F.col("label_b")) & _may_link(num, den))
     return pairs.select(*_ordered("a", "b")).distinct()
 
 
-def _other_pairs(rows: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
-    """All pairs of a token's classes that no links connect yet; sizes in bands bound the comparisons."""
-    known = _labelled(rows, labels)
-    mixed = known.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    # Sizes of a pair differ by the factor den / num at most: the same band or the next.
+def _other_pairs(known: DataFrame, num: int, den: int) -> DataFrame:
+    """All pairs of a token's classes that no links connect yet; sizes in bands bound the comparisons.
+
+    Of a pair with two labels, one at least is not its token's most frequent label: only
+    such classes are compared with all classes of the token.
+    """
+    counts = known.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k"))
+    most = counts.groupBy("token").agg(F.max_by("label", F.struct("k", "label")).alias("most"))
+    # Sizes of a pair differ by the factor den / num at most: the same band or a neighbouring one.
     width = 1.001 * float(np.log(den / num)) if num < den else 1e-9
-    banded = known.join(mixed.select("token"), "token", "left_semi").withColumn(
-        "band", F.floor(F.log(F.col("n").cast("double")) / width)
-    )
-    left = _side(banded, "a", F.col("label").alias("label_a"), F.explode(F.array("band", F.col("band") + 1)).alias("band"))
+    banded = known.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / width))
+    fewer = banded.join(most, "token").where("label <> most")
+    near = F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("band")
+    left = _side(fewer, "a", F.col("label").alias("label_a"), near)
     right = _side(banded, "b", F.col("label").alias("label_b"), "band")
-    once = F.expr("label_a != label_b and (n_a < n_b or (n_a = n_b and a < b))")
-    pairs = left.join(right, ["token", "band"]).where(once & _may_link(num, den))
+    pairs = left.join(right, ["token", "band"]).where((F.col("label_a") != F.col("label_b")) & _may_link(num, den))
     return pairs.select(*_ordered("a", "b")).distinct()
 
 
@@ -287,6 +298,28 @@ def _links(pairs: DataFrame, prefixed: DataFrame, texts: DataFrame, n: int, num:
     )
 
 
+def _grouped(texts: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, c) of every row, and (c, label, first, rows) of each class that is not one row alone."""
+    prefixed = stage(_prefixed(texts, n, num, den), "prefixed")
+    tokens = prefixed.where("n > 0").select("c", "n", F.posexplode("p1").alias("i", "token"))
+    # Most tokens belong to one class; bitmaps of the others drop them before the shuffle.
+    shared = tokens.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
+    shared = stage(shared.select("token"), "shared-tokens")
+    rows = stage(_only(tokens, "token", shared).distinct().withColumn("label", F.col("c")), "shared-rows")
+    links = _links(_star_pairs(rows, num, den, False), prefixed, texts, n, num, den)
+    labels = components(links)
+    for last in (False, True):
+        rows = _open(rows, labels)
+        pairs = _other_pairs(rows, num, den) if last else _star_pairs(rows, num, den, True)
+        links = links.unionAll(_links(pairs, prefixed, texts, n, num, den))
+        labels = components(links)
+    known = prefixed.select("doc_id", "n", "c")
+    # Copies are summed up before they move.
+    classes = known.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows"))
+    grouped = classes.join(labels.withColumnRenamed("node", "c"), "c", "left").where("label is not null or rows > 1")
+    return known, stage(grouped.withColumn("label", F.coalesce("label", "c")), "grouped-classes")
+
+
 def near_duplicates(
     docs: DataFrame,
     n: int = 5,
@@ -299,32 +332,15 @@ def near_duplicates(
     Texts are lower-cased in A-Z; their sets of distinct n-word shingles link when
     den * intersection >= num * union for ``threshold`` = (num, den). Null, empty and
     wordless texts have no shingles and are linked with nothing. Repeated rows are
-    equal texts. Null ids come after all others. Ids are whole numbers.
+    equal texts. Null ids come after all others. An empty table has no rows. Ids are
+    whole numbers.
     """
-    num, den = threshold
     texts = id_and_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    prefixed = stage(_prefixed(texts, n, num, den), "prefixed")
-    tokens = prefixed.where("n > 0").select("c", "n", F.posexplode("p1").alias("i", "token"))
-    # Most tokens belong to one class; bitmaps of the others drop them before the shuffle.
-    shared = tokens.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
-    shared = stage(shared.select("token"), "shared-tokens")
-    rows = stage(_only(tokens, "token", shared).distinct(), "shared-rows")
-    links = _links(_star_pairs(rows, None, num, den), prefixed, texts, n, num, den)
-    labels = components(links)
-    for pairs in (_star_pairs, _other_pairs):
-        more = _links(pairs(rows, labels, num, den), prefixed, texts, n, num, den)
-        links = links.unionAll(more)
-        labels = components(links)
-    known = prefixed.select("doc_id", "n", "c")
-    members = known.where("n > 0").join(labels.withColumnRenamed("node", "c"), "c", "left").select(
-        "doc_id", "n", F.coalesce("label", "c").alias("label")
-    )
-    members = stage(members, "members")
-    first = members.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return (
-        members.join(first, "label")
-        .select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-        .unionAll(known.where("n = 0").select("doc_id", "n", "doc_id"))
+    known, grouped = _grouped(texts, n, *threshold)
+    first = grouped.groupBy("label").agg(F.min("first").alias("component_id"))
+    of_class = stage(grouped.select("c", "label").join(first, "label").select("c", "component_id"), "class-components")
+    return known.join(of_class, "c", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
     )
 
 
@@ -335,13 +351,46 @@ def without_near_duplicates(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """``docs``, all columns, with the document of the smallest id of each component.
+    """``docs``, all columns, with one row of each component: that of the smallest id, null last.
 
-    Rows that share an id share its fate; rows without an id always stay.
+    Rows are told apart by id and shingle set: of different texts with one id each has the
+    fate of its own component, and of rows that agree in both one stays. Rows without
+    words, null texts included, all stay. An empty table has no rows.
     """
-    found = near_duplicates(docs, n, threshold, id_col, text_col)
-    gone = stage(found.where("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
-    ids = named(id_col).cast("long")
-    marked = marked_by_bitmaps(docs, F.xxhash64(ids), bitmaps_from(gone, F.xxhash64("doc_id")), "_suspect")
-    suspects = marked.where("_suspect").join(gone.toDF("_gone"), ids == F.col("_gone"), "left_anti")
-    return marked.where("not _suspect").unionAll(suspects).drop("_suspect")
+    whole = F.struct(*(named(c) for c in docs.columns)).alias("whole")
+    ids, text = named(id_col).cast("long").alias("doc_id"), F.coalesce(named(text_col), F.lit("")).alias("text")
+    rows = docs.select(whole, ids, text)
+    known, grouped = _grouped(rows.select("doc_id", "text"), n, *threshold)
+    first = F.struct(F.col("first").isNull().alias("none"), "first", "c")
+    keepers = grouped.groupBy("label").agg(F.min(first).alias("keeper"))
+    of_class = grouped.select("c", "label").join(keepers, "label").select("c", "keeper")
+    own = F.expr("c = keeper.c and doc_id <=> keeper.first")
+    # What goes, and of what is kept, what is there more than once.
+    fates = (
+        known.where("n > 0").join(stage(of_class, "class-keepers"), "c")
+        .groupBy("doc_id", "c").agg(F.first(own).alias("keep"), F.count(F.lit(1)).alias("times"))
+        .where("not keep or times > 1")
+    )
+    fates = stage(fates.select("doc_id", "c", "keep"), "fates")
+
+    @F.pandas_udf("long")
+    def class_of(texts: pd.Series) -> pd.Series:
+        shingler, found = Shingler(n), []
+        for _, held in _in_chunks(texts):
+            found += [class_id(s) if len(s) else None for s in shingler.sets(held)]
+        return pd.Series(found, dtype="Int64")
+
+    by_id = marked_by_bitmaps(rows, F.xxhash64("doc_id"), bitmaps_from(fates, F.xxhash64("doc_id")), "_maybe")
+    classed = by_id.where("_maybe").withColumn("c", class_of("text"))
+    both = F.xxhash64("doc_id", "c")
+    marked = marked_by_bitmaps(classed, both, bitmaps_from(fates, both), "_suspect")
+    decided = marked.where("_suspect").alias("x").join(
+        fates.alias("f"), F.expr("x.doc_id <=> f.doc_id and x.c = f.c"), "left"
+    ).select("x.whole", "x.doc_id", "x.c", "f.keep")
+    parts = [
+        by_id.where("not _maybe"),
+        marked.where("not _suspect"),
+        decided.where("keep is null"),
+        decided.where("keep").dropDuplicates(["doc_id", "c"]),
+    ]
+    return reduce(DataFrame.unionAll, (p.select("whole.*") for p in parts))

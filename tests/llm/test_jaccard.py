@@ -99,7 +99,29 @@ def test_one_document_of_each_group_stays(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, `c.x` string")
     left = jaccard.without_near_duplicates(df)
     assert left.columns == df.columns
-    assert sorted((r.doc_id or 0) for r in left.collect()) == [0, 2, 9, 10]
+    assert sorted((r.doc_id or 0) for r in left.collect()) == [2, 9, 10]
+
+
+def test_rows_are_decided_one_by_one(spark):
+    """Different texts under one id, rows without an id, repeated rows, and columns named like helpers."""
+    text = " ".join(f"w{i}" for i in range(100))
+    other = " ".join(f"v{i}" for i in range(100))
+    schema = "doc_id long, text string, _hash string, _suspect int, _bitmap_no int, _bitmap string, whole int, c int, keep int"
+    rows = [(1, text), (2, text), (2, other), (None, other), (None, "alone in the world"), (3, None), (3, None), (4, ""), (None, None)]
+    rows += [(7, other + " end"), (8, "once more " * 5), (8, "once more " * 5), (None, "no id " * 9), (None, "no id " * 9)]
+    df = spark.createDataFrame([(*r, "h", 1, 2, "b", 3, 4, 5) for r in rows], schema)
+    left = jaccard.without_near_duplicates(df)
+    assert left.columns == df.columns and {tuple(r)[2:] for r in left.collect()} == {("h", 1, 2, "b", 3, 4, 5)}
+    want = [(1, text), (2, other), (None, "alone in the world"), (3, None), (3, None), (4, ""), (None, None), (8, "once more " * 5), (None, "no id " * 9)]
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_one_token_of_a_large_component_and_a_foreign_class(spark):
+    """Only pairs across labels are made: as many as the component has classes, not their square."""
+    rows = [(5, i, 20, 0, 0) for i in range(50_000)] + [(5, 99_999_999, 20, 0, 1)]
+    known = spark.createDataFrame(rows, "token long, c long, n long, i int, label long")
+    pairs = jaccard._other_pairs(known, 80, 100)
+    assert pairs.count() == 50_000 and pairs.where("b <> 99999999").count() == 0
 
 
 def test_nulls_repeats_empty_and_clashing_columns(spark):
