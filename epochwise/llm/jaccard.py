@@ -198,23 +198,13 @@ def _ordered(a: str, b: str) -> tuple[Column, Column]:
     return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
 
-def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows with the label of their component so far; without links a class is its own.
-
-    Only classes that bitmaps do not rule out as linked are joined.
-    """
-    marked = marked_by_bitmaps(rows, F.xxhash64("c"), bitmaps_from(labels, F.xxhash64("node")), "_linked")
-    known = labels.select(F.col("node").alias("c"), "label")
-    linked = marked.where("_linked").drop("_linked").join(known, "c", "left")
-    alone = marked.where("not _linked").drop("_linked").withColumn("label", F.col("c"))
-    return linked.withColumn("label", F.coalesce("label", "c")).unionByName(alone)
-
-
 def _open(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows, with labels, of tokens whose classes are not all connected yet."""
-    known = _labelled(rows.select("token", "c", "n", "i"), labels)
+    """The rows, with labels, of tokens whose classes are not all connected yet; without links a class is its own."""
+    known = labels.select(F.col("node").alias("c"), "label")
+    known = rows.select("token", "c", "n", "i").join(known, "c", "left").withColumn("label", F.coalesce("label", "c"))
+    known = stage(known, "labelled-rows")
     mixed = known.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    return stage(_only(known, "token", stage(mixed.select("token"), "open-tokens")), "open-rows")
+    return stage(known.join(mixed.select("token"), "token", "left_semi"), "open-rows")
 
 
 def _star_pairs(known: DataFrame, num: int, den: int, second: bool) -> DataFrame:
@@ -240,18 +230,18 @@ def _other_pairs(known: DataFrame, num: int, den: int) -> DataFrame:
     """All pairs of a token's classes that no links connect yet; sizes in bands bound the comparisons.
 
     Of a pair with two labels, one at least is not its token's most frequent label: only
-    such classes are compared with all classes of the token.
+    such classes are compared with all classes of the token, each pair once.
     """
     counts = known.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k"))
     most = counts.groupBy("token").agg(F.max_by("label", F.struct("k", "label")).alias("most"))
     # Sizes of a pair differ by the factor den / num at most: the same band or a neighbouring one.
     width = 1.001 * float(np.log(den / num)) if num < den else 1e-9
-    banded = known.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / width))
-    fewer = banded.join(most, "token").where("label <> most")
+    banded = known.join(most, "token").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / width))
     near = F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("band")
-    left = _side(fewer, "a", F.col("label").alias("label_a"), near)
-    right = _side(banded, "b", F.col("label").alias("label_b"), "band")
-    pairs = left.join(right, ["token", "band"]).where((F.col("label_a") != F.col("label_b")) & _may_link(num, den))
+    left = _side(banded.where("label <> most"), "a", F.col("label").alias("label_a"), near)
+    right = _side(banded, "b", F.col("label").alias("label_b"), (F.col("label") == F.col("most")).alias("most_b"), "band")
+    once = F.expr("label_a <> label_b and (most_b or a < b)")
+    pairs = left.join(right, ["token", "band"]).where(once & _may_link(num, den))
     return pairs.select(*_ordered("a", "b")).distinct()
 
 
