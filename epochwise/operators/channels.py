@@ -21,6 +21,7 @@ from epochwise.config import Settings
 from epochwise.functions.columns import number, numbers
 from epochwise.functions.tapers import FourierPlan, fourier_plan
 from epochwise.operators.epochs import CHANNEL, EPOCH, assign_samples, centred, channel_lengths
+from epochwise.operators.tapered import tapered_epochs
 from epochwise.storage import stage
 
 CHUNK_SAMPLES = 4096
@@ -122,15 +123,8 @@ def _lane_power(plan: FourierPlan, i: int) -> str:
 
 
 def _psd(plan: FourierPlan) -> str:
-    """Scale the lanes; with several tapers, average them bin by bin."""
-    bins = len(plan.bin_scales)
-    scales = numbers(plan.bin_scales)
-    if len(plan.taper_weights) == 1:
-        return f"zip_with(lanes, {scales}, (p, scale) -> p * scale)"
-    total = " + ".join(
-        f"lanes[k + {t * bins}] * {number(w)}" for t, w in enumerate(plan.taper_weights)
-    )
-    return f"transform(sequence(0, {bins - 1}), k -> ({total}) * {scales}[k])"
+    """Scale the lanes."""
+    return f"zip_with(lanes, {numbers(plan.bin_scales)}, (p, scale) -> p * scale)"
 
 
 _KEPT = ["y_n", "y_mean", "y_square", "y_var", "d1_var", "d2_var"]
@@ -152,8 +146,11 @@ def channel_epochs(signal: DataFrame, s: Settings, spectrum: bool = True) -> Dat
     """Moments and power spectrum ``psd`` of all candidate epochs of a signal.
 
     ``psd`` is an array over ``s.bins()``, NULL for an epoch with gaps. Without
-    ``spectrum`` no weights are joined. Join the epoch table next.
+    ``spectrum`` no weights are joined; multitaper spectra are transformed in runs of
+    epochs instead (``tapered.py``). Join the epoch table next.
     """
+    if spectrum and s.method == "multitaper":
+        return tapered_epochs(signal, s)
     rows = assign_samples(with_differences(signal), s)
     if not spectrum:
         totals = _sums(rows, ["epoch_ix"], [])

@@ -8,6 +8,8 @@ window of samples per channel however long the recording is.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +27,9 @@ def recordings(channel_lengths: DataFrame, settings: Settings) -> DataFrame:
     A shorter channel gives the epochs that it fills; the others are rejects.
     """
     return channel_lengths.groupBy("SubjectID").agg(
-        F.max("rows").alias("n_samples"), F.lit(settings.rate).alias("sfreq")
+        F.max("rows").alias("n_samples"),
+        F.lit(settings.rate).alias("sfreq"),
+        F.sort_array(F.collect_set("Electrode")).alias("electrodes"),
     )
 
 
@@ -49,21 +53,25 @@ def _start(ix: Column, s: Settings) -> Column:
     return (ix * F.lit(float(s.step)) * F.lit(float(s.rate))).cast("long")
 
 
-def epoch_grid(recs: DataFrame, s: Settings) -> DataFrame:
-    """Epochs of every recording: starts 0, step, ... before (last time - window)."""
+def epoch_grid(recs: DataFrame, s: Settings, carry: Sequence[str] = ()) -> DataFrame:
+    """Epochs of every recording: starts 0, step, ... before (last time - window).
+
+    ``carry`` names columns of the recording that go along with its epochs.
+    """
     room = (F.col("n_samples") - 1) / F.lit(float(s.rate)) - F.lit(float(s.window))
     count = F.ceil(room / F.lit(float(s.step)))
-    grid = unfold(recs.select("SubjectID", count.alias("_n")), F.lit(0), F.col("_n") - 1, "epoch_ix")
+    grid = unfold(recs.select("SubjectID", *carry, count.alias("_n")), F.lit(0), F.col("_n") - 1, "epoch_ix")
     start = _start(F.col("epoch_ix"), s)
     return grid.select(
         "SubjectID",
         "epoch_ix",
         start.alias("start_sample"),
         (start + s.epoch_samples).alias("end_sample"),
+        *carry,
     )
 
 
-def _epoch_range(n: Column, s: Settings) -> tuple[Column, Column]:
+def epoch_range(n: Column, s: Settings) -> tuple[Column, Column]:
     """First and last epoch number whose window may hold sample ``n``."""
     # Steps that floats hold exactly need no margin for the truncated product.
     exact = all(float(v).as_integer_ratio()[1] <= 1 << 16 for v in (s.step, s.rate))
@@ -80,7 +88,7 @@ def assign_samples(signal: DataFrame, s: Settings) -> DataFrame:
     The epochs may reach past the last one of the recording; joining the epoch
     table later removes those. ``j`` is the place inside the epoch.
     """
-    low, high = _epoch_range(F.col("n"), s)
+    low, high = epoch_range(F.col("n"), s)
     j = F.col("n") - _start(F.col("epoch_ix"), s)
     return (
         signal.withColumn("_low", low)
@@ -93,6 +101,51 @@ def assign_samples(signal: DataFrame, s: Settings) -> DataFrame:
     )
 
 
+def epoch_lines(signal: DataFrame, s: Settings) -> DataFrame:
+    """Least-squares line (``slope``, ``level``) of each channel in the epochs that it fills.
+
+    Spark merges the co-moments of parts of an epoch, so samples are added up where
+    they are read and only one row of moments per part is shuffled. Channels with gaps
+    or an early end have no line there.
+    """
+    known = signal.where("n IS NOT NULL AND x IS NOT NULL")
+    fits = assign_samples(known, s).groupBy(*CHANNEL).agg(
+        F.count("x").alias("_held"),
+        F.regr_slope("x", "j").alias("slope"),
+        F.regr_intercept("x", "j").alias("level"),
+    )
+    return fits.where(F.col("_held") == s.epoch_samples).drop("_held")
+
+
+def residuals(signal: DataFrame, lines: DataFrame, s: Settings) -> DataFrame:
+    """Samples ``y`` without the line of their epoch, one row per sample of each line.
+
+    Lines go to the stretches of samples that they cover, a few per stretch, and the
+    samples shuffle once to meet them there; they are multiplied by their epochs only
+    behind that. Other columns of ``lines`` go along.
+    """
+    width = s.epoch_samples
+    own = [c for c in lines.columns if c not in ("SubjectID", "Electrode")]
+    begun = lines.withColumn("start", _start(F.col("epoch_ix"), s))
+    last = F.floor((F.col("start") + (width - 1)) / width)
+    part = ["SubjectID", "Electrode", "part"]
+    held = (
+        begun.withColumn("part", F.explode(F.sequence(F.floor(F.col("start") / width), last)))
+        .groupBy(*part)
+        .agg(F.collect_list(F.struct("start", *own)).alias("lines"))
+    )
+    known = signal.where("n IS NOT NULL AND x IS NOT NULL").select("SubjectID", "Electrode", "n", "x")
+    # Unfolded from few rows, the lines look smaller than they are.
+    met = known.withColumn("part", F.floor(F.col("n") / width)).join(held.hint("merge"), part)
+    placed = met.select("SubjectID", "Electrode", "n", "x", F.inline("lines")).withColumn(
+        "j", (F.col("n") - F.col("start")).cast("int")
+    )
+    return placed.where((F.col("j") >= 0) & (F.col("j") < width)).select(
+        "SubjectID", "Electrode", *[c for c in own if c not in ("slope", "level")], "n", "j", "x",
+        (F.col("x") - (F.col("slope") * F.col("j") + F.col("level"))).alias("y"),
+    )
+
+
 def gather(samples: DataFrame) -> DataFrame:
     """An epoch's channels in one place."""
     return samples.select(*CHANNEL, "n", "j", "x").repartition(*EPOCH)
@@ -174,10 +227,10 @@ def renumber(survivors: DataFrame) -> DataFrame:
 
 
 def epoch_table(
-    recs: DataFrame, s: Settings, annotations: DataFrame | None = None
+    recs: DataFrame, s: Settings, annotations: DataFrame | None = None, carry: Sequence[str] = ()
 ) -> DataFrame:
     """Surviving epochs with their final names; without annotations none is dropped."""
-    grid = epoch_grid(recs, s)
+    grid = epoch_grid(recs, s, carry)
     if annotations is None:
         return named(grid.withColumn("epoch_no", F.col("epoch_ix")))
     return renumber(reject(grid, touched_epochs(bad_spans(mark_bad(annotations)), s)))

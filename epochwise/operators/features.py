@@ -118,13 +118,14 @@ def per_rate(
     return out
 
 
-def feature_rejects(
-    channels: DataFrame, epochs: DataFrame, lengths: DataFrame, s: Settings
-) -> DataFrame:
-    """Channels of surviving epochs that cannot give all features, with the reason."""
+def feature_rejects(channels: DataFrame, epochs: DataFrame, s: Settings) -> DataFrame:
+    """Channels of surviving epochs that cannot give all features, with the reason.
+
+    The epochs carry the ``electrodes`` of their recording, so a long recording is not
+    one key of a join.
+    """
+    expected = epochs.select(*EPOCH, "EpochID", F.explode("electrodes").alias("Electrode"))
     # The epoch table is unfolded, so its estimated size must not make it broadcast.
-    names = lengths.select("SubjectID", "Electrode").hint("merge")
-    expected = epochs.join(names, "SubjectID")
     found = channels.select(*EPOCH, "Electrode", "y_n", "y_var")
     reason = (
         F.when(F.col("y_n").isNull(), "no samples")
@@ -132,7 +133,7 @@ def feature_rejects(
         .when(F.col("y_var") == 0, "flat channel")
     )
     return (
-        expected.join(found, [*EPOCH, "Electrode"], "left")
+        expected.join(found.hint("merge"), [*EPOCH, "Electrode"], "left")
         .select("SubjectID", "EpochID", "Electrode", reason.alias("reason"))
         .where("reason is not null")
     )

@@ -5,6 +5,8 @@ Variances are population variances. A ratio with a zero divisor is NULL.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,8 +49,20 @@ def epoch_stats(channels: DataFrame) -> DataFrame:
     return channels.groupBy(*EPOCH).agg(*epoch_statistics())
 
 
-def shape_moments(detrended: DataFrame) -> DataFrame:
-    """Population skewness and excess kurtosis of each channel in each epoch."""
-    return detrended.groupBy(*CHANNEL).agg(
+def band_hjorth(channels: DataFrame, bands: Sequence[str]) -> DataFrame:
+    """Long rows of the unfiltered channel's ratios, once per band; no spectrum is needed."""
+    names = ", ".join(f"'{b}'" for b in bands)
+    ratios = ("HjorthMobility", "HjorthComplexity", "HjorthIndex")
+    pairs = ", ".join(f"struct('{r}' AS FeatureName, {r} AS FeatureValue)" for r in ratios)
+    rows = hjorth(channels).selectExpr("*", f"explode(array({names})) AS WaveBand")
+    return rows.selectExpr("SubjectID", "EpochID", "Electrode", "WaveBand", f"inline(array({pairs}))")
+
+
+def shape_moments(detrended: DataFrame, keys: Sequence[str] = CHANNEL) -> DataFrame:
+    """Population skewness and excess kurtosis of each channel in each epoch.
+
+    Moments of parts of an epoch are merged, so no sample needs to move for them.
+    """
+    return detrended.groupBy(*keys).agg(
         F.skewness("y").alias("Skewness"), F.kurtosis("y").alias("Kurtosis")
     )

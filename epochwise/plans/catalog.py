@@ -77,8 +77,8 @@ def _channels(r: tables.Recorded, spectrum: bool = True) -> DataFrame:
 
 
 def _detrended(r: tables.Recorded) -> DataFrame:
-    gathered = epochs.gather(epochs.assign_samples(r.signal, r.settings))
-    return epochs.detrend(epochs.whole(gathered, r.settings))
+    lines = epochs.keep_epochs(epochs.epoch_lines(r.signal, r.settings), _epochs(r))
+    return epochs.residuals(r.signal, lines, r.settings)
 
 
 def _long(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,8 +165,7 @@ def epoch_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def epoch_detrended(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = tables.event_recordings(spark, sf_dir)
-    kept = epochs.keep_epochs(_detrended(r), _epochs(r))
-    return _round(kept.select("SubjectID", "EpochID", "Electrode", "j", "y"), ["y"])
+    return _round(_detrended(r).select("SubjectID", "EpochID", "Electrode", "j", "y"), ["y"])
 
 
 @query
@@ -283,16 +282,15 @@ def hjorth_electrode(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hjorth_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The unfiltered channel's values, once per band."""
     r = tables.event_recordings(spark, sf_dir)
-    rows = features.feature_long(r.signal, _epochs(r), r.settings, ["band"])
-    kept = rows.where(F.col("FeatureName").isin(_HJORTH)).drop("table_type")
-    return _round(kept, ["FeatureValue"])
+    rows = temporal.band_hjorth(_channels(r, spectrum=False), [b.name for b in r.settings.bands])
+    return _round(rows, ["FeatureValue"])
 
 
 @query
 def moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = tables.event_recordings(spark, sf_dir)
-    kept = epochs.keep_epochs(temporal.shape_moments(_detrended(r)), _epochs(r))
-    return _round(kept.drop("epoch_ix"), ["Skewness", "Kurtosis"])
+    shapes = temporal.shape_moments(_detrended(r), ["SubjectID", "EpochID", "Electrode"])
+    return _round(shapes, ["Skewness", "Kurtosis"])
 
 
 # --- the feature table ---------------------------------------------------------------
@@ -307,9 +305,9 @@ def feature_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 def feature_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Channels that lack samples of an epoch, or are flat in it."""
     r = tables.event_recordings(spark, sf_dir)
-    ep = epochs.epoch_table(r.recs, r.settings)
+    ep = epochs.epoch_table(r.recs, r.settings, carry=["electrodes"])
     found = channels.channel_epochs(r.signal, r.settings, spectrum=False)
-    return features.feature_rejects(found, ep, r.lengths, r.settings)
+    return features.feature_rejects(found, ep, r.settings)
 
 
 @query

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from epochwise.config import Settings
 from epochwise.operators import components, effects, normalize, reshape
 from epochwise.operators.channels import channel_epochs
 from epochwise.operators.epochs import centred, channel_lengths, epoch_table, recordings
-from epochwise.operators.features import LEVELS, feature_long, feature_rejects
+from epochwise.operators.features import LEVELS, feature_long, feature_rejects, feature_rows
 from epochwise.sources.feature_store import append_manifest, read_features, write_features
 from epochwise.storage import stage
 
@@ -36,13 +37,14 @@ def extract_to(
     """Extract, store and log a feature table; returns the stored table.
 
     Channels that cannot give all features of an epoch are stored beside it, in
-    ``path`` with ``-rejects``, with the reason.
+    ``path`` with ``-rejects``, with the reason. Both come from one written table of all
+    channels in all candidate epochs, so the samples are summed up once.
     """
-    write_features(extract(signal, s, annotations), path)
     lengths = stage(channel_lengths(signal), "lengths")
-    epochs = epoch_table(recordings(lengths, s), s, annotations)
-    found = channel_epochs(centred(signal, lengths), s, spectrum=False)
-    feature_rejects(found, epochs, lengths, s).write.mode("overwrite").parquet(f"{path}-rejects")
+    found = stage(channel_epochs(centred(signal, lengths), s), "channel-epochs")
+    kept = stage(epoch_table(recordings(lengths, s), s, annotations, ["electrodes"]), "epochs")
+    write_features(feature_rows(found.where(F.col("y_n") == s.epoch_samples), kept, s), path)
+    feature_rejects(found, kept, s).write.mode("overwrite").parquet(f"{path}-rejects")
     stored = read_features(signal.sparkSession, path)
     append_manifest(stored, path, s, log_path)
     return stored

@@ -97,10 +97,8 @@ def test_rejects_name_the_reason(spark):
             ("a", "flat"): [2.0] * 80}
     signal = signal_of(spark, data)
     lengths = epochs.channel_lengths(signal)
-    longest = lengths.groupBy("SubjectID").agg(F.max("rows").alias("n_samples"))
-    found = features.feature_rejects(
-        channels.channel_epochs(signal, S, spectrum=False), epochs.epoch_table(longest, S), lengths, S
-    )
+    expected = epochs.epoch_table(epochs.recordings(lengths, S), S, carry=["electrodes"])
+    found = features.feature_rejects(channels.channel_epochs(signal, S, spectrum=False), expected, S)
     got = {(r["EpochID"], r["Electrode"]): r["reason"] for r in found.collect()}
     assert got == {
         ("ep-0", "flat"): "flat channel", ("ep-1", "flat"): "flat channel",
