@@ -63,6 +63,11 @@ class MergeTable:
         keys = pairs[:, 0] * self.width + pairs[:, 1]
         order = np.argsort(keys, kind="stable")
         self.keys, self.rank, self.joined = keys[order], order.astype(np.int32), pairs[order, 2]
+        # Joining all places of the lowest pair at once needs that what a merge makes has later pairs only.
+        made = np.full(self.width, -1, dtype=np.int64)
+        np.maximum.at(made, pairs[:, 2], np.arange(len(pairs)))
+        if (made[pairs[:, :2]] >= np.arange(len(pairs))[:, None]).any():
+            raise ValueError(f"{path}: a pair ranks before the merge that makes its part")
         # Special strings stand for one token each; the longest wins where several begin.
         self.special = sorted((a["content"] for a in told["added_tokens"]), key=len, reverse=True)
 
