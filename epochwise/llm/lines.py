@@ -21,8 +21,6 @@ from epochwise.llm.common import SPACE_CHARS, bitmaps_from, marked_by_bitmaps, n
 from epochwise.storage import stage
 
 MIN_SITES = 5
-# Shorter lines (headings, single words) are never boilerplate.
-MIN_CHARS = 30
 _LOG_REGISTERS = 12
 # Estimates within this share of the threshold are counted exactly; the sketch's error is 1.6 %.
 _NEAR = 0.25
@@ -33,8 +31,8 @@ def _trimmed(line: Column) -> Column:
 
 
 def _hash(line: Column) -> Column:
-    """Hash of a line that is long enough, else null."""
-    return F.when(F.length(_trimmed(line)) >= MIN_CHARS, F.xxhash64(_trimmed(line)))
+    """Hash of a line with a word, else null."""
+    return F.when(_trimmed(line) != "", F.xxhash64(_trimmed(line)))
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
@@ -74,10 +72,10 @@ def without_boilerplate(
 ) -> DataFrame:
     """doc_id, n_lines, n_removed and the text without lines that are spread over many sites.
 
-    Lines are cut at newlines, compared without white space around them, and count from
-    ``MIN_CHARS`` characters on. Every occurrence goes; other lines keep their order and
-    their bytes. A null text is an empty one (one empty line); null ids and repeated
-    rows stay as they are.
+    Lines are cut at newlines and compared without white space around them. Every
+    occurrence goes, short lines too; lines without a word always stay. Other lines keep
+    their order and their bytes. A null text is an empty one (one empty line); null ids
+    and repeated rows stay as they are; an empty table gives an empty one.
     """
     rows = _rows(docs, id_col, text_col, site_col)
     lines = stage(boilerplate(rows, min_sites), "boilerplate")

@@ -67,7 +67,7 @@ WITH texts AS (
   SELECT doc_id, coalesce(source, '') AS site, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 every AS (SELECT site, {_TRIM.format('l')} AS line FROM (SELECT site, unnest(ls) AS l FROM texts)),
 bad AS (
-  SELECT line FROM every WHERE length(line) >= {lines.MIN_CHARS}
+  SELECT line FROM every WHERE line <> ''
   GROUP BY line HAVING count(DISTINCT site) >= {lines.MIN_SITES}),
 placed AS (SELECT doc_id, unnest(ls) AS l, generate_subscripts(ls, 1) AS i FROM texts)
 SELECT doc_id, count(*) AS n_lines, count(bad.line) AS n_removed,

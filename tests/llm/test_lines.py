@@ -14,7 +14,7 @@ def by_hand(rows, min_sites):
     out = []
     for i, text, _ in rows:
         own = (text or "").split("\n")
-        kept = [x for x in own if len(x.strip(SPACE)) < lines.MIN_CHARS or len(sites[x.strip(SPACE)]) < min_sites]
+        kept = [x for x in own if not x.strip(SPACE) or len(sites[x.strip(SPACE)]) < min_sites]
         out.append((i, len(own), len(own) - len(kept), "\n".join(kept)))
     return sorted(out, key=repr)
 
@@ -38,6 +38,13 @@ def test_matches_brute_force(spark):
         assert got == by_hand(rows, least)
 
 
+def test_short_lines_go_and_blank_lines_stay(spark):
+    text = "All rights reserved.\n\n \t\nown {}\n a "
+    df = spark.createDataFrame([(i, text.format(i), f"s{i}") for i in range(6)], "doc_id long, text string, source string")
+    got = sorted(tuple(r) for r in lines.without_boilerplate(df, 5).collect())
+    assert got == [(i, 5, 2, f"\n \t\nown {i}") for i in range(6)]
+
+
 def test_empty_and_clashing_columns(spark):
     schema = "doc_id long, text string, source string, line string, bad int"
     assert lines.without_boilerplate(spark.createDataFrame([], schema)).count() == 0
