@@ -12,12 +12,13 @@ from __future__ import annotations
 import json
 import zlib
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from heapq import heappop, heappush
-from unicodedata import is_normalized
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -26,17 +27,13 @@ from epochwise.llm.common import id_and_text
 from epochwise.operators.numbering import number_by_chunk
 from epochwise.storage import stage
 
-# Words whose ids are remembered in a worker at most; then afresh.
-_REMEMBERED = 200_000
-# Likewise parts of words; new ones cost a call of the library.
+# Parts of words whose ids are remembered in a worker at most; then afresh.
 _PARTS = 400_000
 _REMEMBERED_CHARS = 40
 # Punctuation that is looked up apart from the letters before it.
 _TAIL = ".,;:!?|"
-# Characters of text held at once.
-_CHUNK_CHARS = 1_000_000
-# Rows of an Arrow batch worked on at once.
-_SLICE_ROWS = 500
+# Bytes of text worked on at once; one row at least.
+_SLICE_BYTES = 3_000_000
 # Rows of one numbering chunk: 2 ** _CHUNK_BITS neighbours of a written part.
 _CHUNK_BITS = 16
 
@@ -52,6 +49,7 @@ class Traits:
 
     def __init__(self, told: str) -> None:
         self.told = told
+        self._encoder: Encoder | None = None
         parts = json.loads(told)
         pre = (parts["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
         kinds = [n["type"] for n in (parts["normalizer"] or {}).get("normalizers", [])]
@@ -70,22 +68,47 @@ class Traits:
         if suffix:
             self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
 
+    def encoder(self) -> Encoder:
+        """The encoder of this process; a worker keeps it, and what it remembers, from task to task."""
+        if self._encoder is None:
+            self._encoder = Encoder(self)
+        return self._encoder
+
+
+class Ragged:
+    """Growing lists of ids by string: where each begins in one array, and its length."""
+
+    def __init__(self) -> None:
+        self.numbers = {"": 0}
+        self.begin, self.length = np.zeros(1, dtype=np.int32), np.zeros(1, dtype=np.int32)
+        self.flat = np.zeros(0, dtype="<u4")
+
+    def add(self, strings: list[str], ids: list[bytes]) -> None:
+        self.numbers.update(zip(strings, range(len(self.length), len(self.length) + len(strings)), strict=True))
+        self.begin, self.length, self.flat = self.grown(ids)
+
+    def grown(self, ids: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """begin, length and flat with these lists behind the own ones."""
+        sizes = np.fromiter((len(x) // 4 for x in ids), dtype=np.int32, count=len(ids))
+        begin = (len(self.flat) + np.cumsum(sizes) - sizes).astype(np.int32)
+        flat = np.frombuffer(b"".join(ids), dtype="<u4")
+        return np.r_[self.begin, begin], np.r_[self.length, sizes], np.concatenate([self.flat, flat])
+
 
 class Encoder:
-    """Ids of whole texts by the library, as little-endian 32-bit bytes.
+    """Ids of whole texts as the library gives them.
 
     Where the vocabulary drops white space, a text's ids are those of its
     space-separated words one after another, and the ids of letters followed by
-    punctuation are those of both parts. New words are encoded by the library in
-    one call and remembered.
+    punctuation are those of both parts. Arrow splits the texts and numbers their
+    distinct words, and the distinct parts of these; only parts not met before are
+    encoded by the library, in one call, and remembered.
     """
 
     def __init__(self, traits: Traits) -> None:
         self.tokenizer = Tokenizer.from_str(traits.told)
         self.by_words, self.special, self.ends = traits.by_words, traits.special, traits.ends
-        self.known: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
+        self.parts = Ragged()
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -107,57 +130,90 @@ class Encoder:
             return self._marked(stems)
         return [joined[a:b].tobytes() for a, b in zip([0, *ends], ends, strict=False)]
 
-    @staticmethod
-    def _plain(stem: str, low: str) -> bool:
-        """Whether ``low`` is what the library makes of a stem; a final sigma depends on the context."""
-        return len(low) == len(stem) and "Σ" not in stem and is_normalized("NFC", stem)
-
-    def _learn(self, new: list[str]) -> dict[str, bytes]:
-        """Ids of new words; letters with punctuation behind them are two parts."""
-        parts, other, odd = {}, [], []
-        for word in new:
-            stem = word.rstrip(_TAIL)
-            low = stem.lower()
-            if low.isalpha() and (low.isascii() or self._plain(stem, low)):
-                parts[word] = low, word[len(stem) :]
-            elif any(s[:2] in word for s in self.special):
-                odd.append(word)
-            else:
-                other.append(word)
-        stems = list({low for low, _ in parts.values()} - self.stems.keys())
-        if stems:
-            self.stems.update(zip(stems, self._spaced(stems), strict=True))
-        tails = list({tail for _, tail in parts.values()} - self.tails.keys())
-        if tails:
-            self.tails.update(zip(tails, self._library(tails), strict=True))
-        found = {word: self.stems[low] + self.tails[tail] for word, (low, tail) in parts.items()}
-        found.update(zip(other, self._marked(other) if other else [], strict=True))
-        found.update(zip(odd, self._library(odd) if odd else [], strict=True))
-        return found
-
-    def _flush(self, held: list[list[str]]) -> Iterator[bytes]:
-        extra = {}
-        for word, ids in self._learn(list({w for words in held for w in words} - self.known.keys())).items():
-            (self.known if len(word) <= _REMEMBERED_CHARS else extra)[word] = ids
-        known = self.known | extra if extra else self.known
-        for words in held:
-            yield b"".join(map(known.__getitem__, words))
-        if len(self.known) > _REMEMBERED:
-            self.known.clear()
-        if len(self.stems) + len(self.tails) > _PARTS:
-            self.stems.clear()
-            self.tails.clear()
+    def _learn_stems(self, new: list[str]) -> list[bytes]:
+        return self._spaced([s.lower() for s in new])
+
+    def _learn_words(self, new: list[str]) -> list[bytes]:
+        """Ids of words of any kind; those that may hold a special string each for itself."""
+        odd = [any(s[:2] in word for s in self.special) for word in new]
+        plain = [w for w, o in zip(new, odd, strict=True) if not o]
+        marked = iter(self._marked(plain) if plain else [])
+        alone = iter(self._library([w for w, o in zip(new, odd, strict=True) if o]))
+        return [next(alone) if o else next(marked) for o in odd]
+
+    def _numbered(self, strings: pa.Array, learn: Callable[[list[str]], list[bytes]]) -> np.ndarray:
+        """Numbers of parts of words; new ones are learnt first."""
+        coded = strings.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        new = [s for s in distinct if s not in self.parts.numbers]
+        if new:
+            self.parts.add(new, learn(new))
+        numbers = np.fromiter(map(self.parts.numbers.__getitem__, distinct), dtype=np.int64, count=len(distinct))
+        return numbers[coded.indices.to_numpy()]
+
+    def _word_parts(self, words: pa.Array) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+        """Two part numbers for each distinct word, and the arrays that they point into."""
+        if len(self.parts.numbers) > _PARTS:
+            self.parts = Ragged()
+        # The vocabulary normalises first; ASCII words come first here, and are normal already.
+        basic = pc.string_is_ascii(words)
+        order = np.r_[tuple(np.flatnonzero(a.to_numpy(zero_copy_only=False)) for a in (basic, pc.invert(basic)))]
+        foreign = [normalize("NFC", w) for w in words.filter(pc.invert(basic)).to_pylist()]
+        normal = pa.concat_arrays([words.filter(basic), pa.array(foreign, pa.string())])
+        stems = pc.utf8_rtrim(normal, _TAIL)
+        # What lowering makes of letters must not depend on their neighbours.
+        odd = pc.or_(pc.match_substring(stems, "Σ"), pc.match_substring(stems, "İ"))
+        size = pc.binary_length(stems).to_numpy()
+        behind = pc.binary_length(normal).to_numpy() - size
+        split = pc.and_not(pc.utf8_is_alpha(stems), odd).to_numpy(zero_copy_only=False)
+        split &= (behind <= 1) & (size <= 2 * _REMEMBERED_CHARS)
+        found = np.zeros((len(words), 2), dtype=np.int32)
+        found[order[split], 0] = self._numbered(pc.ascii_lower(stems.filter(pa.array(split))), self._learn_stems)
+        tailed = split & (behind == 1)
+        tails = pc.utf8_slice_codeunits(normal.filter(pa.array(tailed)), -1)
+        found[order[tailed], 1] = self._numbered(tails, self._library)
+        rest = np.sort(order[~split])
+        others = words.take(pa.array(rest))
+        short = pc.less_equal(pc.utf8_length(others), _REMEMBERED_CHARS).to_numpy(zero_copy_only=False)
+        found[rest[short], 0] = self._numbered(others.filter(pa.array(short)), self._learn_words)
+        long = others.filter(pa.array(~short)).to_pylist()
+        found[rest[~short], 0] = len(self.parts.length) + np.arange(len(long))
+        return found, self.parts.grown(self._learn_words(long))
+
+    def slice_ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in one array, and where each text ends in it."""
+        if not self.by_words:
+            ids = self._library(texts.to_pylist())
+            ends = np.cumsum([len(x) // 4 for x in ids], dtype=np.int64)
+            return np.frombuffer(b"".join(ids), dtype="<u4"), ends
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        held = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False), dtype=np.int64)
+        coded = split.flatten().dictionary_encode()
+        of_word, (begin, length, flat) = self._word_parts(coded.dictionary)
+        parts = of_word[coded.indices.to_numpy()].ravel()
+        sizes = length[parts]
+        after = np.cumsum(sizes)
+        ends = np.r_[0, after][2 * held]
+        # Place of every id in ``flat``: where its part begins, and how far inside it is.
+        places = np.repeat((begin[parts] - (after - sizes)).astype(np.int32), sizes)
+        places += np.arange(len(places), dtype=np.int32)
+        return flat[places], ends
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
-        held, chars = [], 0
-        for text in texts:
-            held.append(text.replace("\n", " ").split(" ") if self.by_words else text)
-            chars += len(text)
-            if chars >= _CHUNK_CHARS:
-                yield from self._flush(held) if self.by_words else self._library(held)
-                held, chars = [], 0
-        if held:
-            yield from self._flush(held) if self.by_words else self._library(held)
+        ids, ends = self.slice_ids(pa.array(list(texts), pa.string()))
+        for begin, end in zip(np.r_[0, ends][:-1].tolist(), ends.tolist(), strict=True):
+            yield ids[begin:end].tobytes()
+
+
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about ``_SLICE_BYTES`` of text; a longer row is alone or last."""
+    bytes_ = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(texts):
+        before = bytes_[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(bytes_, before + _SLICE_BYTES, side="right")))
+        yield at, stop
+        at = stop
 
 
 def pieces(
@@ -177,17 +233,21 @@ def pieces(
     ])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(traits.value)
+        encoder = traits.value.encoder()
         for batch in batches:
-            # A few rows at a time: only they exist as Python strings.
-            for at in range(0, batch.num_rows, _SLICE_ROWS):
-                doc_ids, texts = (c.to_pylist() for c in batch.slice(at, _SLICE_ROWS).columns)
-                rows = []
-                for doc_id, ids in zip(doc_ids, encoder.encode(texts), strict=True):
-                    ids += tail
-                    for piece, begin in enumerate(range(0, len(ids), 4 * capacity)):
-                        part = ids[begin : begin + 4 * capacity]
-                        rows.append((doc_id, piece, begin // 4, len(part) // 4, zlib.crc32(part)))
+            doc_ids, texts = batch.columns
+            for at, stop in _slices(texts):
+                ids, ends = encoder.slice_ids(texts.slice(at, stop - at))
+                rows, begin = [], 0
+                for doc_id, end in zip(doc_ids.slice(at, stop - at).to_pylist(), ends.tolist(), strict=True):
+                    size = end - begin + 1
+                    for piece, start in enumerate(range(0, size, capacity)):
+                        stretch = min(capacity, size - start)
+                        crc = zlib.crc32(ids[begin + start : min(begin + start + stretch, end)])
+                        if start + stretch == size:
+                            crc = zlib.crc32(tail, crc)
+                        rows.append((doc_id, piece, start, stretch, crc))
+                    begin = end
                 columns = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, type=k.type) for c, k in zip(columns, kinds, strict=True)], schema=kinds

@@ -125,3 +125,29 @@ def test_nulls_repeats_and_clashing_columns(spark):
     assert sorted((r.doc_id or 0, r.length) for r in got) == [(0, 3), (1, 1), (2, 1), (3, 3), (3, 3)]
     assert {r.sequence_id for r in got} == {0}
     assert sorted(r.offset for r in got) == [0, 3, 6, 9, 10]
+
+
+def test_words_that_normalising_or_lowering_changes(encoder):
+    """Words split into letters and tail, alone and among others, over many small calls."""
+    odd = ["K", "क़", "Ωa", "İ", "été", "豈", "가", "ΑΣ", "Σ", "ǅ", "ﬁ", "힣", "ß", "é" * 45, "a" * 41, "a" * 90]
+    tails = ["", ".", ",", "..", "!?", "|", "̸", "'s", "'", "<", "<|endoftext|>", "1"]
+    words = [w + t for w in odd for t in tails] + [t + w for w in odd for t in tails]
+    texts = [*words, " ".join(words), "\n".join(reversed(words)), "  ".join(words) + " "]
+    assert encoded(encoder, texts) == library_ids(texts)
+    for at in range(0, len(texts), 7):
+        assert encoded(encoder, texts[at : at + 7]) == library_ids(texts[at : at + 7])
+
+
+def test_remembered_parts_start_afresh(encoder, monkeypatch):
+    monkeypatch.setattr(packing, "_PARTS", 5)
+    texts = ["one two, three. 4 five", "five, six seven. one", "eight! nine ten two"] * 3
+    for text in texts:
+        assert encoded(encoder, [text]) == library_ids([text])
+
+
+def test_slices_hold_whole_rows(monkeypatch):
+    monkeypatch.setattr(packing, "_SLICE_BYTES", 10)
+    texts = packing.pa.array(["", "abc", "x" * 50, "", "éé", "abcdef", "ab"])
+    parts = list(packing._slices(texts))
+    assert [a for a, _ in parts] == [0, *[b for _, b in parts[:-1]]] and parts[-1][1] == len(texts)
+    assert all(b - a == 1 or packing.pc.sum(packing.pc.binary_length(texts.slice(a, b - a))).as_py() <= 10 for a, b in parts)
