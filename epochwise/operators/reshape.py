@@ -99,7 +99,10 @@ def band_power_rows(rows: DataFrame) -> DataFrame:
 
 
 def melt(df: DataFrame, cols: Sequence[str], feature: str = "pivot") -> DataFrame:
-    """One row per epoch and feature; values become double."""
+    """One row per epoch and feature; values become double. No features give no rows."""
+    if not cols:
+        nothing = (F.lit(None).cast("string").alias(feature), F.lit(None).cast("double").alias("value"))
+        return df.select(*KEYS, *nothing).where(F.lit(False))
     ready = df.selectExpr(*KEYS, *[f"double({quoted(c)}) AS {quoted(c)}" for c in cols])
     return ready.unpivot(KEYS, [name(c) for c in cols], feature, "value")
 

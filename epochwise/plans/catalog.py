@@ -472,7 +472,7 @@ def effect_size_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def minmax_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = tables.embedding_matrix(spark, sf_dir)
-    scaled, kept = flows.select_by_effect(wide, VECTOR_FEATURES, EFFECT_LIMIT)
+    scaled, kept = flows.select_by_effect(wide, VECTOR_FEATURES, EFFECT_LIMIT, may_be_none=True)
     return _round(reshape.melt(scaled, kept), ["value"])
 
 

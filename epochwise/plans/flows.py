@@ -72,11 +72,16 @@ def reduce_with_pca(
 
 
 def select_by_effect(
-    df: DataFrame, cols: Sequence[str], threshold: float = effects.THRESHOLD
+    df: DataFrame, cols: Sequence[str], threshold: float = effects.THRESHOLD, may_be_none: bool = False
 ) -> tuple[DataFrame, list[str]]:
-    """Keep strong features and scale them to [-1, 1]: (matrix, kept columns)."""
+    """Keep strong features and scale them to [-1, 1]: (matrix, kept columns).
+
+    Where no feature is strong, that is an error, or with ``may_be_none`` a matrix of keys only.
+    """
     kept = effects.strong_names(effects.effect_size(reshape.melt(df, cols)), threshold)
     if not kept:
+        if may_be_none:
+            return df.select(*reshape.KEYS), kept
         raise ValueError(f"no feature has an effect above {threshold}")
     chosen = df.select(*reshape.KEYS, *kept)
     return normalize.minmax_global(chosen, chosen, kept)[0], kept

@@ -5,7 +5,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from epochwise.operators import components, effects, normalize, reshape
-from epochwise.plans import flows
+from epochwise.plans import catalog, flows
 
 COLS = ["a.b", "c", "k"]
 
@@ -148,6 +148,18 @@ def test_selected_features_are_scaled(spark):
         flows.select_by_effect(spark.createDataFrame(separable()), ["noise"], 5.0)
 
 
+def test_no_strong_feature_gives_no_rows(spark, tmp_path):
+    """Both labels have the same vectors: no component has an effect, which is a result and not an error."""
+    rows = [(i, [float((i // 2) % 7 + j) for j in range(64)], i % 2) for i in range(56)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    vectors.write.parquet(str(tmp_path / "embeddings.parquet"))
+    found = catalog.QUERIES["minmax_selected"](spark, str(tmp_path))
+    assert found.dtypes == [(c, "string") for c in ("SubjectID", "EpochID")] + [
+        ("label", "int"), ("pivot", "string"), ("value", "double")
+    ]
+    assert found.count() == 0
+
+
 def test_components_match_numpy(spark):
     pdf = separable()
     cols = ["good", "noise", "copy"]
