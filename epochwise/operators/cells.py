@@ -31,7 +31,12 @@ MAX_PIVOT_NUMBERS = 2_000_000
 # Rows of a bundle, queries that meet it in one task, and distances held at once.
 BLOCK_ROWS = 32_768
 LEAST_ROWS = 256
-TILE_NUMBERS = 8_000_000
+TILE_NUMBERS = 262_144
+# Numbers that stay in the cache while components are added up, and pairs whose exact distances are taken at once.
+CACHE_NUMBERS = 32_768
+PAIRS = 32_768
+# Share of a tile's pairs beyond which the k-th nearest of the tile is looked for.
+MANY = 1 / 16
 
 _KEYS = ["metric", "bundle", "sub", "qb"]
 _REF = "metric string, bundle int, cell int, away double, key string, label int, grp string, values array<double>"
@@ -39,27 +44,79 @@ _VISIT = "metric string, bundle int, home boolean, key string, label int, grp st
 
 
 def matrix(values: pd.Series) -> np.ndarray:
-    return np.stack(values.to_numpy()).astype(float)
+    return np.stack(values.to_numpy()).astype(float, copy=False)
 
 
 def _squared(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Squared distances by the expanded form, with a bound of its error per row."""
     aa, bb = np.einsum("ij,ij->i", a, a), np.einsum("ij,ij->i", b, b)
-    d = aa[:, None] + bb[None, :] - 2.0 * (a @ b.T)
+    d = (a * -2.0) @ b.T
+    d += aa[:, None]
+    d += bb
     slack = 16 * a.shape[1] * np.finfo(float).eps * (aa + bb.max(initial=0.0))
     return d, slack
 
 
 def _absolute(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    d = np.zeros((len(a), len(b)))
-    for i in range(a.shape[1]):
-        d += np.abs(a[:, i : i + 1] - b[None, :, i])
+    d, columns = np.zeros((len(a), len(b))), np.ascontiguousarray(b.T)
+    step = max(1, CACHE_NUMBERS // max(len(b), 1))
+    for at in range(0, len(a), step):
+        some, total = a[at : at + step], d[at : at + step]
+        gap = np.empty_like(total)
+        for i in range(a.shape[1]):
+            np.subtract(some[:, i : i + 1], columns[i], out=gap)
+            np.abs(gap, out=gap)
+            total += gap
     return d, 16 * a.shape[1] * np.finfo(float).eps * d.max(axis=1, initial=0.0)
 
 
 ROUGH = {"euclidean": _squared, "manhattan": _absolute}
 
 
+class Steps:
+    """Manhattan distances of rows in whole steps: |x - y| summed is x + y less twice the smaller of both.
+
+    Sums of the smaller ones are taken in 16 bits, four times as many at once as doubles.
+    Every component is off by half a step at most, so the error of a distance has a bound.
+    """
+
+    COMPONENTS = 64  # that one 16-bit sum can hold
+
+    def __init__(self, a: np.ndarray, b: np.ndarray):
+        low = np.minimum(a.min(axis=0), b.min(axis=0))
+        high = np.maximum(a.max(axis=0), b.max(axis=0))
+        width = a.shape[1]
+        with np.errstate(over="ignore", invalid="ignore"):
+            spread = float((high - low).max(initial=0.0))
+        levels = 65_535 // max(1, min(width, self.COMPONENTS))
+        self.step = spread / levels
+        self.usable = bool(np.isfinite(spread)) and self.step > np.finfo(float).tiny
+        if self.usable:
+            self.a, self.b = (np.rint((x - low) / self.step).clip(0, levels).astype(np.uint16) for x in (a, b))
+            self.sums = [x.sum(axis=1, dtype=np.int64) for x in (self.a, self.b)]
+            self.error = (width + 1) * self.step
+
+    def rough(self, rows: np.ndarray, begin: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distances of ``rows`` of a to rows begin..end of b, with a bound of their error per row."""
+        columns, refs = np.ascontiguousarray(self.a[rows].T), self.b[begin:end]
+        d = np.empty((end - begin, len(rows)))
+        step = max(1, 4 * CACHE_NUMBERS // max(len(rows), 1))
+        for at in range(0, len(refs), step):
+            some = refs[at : at + step]
+            least, total = np.empty((len(some), len(rows)), np.uint16), np.zeros((len(some), len(rows)))
+            for first in range(0, refs.shape[1], self.COMPONENTS):
+                part = np.zeros_like(least)
+                for i in range(first, min(first + self.COMPONENTS, refs.shape[1])):
+                    np.minimum(some[:, i : i + 1], columns[i], out=least)
+                    part += least
+                total -= part
+            total *= 2
+            total += self.sums[1][begin + at : begin + at + len(some), None]
+            total += self.sums[0][rows]
+            np.multiply(total, self.step, out=d[at : at + step])
+        return d.T, np.full(len(rows), self.error)
+
+
 def exact(metric: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Distances of pairs of rows."""
     gap = a - b
@@ -68,6 +125,23 @@ def exact(metric: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt((gap * gap).sum(axis=1))
 
 
+def exact_pairs(metric: str, a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Distances of rows i of a and j of b, a bounded number of them at a time."""
+    out = np.empty(len(i))
+    for at in range(0, len(i), PAIRS):
+        some = slice(at, at + PAIRS)
+        out[some] = exact(metric, a[i[some]], b[j[some]])
+    return out
+
+
+def _marked(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the marks, in the order in which they are stored."""
+    if marks.flags.f_contiguous:
+        j, i = np.divmod(np.flatnonzero(marks.T), max(marks.shape[0], 1))
+        return i, j
+    return np.divmod(np.flatnonzero(marks), max(marks.shape[1], 1))
+
+
 def _rough_limit(metric: str, tau: np.ndarray) -> np.ndarray:
     return tau if metric == "manhattan" else tau * tau
 
@@ -229,7 +303,8 @@ def _met(
         .withColumn("sub", of_key(F.col("splits")))
         .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     )
-    tasks = min(index.tasks * parts, max(index.refs.sparkSession.sparkContext.defaultParallelism, 10_000))
+    # Twice as many partitions as blocks, so that few of them get several.
+    tasks = min(index.tasks * parts * (2 if index.bundles > 1 else 1), max(index.refs.sparkSession.sparkContext.defaultParallelism, 10_000))
     by_task = [x.drop("splits").repartition(tasks, *_KEYS).groupBy(*_KEYS) for x in (left, right)]
     return by_task[0].cogroup(by_task[1]).applyInPandas(compare, schema)
 
@@ -261,26 +336,51 @@ def _best_of_bundle(q: pd.DataFrame, r: pd.DataFrame, cells: Cells, k: int, work
     key_order = np.append(np.argsort(np.argsort(keys)), len(keys))
     present, starts = np.unique(r["cell"].to_numpy(), return_index=True)
     ends = np.append(starts[1:], len(r))
-    d, slack = distances(metric, a, cells.pivots[present])
-    lower = cells.lower(d, slack, present)
+    lower = np.empty((len(a), len(present)))
+    for tile in tiles(len(a), len(present)):
+        lower[tile] = cells.lower(*distances(metric, a[tile], cells.pivots[present]), present)
+    steps = Steps(a, b) if metric == "manhattan" else None
     best_d, best_j = np.full((len(a), k), np.inf), np.full((len(a), k), -1)
     compared = 0
+
+    def candidates(rows: np.ndarray, begin: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs that may be nearer than what is known, and more of a cell only where ties ask for it."""
+        limit = _rough_limit(metric, tau[rows])
+        if steps is not None and steps.usable and np.isfinite(limit).all():
+            rough, near = steps.rough(rows, begin, end)
+        else:
+            rough, near = ROUGH[metric](a[rows], b[begin:end])
+        marks = rough <= (limit + near)[:, None]
+        if np.count_nonzero(marks) <= MANY * marks.size:
+            i, j = _marked(marks)
+            kept = left[rows[i]] != right[begin + j]
+            return i[kept], begin + j[kept]
+        if steps is not None:
+            rough, near = ROUGH[metric](a[rows], b[begin:end])
+        rough[left[rows][:, None] == right[None, begin:end]] = np.inf
+        place = min(k, end - begin) - 1
+        limit = np.minimum(np.partition(rough, place, axis=1)[:, place] + near, limit)
+        i, j = _marked((rough <= (limit + near)[:, None]) & np.isfinite(rough))
+        return i, begin + j
+
     for cell, these in _rounds(lower):
         active = np.flatnonzero(these & (lower[:, cell] <= tau))
         begin, end = int(starts[cell]), int(ends[cell])
         compared += len(active) * (end - begin)
         for tile in tiles(len(active), end - begin):
             rows = active[tile]
-            rough, near = ROUGH[metric](a[rows], b[begin:end])
-            rough[left[rows][:, None] == right[None, begin:end]] = np.inf
-            place = min(k, end - begin) - 1
-            limit = np.minimum(np.partition(rough, place, axis=1)[:, place], _rough_limit(metric, tau[rows]))
-            i, j = np.nonzero((rough <= (limit + near)[:, None]) & np.isfinite(rough))
-            found = exact(metric, a[rows[i]], b[begin + j])
-            order = np.lexsort((key_order[begin + j], found, i))
-            i, j, found = i[order], begin + j[order], found[order]
+            i, j = candidates(rows, begin, end)
+            found = exact_pairs(metric, a, rows[i], b, j)
+            kept = found <= tau[rows[i]]
+            if not kept.any():
+                continue
+            i, j, found = i[kept], j[kept], found[kept]
+            order = np.lexsort((key_order[j], found, i))
+            i, j, found = i[order], j[order], found[order]
+            met, i = np.unique(i, return_inverse=True)
             rank = np.arange(len(i)) - np.searchsorted(i, i, side="left")
             kept = rank < k
+            rows = rows[met]
             new_d, new_j = np.full((len(rows), k), np.inf), np.full((len(rows), k), -1)
             new_d[i[kept], rank[kept]], new_j[i[kept], rank[kept]] = found[kept], j[kept]
             both_d = np.concatenate([best_d[rows], new_d], axis=1)
@@ -414,14 +514,15 @@ def nearer(q: pd.DataFrame, r: pd.DataFrame, cells: Cells) -> Iterator[tuple[np.
     a, b = matrix(q["values"]), matrix(r["values"])
     cell, tau = r["cell"].to_numpy(), q["tau"].to_numpy(dtype=float)
     present = np.unique(cell)
-    d, slack = distances(metric, a, cells.pivots[present])
-    lower = cells.lower(d, slack, present)
+    lower = np.empty((len(a), len(present)))
+    for tile in tiles(len(a), len(present)):
+        lower[tile] = cells.lower(*distances(metric, a[tile], cells.pivots[present]), present)
     for at, one in enumerate(present):
         refs, active = np.flatnonzero(cell == one), np.flatnonzero(lower[:, at] <= tau)
         for tile in tiles(len(active), len(refs)):
             rows = active[tile]
             rough, near = ROUGH[metric](a[rows], b[refs])
             i, j = np.nonzero(rough <= (_rough_limit(metric, tau[rows]) + near)[:, None])
-            found = exact(metric, a[rows[i]], b[refs[j]])
+            found = exact_pairs(metric, a, rows[i], b, refs[j])
             kept = found <= tau[rows[i]]
             yield rows[i[kept]], refs[j[kept]], found[kept]

@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -92,6 +94,36 @@ def test_few_pairs_of_clustered_vectors_are_compared(spark, monkeypatch, metric,
         assert 0 < work.value < 0.1 * 3000 * 3000
 
 
+@pytest.mark.parametrize("width, scale", [(3, 1.0), (64, 1e-3), (150, 1e9)])
+def test_distances_in_steps_have_a_bound(width, scale):
+    """Sums of 16 bits: a tenth of the time of doubles, never further off than what they say."""
+    rng = np.random.default_rng(width)
+    a, b = (rng.normal(5, scale, (n, width)) for n in (40, 70))
+    b[0, 0] += 20 * scale
+    steps = cells.Steps(a, b)
+    rows = np.arange(3, 33)
+    rough, near = steps.rough(rows, 10, 70)
+    gap = np.abs(rough - np.abs(a[rows, None] - b[None, 10:]).sum(axis=2))
+    assert steps.usable and rough.shape == (30, 60) and (gap <= near[:, None]).all()
+    assert not cells.Steps(np.ones((2, 3)), np.ones((2, 3))).usable
+    assert not cells.Steps(np.full((2, 3), -1.7e308), np.full((2, 3), 1.7e308)).usable
+
+
+def test_a_tile_holds_few_numbers(monkeypatch):
+    """A block of queries and references is compared in a few MB, whatever the metric."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(0, 1, (4096, 16))
+    q = pd.DataFrame({"key": [f"k{i}" for i in range(4096)], "grp": None, "values": list(x), "tau": np.inf})
+    for metric in neighbours.METRICS:
+        d, slack = cells.distances(metric, x[:1], x[:1])
+        one = cells.Cells(metric, x[:1], d, np.zeros(1, int), np.array([4096]), np.zeros(1), np.full(1, 1e3), np.array([4096]), 1e-9)
+        tracemalloc.start()
+        found = cells._best_of_bundle(q, q.assign(cell=0, label=0), one, 3, None)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len(found) == 3 * 4096 and peak < 50e6
+
+
 def test_copies_of_one_vector_and_a_hot_group(spark, monkeypatch):
     """Most rows are one vector: its cell is cut into blocks; one group holds half of the rows."""
     monkeypatch.setattr(cells, "BLOCK_ROWS", 30)
