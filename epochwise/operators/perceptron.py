@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from epochwise.operators.boosted import with_part_codes
-from epochwise.operators.row_blocks import NONE, NUMBER_BITS, rows_of, summed, width_of, write_blocks
+from epochwise.operators.row_blocks import NONE, NUMBER_BITS, rows_of, sums_by_key, width_of, write_blocks
 from epochwise.operators.splits import ROW_ID
 from epochwise.storage import new_path, stage
 
@@ -121,6 +121,15 @@ class Fitted:
     rounds: np.ndarray
 
 
+_MEAN = "key int, v binary, counts array<double>"
+
+
+def _mean(key: int, v: np.ndarray) -> dict:
+    """A model's mean parameters, taken where the sums are, and its counts; the first of them is of trained rows."""
+    counts = v[-4:]
+    return {"key": key, "v": (v[:-4] / max(counts[0], 1.0)).astype("<f4").tobytes(), "counts": counts.tolist()}
+
+
 def fit(
     blocks: DataFrame, tasks: Sequence[Task], hidden: Sequence[int] = HIDDEN, max_rounds: int = MAX_ROUNDS, seed: int = SEED
 ) -> Fitted:
@@ -153,10 +162,10 @@ def fit(
                 found[int(i)] = np.concatenate([after.astype(float) * own.sum(), counts])
             return found
 
-        told = summed(blocks, train, len(at) * (len(start) + 4))
+        told = {r.key: r for r in sums_by_key(blocks, train, _mean, _MEAN, len(at) * (len(start) + 4))}
         shared.destroy()
         for i in at:
-            trained, right, held, known = told[i][-4:]
+            trained, right, held, known = told[i].counts
             if not trained:
                 raise ValueError("a model has no training rows")
             share = right / held if held else known / trained
@@ -167,7 +176,7 @@ def fit(
             if share > score[i] or n == 0:
                 score[i], best[i] = share, now[i]
             rounds[i], active[i] = n, waited[i] <= PATIENCE
-            now[i] = (told[i][:-4] / trained).astype(np.float32)
+            now[i] = np.frombuffer(told[i].v, dtype="<f4")
     return Fitted(sizes, tasks, best, score, rounds)
 
 

@@ -25,13 +25,13 @@ NUMBER_BITS = 60
 NONE = -1
 # Sums of a key that one task adds up, beyond which they are added in two steps.
 _TOGETHER = 64
-# Numbers that the driver adds up itself.
-_DRIVER_NUMBERS = 8_000_000
+# Numbers that the driver adds up itself: it gets them in every pass, so they are few.
+_DRIVER_NUMBERS = 200_000
 
 _SCHEMA = "id long, n int, x binary, y binary, part binary, fold binary, u binary"
 
 
-_SUMS = "key int, sub int, v binary"
+_SUMS = "key int, at int, v binary"
 
 
 def row_number(seed: int, member: int) -> str:
@@ -111,7 +111,8 @@ def sums_by_key(
 
     A task sends its own sums, one row for each key, at most ``numbers`` numbers in all.
     Where these are few, the driver adds them; else Spark does, in two steps if many tasks
-    have sums of a key, so that nobody gathers more than a few dozen of them.
+    have sums of a key, so that nobody gathers more than a few dozen of them. Either way they
+    are added in the order of the tasks.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -120,9 +121,9 @@ def sums_by_key(
             for block in batch.itertuples(index=False):
                 for key, values in per_block(block).items():
                     total[key] = total[key] + values if key in total else values
-        sub = TaskContext.get().partitionId() % _TOGETHER
+        at = TaskContext.get().partitionId()
         for key, values in total.items():
-            yield pd.DataFrame({"key": [key], "sub": [sub], "v": [values.astype("<f8").tobytes()]})
+            yield pd.DataFrame({"key": [key], "at": [at], "v": [values.astype("<f8").tobytes()]})
 
     def add(parts: list[bytes]) -> np.ndarray:
         total = np.frombuffer(parts[0], dtype="<f8").copy()
@@ -131,21 +132,22 @@ def sums_by_key(
         return total
 
     def some(key: tuple, got: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"key": [key[0]], "sub": [key[1]], "v": [add(got["v"].tolist()).tobytes()]})
+        return pd.DataFrame({"key": [key[0]], "at": [key[1]], "v": [add(got.sort_values("at")["v"].tolist()).tobytes()]})
 
     def last(key: tuple, got: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({name: [value] for name, value in finish(int(key[0]), add(got["v"].tolist())).items()})
+        parts = got.sort_values("at")["v"].tolist()
+        return pd.DataFrame({name: [value] for name, value in finish(int(key[0]), add(parts)).items()})
 
     files = len(blocks.inputFiles())
     sums = blocks.mapInPandas(run, _SUMS)
     if files * numbers <= _DRIVER_NUMBERS:
-        got = sums.toArrow().sort_by([("key", "ascending"), ("sub", "ascending")])
+        got = sums.toArrow().sort_by([("key", "ascending"), ("at", "ascending")])
         held: dict[int, list[bytes]] = {}
         for key, part in zip(got["key"].to_pylist(), got["v"], strict=True):
             held.setdefault(key, []).append(part.as_buffer())
         return [Row(**finish(key, add(parts))) for key, parts in held.items()]
     if files > _TOGETHER:
-        sums = sums.groupBy("key", "sub").applyInPandas(some, _SUMS)
+        sums = sums.groupBy("key", (F.col("at") % _TOGETHER).alias("sub")).applyInPandas(some, _SUMS)
     return sums.groupBy("key").applyInPandas(last, schema).collect()
 
 

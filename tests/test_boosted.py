@@ -89,6 +89,23 @@ def test_sums_of_many_tasks(spark, monkeypatch):
     assert sorted(tuple(r) for r in boosted.leave_one_subject_out(df, 3, bins=4).collect()) == want
 
 
+def test_histograms_stay_off_the_driver(spark, monkeypatch):
+    """Of a pass with many histograms the driver gets splits only, the same for any number of blocks."""
+    x, y, s = data(400, 16, 6)
+    df = rows_of(spark, x, y, s)
+    blocks, edges = row_blocks.write_blocks(df, block_rows=20), boosted.bin_edges(df, 32)
+    exclude = [(-1, -1)] * 40
+    sent = []
+    whole = type(df).toArrow
+    monkeypatch.setattr(type(df), "toArrow", lambda self: sent.append(whole(self)) or sent[-1])
+    trees = boosted.fit(blocks, edges, exclude, rounds=1, depth=2)
+    assert sum(t.nbytes for t in sent) < 100_000
+    monkeypatch.setattr(row_blocks, "_DRIVER_NUMBERS", 10**9)
+    again = boosted.fit(blocks, edges, exclude, rounds=1, depth=2)
+    assert (trees.leaf == again.leaf).all() and (trees.feature == again.feature).all()
+    assert sum(t.nbytes for t in sent) > 1_000_000
+
+
 def test_groups_of_models_do_not_matter(spark, monkeypatch):
     x, y, s = data(80, 2, 3, subjects=5)
     df = rows_of(spark, x, y, s)
