@@ -96,7 +96,7 @@ def test_few_pairs_of_clustered_vectors_are_compared(spark, monkeypatch, metric,
 
 @pytest.mark.parametrize("width, scale", [(3, 1.0), (64, 1e-3), (150, 1e9)])
 def test_distances_in_steps_have_a_bound(width, scale):
-    """Sums of 16 bits: a tenth of the time of doubles, never further off than what they say."""
+    """Sums of 16 bits are never further off than what they say."""
     rng = np.random.default_rng(width)
     a, b = (rng.normal(5, scale, (n, width)) for n in (40, 70))
     b[0, 0] += 20 * scale
