@@ -84,3 +84,16 @@ def test_query_decodes_all_documents(spark):
     want = {r.doc_id: hashlib.sha256((r.text or "").replace("▁", " ").encode()).hexdigest() for r in docs.collect()}
     got = op6_sentence_pieces(spark, "/root/testdata/sf0.001")
     assert {r.doc_id: r.decoded_sha256 for r in got.collect()} == want
+
+
+def test_very_long_units_match_library(spark, library):
+    mixed = "".join("etaoinshr,.é1日"[k * k * 7 % 14] for k in range(20_000))
+    texts = ["a" * 20_000, mixed, "thethe" * 30, "ab " * 40 + mixed[:49]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.ids for r in lattice.encode(df, PATH).collect()}
+    assert [got[i] for i in range(len(texts))] == [library.encode(t) for t in texts]
+
+
+def test_encoding_shuffles_nothing(spark):
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    assert "Exchange" not in lattice.encode_and_decode(docs, PATH)._jdf.queryExecution().executedPlan().toString()
