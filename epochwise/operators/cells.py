@@ -32,6 +32,8 @@ MAX_PIVOT_NUMBERS = 2_000_000
 BLOCK_ROWS = 32_768
 LEAST_ROWS = 256
 TILE_NUMBERS = 262_144
+# Least distances of queries to cells of a bundle held at once; more cells mean fewer queries.
+LOWER_NUMBERS = 4_194_304
 # Numbers that stay in the cache while components are added up, and pairs whose exact distances are taken at once.
 CACHE_NUMBERS = 32_768
 PAIRS = 32_768
@@ -159,6 +161,11 @@ def tiles(rows: int, width: int) -> Iterator[slice]:
     return (slice(at, min(at + step, rows)) for at in range(0, rows, step))
 
 
+def _strips(rows: int, cells: int) -> Iterator[slice]:
+    step = max(LEAST_ROWS, LOWER_NUMBERS // max(cells, 1))
+    return (slice(at, min(at + step, rows)) for at in range(0, rows, step))
+
+
 @dataclass(frozen=True)
 class Cells:
     """What workers know of one metric's cells; all arrays have a row for each pivot."""
@@ -317,6 +324,14 @@ def _groups(q: pd.Series, r: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     return left, right
 
 
+def _least(cells: Cells, a: np.ndarray, present: np.ndarray) -> np.ndarray:
+    """The least distances of queries to the rows of ``present`` cells."""
+    lower = np.empty((len(a), len(present)))
+    for tile in tiles(len(a), len(present)):
+        lower[tile] = cells.lower(*distances(cells.metric, a[tile], cells.pivots[present]), present)
+    return lower
+
+
 def _rounds(lower: np.ndarray) -> Iterator[tuple[int, np.ndarray | None]]:
     """Cells of a bundle in order: first each with the queries at home there, then each with all others."""
     home = np.argmin(lower, axis=1)
@@ -336,9 +351,6 @@ def _best_of_bundle(q: pd.DataFrame, r: pd.DataFrame, cells: Cells, k: int, work
     key_order = np.append(np.argsort(np.argsort(keys)), len(keys))
     present, starts = np.unique(r["cell"].to_numpy(), return_index=True)
     ends = np.append(starts[1:], len(r))
-    lower = np.empty((len(a), len(present)))
-    for tile in tiles(len(a), len(present)):
-        lower[tile] = cells.lower(*distances(metric, a[tile], cells.pivots[present]), present)
     steps = Steps(a, b) if metric == "manhattan" else None
     best_d, best_j = np.full((len(a), k), np.inf), np.full((len(a), k), -1)
     compared = 0
@@ -363,32 +375,34 @@ def _best_of_bundle(q: pd.DataFrame, r: pd.DataFrame, cells: Cells, k: int, work
         i, j = _marked((rough <= (limit + near)[:, None]) & np.isfinite(rough))
         return i, begin + j
 
-    for cell, these in _rounds(lower):
-        active = np.flatnonzero(these & (lower[:, cell] <= tau))
-        begin, end = int(starts[cell]), int(ends[cell])
-        compared += len(active) * (end - begin)
-        for tile in tiles(len(active), end - begin):
-            rows = active[tile]
-            i, j = candidates(rows, begin, end)
-            found = exact_pairs(metric, a, rows[i], b, j)
-            kept = found <= tau[rows[i]]
-            if not kept.any():
-                continue
-            i, j, found = i[kept], j[kept], found[kept]
-            order = np.lexsort((key_order[j], found, i))
-            i, j, found = i[order], j[order], found[order]
-            met, i = np.unique(i, return_inverse=True)
-            rank = np.arange(len(i)) - np.searchsorted(i, i, side="left")
-            kept = rank < k
-            rows = rows[met]
-            new_d, new_j = np.full((len(rows), k), np.inf), np.full((len(rows), k), -1)
-            new_d[i[kept], rank[kept]], new_j[i[kept], rank[kept]] = found[kept], j[kept]
-            both_d = np.concatenate([best_d[rows], new_d], axis=1)
-            both_j = np.concatenate([best_j[rows], new_j], axis=1)
-            order = np.lexsort((key_order[both_j], both_d), axis=1)[:, :k]
-            best_d[rows] = np.take_along_axis(both_d, order, axis=1)
-            best_j[rows] = np.take_along_axis(both_j, order, axis=1)
-            tau[rows] = np.minimum(tau[rows], best_d[rows, -1])
+    for strip in _strips(len(a), len(present)):
+        lower = _least(cells, a[strip], present)
+        for cell, these in _rounds(lower):
+            active = strip.start + np.flatnonzero(these & (lower[:, cell] <= tau[strip]))
+            begin, end = int(starts[cell]), int(ends[cell])
+            compared += len(active) * (end - begin)
+            for tile in tiles(len(active), end - begin):
+                rows = active[tile]
+                i, j = candidates(rows, begin, end)
+                found = exact_pairs(metric, a, rows[i], b, j)
+                kept = found <= tau[rows[i]]
+                if not kept.any():
+                    continue
+                i, j, found = i[kept], j[kept], found[kept]
+                order = np.lexsort((key_order[j], found, i))
+                i, j, found = i[order], j[order], found[order]
+                met, i = np.unique(i, return_inverse=True)
+                rank = np.arange(len(i)) - np.searchsorted(i, i, side="left")
+                kept = rank < k
+                rows = rows[met]
+                new_d, new_j = np.full((len(rows), k), np.inf), np.full((len(rows), k), -1)
+                new_d[i[kept], rank[kept]], new_j[i[kept], rank[kept]] = found[kept], j[kept]
+                both_d = np.concatenate([best_d[rows], new_d], axis=1)
+                both_j = np.concatenate([best_j[rows], new_j], axis=1)
+                order = np.lexsort((key_order[both_j], both_d), axis=1)[:, :k]
+                best_d[rows] = np.take_along_axis(both_d, order, axis=1)
+                best_j[rows] = np.take_along_axis(both_j, order, axis=1)
+                tau[rows] = np.minimum(tau[rows], best_d[rows, -1])
     if work is not None:
         work.add(compared)
     i, place = np.nonzero(best_j >= 0)
@@ -514,15 +528,14 @@ def nearer(q: pd.DataFrame, r: pd.DataFrame, cells: Cells) -> Iterator[tuple[np.
     a, b = matrix(q["values"]), matrix(r["values"])
     cell, tau = r["cell"].to_numpy(), q["tau"].to_numpy(dtype=float)
     present = np.unique(cell)
-    lower = np.empty((len(a), len(present)))
-    for tile in tiles(len(a), len(present)):
-        lower[tile] = cells.lower(*distances(metric, a[tile], cells.pivots[present]), present)
-    for at, one in enumerate(present):
-        refs, active = np.flatnonzero(cell == one), np.flatnonzero(lower[:, at] <= tau)
-        for tile in tiles(len(active), len(refs)):
-            rows = active[tile]
-            rough, near = ROUGH[metric](a[rows], b[refs])
-            i, j = np.nonzero(rough <= (_rough_limit(metric, tau[rows]) + near)[:, None])
-            found = exact_pairs(metric, a, rows[i], b, refs[j])
-            kept = found <= tau[rows[i]]
-            yield rows[i[kept]], refs[j[kept]], found[kept]
+    for strip in _strips(len(a), len(present)):
+        lower = _least(cells, a[strip], present)
+        for at, one in enumerate(present):
+            refs, active = np.flatnonzero(cell == one), strip.start + np.flatnonzero(lower[:, at] <= tau[strip])
+            for tile in tiles(len(active), len(refs)):
+                rows = active[tile]
+                rough, near = ROUGH[metric](a[rows], b[refs])
+                i, j = np.nonzero(rough <= (_rough_limit(metric, tau[rows]) + near)[:, None])
+                found = exact_pairs(metric, a, rows[i], b, refs[j])
+                kept = found <= tau[rows[i]]
+                yield rows[i[kept]], refs[j[kept]], found[kept]

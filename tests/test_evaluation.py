@@ -323,3 +323,34 @@ def test_model_report(easy):
     for r in found:
         assert r["best_fold_accuracy"] >= r["cv_mean"] > 0.85 and r["best_fold"] in (0, 1, 2)
         assert r["train_accuracy"] > 0.85 and r["test_accuracy"] > 0.85
+
+
+def test_memory_of_a_block_does_not_grow_with_cells(monkeypatch):
+    def block(count, n, rng):
+        x = rng.normal(size=(n, 4))
+        pivots = x[:count]
+        between, slack = cells.distances("euclidean", pivots, pivots)
+        d = cells.distances("euclidean", x, pivots)[0]
+        home, away = d.argmin(axis=1), d.min(axis=1)
+        far = np.array([away[home == c].max() for c in range(count)])
+        rows = np.bincount(home, minlength=count)
+        index = cells.Cells(
+            "euclidean", pivots, between + slack[:, None], np.zeros(count, int), rows, np.zeros(count), far, rows, 1e-9
+        )
+        q = pd.DataFrame({"key": [f"k{i:05}" for i in range(n)], "grp": None, "values": list(x), "label": 0})
+        return q.assign(tau=np.inf), q.assign(cell=home), index
+
+    q, r, index = block(1024, 8192, np.random.default_rng(5))
+    whole = cells._best_of_bundle(q, r, index, 3, None)
+    monkeypatch.setattr(cells, "LOWER_NUMBERS", 1 << 20, raising=False)
+    tracemalloc.start()
+    cut = cells._best_of_bundle(q, r, index, 3, None)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert cut.equals(whole)
+    assert peak < 40e6  # 8192 queries by 1024 cells alone are 67 MB
+    near = [cells.nearer(q.head(900).assign(tau=0.5), r, index)]
+    monkeypatch.setattr(cells, "LOWER_NUMBERS", 1)
+    near.append(cells.nearer(q.head(900).assign(tau=0.5), r, index))
+    pairs = [{(a, b) for i, j, _ in x for a, b in zip(i.tolist(), j.tolist(), strict=True)} for x in near]
+    assert pairs[0] == pairs[1] and len(pairs[0]) > 900
