@@ -46,6 +46,8 @@ _CHUNK = 200_000
 # Longest length with a symbol of its own for words outside the vocabulary.
 _LENGTHS = 16
 _BLOCK = 4096
+# A batch may be without decisions.
+_NO_STEPS = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float32))]
 _OTHER_SPACES = "\t\n\x0b\x0c\r"
 
 
@@ -192,44 +194,53 @@ class Network:
 
     def hidden(self, window: np.ndarray) -> np.ndarray:
         """Hidden states of windows of parameter rows."""
-        total = self.embed[0][window[0]]
+        total = np.take(self.embed[0], window[0], axis=0)
         for k in range(1, len(PLACES)):
-            total = total + self.embed[k][window[k]]
-        return np.tanh(total + self.bias)
+            total += np.take(self.embed[k], window[k], axis=0)
+        total += self.bias
+        return np.tanh(total, out=total)
 
     def log_probabilities(self, hidden: np.ndarray) -> np.ndarray:
-        logits = hidden @ self.out + self.out_bias
+        logits = hidden @ self.out
+        logits += self.out_bias
         logits -= logits.max(axis=1, keepdims=True)
-        return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+        logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
+        return logits
+
+    def _decisions(self, hidden: np.ndarray, target: np.ndarray, symbols: Symbols) -> tuple[np.ndarray, ...]:
+        """Token, node row and side of all decisions of a batch, their logits, and by component the states and nodes."""
+        at, node, side = (np.concatenate(x) for x in zip(*_NO_STEPS, *symbols.steps(target), strict=True))
+        row = symbols.node_row[node]
+        near, own = np.take(np.ascontiguousarray(hidden.T), at, axis=1), np.take(np.ascontiguousarray(self.nodes.T), row, axis=1)
+        return at, row, side, symbols.prior[node] + np.einsum("ij,ij->j", near, own), near, own
 
     def log_within(self, hidden: np.ndarray, target: np.ndarray, symbols: Symbols) -> np.ndarray:
         """Log-probabilities of tokens within their classes, given the hidden state."""
-        out = symbols.below[target]
-        for at, node, side in symbols.steps(target):
-            z = symbols.prior[node] + (hidden[at] * self.nodes[symbols.node_row[node]]).sum(axis=1)
-            out[at] -= np.logaddexp(0, -side * z)
-        return out
+        at, _, side, z, _, _ = self._decisions(hidden, target, symbols)
+        z *= -side
+        lost = np.maximum(z, 0) + np.log1p(np.exp(-np.abs(z)))
+        return symbols.below[target] - np.bincount(at, weights=lost, minlength=len(target))
 
     def _within_errors(self, hidden: np.ndarray, target: np.ndarray, symbols: Symbols, rate: float) -> np.ndarray:
         """Errors of the decisions, sent back to the hidden state; moves the nodes by their means."""
-        back, rows, moves = np.zeros_like(hidden), [], []
-        for at, node, side in symbols.steps(target):
-            row, near = symbols.node_row[node], hidden[at]
-            own = self.nodes[row]
-            error = -side / (1 + np.exp(np.clip(side * (symbols.prior[node] + (near * own).sum(axis=1)), -30, 30)))
-            back[at] += error[:, None] * own
-            rows.append(row)
-            moves.append(error[:, None] * near)
-        if rows:
-            self._move(self.nodes, np.concatenate(rows), np.concatenate(moves), rate)
-        return back
+        at, row, side, z, near, own = self._decisions(hidden, target, symbols)
+        error = -side / (1 + np.exp(np.clip(side * z, -30, 30)))
+        back = np.stack([np.bincount(at, weights=error * x, minlength=len(target)) for x in own], axis=1)
+        near *= error
+        self._move(self.nodes, row, near, rate)
+        return back.astype(np.float32)
 
     @staticmethod
     def _move(table: np.ndarray, rows: np.ndarray, errors: np.ndarray, rate: float) -> None:
-        """Sums by row over a sorted batch; each row moves by its mean, damped where it is rare."""
-        order = np.argsort(rows, kind="stable")
-        numbers, first, count = np.unique(rows[order], return_index=True, return_counts=True)
-        table[numbers] -= rate * np.add.reduceat(errors[order], first, axis=0) / (count[:, None] + 16)
+        """Sums by row over a batch, errors by component; each row moves by its mean, damped where it is rare."""
+        count = np.bincount(rows, minlength=len(table))
+        hit = np.flatnonzero(count)
+        place = np.empty(len(table), dtype=np.int64)
+        place[hit] = np.arange(len(hit))
+        place = place[rows]
+        sums = np.stack([np.bincount(place, weights=e, minlength=len(hit)) for e in errors], axis=1)
+        sums = sums * (rate / (count[hit] + 16))[:, None]
+        table[hit] = np.take(table, hit, axis=0) - sums
 
     def learn(self, window: np.ndarray, target: np.ndarray, symbols: Symbols, rate: float) -> None:
         """One step down the mean gradient of a batch; rare symbols step by their own rows only."""
@@ -242,6 +253,7 @@ class Network:
         self.out -= rate / n * (hidden.T @ error)
         self.out_bias -= rate / n * error.sum(axis=0)
         self.bias -= rate / n * back.sum(axis=0)
+        back = np.ascontiguousarray(back.T)
         for k in range(len(PLACES)):
             self._move(self.embed[k], window[k], back, rate)
 

@@ -90,3 +90,11 @@ def test_all_frequent_words_are_known_and_every_word_has_its_probability(spark):
     hidden = np.repeat(draw.normal(0, 1, (1, pseudo.WIDTH)).astype(np.float32), len(ids), axis=0)
     sums = np.bincount(symbols.class_of[ids], weights=np.exp(network.log_within(hidden, ids, symbols)))
     assert np.allclose(sums[sums > 0], 1, atol=1e-4)
+
+
+def test_rows_move_by_their_means_and_a_batch_may_have_no_rows():
+    table = np.zeros((4, 2), dtype=np.float32)
+    pseudo.Network._move(table, np.zeros(0, dtype=np.int64), np.zeros((2, 0), dtype=np.float32), 0.5)
+    assert not table.any()
+    pseudo.Network._move(table, np.array([2, 0, 2]), np.array([[1, 2, 3], [4, 5, 6]], dtype=np.float32), 17.0)
+    assert np.allclose(table, [[-2, -5], [0, 0], [-17 * 4 / 18, -17 * 10 / 18], [0, 0]])
