@@ -8,18 +8,24 @@ a prefix token under several orders at once:
    N^2 / 2^65 for N different sets). Equal sets are one class from here on.
 2. A count sketch of all shingles, of a fixed size, puts frequent shingles last in
    every order; within a frequency class each order has its own permutation.
-3. Prefix tokens of the first order are the join key, limited by size and position.
-   A pair must also meet in the prefixes of the other orders; then the whole sets are
-   compared.
-4. Large groups of similar texts: each token first links its classes to a central one
-   only, then to a central one outside that one's component. Tokens whose classes are
-   connected then need no more work; of the others all pairs across components are
-   tried, so no link between components is lost. The result is components, not links:
-   pairs within a component that are connected already are not compared.
+3. Prefix tokens of the first order are the join key, limited by size and position: a
+   token counts in the band of its set's size, and in the next one if the first token
+   that the set has in common with a set of that size may stand so far back.
+4. A pair must differ in few enough bits of a parity bitmap (a shingle in one of the sets
+   only turns one bit): first of a short one beside each token, so that pairs which share
+   a token by chance are not made, then of one with a bit a shingle. It must also meet in
+   the prefixes of the other orders. Of what is left the whole sets are compared.
+5. Large groups of similar texts: each token first links its classes to a central one
+   only, then to a central one outside that one's component. A central class is then
+   done with its token. Tokens whose other classes are connected need no more work; of
+   the others all pairs across components are tried, so no link between components is
+   lost. The result is components, not links: pairs within a component that are
+   connected already are not compared.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 from functools import reduce
 
@@ -149,18 +155,67 @@ def prefix_length(size: int, num: int, den: int) -> int:
     return size + (-num * size) // den + 1  # size - ceil(size * num / den) + 1
 
 
+class Bands:
+    """Bands of sizes: sizes of a pair differ by the factor den / num at most, so by one band at most."""
+
+    def __init__(self, num: int, den: int) -> None:
+        self.num, self.den, self.edges = num, den, [1]
+
+    def of(self, size: int) -> tuple[int, int]:
+        """The band of a size and the first size of the next band."""
+        while self.edges[-1] <= size:
+            self.edges.append(self.edges[-1] * self.den // self.num + 1)
+        band = bisect.bisect_right(self.edges, size) - 1
+        return band, self.edges[band + 1]
+
+    def placed(self, prefix: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of a set's sorted prefix tokens, one for each band of sizes, and place * 4 + role of each.
+
+        Roles: 1 in the band of the set's own size, where it may be the larger of a pair; 2 where
+        it may be the smaller one, or as large. The smaller one goes to the band of the larger, as far
+        as its place, if that is the pair's first common token, leaves room for enough common ones.
+        """
+        band, edge = self.of(size)
+        # Places at which a partner may be as large as this set, and as large as the next band's sets.
+        smaller, next_too = (
+            min(len(prefix), max(0, size + (-self.num * (size + partner)) // (self.num + self.den) + 1)) for partner in (size, edge)
+        )
+        add = [np.uint64(k * int(_BASE) % 2**64) for k in (band, band + 1)]
+        places = np.arange(len(prefix), dtype=np.int32) * 4
+        own = places + 1
+        own[:smaller] += 2
+        return _mix(np.r_[prefix + add[0], prefix[:next_too] + add[1]]), np.r_[own, places[:next_too] + 2]
+
+
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """A bitmap of a set, a power of 2 long: each bit is the parity of its shingles.
+
+    Two bitmaps of one length differ in no more bits than their sets in shingles; halves
+    of a longer one, added without carry, make the shorter one.
+    """
+    size = max(64, 1 << (len(shingles) - 1).bit_length())
+    odd = np.bincount((shingles & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def folded(odd: np.ndarray, shingles: int, num: int, den: int) -> np.ndarray:
+    """Parities as short as still tells most sets without anything in common apart."""
+    wanted = max(64, 1 << (5 * shingles * (den - num) // (num + den)).bit_length())
+    return np.bitwise_xor.reduce(odd.reshape(-1, min(wanted // 64, len(odd))), axis=0)
+
+
 def _prefixed(texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """doc_id, n_shingles, class c, and prefix tokens under each order (p1 sorted by its order)."""
+    """doc_id, n_shingles, class c, parities (odd, few: folded), keys and places of the first order, prefix tokens of the others."""
     frequency = texts.sparkSession.sparkContext.broadcast(_sketch(texts, n))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler = Shingler(n)
+        shingler, bands = Shingler(n), Bands(num, den)
         for batch in batches:
             for first, held in _in_chunks(batch["text"]):
                 rows = []
                 for doc_id, own in zip(batch["doc_id"].iloc[first:], shingler.sets(held), strict=False):
                     if not len(own):
-                        rows.append((doc_id, 0, None, [], [], []))
+                        rows.append((doc_id, 0, None, [], [], [], [], [], []))
                         continue
                     size = prefix_length(len(own), num, den)
                     high = frequency.value[(own >> np.uint64(64 - _CELL_BITS)).astype(np.int64)].astype(np.uint64)
@@ -168,17 +223,19 @@ def _prefixed(texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
                     for factor in _ORDER_FACTORS:
                         keys = (high << np.uint64(56)) | (_mix(own * factor) >> np.uint64(8))
                         prefixes.append(np.sort(np.partition(keys, size - 1)[:size]))
-                    p1 = prefixes[0].view(np.int64)
+                    keys, places = bands.placed(prefixes[0], len(own))
                     rest = [p.astype(np.uint32).view(np.int32) for p in prefixes[1:]]
-                    rows.append((doc_id, len(own), class_id(own), p1, *rest))
-                doc_ids, sizes, classes, *prefixes = zip(*rows, strict=True)
+                    odd = parities(own)
+                    few = folded(odd, len(own), num, den)
+                    rows.append((doc_id, len(own), class_id(own), odd, few, keys.view(np.int64), places, *rest))
+                doc_ids, sizes, classes, *arrays = zip(*rows, strict=True)
                 yield pd.DataFrame(
                     # Nullable whole numbers: a detour over floats would lose digits.
                     {"doc_id": pd.Series(doc_ids, dtype="object"), "n": sizes, "c": pd.array(classes, dtype="Int64")}
-                    | {f"p{k + 1}": pd.Series(p, dtype="object") for k, p in enumerate(prefixes)}
+                    | {x: pd.Series(a, dtype="object") for x, a in zip(("odd", "few", "p1", "w1", "p2", "p3"), arrays, strict=True)}
                 )
 
-    schema = "doc_id string, n long, c long, p1 array<long>, p2 array<int>, p3 array<int>"
+    schema = "doc_id string, n long, c long, odd array<long>, few array<long>, p1 array<long>, w1 array<int>, p2 array<int>, p3 array<int>"
     return texts.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(run, schema).withColumn(
         "doc_id", F.col("doc_id").cast("long")
     )
@@ -190,6 +247,18 @@ def _may_link(num: int, den: int) -> Column:
     return F.least(left, right) * (num + den) >= num * (F.col("n_a") + F.col("n_b"))
 
 
+def _close(num: int, den: int, odd: str = "odd") -> Column:
+    """Whether parities differ in no more bits than similar sets may in shingles; the longer bitmap is folded."""
+    size = f"least(size({odd}_a), size({odd}_b))"
+    a, b = (
+        f"aggregate(sequence(0, size({x}) div {size} - 1), array_repeat(0L, {size}),"
+        f" (held, k) -> zip_with(held, slice({x}, cast(k * {size} as int) + 1, {size}), (p, q) -> p ^ q))"
+        for x in (f"{odd}_a", f"{odd}_b")
+    )
+    bits = f"aggregate(zip_with({a}, {b}, (p, q) -> bit_count(p ^ q)), 0L, (total, k) -> total + k)"
+    return F.expr(f"{bits} * {num + den} <= (n_a + n_b) * {den - num}")
+
+
 def _side(rows: DataFrame, side: str, *others: str) -> DataFrame:
     return rows.select("token", F.col("c").alias(side), F.col("n").alias(f"n_{side}"), F.col("i").alias(f"i_{side}"), *others)
 
@@ -198,50 +267,56 @@ def _ordered(a: str, b: str) -> tuple[Column, Column]:
     return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
 
+def _labelled(rows: DataFrame, labels: DataFrame, c: str, label: str) -> DataFrame:
+    """The rows with the label of class ``c``; without links a class is its own."""
+    known = labels.select(F.col("node").alias(c), F.col("label").alias(label))
+    return rows.join(known, c, "left").withColumn(label, F.coalesce(label, c))
+
+
 def _open(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows, with labels, of tokens whose classes are not all connected yet; without links a class is its own."""
-    known = labels.select(F.col("node").alias("c"), "label")
-    known = rows.select("token", "c", "n", "i").join(known, "c", "left").withColumn("label", F.coalesce("label", "c"))
-    known = stage(known, "labelled-rows")
+    """The rows, with labels, of tokens whose classes are not all connected yet."""
+    known = stage(_labelled(rows.drop("label"), labels, "c", "label"), "labelled-rows")
     mixed = known.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
     return stage(known.join(mixed.select("token"), "token", "left_semi"), "open-rows")
 
 
-def _star_pairs(known: DataFrame, num: int, den: int, second: bool) -> DataFrame:
-    """Each token's central class with the classes of its token that it is not linked with yet.
+def _centred(rows: DataFrame, eligible: DataFrame, num: int, den: int) -> DataFrame:
+    """The rows beside their token's central class b, one of ``eligible``, whose own rows go; ``near``: if they may link.
 
     Central is who has the token nearest the front of its prefix: copies put what they
-    alone have, their rare tokens, before it. The second time, the centre is taken
-    among the classes outside the first centre's component.
+    alone have, their rare tokens, before it.
     """
-    rank = F.shiftleft(F.col("i").cast("long"), 47) + F.col("c").bitwiseAND(F.lit((1 << 47) - 1))
-    ranked = others = known.withColumn("rank", rank)
-    if second:
-        first = ranked.groupBy("token").agg(F.min("rank").alias("front"))
-        taken = ranked.join(first, "token").where("rank = front").select("token", F.col("label").alias("taken")).distinct()
-        others = ranked.join(taken, "token").where("label <> taken").select(*ranked.columns)
-    front = others.groupBy("token").agg(F.min("rank").alias("front"))
-    centres = _side(others.join(front, "token").where("rank = front"), "b", F.col("label").alias("label_b"))
-    pairs = _side(known, "a", "label").join(centres, "token").where((F.col("label") != F.col("label_b")) & _may_link(num, den))
-    return pairs.select(*_ordered("a", "b")).distinct()
+    own = [x for x in ("i", "c", "n", "few", "label") if x in rows.columns]
+    centres = eligible.groupBy("token").agg(F.min(F.struct(*own)).alias("x"))
+    beside = rows.select("token", *own).join(centres, "token").where("c <> x.c")
+    both = beside.select("*", *(F.col(x).alias(f"{x}_a") for x in own), *(F.col(f"x.{x}").alias(f"{x}_b") for x in own))
+    apart = F.col("label_a") != F.col("label_b") if "label" in own else F.lit(True)
+    near = F.when(apart & _may_link(num, den), _close(num, den, "few")).otherwise(False)
+    return stage(both.select("token", *own, F.col("c_b").alias("b"), near.alias("near")), "centred-rows")
+
+
+def _star_pairs(centred: DataFrame) -> DataFrame:
+    """Each token's central class with the other classes of its token that may link with it."""
+    return centred.where("near").select(*_ordered("c", "b")).distinct()
 
 
 def _other_pairs(known: DataFrame, num: int, den: int) -> DataFrame:
-    """All pairs of a token's classes that no links connect yet; sizes in bands bound the comparisons.
+    """All pairs of a token's classes that no links connect yet; a token's classes are of similar sizes.
 
     Of a pair with two labels, one at least is not its token's most frequent label: only
     such classes are compared with all classes of the token, each pair once.
     """
     counts = known.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k"))
     most = counts.groupBy("token").agg(F.max_by("label", F.struct("k", "label")).alias("most"))
-    # Sizes of a pair differ by the factor den / num at most: the same band or a neighbouring one.
-    width = 1.001 * float(np.log(den / num)) if num < den else 1e-9
-    banded = known.join(most, "token").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / width))
-    near = F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("band")
-    left = _side(banded.where("label <> most"), "a", F.col("label").alias("label_a"), near)
-    right = _side(banded, "b", F.col("label").alias("label_b"), (F.col("label") == F.col("most")).alias("most_b"), "band")
-    once = F.expr("label_a <> label_b and (most_b or a < b)")
-    pairs = left.join(right, ["token", "band"]).where(once & _may_link(num, den))
+    marked = known.join(most, "token")
+    also = [x for x in ("label", "few") if x in known.columns]
+    left = _side(marked.where("label <> most"), "a", *(F.col(x).alias(f"{x}_a") for x in also))
+    is_most = (F.col("label") == F.col("most")).alias("most_b")
+    right = _side(marked, "b", *(F.col(x).alias(f"{x}_b") for x in also), is_most)
+    may_link = F.expr("label_a <> label_b and (most_b or a < b)") & _may_link(num, den)
+    if "few" in also:
+        may_link = may_link & F.when(may_link, _close(num, den, "few")).otherwise(False)
+    pairs = left.join(right, "token").where(may_link)
     return pairs.select(*_ordered("a", "b")).distinct()
 
 
@@ -257,12 +332,12 @@ def _nodes(pairs: DataFrame) -> DataFrame:
 
 
 def _links(pairs: DataFrame, prefixed: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that are similar: other orders first, then the whole sets."""
+    """The pairs (a, b) that are similar: parities first, then other orders, then the whole sets."""
     pairs = stage(pairs, "pairs")
-    held = _only(prefixed.select("c", "p2", "p3"), "c", _nodes(pairs)).dropDuplicates(["c"])
+    held = _only(prefixed.select("c", "n", "odd", "p2", "p3"), "c", _nodes(pairs)).dropDuplicates(["c"])
     for side in ("a", "b"):
-        pairs = pairs.join(held.select(F.col("c").alias(side), *(F.col(p).alias(f"{p}_{side}") for p in ("p2", "p3"))), side)
-    meet = F.arrays_overlap("p2_a", "p2_b") & F.arrays_overlap("p3_a", "p3_b")
+        pairs = pairs.join(held.select(F.col("c").alias(side), *(F.col(x).alias(f"{x}_{side}") for x in ("n", "odd", "p2", "p3"))), side)
+    meet = _close(num, den) & F.arrays_overlap("p2_a", "p2_b") & F.arrays_overlap("p3_a", "p3_b")
     pairs = stage(pairs.where(meet).select("a", "b"), "candidates")
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -291,18 +366,24 @@ def _links(pairs: DataFrame, prefixed: DataFrame, texts: DataFrame, n: int, num:
 def _grouped(texts: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, c) of every row, and (c, label, first, rows) of each class that is not one row alone."""
     prefixed = stage(_prefixed(texts, n, num, den), "prefixed")
-    tokens = prefixed.where("n > 0").select("c", "n", F.posexplode("p1").alias("i", "token"))
-    # Most tokens belong to one class; bitmaps of the others drop them before the shuffle.
-    shared = tokens.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
-    shared = stage(shared.select("token"), "shared-tokens")
-    rows = stage(_only(tokens, "token", shared).distinct().withColumn("label", F.col("c")), "shared-rows")
-    links = _links(_star_pairs(rows, num, den, False), prefixed, texts, n, num, den)
+    placed_tokens = prefixed.where("n > 0").select("c", "n", "few", F.explode(F.arrays_zip("p1", "w1")).alias("x"))
+    tokens = placed_tokens.select(F.expr("x.p1").alias("token"), "c", "n", "few", F.expr("x.w1 div 4").alias("i"), F.expr("x.w1 & 3").alias("role"))
+    # Most tokens belong to one class, or to classes that are all the smaller (or all the larger) ones;
+    # bitmaps of the others drop them before the shuffle.
+    shared = tokens.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.bit_or("role").alias("roles"))
+    shared = stage(shared.where("low < high and roles = 3").select("token"), "shared-tokens")
+    rows = stage(_only(tokens.drop("role"), "token", shared).distinct(), "shared-rows")
+    rows = _centred(rows, rows, num, den)
+    links = _links(_star_pairs(rows), prefixed, texts, n, num, den)
+    labels = components(links)
+    rows = _open(rows, labels)
+    outside = _labelled(rows, labels, "b", "first").where("label <> first")
+    rows = _centred(rows, outside, num, den)
+    links = links.unionAll(_links(_star_pairs(rows), prefixed, texts, n, num, den))
+    labels = components(links)
+    pairs = _other_pairs(_open(rows, labels), num, den)
+    links = links.unionAll(_links(pairs, prefixed, texts, n, num, den))
     labels = components(links)
-    for last in (False, True):
-        rows = _open(rows, labels)
-        pairs = _other_pairs(rows, num, den) if last else _star_pairs(rows, num, den, True)
-        links = links.unionAll(_links(pairs, prefixed, texts, n, num, den))
-        labels = components(links)
     known = prefixed.select("doc_id", "n", "c")
     # Copies are summed up before they move.
     classes = known.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows"))

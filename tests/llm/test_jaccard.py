@@ -2,6 +2,7 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -133,3 +134,57 @@ def test_nulls_repeats_empty_and_clashing_columns(spark):
         spark.createDataFrame(rows, schema), 3
     ).collect())
     assert got == [(0, 0, 0), (0, 1, 1), (1, 1, 1), (1, 1, 1), (4, 1, 4)]
+
+
+@pytest.mark.parametrize(("num", "den"), [(90, 100), (80, 100), (50, 100), (2, 3), (1, 1)])
+def test_pairs_that_may_link_share_a_key_with_both_roles(num, den):
+    """Whatever the sizes and places of the first common token, unless size and place rule the pair out."""
+    bands, held = jaccard.Bands(num, den), {}
+    for size in range(1, 90):
+        for place in range(jaccard.prefix_length(size, num, den)):
+            prefix = np.arange(1000, 1000 + jaccard.prefix_length(size, num, den), dtype=np.uint64)
+            prefix[place] = 7
+            keys, places = bands.placed(prefix, size)
+            assert len(set(keys.tolist())) == len(keys)
+            held[size, place] = {k: p % 4 for k, p in zip(keys.tolist(), places.tolist(), strict=True) if p // 4 == place}
+    for (n_a, i), mine in held.items():
+        for (n_b, j), other in held.items():
+            if min(n_a - i, n_b - j) * (num + den) >= num * (n_a + n_b):
+                assert any(mine[k] | other[k] == 3 for k in mine.keys() & other.keys())
+
+
+def test_parities_differ_in_no_more_bits_than_sets_in_shingles(spark):
+    rng = np.random.Generator(np.random.PCG64(5))
+    every = rng.integers(0, 2**63, 4000, dtype=np.uint64)
+    rows = []
+    for size, gone, new in [(1, 0, 0), (60, 3, 5), (64, 0, 1), (65, 1, 0), (900, 20, 180), (1000, 500, 30), (900, 450, 450)]:
+        a, b = every[:size], every[gone : size + new]
+        wanted = 10 * len(np.setxor1d(a, b)) <= len(a) + len(b)  # num = 9, den = 11
+        odd = jaccard.parities(a), jaccard.parities(b)
+        few = [jaccard.folded(o, len(x), 9, 11).tolist() for o, x in zip(odd, (a, b), strict=True)]
+        rows.append((len(a), len(b), odd[0].tolist(), odd[1].tolist(), *few, wanted))
+    df = spark.createDataFrame(
+        rows, "n_a long, n_b long, odd_a array<long>, odd_b array<long>, few_a array<long>, few_b array<long>, wanted boolean"
+    )
+    for name in ("odd", "few"):
+        got = df.select("wanted", jaccard._close(9, 11, name).alias("close"), jaccard._close(0, 1, name).alias("any")).collect()
+        assert sum(r.wanted for r in got) == 4 and all(r.close for r in got if r.wanted) and all(r["any"] for r in got)
+        assert [r.close for r in got[-2:]] == [False, False]
+
+
+def test_what_two_texts_share_by_chance_is_looked_at_once(spark, monkeypatch):
+    """Pairs that are far from similar take part in one round and are never compared as whole sets."""
+    own = lambda i: [f"w{i}_{k}" for k in range(100)]
+    rows = [(i, " ".join(own(i)[:60] + own(10_000 + i // 2)[:40])) for i in range(60)]
+    counts = defaultdict(list)
+
+    def counted(df, name, stage=jaccard.stage):
+        out = stage(df, name)
+        counts[name].append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "stage", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.component_id for r in jaccard.near_duplicates(df).collect()} == set(range(60))
+    assert counts["centred-rows"][0] and counts["pairs"] == [0, 0, 0]
+    assert counts["open-rows"] == [0, 0] and counts["sets"] == [0, 0, 0]
