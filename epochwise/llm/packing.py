@@ -13,13 +13,14 @@ import json
 import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from heapq import heappop, heappush
 from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -28,12 +29,16 @@ from epochwise.operators.numbering import number_by_chunk
 from epochwise.storage import stage
 
 # Parts of words whose ids are remembered in a worker at most; then afresh.
-_PARTS = 400_000
+_PARTS = 300_000
 _REMEMBERED_CHARS = 40
 # Punctuation that is looked up apart from the letters before it.
 _TAIL = ".,;:!?|"
 # Bytes of text worked on at once; one row at least.
-_SLICE_BYTES = 3_000_000
+_SLICE_BYTES = 2_000_000
+# New parts of words that the library encodes in one call, and rows of a batch that a worker gets at once.
+_NEW_PARTS = 8_192
+_BATCH_ROWS = 1_000
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 # Rows of one numbering chunk: 2 ** _CHUNK_BITS neighbours of a written part.
 _CHUNK_BITS = 16
 
@@ -147,7 +152,9 @@ class Encoder:
         distinct = coded.dictionary.to_pylist()
         new = [s for s in distinct if s not in self.parts.numbers]
         if new:
-            self.parts.add(new, learn(new))
+            # In calls of bounded size: the library keeps far more of a token than its id while it works.
+            calls = (learn(new[at : at + _NEW_PARTS]) for at in range(0, len(new), _NEW_PARTS))
+            self.parts.add(new, [ids for found in calls for ids in found])
         numbers = np.fromiter(map(self.parts.numbers.__getitem__, distinct), dtype=np.int64, count=len(distinct))
         return numbers[coded.indices.to_numpy()]
 
@@ -233,7 +240,8 @@ def pieces(
     ])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = traits.value.encoder()
+        encoder, pool = traits.value.encoder(), pa.default_memory_pool()
+        pool.release_unused()  # a worker may come from another operator
         for batch in batches:
             doc_ids, texts = batch.columns
             for at, stop in _slices(texts):
@@ -252,6 +260,7 @@ def pieces(
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, type=k.type) for c, k in zip(columns, kinds, strict=True)], schema=kinds
                 )
+                pool.release_unused()
 
     texts = id_and_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     return texts.mapInArrow(cut, PIECE_SCHEMA)
@@ -305,11 +314,23 @@ def plan_bins(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int
     return plan
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs that run within hand workers ``_BATCH_ROWS`` rows at once at most: both sides hold whole batches of text."""
+    before = spark.conf.get(_BATCH_SETTING)
+    spark.conf.set(_BATCH_SETTING, str(min(_BATCH_ROWS, int(before)) if int(before) > 0 else _BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH_SETTING, before)
+
+
 def packed(pieces_: DataFrame, capacity: int = 4096) -> DataFrame:
     """Add sequence_id and offset to a table with a column ``length``."""
     spark = pieces_.sparkSession
     # Written once: encoding is the costly part, and places in the files stay fixed.
-    held = stage(pieces_.withColumn("_place", F.monotonically_increasing_id()), "pieces")
+    with _small_batches(spark):
+        held = stage(pieces_.withColumn("_place", F.monotonically_increasing_id()), "pieces")
     counts = {r["length"]: r["count"] for r in held.groupBy("length").count().collect()}
     plan = spark.createDataFrame(plan_bins(counts, capacity), PLAN_SCHEMA)
     ranked = number_by_chunk(held, ["length"], F.shiftright("_place", _CHUNK_BITS), ["_place"], "_rank")

@@ -151,3 +151,30 @@ def test_slices_hold_whole_rows(monkeypatch):
     parts = list(packing._slices(texts))
     assert [a for a, _ in parts] == [0, *[b for _, b in parts[:-1]]] and parts[-1][1] == len(texts)
     assert all(b - a == 1 or packing.pc.sum(packing.pc.binary_length(texts.slice(a, b - a))).as_py() <= 10 for a, b in parts)
+
+
+def test_workers_get_small_batches(spark):
+    """Rows of a written table of pieces: here each is as long as its batch has rows."""
+    def sizes(batches):
+        for batch in batches:
+            told = [[0], [0], [0], [batch.num_rows], [0]]
+            yield packing.pa.RecordBatch.from_arrays(
+                [packing.pa.array(v, type=t) for v, t in zip(told, map(packing.pa.type_for_alias, kinds), strict=True)], names=names
+            )
+
+    names, kinds = ["doc_id", "piece", "start", "length", "ids_crc32"], ["int64", "int32", "int64", "int64", "int64"]
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    rows = packing.packed(spark.range(0, 5000, 1, 1).mapInArrow(sizes, packing.PIECE_SCHEMA), 5000).collect()
+    assert sum(r.length for r in rows) == 5000 and max(r.length for r in rows) <= 1000
+    assert spark.conf.get(setting) == before
+
+
+def test_new_words_reach_the_library_in_parts(encoder, monkeypatch):
+    words = [f"{a}{b}{c}x{d}" for a in "bcdf" for b in "aeiou" for c in "ghjk" for d in ["", "!!", "é?", "7"]]
+    want, sizes, library = library_ids([" ".join(words)]), [], encoder._library
+    monkeypatch.setattr(encoder, "parts", packing.Ragged())
+    monkeypatch.setattr(packing, "_NEW_PARTS", 7)
+    monkeypatch.setattr(encoder, "_library", lambda texts: sizes.append(sum(len(t) for t in texts)) or library(texts))
+    assert encoded(encoder, [" ".join(words)]) == want
+    assert max(sizes) < 7 * (5 + len("<|startoftext|>")) < sum(map(len, words))
