@@ -46,8 +46,6 @@ _CHUNK = 200_000
 # Longest length with a symbol of its own for words outside the vocabulary.
 _LENGTHS = 16
 _BLOCK = 4096
-# A batch may be without decisions.
-_NO_STEPS = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float32))]
 _OTHER_SPACES = "\t\n\x0b\x0c\r"
 
 
@@ -93,17 +91,18 @@ class Symbols:
     def _grow(self, mass: np.ndarray) -> None:
         """A binary tree over each class, halved by mass; ``leaf`` and ``up`` lead to the root.
 
-        Both hold 0 (root) or the number of the node above plus one, negative on its right side.
+        ``depth`` is the number of decisions. The others hold 0 (root) or the number of the node above plus one, negative on its right side.
         """
         order = np.lexsort((-mass[_LENGTHS + 1 :], self.class_of[_LENGTHS + 1 :])) + _LENGTHS + 1
         sums = np.r_[0.0, np.cumsum(mass[order])]
-        self.leaf = np.zeros(self.size, dtype=np.int32)
+        self.leaf, self.depth = np.zeros(self.size, dtype=np.int32), np.zeros(self.size, dtype=np.int16)
         starts = np.flatnonzero(np.r_[True, np.diff(self.class_of[order]) != 0]) if len(order) else np.zeros(0, dtype=np.int64)
         lo, hi, code = starts, np.r_[starts[1:], len(order)][: len(starts)], np.zeros(len(starts), dtype=np.int64)
-        made, up, prior, weight = 0, [], [], []
+        made, level, up, prior, weight = 0, 0, [], [], []
         while len(lo):
             single = hi - lo == 1
-            self.leaf[order[lo[single]]] = code[single]
+            self.leaf[order[lo[single]]], self.depth[order[lo[single]]] = code[single], level
+            level += 1
             lo, hi, code = lo[~single], hi[~single], code[~single]
             mid = np.clip(np.searchsorted(sums, (sums[lo] + sums[hi]) / 2), lo + 1, hi - 1)
             up.append(code)
@@ -118,14 +117,19 @@ class Symbols:
         self.node_row = np.zeros(made, dtype=np.int64)
         self.node_row[np.argsort(-np.concatenate(weight or empty), kind="stable")] = table_rows(np.arange(made))
 
-    def steps(self, target: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Places of tokens that have one more decision above, its node, and +1 or -1 for its side."""
-        at, code = np.arange(len(target)), self.leaf[target]
-        while len(at := at[code != 0]):
-            code = code[code != 0]
-            node = np.abs(code) - 1
-            yield at, node, np.sign(code).astype(np.float32)
-            code = self.up[node]
+    def deepest_first(self, target: np.ndarray) -> np.ndarray:
+        """The order of tokens in which those with most decisions come first."""
+        return np.argsort(-self.depth[target], kind="stable")
+
+    def levels(self, target: np.ndarray) -> Iterator[np.ndarray]:
+        """Level by level from the leaf up, node and side (as in ``leaf``) of the tokens that have a decision
+        there: of tokens in that order, the first ones.
+        """
+        code = self.leaf[target]
+        for size in (len(target) - np.cumsum(np.bincount(self.depth[target]))[:-1]).tolist():
+            code = code[:size]
+            yield code
+            code = self.up[np.abs(code) - 1]
 
     def without_words(self) -> Symbols:
         """A copy that cannot encode, for tasks that read symbols only."""
@@ -200,62 +204,103 @@ class Network:
         total += self.bias
         return np.tanh(total, out=total)
 
-    def log_probabilities(self, hidden: np.ndarray) -> np.ndarray:
-        logits = hidden @ self.out
-        logits += self.out_bias
-        logits -= logits.max(axis=1, keepdims=True)
-        logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
-        return logits
+    def _logits(self, hidden: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(classes x tokens), so that sums and maxima over the classes run along the tokens, and what to take off."""
+        logits = self.out.T @ hidden.T
+        logits += self.out_bias[:, None]
+        logits -= logits.max(axis=0)
+        return logits, np.log(_column_sums(np.exp(logits)))
 
-    def _decisions(self, hidden: np.ndarray, target: np.ndarray, symbols: Symbols) -> tuple[np.ndarray, ...]:
-        """Token, node row and side of all decisions of a batch, their logits, and by component the states and nodes."""
-        at, node, side = (np.concatenate(x) for x in zip(*_NO_STEPS, *symbols.steps(target), strict=True))
-        row = symbols.node_row[node]
-        near, own = np.take(np.ascontiguousarray(hidden.T), at, axis=1), np.take(np.ascontiguousarray(self.nodes.T), row, axis=1)
-        return at, row, side, symbols.prior[node] + np.einsum("ij,ij->j", near, own), near, own
+    def log_class(self, hidden: np.ndarray, goal: np.ndarray) -> np.ndarray:
+        """Log-probabilities of the tokens' classes."""
+        logits, off = self._logits(hidden)
+        return logits[goal, np.arange(len(goal))] - off
+
+    def _decisions(self, states: np.ndarray, order: np.ndarray, target: np.ndarray, symbols: Symbols) -> Iterator[tuple[np.ndarray, ...]]:
+        """Of each level of decisions: node rows, sides, logits, and the nodes by component.
+
+        The first tokens in this order have a decision on the level; ``states`` are theirs, by component.
+        """
+        for code in symbols.levels(target[order]):
+            node, side = np.abs(code) - 1, np.sign(code).astype(np.float32)
+            row = symbols.node_row[node]
+            own = np.ascontiguousarray(np.take(self.nodes, row, axis=0).T)
+            yield row, side, symbols.prior[node] + np.einsum("ij,ij->j", states[:, : len(row)], own), own
 
     def log_within(self, hidden: np.ndarray, target: np.ndarray, symbols: Symbols) -> np.ndarray:
         """Log-probabilities of tokens within their classes, given the hidden state."""
-        at, _, side, z, _, _ = self._decisions(hidden, target, symbols)
-        z *= -side
-        lost = np.maximum(z, 0) + np.log1p(np.exp(-np.abs(z)))
-        return symbols.below[target] - np.bincount(at, weights=lost, minlength=len(target))
+        order = symbols.deepest_first(target)
+        states, lost = np.ascontiguousarray(np.take(hidden, order, axis=0).T), np.zeros(len(target))
+        for _, side, z, _ in self._decisions(states, order, target, symbols):
+            z *= -side
+            lost[: len(z)] += np.maximum(z, 0) + np.log1p(np.exp(-np.abs(z)))
+        out = symbols.below[target]
+        out[order] -= lost
+        return out
 
     def _within_errors(self, hidden: np.ndarray, target: np.ndarray, symbols: Symbols, rate: float) -> np.ndarray:
         """Errors of the decisions, sent back to the hidden state; moves the nodes by their means."""
-        at, row, side, z, near, own = self._decisions(hidden, target, symbols)
-        error = -side / (1 + np.exp(np.clip(side * z, -30, 30)))
-        back = np.stack([np.bincount(at, weights=error * x, minlength=len(target)) for x in own], axis=1)
-        near *= error
-        self._move(self.nodes, row, near, rate)
-        return back.astype(np.float32)
+        order = symbols.deepest_first(target)
+        states = np.ascontiguousarray(np.take(hidden, order, axis=0).T)
+        total = int(symbols.depth[target].sum())
+        back, rows, near, at = np.zeros(states.shape), np.empty(total, dtype=np.int64), np.empty((len(states), total)), 0
+        for row, side, z, own in self._decisions(states, order, target, symbols):
+            n = len(row)
+            error = -side / (1 + np.exp(np.clip(side * z, -30, 30)))
+            own *= error
+            back[:, :n] += own.astype(np.float64)
+            rows[at : at + n] = row
+            near[:, at : at + n] = states[:, :n] * error
+            at += n
+        self._move(self.nodes, rows, near, rate)
+        out = np.empty(hidden.shape, dtype=np.float32)
+        out[order] = back.T
+        return out
 
     @staticmethod
     def _move(table: np.ndarray, rows: np.ndarray, errors: np.ndarray, rate: float) -> None:
         """Sums by row over a batch, errors by component; each row moves by its mean, damped where it is rare."""
-        count = np.bincount(rows, minlength=len(table))
-        hit = np.flatnonzero(count)
-        place = np.empty(len(table), dtype=np.int64)
-        place[hit] = np.arange(len(hit))
-        place = place[rows]
-        sums = np.stack([np.bincount(place, weights=e, minlength=len(hit)) for e in errors], axis=1)
-        sums = sums * (rate / (count[hit] + 16))[:, None]
-        table[hit] = np.take(table, hit, axis=0) - sums
+        scale = rate / (np.bincount(rows, minlength=len(table)) + 16)
+        for column, error in zip(table.T, errors, strict=True):
+            column -= np.bincount(rows, weights=error, minlength=len(table)) * scale
+
+    def _move_few(self, window: np.ndarray, errors: np.ndarray, rate: float) -> None:
+        """The same for the embeddings of each place, of which a batch has few rows."""
+        used = np.zeros(self.embed.shape[1], dtype=bool)
+        used[window] = True
+        hit, place = np.flatnonzero(used), np.cumsum(used) - 1
+        for table, rows in zip(self.embed, place[window], strict=True):
+            few = np.take(table, hit, axis=0)
+            self._move(few, rows, errors, rate)
+            table[hit] = few
 
     def learn(self, window: np.ndarray, target: np.ndarray, symbols: Symbols, rate: float) -> None:
         """One step down the mean gradient of a batch; rare symbols step by their own rows only."""
         n, goal = len(target), symbols.class_of[target]
         hidden = self.hidden(window)
-        error = np.exp(self.log_probabilities(hidden))
-        error[np.arange(n), goal] -= 1
+        error, off = self._logits(hidden)
+        error -= off
+        np.exp(error, out=error)
+        error[goal, np.arange(n)] -= 1
+        error = np.ascontiguousarray(error.T)
         back = error @ self.out.T + self._within_errors(hidden, target, symbols, rate)
         back *= 1 - hidden * hidden
         self.out -= rate / n * (hidden.T @ error)
         self.out_bias -= rate / n * error.sum(axis=0)
         self.bias -= rate / n * back.sum(axis=0)
-        back = np.ascontiguousarray(back.T)
-        for k in range(len(PLACES)):
-            self._move(self.embed[k], window[k], back, rate)
+        self._move_few(window, back.T.astype(np.float64), rate)
+
+
+def _column_sums(x: np.ndarray) -> np.ndarray:
+    """Sums over the first axis, eight running ones added in pairs."""
+    whole = len(x) // 8 * 8
+    part = x[:8].copy()
+    for at in range(8, whole, 8):
+        part += x[at : at + 8]
+    total = ((part[0] + part[1]) + (part[2] + part[3])) + ((part[4] + part[5]) + (part[6] + part[7]))
+    for rest in x[whole:]:
+        total += rest
+    return total
 
 
 def windows(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -331,8 +376,7 @@ def document_scores(network: Network, symbols: Symbols, ids: list[np.ndarray]) -
     for at in range(0, len(target), _BATCH):
         own = target[at : at + _BATCH]
         hidden = network.hidden(window[:, at : at + _BATCH])
-        told = network.log_probabilities(hidden)
-        log_p = told[np.arange(len(own)), symbols.class_of[own]] + network.log_within(hidden, own, symbols)
+        log_p = network.log_class(hidden, symbols.class_of[own]) + network.log_within(hidden, own, symbols)
         out += np.bincount(owner[at : at + _BATCH], weights=log_p, minlength=len(ids))
     return out
 

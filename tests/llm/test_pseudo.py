@@ -98,3 +98,62 @@ def test_rows_move_by_their_means_and_a_batch_may_have_no_rows():
     assert not table.any()
     pseudo.Network._move(table, np.array([2, 0, 2]), np.array([[1, 2, 3], [4, 5, 6]], dtype=np.float32), 17.0)
     assert np.allclose(table, [[-2, -5], [0, 0], [-17 * 4 / 18, -17 * 10 / 18], [0, 0]])
+
+
+def test_levels_hold_every_decision_once_and_shrink():
+    draw = np.random.Generator(np.random.PCG64(5))
+    counts = sorted(draw.integers(10, 5000, 300).tolist(), reverse=True)
+    symbols = pseudo.Symbols([f"w{i}" for i in range(300)], counts, {3: (9, 4)}, 6, [(3, 1, 5, 2), (3, 7, 4, 2)])
+    target = draw.integers(pseudo._LENGTHS + 1, symbols.size, 500)
+    target[:3] = 3  # no decision
+    order = symbols.deepest_first(target)
+    got, sizes = [[] for _ in target], []
+    for codes in symbols.levels(target[order]):
+        sizes.append(len(codes))
+        for at, code in zip(order[: len(codes)].tolist(), codes.tolist(), strict=True):
+            got[at].append(code)
+    assert sizes == sorted(sizes, reverse=True)
+    for symbol, codes in zip(target.tolist(), got, strict=True):
+        want, code = [], int(symbols.leaf[symbol])
+        while code:
+            want.append(code)
+            code = int(symbols.up[abs(code) - 1])
+        assert codes == want and len(want) == symbols.depth[symbol]
+    assert list(symbols.levels(np.full(4, 3))) == [] and list(symbols.levels(target[:0])) == []
+
+
+def test_learning_moves_every_parameter_by_hand():
+    symbols = pseudo.Symbols(list("abcdef"), [9, 7, 5, 4, 2, 1], {1: (4, 3)}, 2)
+    network = pseudo.Network(symbols.size, symbols.classes)
+    draw = np.random.Generator(np.random.PCG64(6))
+    network.nodes[:] = draw.normal(0, 1, network.nodes.shape)
+    window, target = pseudo.windows([symbols.encode(t) for t in ("a b c d e f a q", "f f a b")])
+    embed, bias, out, out_bias, nodes = (p.astype(np.float64) for p in (network.embed, network.bias, network.out, network.out_bias, network.nodes))
+    moves = [np.zeros_like(p) for p in (embed, bias, out, out_bias, nodes)]
+    seen, passed = np.zeros(embed.shape[:2]), np.zeros(len(nodes))
+    for near, token in zip(window.T.tolist(), target.tolist(), strict=True):
+        hidden = np.tanh(bias + sum(embed[k, row] for k, row in enumerate(near)))
+        logits = hidden @ out + out_bias
+        error = np.exp(logits) / np.exp(logits).sum()
+        error[symbols.class_of[token]] -= 1
+        back, code = out @ error, int(symbols.leaf[token])
+        while code:
+            node, side = abs(code) - 1, np.sign(code)
+            row = symbols.node_row[node]
+            wrong = -side / (1 + np.exp(side * (symbols.prior[node] + hidden @ nodes[row])))
+            back = back + wrong * nodes[row]
+            moves[4][row] += wrong * hidden
+            passed[row] += 1
+            code = int(symbols.up[node])
+        back = back * (1 - hidden * hidden)
+        moves[1] += back / len(target)
+        moves[2] += np.outer(hidden, error) / len(target)
+        moves[3] += error / len(target)
+        for k, row in enumerate(near):
+            moves[0][k, row] += back
+            seen[k, row] += 1
+    moves[0] /= seen[:, :, None] + 16
+    moves[4] /= passed[:, None] + 16
+    network.learn(window, target, symbols, 0.5)
+    for now, before, move in zip((network.embed, network.bias, network.out, network.out_bias, network.nodes), (embed, bias, out, out_bias, nodes), moves, strict=True):
+        assert np.allclose(now, before - 0.5 * move, atol=1e-5)
