@@ -22,6 +22,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,8 +43,11 @@ ROUNDS = 2
 PLACES = (-2, -1, 1, 2)
 _BATCH = 4096
 _RATE = 0.5
-# Tokens scored at once.
+# Characters of text encoded at once; one text at least.
+_TEXT_CHARS = 16_000_000
+# Tokens held at once, and scored at once.
 _CHUNK = 200_000
+_SCORED = 16_384
 # Longest length with a symbol of its own for words outside the vocabulary.
 _LENGTHS = 16
 _BLOCK = 4096
@@ -142,11 +147,21 @@ class Symbols:
         return self.buckets.get(length * BUCKETS + zlib.crc32(word.encode()) % BUCKETS, length)
 
     def encode(self, text: str) -> np.ndarray:
-        text = text.lower()
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Symbols of each text; Arrow splits the texts, and each distinct word is looked up once."""
+        lowered = [text.lower() for text in texts]
         for space in _OTHER_SPACES:
-            text = text.replace(space, " ")
-        get = self.ids.get
-        return np.array([get(w) or self._other(w) for w in text.split(" ") if w], dtype="<u4")
+            lowered = [text.replace(space, " ") for text in lowered]
+        split = pc.split_pattern(pa.array(lowered, pa.large_string()), " ")
+        coded, get = split.values.dictionary_encode(), self.ids.get
+        # No word has symbol 0, and there is none between two spaces.
+        words = coded.dictionary.to_numpy(zero_copy_only=False)
+        found = np.array([(get(w) or self._other(w)) if w else 0 for w in words], dtype="<u4")[coded.indices.to_numpy()]
+        held = np.r_[0, np.cumsum(found != 0)][split.offsets.to_numpy()].tolist()
+        found = found[found != 0]
+        return [found[a:b] for a, b in zip(held[:-1], held[1:], strict=True)]
 
 
 def table_rows(number: np.ndarray) -> np.ndarray:
@@ -325,6 +340,18 @@ def _chunks(rows: list[bytes]) -> Iterator[list[np.ndarray]]:
         yield held
 
 
+def _text_chunks(texts: list[str]) -> Iterator[list[str]]:
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text)
+        if size >= _TEXT_CHARS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def _average(trained: DataFrame, size: int) -> np.ndarray:
     """Parameters averaged by tokens; each block is summed by Spark, the driver gets one array."""
 
@@ -373,11 +400,11 @@ def document_scores(network: Network, symbols: Symbols, ids: list[np.ndarray]) -
     window, target = windows(ids)
     owner = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
     out = np.zeros(len(ids))
-    for at in range(0, len(target), _BATCH):
-        own = target[at : at + _BATCH]
-        hidden = network.hidden(window[:, at : at + _BATCH])
+    for at in range(0, len(target), _SCORED):
+        own = target[at : at + _SCORED]
+        hidden = network.hidden(window[:, at : at + _SCORED])
         log_p = network.log_class(hidden, symbols.class_of[own]) + network.log_within(hidden, own, symbols)
-        out += np.bincount(owner[at : at + _BATCH], weights=log_p, minlength=len(ids))
+        out += np.bincount(owner[at : at + _SCORED], weights=log_p, minlength=len(ids))
     return out
 
 
@@ -401,7 +428,8 @@ def pseudo_likelihood(
     @F.pandas_udf("binary")
     def encoded_ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series([sent.value.encode(t).tobytes() for t in batch], dtype="object")
+            parts = (sent.value.encode_all(texts) for texts in _text_chunks(batch.tolist()))
+            yield pd.Series([ids.tobytes() for part in parts for ids in part], dtype="object")
 
     encoded = stage(
         texts.select("doc_id", encoded_ids("text").alias("ids")).withColumn("turn", F.pmod(F.xxhash64("ids"), F.lit(rounds))),

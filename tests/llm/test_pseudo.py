@@ -157,3 +157,14 @@ def test_learning_moves_every_parameter_by_hand():
     network.learn(window, target, symbols, 0.5)
     for now, before, move in zip((network.embed, network.bias, network.out, network.out_bias, network.nodes), (embed, bias, out, out_bias, nodes), moves, strict=True):
         assert np.allclose(now, before - 0.5 * move, atol=1e-5)
+
+
+def test_texts_encoded_together_are_as_each_alone():
+    words = ["a", "b", "word", "été", "x" * 30]
+    symbols = pseudo.Symbols(words, [9, 7, 5, 4, 2], {1: (4, 3)}, 2, [(3, 5, 2, 1)])
+    texts = ["", " ", "a  B\n\tword", "Été ΑΣ zz\x0b", "\x85 \x1c", "x" * 30 + " " + "y" * 50, " a", "a "]
+    got = symbols.encode_all(texts)
+    for text, found in zip(texts, got, strict=True):
+        plain = [w for w in text.lower().translate(dict.fromkeys(map(ord, "\t\n\x0b\x0c\r"), " ")).split(" ") if w]
+        assert found.tolist() == [symbols.ids.get(w) or symbols._other(w) for w in plain] == symbols.encode(text).tolist()
+    assert symbols.encode_all([]) == []
