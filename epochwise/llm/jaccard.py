@@ -146,9 +146,16 @@ def _sketch(texts: DataFrame, n: int) -> np.ndarray:
     cells = np.zeros(1 << _CELL_BITS, dtype=np.int64)
     for row in texts.select("text").mapInPandas(count, schema).groupBy("block").applyInPandas(add, schema).collect():
         cells[row.block * _CELL_BLOCK :][:_CELL_BLOCK] = np.frombuffer(row.cells, dtype="<i8")
-    mean = cells.mean()
-    above = np.maximum(0, (cells - mean - 4 * np.sqrt(mean)) / 4).astype(np.int64)
-    return np.array([int(x).bit_length() for x in np.minimum(above, 2**62)], dtype=np.uint8)
+    return _classes(cells)
+
+
+def _classes(cells: np.ndarray) -> np.ndarray:
+    """Binary digits of what each cell has above the usual, block by block: the driver holds no second array of that size."""
+    mean, out = cells.mean(), np.zeros(len(cells), dtype=np.uint8)
+    for at in range(0, len(cells), _CELL_BLOCK):
+        above = np.maximum(0, (cells[at : at + _CELL_BLOCK] - mean - 4 * np.sqrt(mean)) / 4).astype(np.int64)
+        out[at : at + _CELL_BLOCK] = [int(x).bit_length() for x in np.minimum(above, 2**62)]
+    return out
 
 
 def prefix_length(size: int, num: int, den: int) -> int:

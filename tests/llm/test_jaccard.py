@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
@@ -188,3 +189,15 @@ def test_what_two_texts_share_by_chance_is_looked_at_once(spark, monkeypatch):
     assert {r.component_id for r in jaccard.near_duplicates(df).collect()} == set(range(60))
     assert counts["centred-rows"][0] and counts["pairs"] == [0, 0, 0]
     assert counts["open-rows"] == [0, 0] and counts["sets"] == [0, 0, 0]
+
+
+def test_classes_of_cells_take_little_memory():
+    cells = np.random.Generator(np.random.PCG64(2)).poisson(50, 1 << jaccard._CELL_BITS).astype(np.int64)
+    cells[:40] += np.int64(1) << np.arange(40)
+    above = np.maximum(0, (cells - cells.mean() - 4 * np.sqrt(cells.mean())) / 4).astype(np.int64)
+    want = [int(x).bit_length() for x in above]
+    tracemalloc.start()
+    got = jaccard._classes(cells)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.tolist() == want and peak < cells.nbytes / 2
