@@ -11,13 +11,15 @@ Input columns: ``key`` (unique string), ``label`` (int), ``values``
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import Accumulator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from epochwise.operators import cells
 from epochwise.storage import stage
@@ -47,34 +49,41 @@ def nearest(
     if index is None:
         schema = "key string, metric string, dist double, ref_key string, ref_label int, place int"
         return queries.sparkSession.createDataFrame([], schema)
-    return cells.search(stored, index, k, work)
+    asked = stored.select("key", F.col("label").cast("int").alias("label"), "grp", "values", F.lit(False).alias("both"))
+    # Written as lists, so that no reader searches anew.
+    lists = cells.search(asked, index, k, work).where("first").select("key", "metric", "dist", "ref_key", "ref_label")
+    one = F.posexplode(F.arrays_zip("dist", "ref_key", "ref_label")).alias("place", "ref")
+    return stage(lists, "neighbours").select("key", "metric", one).select("key", "metric", "ref.*", (F.col("place") + 1).alias("place"))
 
 
 def by_role(train: DataFrame, test: DataFrame, k: int, metrics: Sequence[str] = METRICS) -> DataFrame:
     """The k nearest training rows in three roles at once, found in one search.
 
     Training rows meet all other folds (part cv) and all training rows, themselves
-    included (train); test rows meet all training rows (test). ``train`` (with fold) and
-    ``test`` have EpochID, label and values. Returns the columns of ``nearest`` with the
-    role's key, and part, fold (-1 but for cv) and label.
+    included (train), in one comparison; test rows meet all training rows (test). ``train``
+    (with fold), a written table, and ``test`` have EpochID, label and values. Returns a row
+    for each key of a part, metric, fold (-1 but for cv) and label, with lists dist and
+    ref_label, nearest first. Each action searches anew.
     """
-    refs = stage(
-        train.select(F.col("EpochID").alias("key"), "label", "values", F.col("fold").cast("string").alias("grp"), "fold"), "role-train"
-    )
-    none = F.lit(None).cast("string")
+    refs = train.select(F.col("EpochID").alias("key"), F.col("label").cast("int").alias("label"), F.col("fold").cast("string").alias("grp"), "values")
+    index = cells.build_index(refs, metrics)
+    if index is None:
+        schema = "key string, metric string, part string, fold int, label int, dist array<double>, ref_label array<int>"
+        return train.sparkSession.createDataFrame([], schema)
 
-    def role(df: DataFrame, part: str, grp: Column, fold: Column) -> DataFrame:
+    def role(df: DataFrame, part: str, grp: Column, both: bool) -> DataFrame:
         key = F.concat(F.lit(f"{part}:"), F.col("key"))
-        return df.select(key.alias("key"), "label", "values", grp.alias("grp"), F.lit(part).alias("part"), fold.alias("fold"))
-
-    queries = stage(
-        role(refs, "cv", F.col("grp"), F.col("fold"))
-        .unionByName(role(refs, "train", none, F.lit(-1)))
-        .unionByName(role(test.withColumnRenamed("EpochID", "key"), "test", none, F.lit(-1))),
-        "role-queries",
+        return df.select(key.alias("key"), F.col("label").cast("int").alias("label"), grp.cast("string").alias("grp"), "values", F.lit(both).alias("both"))
+
+    queries = role(refs, "train", F.col("grp"), True).unionByName(role(test.withColumnRenamed("EpochID", "key"), "test", F.lit(None), False))
+    part = F.substring_index("key", ":", 1)
+    part = F.when((part == "train") & ~F.col("everyone"), F.lit("cv")).otherwise(part)
+    fold = F.when(part == "cv", F.col("grp").cast("int")).otherwise(-1)
+    return (
+        cells.search(queries, index, k)
+        .where("key IS NOT NULL")
+        .select("key", "metric", part.alias("part"), fold.alias("fold"), "label", "dist", "ref_label")
     )
-    found = stage(nearest(queries.drop("part", "fold"), refs.drop("fold"), k, metrics), "role-neighbours")
-    return found.join(queries.select("key", "part", "fold", "label"), "key")
 
 
 def vote(
@@ -87,34 +96,66 @@ def vote(
     ``distance`` weighs by 1/dist; if a neighbour lies at distance 0, only such
     neighbours count. Ties go to the smaller label.
     """
-    ks = F.array(*[F.lit(int(k)) for k in k_values])
-    used = F.filter(ks, lambda k: k >= F.col("place"))
-    at_zero = F.col("dist") == 0
-    tallies = (
-        found.withColumn("k", F.explode(used))
-        .groupBy("key", "metric", "k", "ref_label")
-        .agg(
-            F.count(F.lit(1)).cast("double").alias("_count"),
-            F.count_if(at_zero).cast("double").alias("_zero"),
-            F.sum(F.when(~at_zero, 1 / F.col("dist")).otherwise(0.0)).alias("_inverse"),
-        )
-    )
-    # With neighbours at distance 0 their number decides alone.
-    distance = F.struct(F.col("_zero"), F.when(F.col("_zero") > 0, 0.0).otherwise(F.col("_inverse")))
-    uniform = F.struct(F.col("_count"), F.lit(0.0))
-    scores = {"uniform": uniform, "distance": distance}
-    picks = [
-        F.max_by(
-            "ref_label",
-            F.struct(scores[w].alias("score"), (-F.col("ref_label")).alias("smaller")),
-        ).alias(w)
-        for w in weights
-    ]
-    chosen = tallies.groupBy("key", "metric", "k").agg(*picks)
-    pairs = F.array(
-        *[F.struct(F.lit(w).alias("weights"), F.col(w).alias("prediction")) for w in weights]
-    )
-    return chosen.select("key", "metric", "k", F.inline(pairs))
+    one = F.struct("place", "dist", "ref_label")
+    lists = found.groupBy("key", "metric").agg(F.array_sort(F.collect_list(one)).alias("_found"))
+    lists = lists.select("key", "metric", F.col("_found.dist").alias("dist"), F.col("_found.ref_label").alias("ref_label"))
+    return vote_lists(lists, ["key", "metric"], k_values, weights)
+
+
+def vote_lists(
+    lists: DataFrame,
+    keep: Sequence[str],
+    k_values: Sequence[int] = K_VALUES,
+    weights: Sequence[str] = WEIGHTS,
+) -> DataFrame:
+    """The same for rows that hold their neighbours as lists dist and ref_label, nearest first; no row moves.
+
+    Columns ``keep`` go with the predictions.
+    """
+    kept = lists.select(*keep).schema
+    asked = [(int(k), w) for k in k_values for w in weights]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = _ballots(batch["dist"], batch["ref_label"], asked)
+            offsets = pa.array(np.arange(len(batch) + 1) * len(asked), pa.int32())
+            names = [f.name for f in kept]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.ListArray.from_arrays(offsets, found)], [*names, "_found"])
+
+    voted = lists.select(*keep, "dist", "ref_label").mapInArrow(run, StructType([*kept, StructField("_found", ArrayType(IntegerType()))]))
+    ballots = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(w).alias("weights")) for k, w in asked])
+    picks = F.arrays_zip(ballots.alias("_asked"), F.col("_found").alias("prediction"))
+    return voted.select(*keep, F.explode(picks).alias("_pick")).select(*keep, "_pick._asked.k", "_pick._asked.weights", "_pick.prediction")
+
+
+def _ballots(dist: pa.ListArray, label: pa.ListArray, asked: Sequence[tuple[int, str]]) -> pa.Array:
+    """The label that each (k, weights) asked for picks of each row, one row after the other."""
+    sizes = np.diff(dist.offsets.to_numpy())
+    width = int(sizes.max(initial=1))
+    filled = np.arange(width) < sizes[:, None]
+    d, of = np.full(filled.shape, np.nan), np.full(filled.shape, np.nan)
+    d[filled], of[filled] = dist.flatten().to_numpy(zero_copy_only=False), label.flatten().to_numpy(zero_copy_only=False)
+    # A missing label is one of its own, and loses ties.
+    of[filled & np.isnan(of)] = np.inf
+    same = of[:, :, None] == of[:, None, :]
+    with np.errstate(divide="ignore"):
+        inverse = np.where(d == 0, 0.0, 1 / d)
+    out = np.empty((len(d), len(asked)))
+    for at, (k, weights) in enumerate(asked):
+        used = same[:, :, :k] & filled[:, None, :k]
+        if weights == "uniform":
+            score = used.sum(axis=2).astype(float)
+        else:
+            # With neighbours at distance 0 their number decides alone.
+            zero = (used & (d == 0)[:, None, :k]).sum(axis=2).astype(float)
+            score = np.where(used, inverse[:, None, :k], 0.0).sum(axis=2)
+            score = np.where((zero > 0).any(axis=1, keepdims=True), zero, score)
+        score[:, k:] = -np.inf
+        score[~filled] = -np.inf
+        best = score == score.max(axis=1, keepdims=True)
+        out[:, at] = np.where(best & filled, of, np.inf).min(axis=1)
+    none = np.isinf(out)
+    return pa.array(np.where(none, 0, out).astype(np.int32).ravel(), mask=none.ravel())
 
 
 def _own_distance(queries: DataFrame, refs: DataFrame) -> DataFrame:
@@ -182,14 +223,14 @@ def identification_recall(
     index = cells.build_index(refs, ["euclidean"])
     own = queries.join(_own_distance(queries, refs), "key")
 
-    def compare(q: pd.DataFrame, r: pd.DataFrame, of: cells.Cells) -> pd.DataFrame:
+    def compare(q: pd.DataFrame, r: pd.DataFrame, of: cells.Cells) -> pa.Table:
         places, own_place = r["label"].to_numpy(), q["label"].to_numpy()
         tau, first = q["tau"].to_numpy(), np.full(len(q), np.iinfo(np.int32).max)
         for i, j, dist in cells.nearer(q, r, of):
             before = (places[j] < own_place[i]) | ((places[j] > own_place[i]) & (dist < tau[i]))
             np.minimum.at(first, i[before], places[j][before])
         met = first < np.iinfo(np.int32).max
-        return pd.DataFrame({"key": q["key"].to_numpy()[met], "place": first[met]})
+        return pa.table({"key": pa.array(q["key"].to_numpy()[met], pa.string()), "place": pa.array(first[met], pa.int32())})
 
     records = own.select("key", "label")
     if index is not None:

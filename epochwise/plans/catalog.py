@@ -606,9 +606,8 @@ def knn_grid_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = splits.hold_out(tables.embedding_rows(spark, sf_dir), 1)
     rows = stage(splits.stratified_folds(train, BASE_FOLDS), "report-folds")
     found = neighbours.by_role(rows, test, max(neighbours.K_VALUES))
-    votes = neighbours.vote(found.drop("part", "fold", "label"))
-    roles = found.select("key", "part", "fold", "label").distinct()
-    scores = evaluation.accuracy(votes.join(roles, "key"), ["metric", "k", "weights", "part", "fold"])
+    votes = neighbours.vote_lists(found, ["metric", "part", "fold", "label"])
+    scores = evaluation.accuracy(votes, ["metric", "k", "weights", "part", "fold"])
     report = evaluation.whole_report(scores, ["metric", "k", "weights"])
     return _round(report, evaluation.REPORT_SCORES)
 

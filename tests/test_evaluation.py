@@ -1,3 +1,4 @@
+import pathlib
 import tracemalloc
 
 import numpy as np
@@ -7,6 +8,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from epochwise.operators import cells, evaluation, models, neighbours, splits
+from epochwise.storage import stage
 
 
 def vectors(n=90, d=5, seed=0, gap=0.0):
@@ -143,6 +145,57 @@ def test_copies_of_one_vector_and_a_hot_group(spark, monkeypatch):
         assert part.groupby("key")["ref_key"].apply(list).to_dict() == want
 
 
+def test_disk_of_a_search_grows_with_the_rows(spark, monkeypatch):
+    """Neither side of a search is copied for the blocks of the other, in shuffles or in written tables."""
+    monkeypatch.setattr(cells, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(cells, "LEAST_ROWS", 64)
+    monkeypatch.setattr(cells, "CELL_ROWS", 16)
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    folder = pathlib.Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+
+    def files():
+        found = blocks.getAllFiles()
+        shuffled = [pathlib.Path(found.apply(i).getPath()) for i in range(found.length())]
+        return {p: p.stat().st_size for p in [*shuffled, *folder.rglob("*.parquet")] if p.is_file()}
+
+    def written(n):
+        before, rows = files(), as_neighbours(frame(spark, vectors(n, 32, seed=n)), None)
+        assert neighbours.nearest(rows, rows, 3, ["euclidean"]).count() == 3 * n
+        return sum(size for p, size in files().items() if p not in before)
+
+    few, many = written(128), written(768)
+    assert many < 12 * few  # six times the rows; copies of them for each block of the other side would be 36 times as many
+
+
+def test_roles_share_a_comparison(spark, monkeypatch):
+    """The lists of a role are those of a search of its own; a key that repeats has the best of all its rows."""
+    monkeypatch.setattr(cells, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(cells, "CELL_ROWS", 10)
+    pdf = vectors(150, 4, seed=6)
+    pdf.at[7, "values"] = pdf.at[8, "values"]
+    pdf.loc[11, ["SubjectID", "EpochID"]] = pdf.loc[10, ["SubjectID", "EpochID"]]
+    rows = frame(spark, pdf)
+    train = stage(rows.where("SubjectID <> 's1'").withColumn("fold", F.pmod(F.xxhash64("values"), F.lit(3)).cast("int")), "train")
+    test = rows.where("SubjectID = 's1'")
+    found = stage(neighbours.by_role(train, test, 4), "found")
+    refs = as_neighbours(train, "fold")
+    want, roles = {}, {("test", r.EpochID, -1, r.label) for r in test.collect()}
+    for r in train.collect():
+        roles |= {("cv", r.EpochID, r.fold, r.label), ("train", r.EpochID, -1, r.label)}
+    for part, queries in {"cv": refs, "train": as_neighbours(train, None), "test": as_neighbours(test, None)}.items():
+        near = neighbours.nearest(queries, refs, 4).toPandas().sort_values("place")
+        for (key, metric), some in near.groupby(["key", "metric"]):
+            for _, _, fold, label in (r for r in roles if r[:2] == (part, key)):
+                want[part, key, metric, fold, label] = some["dist"].tolist(), some["ref_label"].tolist()
+    got = {(r.part, r.key.split(":")[1], r.metric, r.fold, r.label): (r.dist, r.ref_label) for r in found.collect()}
+    assert found.count() == len(got) and got == want
+    long = found.select(F.concat_ws("|", "part", "key", "fold", "label").alias("key"), "metric", F.posexplode(F.arrays_zip("dist", "ref_label")).alias("at", "ref"))
+    votes = neighbours.vote(long.select("key", "metric", "ref.*", (F.col("at") + 1).alias("place")), [1, 3])
+    whole = neighbours.vote_lists(found, ["part", "key", "fold", "label", "metric"], [1, 3])
+    whole = whole.select(F.concat_ws("|", "part", "key", "fold", "label").alias("key"), "metric", "k", "weights", "prediction")
+    assert votes.count() == 4 * len(got) and votes.exceptAll(whole).count() == 0
+
+
 def test_no_references(spark):
     rows = as_neighbours(frame(spark, vectors(3)), None)
     assert neighbours.nearest(rows, rows.limit(0), 2).count() == 0
