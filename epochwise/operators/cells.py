@@ -129,6 +129,104 @@ class Steps:
         return d.T, np.full(len(rows), self.error)
 
 
+    def marks(self, rows: np.ndarray, begin: int, end: int, tau: np.ndarray) -> np.ndarray:
+        rough, near = self.rough(rows, begin, end)
+        return rough <= (tau + near)[:, None]
+
+
+class Coarse:
+    """Manhattan distances of rows in few whole steps, summed in 8 bits: a pair may be nearer than they say, by a bounded error.
+
+    Components far from the mean are cut to the last step, which brings no two rows further apart.
+    """
+
+    TOGETHER = 3  # smaller ones that 8 bits can hold the sum of
+    LEVELS = 255 // TOGETHER
+    DEVIATIONS = 5.0  # that the steps span
+
+    def __init__(self, a: np.ndarray, b: np.ndarray):
+        width = a.shape[1]
+        levels = min(self.LEVELS, 16_383 // max(width, 1))
+        with np.errstate(over="ignore", invalid="ignore"):
+            middle, spread = b.mean(axis=0), self.DEVIATIONS * float(b.std(axis=0).max(initial=0.0))
+            self.step = spread / max(levels, 1)
+            self.usable = levels > 15 and bool(np.isfinite(spread)) and self.step > np.finfo(float).tiny and bool(np.isfinite(a).all())
+        if self.usable:
+            low = middle - spread / 2
+            self.a, self.b = (np.rint((x - low) / self.step).clip(0, levels).astype(np.uint8) for x in (a, b))
+            self.sums = [x.sum(axis=1, dtype=np.int16) for x in (self.a, self.b)]
+            self.error = (width + 1) * self.step
+
+    def marks(self, rows: np.ndarray, begin: int, end: int, tau: np.ndarray) -> np.ndarray:
+        """The pairs of ``rows`` of a and rows begin..end of b that may not be farther apart than tau."""
+        columns, refs = np.ascontiguousarray(self.a[rows].T), self.b[begin:end]
+        # x + y - 2 * least <= tau, in steps
+        least = (self.sums[0][rows] - np.floor((tau + self.error) / self.step) - 1).clip(-32_768, 32_767).astype(np.int16)
+        marks = np.empty((end - begin, len(rows)), bool)
+        step = max(1, 4 * CACHE_NUMBERS // max(len(rows), 1))
+        for at in range(0, len(refs), step):
+            some = refs[at : at + step]
+            total = np.zeros((len(some), len(rows)), np.int16)
+            one, part = np.empty(total.shape, np.uint8), np.empty(total.shape, np.uint8)
+            for first in range(0, refs.shape[1], self.TOGETHER):
+                np.minimum(some[:, first : first + 1], columns[first], out=part)
+                for i in range(first + 1, min(first + self.TOGETHER, refs.shape[1])):
+                    np.minimum(some[:, i : i + 1], columns[i], out=one)
+                    part += one
+                total += part
+            total += total
+            total -= self.sums[1][begin + at : begin + at + len(some), None]
+            np.greater_equal(total, least, out=marks[at : at + step])
+        return marks.T
+
+
+class Singles:
+    """Squared distances of rows in single precision, less the query's own square, with a bound of their error."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray):
+        largest = max(float(np.abs(x).max(initial=0.0)) for x in (a, b))
+        self.usable = 1e-10 < largest < 1e15
+        if self.usable:
+            self.own, other = np.einsum("ij,ij->i", a, a), np.einsum("ij,ij->i", b, b)
+            self.a = np.concatenate([a * -2.0, np.ones((len(a), 1))], axis=1).astype(np.float32)
+            self.b = np.concatenate([b, other[:, None]], axis=1).astype(np.float32)
+            # The last term is for products too small for single precision.
+            self.slack = 32 * self.a.shape[1] * float(np.finfo(np.float32).eps) * (self.own + other.max(initial=0.0)) + 1e-30
+
+    def marks(self, rows: np.ndarray, begin: int, end: int, tau: np.ndarray) -> np.ndarray:
+        """The pairs of ``rows`` of a and rows begin..end of b that may not be farther apart than tau."""
+        with np.errstate(over="ignore"):
+            bound = (tau * tau + self.slack[rows] - self.own[rows]).astype(np.float32)
+        return self.a[rows] @ self.b[begin:end].T <= np.nextafter(bound, np.float32(np.inf))[:, None]
+
+
+class Screen:
+    """The cheapest of some rough distances that leaves few pairs of a tile; one that did not of late is seldom tried."""
+
+    KINDS = {"euclidean": (Singles,), "manhattan": (Coarse, Steps)}
+    MISSES, TURNS = 4, 16
+
+    def __init__(self, metric: str, a: np.ndarray, b: np.ndarray):
+        self.kinds = [x for x in (kind(a, b) for kind in self.KINDS[metric]) if x.usable]
+        self.missed, self.turn = [0] * len(self.kinds), 0
+
+    def marks(self, rows: np.ndarray, begin: int, end: int, tau: np.ndarray) -> np.ndarray | None:
+        self.turn += 1
+        for at, kind in enumerate(self.kinds):
+            if self.missed[at] >= self.MISSES and self.turn % self.TURNS and not isinstance(kind, Steps):
+                continue
+            marks = kind.marks(rows, begin, end, tau)
+            if _few(marks):
+                self.missed[at] = 0
+                return marks
+            self.missed[at] += 1
+        return None
+
+
+def _few(marks: np.ndarray) -> bool:
+    return np.count_nonzero(marks) <= MANY * marks.size
+
+
 def exact(metric: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Distances of pairs of rows."""
     gap = a - b
@@ -513,7 +611,7 @@ def _best_rows(
     present, starts = np.unique(cell, return_index=True)
     ends = np.append(starts[1:], len(b))
     key_order = np.append(key_order, len(b))
-    steps = Steps(a, b) if metric == "manhattan" else None
+    screen = Screen(metric, a, b)
     best_d, best_j = np.full((lists, len(a), k), np.inf), np.full((lists, len(a), k), -1)
     compared = 0
 
@@ -539,13 +637,12 @@ def _best_rows(
 
     def compare(rows: np.ndarray, begin: int, end: int) -> None:
         """Take the pairs that may be nearer than what is known, and more of a cell only where ties ask for it."""
-        limit = _rough_limit(metric, tau[:, rows].max(axis=0))
-        if steps is not None and steps.usable and np.isfinite(limit).all():
-            rough, near = steps.rough(rows, begin, end)
-        else:
+        limit = tau[:, rows].max(axis=0)
+        marks = screen.marks(rows, begin, end, limit) if np.isfinite(limit).all() else None
+        if marks is None:
             rough, near = ROUGH[metric](a[rows], b[begin:end])
-        marks = rough <= (limit + near)[:, None]
-        if np.count_nonzero(marks) <= MANY * marks.size:
+            marks = rough <= (_rough_limit(metric, limit) + near)[:, None]
+        if _few(marks):
             i, j = _marked(marks)
             j = begin + j
             other = left[rows[i]] != right[j]
@@ -557,8 +654,6 @@ def _best_rows(
                 i, j, found = i[other], j[other], found[other]
             add(0, rows, i, j, found)
             return
-        if steps is not None:
-            rough, near = ROUGH[metric](a[rows], b[begin:end])
         place = min(k, end - begin) - 1
         for which in reversed(range(lists)):
             if which == 0:

@@ -111,6 +111,23 @@ def test_distances_in_steps_have_a_bound(width, scale):
     assert not cells.Steps(np.full((2, 3), -1.7e308), np.full((2, 3), 1.7e308)).usable
 
 
+@pytest.mark.parametrize("width, scale, far", [(3, 1.0, 0.0), (64, 1e-3, 0.0), (64, 1e6, 1e9), (150, 1e9, 0.0)])
+def test_screens_lose_no_pair(width, scale, far):
+    """Every pair within its query's distance is marked, and few others where vectors are spread evenly."""
+    rng = np.random.default_rng(width)
+    a, b = (rng.normal(far, scale, (n, width)) for n in (60, 500))
+    b[0, 0] += 20 * scale
+    gap = np.abs(a[:, None] - b[None])
+    rows = np.arange(5, 55)
+    for kind, d in ((cells.Coarse, gap.sum(axis=2)), (cells.Singles, np.sqrt((gap**2).sum(axis=2)))):
+        screen, tau = kind(a, b), np.sort(d, axis=1)[:, 4]
+        marks = screen.marks(rows, 20, 480, tau[rows])
+        assert screen.usable and marks.shape == (50, 460) and marks[d[rows, 20:480] <= tau[rows, None]].all()
+        assert far or marks.mean() < 0.2
+    for wrong in (np.full((2, 3), np.nan), np.full((2, 3), np.inf), np.zeros((2, 3))):
+        assert not cells.Coarse(wrong, wrong).usable and not cells.Singles(wrong, wrong).usable
+
+
 def test_a_tile_holds_few_numbers(monkeypatch):
     """A block of queries and references is compared in a few MB, whatever the metric."""
     rng = np.random.default_rng(1)
